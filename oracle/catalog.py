@@ -1,5 +1,5 @@
 """All statements by query name."""
 
-from oracle import articles, tracks
+from oracle import articles, ingest, tracks
 
-SQL = {**tracks.SQL, **articles.SQL}
+SQL = {**tracks.SQL, **articles.SQL, **ingest.SQL}
