@@ -1,5 +1,5 @@
 """All statements by query name."""
 
-from oracle import articles, ingest, tracks
+from oracle import articles, ingest, sources, tracks
 
-SQL = {**tracks.SQL, **articles.SQL, **ingest.SQL}
+SQL = {**tracks.SQL, **articles.SQL, **ingest.SQL, **sources.SQL}

@@ -8,9 +8,9 @@ from tidewatch import vocab as V
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
-    """Value of a small fixed table, NULL when the key is missing."""
-    flat = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*flat), key)
+    """Value of a small fixed table, NULL when the key is missing. The map is a folded constant."""
+    pairs = F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in table.items()))
+    return F.try_element_at(F.str_to_map(pairs, F.lit("\x1e"), F.lit("\x1f")), key)
 
 
 def source_label(source_type: Column) -> Column:

@@ -22,15 +22,33 @@ def first_filled(*cols: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cols])
 
 
+_SEP = "\x1f"
+
+
+def word_array(words: list[str]) -> Column:
+    """A constant array; the optimiser folds the split, so it is built once, not per row."""
+    return F.split(F.lit(_SEP.join(words)), _SEP)
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def contains_any(lowered: Column, words: list[str]) -> Column:
-    """Any of the words as a substring. Pass text that is already lower case."""
-    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in words])
+    """Any of the words as a substring. Pass text that is already lower case.
+
+    A word that contains another word of the list cannot change the answer and is not searched for.
+    """
+    needed = [w for w in dict.fromkeys(words) if not any(o in w for o in words if o != w)]
+    if len(needed) <= 3:
+        return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in needed])
+    return bind(lowered, lambda t: F.exists(word_array(needed), lambda w: F.contains(t, w)))
 
 
 def count_hits(lowered: Column, words: list[str]) -> Column:
     """How many different words occur in the text."""
-    return reduce(lambda a, b: a + b,
-                  [F.when(F.contains(lowered, F.lit(w)), 1).otherwise(0) for w in words])
+    return bind(lowered, lambda t: F.size(F.filter(word_array(words), lambda w: F.contains(t, w))))
 
 
 def text_contains_any(text: Column, words: list[str]) -> Column:

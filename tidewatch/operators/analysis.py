@@ -86,10 +86,9 @@ def merge_results(articles: DataFrame, results: DataFrame) -> DataFrame:
                           .when(by_image, image["publish_time"])),
     }
     rows = rows.withColumns(best)
-    relevant = C.is_relevant(F.col("source_name"), F.col("url"), F.col("_category"), F.col("title"),
-                             F.col("_title_cn"), F.col("_summary_cn"), F.col("_full_text_cn"), F.col("content"))
-    rows = rows.withColumn("_relevant", relevant)
-    kept = C.retention_flags(F.col("_relevant"), F.col("_category"))
+    rows = C.with_relevance(rows, F.col("_category"), F.col("title"), F.col("_title_cn"), F.col("_summary_cn"),
+                            F.col("_full_text_cn"), F.col("content"))
+    kept = C.retention_flags(F.col("is_relevant"), F.col("known_category"))
     settled = by_text | by_image
     log = F.array_compact(F.array(
         F.when(~T.is_blank(F.col("url")), F.concat(F.lit("1. **访问目标**: ["), title, F.lit("]("), F.col("url"), F.lit(")"))),
@@ -98,7 +97,7 @@ def merge_results(articles: DataFrame, results: DataFrame) -> DataFrame:
         F.when(by_text, F.when(F.col("_image_ok"), F.lit(LOG_IMAGE_HELP)).otherwise(F.lit(LOG_NO_IMAGE))),
         F.when(by_image, F.concat(F.lit(LOG_IMAGE), F.coalesce("_category", F.lit("None")), F.lit(")"))),
         F.when(no_result, F.concat(F.lit(LOG_NONE), reason)),
-        F.when(settled & ~F.col("_relevant"), F.lit(LOG_IRRELEVANT))))
+        F.when(settled & ~F.col("is_relevant"), F.lit(LOG_IRRELEVANT))))
     has_any = image.isNotNull() | text.isNotNull()
     fallback_title = F.when(image.isNotNull(), image["title_cn"]).otherwise(text["title_cn"])
     fallback_summary = F.when(image.isNotNull(), image["summary_cn"]).otherwise(text["summary_cn"])

@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch import schemas as S, vocab as V
-from tidewatch.functions.categories import resolve_category
+from tidewatch.functions.categories import with_resolved_category
 from tidewatch.functions import text as T
 from tidewatch.operators import filters
 
@@ -36,10 +36,10 @@ def upsert_articles(store: DataFrame, updates: DataFrame, as_of: datetime,
     texts = [c for c in S.ARTICLE_TEXT_COLUMNS if c in store.columns]
     flags = [c for c in S.ARTICLE_FLAG_COLUMNS if c in store.columns]
     updates = updates.where(~T.is_blank(F.col("url")))
-    resolved = resolve_category(_col(updates, "category"), _col(updates, "title"), _col(updates, "title_cn"),
-                                _col(updates, "summary_cn"), _col(updates, "full_text_cn"))
+    updates = with_resolved_category(updates, "_category", _col(updates, "category"), _col(updates, "title"),
+                                     _col(updates, "title_cn"), _col(updates, "summary_cn"), _col(updates, "full_text_cn"))
     ready = updates.select(
-        "url", "seq", resolved.alias("_category"), T.is_blank(_col(updates, "category")).alias("_no_category"),
+        "url", "seq", "_category", T.is_blank(_col(updates, "category")).alias("_no_category"),
         *[_col(updates, c).alias(c) for c in texts],
         *[_col(updates, c, "boolean" if c == "is_significant" else "int").alias(c) for c in flags])
     counted = ~F.col("_no_category") if category_only_if_given else F.lit(True)

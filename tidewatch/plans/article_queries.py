@@ -334,9 +334,7 @@ def primary_category(v):
 
 def _relevance(v: Views) -> DataFrame:
     known = F.when(F.col("id") % 3 == 0, F.col("category"))
-    return v.articles.withColumn("is_relevant", C.is_relevant(
-        F.col("source_name"), F.col("url"), known, F.col("title"), F.col("title_cn"), F.col("summary_cn"), F.lit(""),
-        F.col("content")))
+    return C.with_relevance(v.articles, known, F.col("title"), F.col("title_cn"), F.col("summary_cn"), F.lit(""), F.col("content"))
 
 
 @query
@@ -346,8 +344,9 @@ def relevance(v):
 
 @query
 def retention_flags(v):
-    flags = C.retention_flags(F.col("is_relevant"), F.col("category"))
-    return _relevance(v).select("id", *[c.alias(n) for n, c in flags.items()])
+    rows = C.with_normalized_category(_relevance(v), "known_category", F.col("category"))
+    flags = C.retention_flags(F.col("is_relevant"), F.col("known_category"))
+    return rows.select("id", *[c.alias(n) for n, c in flags.items()])
 
 
 @query
