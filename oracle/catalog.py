@@ -1,5 +1,5 @@
 """All statements by query name."""
 
-from oracle import articles, ingest, sources, tracks
+from oracle import articles, ingest, sources, streams, tracks
 
-SQL = {**tracks.SQL, **articles.SQL, **ingest.SQL, **sources.SQL}
+SQL = {**tracks.SQL, **articles.SQL, **ingest.SQL, **sources.SQL, **streams.SQL}

@@ -116,6 +116,6 @@ add("clean_vessel_row", "ships", f"""
 SELECT id, {variants('id', "'413000001'", "'41x'", 'NULL', 'NULL', 'NULL')} AS mmsi, imo, name, {variants('id', "''", "'A'", "''")} AS company, 't' AS type, region,
        country, status, '' AS status_date, '' AS remarks FROM ships""")
 add("read_feed_files", "raw_items", f"""
-SELECT {norm('link')} AS link, CASE WHEN seq % 6 <> 5 AND {SAFE} <> '' THEN {SAFE} END AS title,
+SELECT {norm('link')} AS link, CASE WHEN seq % 6 <> 5 THEN {SAFE} END AS title,
        CASE WHEN seq % 8 <> 7 THEN CASE WHEN {DATED} THEN strftime(CAST(pub_date AS DATE), '%a, %d %b %Y') || ' 06:30:00 +0000' ELSE 'unknown' END END AS published,
-       CASE WHEN seq % 8 = 7 AND pub_date <> '' THEN pub_date END AS updated, 'text ' || seq AS summary_raw FROM raw_items""")
+       CASE WHEN seq % 8 = 7 THEN pub_date END AS updated, 'text ' || seq AS summary_raw FROM raw_items""")
