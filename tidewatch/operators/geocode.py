@@ -1,16 +1,17 @@
 """Nearest known place of a position, without comparing every position with every place.
 
-Positions are collapsed to small cells (a bounded number on a sphere). Per cell the places that can
-be nearest to any point of the cell are found through a cube grid in three dimensions, where
-neither poles nor the date line are special: a place within one cube length of the cell must lie in
-one of the 27 cubes around it. Cells without an answer that is certain try wider cubes. Positions
-then meet only the few candidates of their own cell, with no shuffle per candidate.
+Positions are collapsed to small cells, of which a sphere has a bounded number, and the places that
+can be nearest to any point of a cell are found once per cell. Places lie in cubes of several sizes
+in three dimensions, where neither poles nor the date line are special: whatever is within one cube
+length of a cell lies in one of the 27 cubes around it. One representative per cube bounds the
+distance to the nearest place; that bound picks the cube size in which all candidates must lie.
+Both steps are equi-joins. Positions then meet only the few candidates of their own cell, inside
+the row, with no further shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -20,7 +21,7 @@ from tidewatch.functions.labels import lookup
 
 CELL_DEGREES = 0.1
 # chord lengths on the unit sphere; cubes of the last size reach every place
-CUBE_SIZES = [1 / 32, 1 / 8, 1 / 2, 2.0]
+CUBE_SIZES = [1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0, 2.0]
 # chord from the middle of a cell to its corner, with a margin for rounding
 CELL_RADIUS = math.radians(CELL_DEGREES) / math.sqrt(2) * 1.01
 
@@ -29,42 +30,64 @@ def _cell(name: str) -> Column:
     return F.floor(F.col(name) / CELL_DEGREES)
 
 
-def _cube(size: float) -> list[Column]:
-    return [F.floor(F.col(axis) / size).cast("int").alias(f"_k{axis}") for axis in ("x", "y", "z")]
-
-
 def _with_xyz(df: DataFrame, lat: Column, lng: Column) -> DataFrame:
     x, y, z = geo.unit_vector(lat, lng)
     return df.withColumns({"x": x, "y": y, "z": z})
 
 
-def cell_candidates(cells: DataFrame, gazetteer: DataFrame) -> DataFrame:
+KEYS = ["size_no", "kx", "ky", "kz"]
+
+
+def _sizes() -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("size_no"), F.lit(float(s)).alias("size")) for i, s in enumerate(CUBE_SIZES)])
+
+
+def _cubes(df: DataFrame, sizes: Column) -> DataFrame:
+    """One row per cube size with the cube the point lies in."""
+    rows = df.withColumn("_s", F.explode(sizes))
+    cube = {f"k{a}": F.floor(F.col(a) / F.col("_s.size")).cast("int") for a in ("x", "y", "z")}
+    return rows.withColumn("size_no", F.col("_s.size_no")).withColumns(cube).drop("_s")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Announce every row to the 27 cubes around its own."""
+    step = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    for k in ("kx", "ky", "kz"):
+        df = df.withColumn("_d", F.explode(step)).withColumn(k, F.col(k) + F.col("_d")).drop("_d")
+    return df
+
+
+def index_places(gazetteer: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cube representatives, places by cube), both announced to the neighbouring cubes.
+
+    Depends on the gazetteer alone, so a job that runs often can store the two tables and pass them
+    to ``cell_candidates``.
+    """
+    places = _cubes(_with_xyz(gazetteer, F.col("lat"), F.col("lng")), _sizes())
+    one = places.groupBy(*KEYS).agg(F.min(F.struct("x", "y", "z")).alias("q"))
+    place = F.struct("place", "admin1", "cc", "continent", "lat", "lng")
+    return _spread(one), _spread(places.select(*KEYS, F.struct("x", "y", "z").alias("q"), place.alias("p")))
+
+
+def _chord() -> Column:
+    return F.sqrt(sum((F.col(a) - F.col(f"q.{a}")) * (F.col(a) - F.col(f"q.{a}")) for a in ("x", "y", "z")))
+
+
+def cell_candidates(cells: DataFrame, gazetteer: DataFrame,
+                    index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(cell_lat, cell_lng, places): every place that can be nearest to a point of the cell."""
+    representatives, places = index or index_places(gazetteer)
+    cell = ["cell_lat", "cell_lng"]
     middle = _with_xyz(cells, (F.col("cell_lat") + 0.5) * CELL_DEGREES, (F.col("cell_lng") + 0.5) * CELL_DEGREES)
-    places = _with_xyz(gazetteer, F.col("lat"), F.col("lng"))
-    place = F.struct("place", "admin1", "cc", "continent", "lat", "lng")
-    around = F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(step, ("dx", "dy", "dz"))])
-                       for step in product((-1, 0, 1), repeat=3)])
-    answers, left = None, middle
-    for i, size in enumerate(CUBE_SIZES):
-        last = i == len(CUBE_SIZES) - 1
-        spots = (places.select(place.alias("p"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"),
-                               *_cube(size), F.explode(around).alias("d"))
-                 .select("p", "px", "py", "pz", (F.col("_kx") + F.col("d.dx")).alias("_kx"),
-                         (F.col("_ky") + F.col("d.dy")).alias("_ky"), (F.col("_kz") + F.col("d.dz")).alias("_kz")))
-        here = left.select("cell_lat", "cell_lng", "x", "y", "z", *_cube(size))
-        near = here.join(spots, ["_kx", "_ky", "_kz"])
-        chord = F.sqrt(sum((F.col(a) - F.col(f"p{a}")) * (F.col(a) - F.col(f"p{a}")) for a in ("x", "y", "z")))
-        near = near.withColumn("d", chord).withColumn(
-            "reach", F.min("d").over(Window.partitionBy("cell_lat", "cell_lng")) + 2 * CELL_RADIUS)
-        found = near.where(F.col("d") <= F.col("reach"))
-        if not last:
-            found = found.where(F.col("reach") <= size)
-        found = found.groupBy("cell_lat", "cell_lng").agg(F.collect_list("p").alias("places"))
-        answers = found if answers is None else answers.unionByName(found)
-        if not last:
-            left = left.join(found.select("cell_lat", "cell_lng"), ["cell_lat", "cell_lng"], "left_anti")
-    return answers
+    bound = (_cubes(middle, _sizes()).join(representatives, KEYS).groupBy(*cell, "x", "y", "z")
+             .agg((F.min(_chord()) + 2 * CELL_RADIUS).alias("within")))
+    pick = F.lit(len(CUBE_SIZES) - 1)
+    for i in reversed(range(len(CUBE_SIZES) - 1)):
+        pick = F.when(F.col("within") <= CUBE_SIZES[i], i).otherwise(pick)
+    near = _cubes(bound, F.array(F.element_at(_sizes(), pick + 1))).join(places, KEYS).withColumn("d", _chord())
+    reach = F.min("d").over(Window.partitionBy(*cell)) + 2 * CELL_RADIUS
+    return (near.withColumn("reach", reach).where(F.col("d") <= F.col("reach"))
+            .groupBy(*cell).agg(F.collect_list("p").alias("places")))
 
 
 def country_name(cc: Column, names: dict[str, str] | None = None) -> Column:
@@ -76,7 +99,8 @@ def continent_name(code: Column) -> Column:
     return F.coalesce(lookup(code, V.CONTINENT_CODES), F.lit("Unknown"))
 
 
-def reverse_geocode(points: DataFrame, gazetteer: DataFrame, country_dim: DataFrame | None = None) -> DataFrame:
+def reverse_geocode(points: DataFrame, gazetteer: DataFrame, country_dim: DataFrame | None = None,
+                    index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Add city, province, country and continent of the nearest place; empty where lat or lng is 0.
 
     ``gazetteer`` has place, admin1, cc, continent, lat and lng. ``country_dim`` (cc, country,
@@ -85,7 +109,7 @@ def reverse_geocode(points: DataFrame, gazetteer: DataFrame, country_dim: DataFr
     real = (F.col("lat") != 0) & (F.col("lng") != 0)
     rows = points.withColumn("cell_lat", F.when(real, _cell("lat"))).withColumn("cell_lng", F.when(real, _cell("lng")))
     cells = rows.select("cell_lat", "cell_lng").where(F.col("cell_lat").isNotNull()).distinct()
-    rows = rows.join(cell_candidates(cells, gazetteer), ["cell_lat", "cell_lng"], "left")
+    rows = rows.join(cell_candidates(cells, gazetteer, index), ["cell_lat", "cell_lng"], "left")
     measured = F.transform("places", lambda p: F.struct(
         F.round(geo.haversine_m(F.col("lat"), F.col("lng"), p["lat"], p["lng"]), 3).alias("dist"),
         p["place"].alias("place"), p["admin1"].alias("admin1"), p["cc"].alias("cc"),
