@@ -127,8 +127,8 @@ def choose(key: str, table: dict, default: str = "NULL") -> str:
 
 
 def haversine(lat1: str, lng1: str, lat2: str, lng2: str) -> str:
-    return (f"2 * 6371000.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) "
-            f"* cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2), 2))))")
+    return (f"2 * 6371000.0::DOUBLE * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) "
+            f"* cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2), 2)))")
 
 
 def seconds(start: str, end: str) -> str:

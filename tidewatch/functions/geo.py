@@ -14,7 +14,8 @@ def haversine_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colum
     half_lat, half_lng = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     a = (F.sin(half_lat) * F.sin(half_lat)
          + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(half_lng) * F.sin(half_lng))
-    return 2 * V.EARTH_RADIUS_M * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
+    # rounding may lift antipodes above 1; NULL stays NULL
+    return 2 * V.EARTH_RADIUS_M * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -127,9 +127,9 @@ def run_summary(audit: DataFrame, outcomes: DataFrame, inserted: DataFrame) -> D
     o = outcomes.agg(F.count(F.lit(1)).alias("analysed"), F.count_if("kept").alias("kept"),
                      F.count_if(~F.col("kept")).alias("junk"), F.count_if("text_ok").alias("text_success"),
                      F.count_if("vl_ok").alias("image_success"), F.count_if(~F.col("vl_ok")).alias("image_failed"))
-    # three one-row tables side by side
-    one = F.lit(1).alias("_one")
-    rows = inserted.select("*", one).join(a.select("*", one), "_one").join(o.select("*", one), "_one").drop("_one")
+    # three one-row tables folded into one row
+    parts = inserted.unionByName(a, allowMissingColumns=True).unionByName(o, allowMissingColumns=True)
+    rows = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
     def rate(part: str, total: Column) -> Column:
         return F.coalesce(F.try_divide(F.col(part) * 100.0, total), F.lit(0.0))

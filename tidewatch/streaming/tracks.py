@@ -116,6 +116,9 @@ class VesselStatus(StatefulProcessor):
 def vessel_status_stream(points: DataFrame, days: int = 3, offline_hours: int = 2, delay: str = "3 hours") -> DataFrame:
     """A status row whenever a vessel reports, and one when it has been silent too long.
 
+    Reports later than ``delay`` behind the newest one do not change the live status; the track
+    table keeps them all and the batch status counts them.
+
     ``points``: id, mmsi, lat, lng, speed, heading, timestamp.
     """
     rows = points.select("mmsi", "id", "lat", "lng", "speed", "heading", F.col("timestamp").cast("timestamp").alias("timestamp"))
