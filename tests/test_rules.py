@@ -287,3 +287,14 @@ def test_text_result_first_then_image(spark):
     assert got[3].is_junk and got[3].title_cn == "图" and got[3].image_desc == "img"
     assert got[4].remark == "分析失败" and got[4].title_cn == "A proper title"
     assert not got[9].is_junk and got[9].valid == 0
+
+
+def test_checkpointed_ingest_is_the_same(spark, sf_dir):
+    from tidewatch.plans import jobs
+    from tidewatch.plans.views import Views
+    from tidewatch.session import scratch_dir
+
+    v = Views(spark, sf_dir)
+    scratch_dir(spark, "x")  # makes sure the test session has a checkpoint folder
+    plain, stored = (jobs.ingest(v.raw_items, v.store, AS_OF, checkpoint=c)["store"] for c in (False, True))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, stored.collect()))

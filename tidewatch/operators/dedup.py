@@ -33,9 +33,13 @@ def new_minus_store(items: DataFrame, store: DataFrame) -> DataFrame:
 def insert_new_only(items: DataFrame, store: DataFrame, as_of: datetime) -> DataFrame:
     """First item of every link that is not stored yet, as store rows."""
     fresh = new_minus_store(items.where(~T.is_blank(F.col("link"))), store)
-    first = first_per_key(fresh, ["link"], [F.asc("seq")], ["seq"])
+    return as_store_rows(first_per_key(fresh, ["link"], [F.asc("seq")], ["seq"]), as_of)
+
+
+def as_store_rows(items: DataFrame, as_of: datetime) -> DataFrame:
+    """Items in the layout of freshly stored articles."""
     content = F.col("content") if "content" in items.columns else F.lit("")
-    return first.select(
+    return items.select(
         F.xxhash64("link").alias("id"), F.col("link").alias("url"), F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("pub_date", F.lit("")).alias("pub_date"),
         F.coalesce("source_type", F.lit("unknown")).alias("source_type"),
@@ -61,13 +65,17 @@ def processed_lookup(items: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def ingest_disposition(items: DataFrame, store: DataFrame, as_of: datetime) -> DataFrame:
-    """Decide about every item: add remark, new_valid and new_hidden (NULL = leave the store alone)."""
+    """Decide about every item: add remark, new_valid and new_hidden (NULL = leave the store alone).
+
+    Also adds is_known (the link is stored) and is_first (first item of its link, empty or not).
+    """
     if "filtered_reason" not in items.columns:
         items = items.withColumn("filtered_reason", F.lit(None).cast("string"))
     empty = T.is_blank(F.col("title")) | T.is_blank(F.col("link"))
     facts = (items.select("link", "seq", empty.alias("_empty")).groupBy("link").agg(
         F.min(F.when(~F.col("_empty"), F.col("seq"))).alias("_first_ok"),
         F.min(F.when(F.col("_empty"), F.col("seq"))).alias("_first_empty")))
+    # a stored link has a flag, true or false; any other link has none
     flags = store.select(F.col("url").alias("link"), filters.is_processed().alias("_done"))
     facts = facts.join(flags, "link", "left")
     rows = items.join(facts, "link", "left").withColumn("pub_ts", dates.parse_pub_datetime(F.col("pub_date")))
@@ -87,6 +95,8 @@ def ingest_disposition(items: DataFrame, store: DataFrame, as_of: datetime) -> D
             .withColumn("new_valid", F.when(what.isin("empty", "filtered", "no_date", "old"), 0)
                         .when(what == "pending", 1))
             .withColumn("new_hidden", F.when(what == "filtered", 1))
+            .withColumn("is_known", F.col("_done").isNotNull())
+            .withColumn("is_first", F.col("seq") == F.least("_first_ok", "_first_empty"))
             .drop("_first_ok", "_first_empty", "_done"))
 
 

@@ -1,4 +1,4 @@
-"""Building blocks that stay exact and parallel when one key holds a large share of the rows."""
+"""Building blocks that stay exact, parallel and cheap on very uneven or very large input."""
 
 from __future__ import annotations
 
@@ -50,3 +50,12 @@ def with_previous(df: DataFrame, key: str, ts: str, tie: str, carried: list[str]
     in_bucket = Window.partitionBy(key, "_bucket").orderBy(ts, tie)
     return (both.withColumn("prev", F.lag(F.struct(ts, *carried)).over(in_bucket))
             .where(~F.col("_carried")).drop("_bucket", "_carried"))
+
+
+def unnest(df: DataFrame, keep: list, array: Column, pos: str, value: str) -> DataFrame:
+    """One row per array element, with its position.
+
+    A plain explode makes Spark test the array for emptiness in a filter of its own further down,
+    which computes it a second time; the outer form does not, and the empty rows are dropped here.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, value)).where(F.col(pos).isNotNull())

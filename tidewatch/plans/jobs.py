@@ -11,16 +11,22 @@ from tidewatch.functions import geo, text as T
 from tidewatch.operators import analysis as A, dedup as D, filters, fleet, geocode, items as I, tracks, upsert as U
 
 
-def ingest(items: DataFrame, store: DataFrame, as_of: datetime) -> dict[str, DataFrame]:
-    """Collected items into the store. Returns decided (every item), audit and the new store."""
+def ingest(items: DataFrame, store: DataFrame, as_of: datetime, checkpoint: bool = False) -> dict[str, DataFrame]:
+    """Collected items into the store. Returns decided (every item), audit and the new store.
+
+    Every output comes from the one table of decided items; with ``checkpoint`` it is written to the
+    session's checkpoint folder once instead of being computed for each output.
+    """
     rows = I.complete_item_fields(I.normalize_links(items))
-    new = D.insert_new_only(rows, store, as_of)
     if "remark" not in store.columns:
         store = store.withColumn("remark", F.lit(None).cast("string"))
-    grown = store.unionByName(new, allowMissingColumns=True)
-    # links inserted a moment ago are unfinished, so the old store alone tells what is processed
     decided = D.ingest_disposition(rows, store, as_of)
-    updates = decided.where(F.col("new_valid").isNotNull() & ~T.is_blank(F.col("link"))).select(
+    if checkpoint:
+        decided = decided.checkpoint()
+    has_link = ~T.is_blank(F.col("link"))
+    new = D.as_store_rows(decided.where(has_link & ~F.col("is_known") & F.col("is_first")), as_of)
+    grown = store.unionByName(new, allowMissingColumns=True)
+    updates = decided.where(F.col("new_valid").isNotNull() & has_link).select(
         F.col("link").alias("url"), "seq", "source_name", "source_type", "pub_date", F.col("new_valid").alias("valid"),
         F.col("new_hidden").alias("is_hidden"),
         F.when(F.col("new_valid") == 0, F.col("remark")).alias("remark"))

@@ -32,7 +32,7 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def build_session(app: str = "tidewatch", master: str | None = None, **conf) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    builder = SparkSession.builder.appName(app).config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

@@ -10,7 +10,7 @@ from tidewatch import schemas as S
 from tidewatch.functions import dates, text as T
 from tidewatch.operators.filters import ts
 from tidewatch.operators.items import ITEM_COLUMNS
-from tidewatch.operators.skew import top_n_per_key
+from tidewatch.operators.skew import top_n_per_key, unnest
 
 # header of the registry file (fixed values)
 VESSEL_CSV = {"序号": "id", "MMSI": "mmsi", "IMO": "imo", "船名": "name", "公司": "company", "船舶类型": "type",
@@ -48,7 +48,7 @@ def read_vessel_csv(spark: SparkSession, path: str, encoding: str = "GBK") -> Da
 def feed_entries(docs: DataFrame, doc: str = "doc") -> DataFrame:
     """Entries of feed documents (one document text per row), with their position."""
     parsed = docs.withColumn("_rss", F.from_xml(F.col(doc), S.RSS_DOC)).drop(doc)
-    rows = parsed.select("*", F.posexplode(F.col("_rss.channel.item")).alias("pos", "_item"))
+    rows = unnest(parsed, ["*"], F.col("_rss.channel.item"), "pos", "_item")
     return rows.select(*[c for c in parsed.columns if c != "_rss"], "pos", F.col("_item.title").alias("title"),
                        F.col("_item.link").alias("link"), F.col("_item.pubDate").alias("published"),
                        F.col("_item.updated").alias("updated"), F.col("_item.description").alias("summary_raw"))
@@ -81,8 +81,8 @@ def wechat_items(pages: DataFrame, count: int = 10, max_pages: int = 5, zone_hou
     ok = (F.col("_p.base_resp.ret") == 0) & (F.size(F.coalesce("_p.app_msg_list", F.array())) > 0)
     bad = (parsed.where(~F.coalesce(ok, F.lit(False))).groupBy("account").agg(F.min("page").alias("_stop")))
     rows = (parsed.where(ok).join(bad, "account", "left")
-            .where(F.col("_stop").isNull() | (F.col("page") < F.col("_stop")))
-            .select("account", "page", F.posexplode("_p.app_msg_list").alias("pos", "m")))
+            .where(F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))))
+    rows = unnest(rows, ["account", "page"], F.col("_p.app_msg_list"), "pos", "m")
     first = top_n_per_key(rows, ["account"], [F.asc("page"), F.asc("pos")], count, ["page", "pos"])
     return first.select(
         "account", "page", "pos", F.col("m.title").alias("title"), F.col("m.link").alias("link"),
@@ -119,7 +119,7 @@ def source_configs(docs: DataFrame, doc: str = "doc", order: list[str] | None =
     ``order`` names columns of ``docs`` that put several documents in order.
     """
     order = order or []
-    rows = docs.select(*order, F.posexplode(F.from_json(doc, f"ARRAY<STRUCT<{_struct(S.SOURCE)}>>")).alias("pos", "c"))
+    rows = unnest(docs, order, F.from_json(doc, f"ARRAY<STRUCT<{_struct(S.SOURCE)}>>"), "pos", "c")
     rows = rows.select(*order, "pos", "c.*").where(~T.is_blank(F.col("name")))
     rows = rows.select(*order, "pos", "name", "url", F.coalesce("type", F.lit("web")).alias("type"),
                        F.coalesce("selector", F.lit("body")).alias("selector"),
@@ -141,7 +141,7 @@ def read_source_config(spark: SparkSession, path: str) -> DataFrame:
 def fleet_positions(payloads: DataFrame, order: str = "batch") -> DataFrame:
     """Last reported row per mmsi out of position payloads (batch, payload); only replies that are ok."""
     parsed = payloads.withColumn("_p", F.from_json("payload", S.FLEET_PAYLOAD)).where(F.col("_p.result") == "ok")
-    rows = parsed.select(order, F.posexplode("_p.list").alias("pos", "v")).where(F.col("v.mmsi") != "")
+    rows = unnest(parsed, [order], F.col("_p.list"), "pos", "v").where(F.col("v.mmsi") != "")
     last = rows.groupBy(F.col("v.mmsi").alias("mmsi")).agg(F.max_by("v", F.struct(order, "pos")).alias("v"))
     zero = F.lit(0.0)
     return last.select("mmsi", F.coalesce("v.lat", zero).alias("lat"), F.coalesce("v.lon", zero).alias("lng"),

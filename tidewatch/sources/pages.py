@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch import vocab as V
 from tidewatch.functions import dates, text as T
 from tidewatch.functions.urls import resolve_href
-from tidewatch.operators.skew import top_n_per_key
+from tidewatch.operators.skew import top_n_per_key, unnest
 
 ANCHOR = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 SILENT = r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>|<!--.*?-->"
@@ -46,32 +46,34 @@ def container(html: Column, selector: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<{selector}\b[^>]*>(.*?)</{selector}>", 1)
 
 
-def _anchors(html: Column) -> Column:
-    hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
-    bodies = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2))
-    return F.arrays_zip(hrefs.alias("href"), bodies.alias("body"))
+def _link_list(rows: DataFrame, html: Column, keep, out: str = "_links") -> DataFrame:
+    """Add the wanted links of a piece of markup, first of every url.
 
-
-def _first_of_url(links: Column) -> Column:
-    urls = F.transform(links, lambda x: x["url"])
-    return F.filter(links, lambda x, i: F.array_position(urls, x["url"]) == i + 1)
-
-
-def _link_list(html: Column, page_url: Column, keep) -> Column:
-    found = F.transform(_anchors(html), lambda a: F.struct(
+    Each step is a column of its own, so that no pattern runs more than once per row.
+    """
+    anchors = F.arrays_zip(F.regexp_extract_all("_scope", F.lit(ANCHOR), F.lit(1)).alias("href"),
+                           F.regexp_extract_all("_scope", F.lit(ANCHOR), F.lit(2)).alias("body"))
+    found = F.transform("_anchors", lambda a: F.struct(
         visible_text(a["body"]).alias("title"),
-        resolve_href(F.replace(F.trim(a["href"]), F.lit("&amp;"), F.lit("&")), page_url).alias("url"),
+        resolve_href(F.replace(F.trim(a["href"]), F.lit("&amp;"), F.lit("&")), F.col("url")).alias("url"),
         a["href"].alias("href")))
-    return _first_of_url(F.filter(found, keep))
+    first = F.filter("_wanted", lambda x, i: F.array_position(F.col("_wanted.url"), x["url"]) == i + 1)
+    return (rows.withColumn("_scope", html).withColumn("_anchors", anchors).withColumn("_found", found)
+            .withColumn("_wanted", F.filter("_found", keep)).withColumn(out, first)
+            .drop("_scope", "_anchors", "_found", "_wanted"))
+
+
+def _one_row_per_link(rows: DataFrame, links: Column) -> DataFrame:
+    rows = unnest(rows, ["page_id", F.col("url").alias("page_url")], links, "pos", "_l")
+    return rows.select("page_id", "page_url", "pos", F.col("_l.title").alias("title"), F.col("_l.url").alias("url"))
 
 
 def extract_links(pages: DataFrame, selector: str = "body", min_text: int = 15) -> DataFrame:
     """(page_id, page_url, pos, title, url): http links with a text longer than ``min_text``, each url once per page."""
-    inside = F.when(container(F.col("html"), selector) != "", container(F.col("html"), selector)).otherwise(F.col("html"))
-    links = _link_list(inside, F.col("url"),
-                       lambda x: (F.length(x["title"]) > min_text) & F.startswith(x["url"], F.lit("http")))
-    return pages.select("page_id", F.col("url").alias("page_url"), F.posexplode(links).alias("pos", "_l")).select(
-        "page_id", "page_url", "pos", F.col("_l.title").alias("title"), F.col("_l.url").alias("url"))
+    rows = pages.withColumn("_inside", container(F.col("html"), selector))
+    inside = F.when(F.col("_inside") != "", F.col("_inside")).otherwise(F.col("html"))
+    rows = _link_list(rows, inside, lambda x: (F.length(x["title"]) > min_text) & F.startswith(x["url"], F.lit("http")))
+    return _one_row_per_link(rows, F.col("_links"))
 
 
 def extract_links_custom(pages: DataFrame, include: list[str], exclude: list[str] | None = None,
@@ -90,12 +92,11 @@ def extract_links_custom(pages: DataFrame, include: list[str], exclude: list[str
         return keep
 
     scope = F.concat_ws("\n", *[container(F.col("html"), s) for s in (selectors or V.SITE_LINK_SELECTORS)])
-    first = _link_list(scope, F.col("url"), wanted(include, min_text, True))
-    second = _link_list(F.col("html"), F.col("url"), wanted(fallback_parts, fallback_min_text, False))
-    rows = pages.withColumn("_first", first)
-    links = F.when(F.size("_first") > 0, F.col("_first")).otherwise(second)
-    return rows.select("page_id", F.col("url").alias("page_url"), F.posexplode(links).alias("pos", "_l")).select(
-        "page_id", "page_url", "pos", F.col("_l.title").alias("title"), F.col("_l.url").alias("url"))
+    rows = _link_list(pages, scope, wanted(include, min_text, True), "_first")
+    # pages with a hit are not searched a second time
+    rest = F.when(F.size("_first") == 0, F.col("html")).otherwise("")
+    rows = _link_list(rows, rest, wanted(fallback_parts, fallback_min_text, False), "_second")
+    return _one_row_per_link(rows, F.when(F.size("_first") > 0, F.col("_first")).otherwise(F.col("_second")))
 
 
 def extract_content(pages: DataFrame, selectors: list[str] | None = None, min_chars: int = 200,
@@ -103,8 +104,9 @@ def extract_content(pages: DataFrame, selectors: list[str] | None = None, min_ch
     """Text of the first container longer than ``min_chars``, else of the body, as stored (cut to ``max_chars``)."""
     tries = []
     for selector in selectors or V.CONTENT_SELECTORS:
-        text = visible_text(container(F.col("html"), selector))
-        tries.append(F.when(F.length(text) > min_chars, text))
+        # the text is bound, so the patterns run once and only until a container is long enough
+        tries.append(T.bind(visible_text(container(F.col("html"), selector)),
+                            lambda t: F.when(F.length(t) > min_chars, t)))
     body = visible_text(container(F.col("html"), "body"))
     return pages.select("page_id", "url", F.substring(F.coalesce(*tries, body, F.lit("")), 1, max_chars).alias("content"))
 
