@@ -20,7 +20,7 @@ def text_of(html: str) -> str:
     out = f"regexp_replace({html}, '(?is)<(script|style|noscript)\\b[^>]*>.*?</(script|style|noscript)>|<!--.*?-->', '', 'g')"
     out = f"regexp_replace({out}, '(?i)<br\\s*/?>|</?({BLOCKS})\\b[^>]*>', chr(10), 'g')"
     out = f"regexp_replace({out}, '<[^>]*>', '', 'g')"
-    for name, char in (("&nbsp;", "' '"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'")):
+    for name, char in (("&nbsp;", "' '"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "''''"), ("&amp;", "'&'")):
         out = f"replace({out}, '{name}', {char})"
     out = f"regexp_replace({out}, '[ \\t\\r\\f]+', ' ', 'g')"
     return strip(f"regexp_replace({out}, ' ?\\n[ \\n]*', chr(10), 'g')")
@@ -62,6 +62,7 @@ add("extract_links_custom", "listed others", "SELECT * FROM listed UNION ALL SEL
 add("extract_content", "", f"""
 SELECT page_id, url, substr(CASE WHEN length(a) > 200 THEN a ELSE b END, 1, 15000) AS content
 FROM (SELECT page_id, url, {text_of(inside('article'))} AS a, {text_of(inside('body'))} AS b FROM pages)""")
+SQL["html_udf"] = SQL["extract_content"]
 add("extract_page_date", "", """
 SELECT page_id, url, CASE WHEN page_id % 4 = 3 THEN '' ELSE '2024-01-' || lpad(CAST(page_id % 27 + 1 AS VARCHAR), 2, '0') END AS pub_date FROM pages""")
 add("security_interstitial", "", f"""

@@ -22,15 +22,5 @@ def test_flagship_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_every_statement_has_a_query():
-    assert set(ORACLE) <= set(entry.queries())
-
-
-def test_html_parser_agrees_with_patterns_on_articles(spark, sf_dir):
-    from tidewatch.sources import pages as P
-
-    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    by_pattern = {r.page_id: r.content.split() for r in P.extract_content(df).collect()}
-    by_parser = {r.page_id: r.content.split() for r in P.parse_pages(df).collect()}
-    same = sum(by_pattern[k] == by_parser[k] for k in by_pattern)
-    assert same >= 0.95 * len(by_pattern)
+def test_every_query_has_a_statement():
+    assert set(entry.queries()) == set(ORACLE)

@@ -18,7 +18,10 @@ from tidewatch.operators.skew import top_n_per_key, unnest
 ANCHOR = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 SILENT = r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>|<!--.*?-->"
 BREAKS = r"(?i)<br\s*/?>|</?(p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|tr|table|section|article|nav|header|footer|body|html|head|title)\b[^>]*>"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# character names resolved by the patterns (fixed values); the ampersand comes last
+ENTITIES = [("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"), ("&mdash;", "—"),
+            ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
+            ("&deg;", "°"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
 DATE_PLACES = [
     r'(?is)<meta[^>]*property="article:published_time"[^>]*content="([^"]*)"',
     r'(?is)<meta[^>]*name="publishdate"[^>]*content="([^"]*)"',
