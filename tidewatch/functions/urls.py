@@ -7,35 +7,33 @@ from pyspark.sql import Column, functions as F
 from tidewatch import vocab as V
 
 
-def is_tracking_param(key: Column) -> Column:
-    low = F.lower(key)
-    return F.startswith(low, F.lit("utm_")) | low.isin(V.TRACKING_PARAMS)
-
-
 def _reencode(value: Column) -> Column:
     out = F.url_encode(F.coalesce(F.try_url_decode(value), value))
     return F.replace(F.replace(out, F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+# one query pair that is empty or only tracks the reader, with the separator after it
+DROPPED_PAIR = r"(?i)(?<=[?&])(?:(?:utm_[^=&]*|" + "|".join(V.TRACKING_PARAMS) + r")(?:=[^&]*)?)?(?:&|$)"
+
+
 def normalize_url(url: Column, strict: bool = False) -> Column:
     """Drop the fragment and tracking parameters, keep the others in order.
 
     The kept pairs stay as written; ``strict`` decodes and encodes each of them again, which also
     turns a bare ``a`` into ``a=``.
     """
-    no_fragment = F.substring_index(url, "#", 1)
-    base = F.substring_index(no_fragment, "?", 1)
-    raw_query = F.when(F.contains(no_fragment, F.lit("?")),
-                       F.substring(no_fragment, F.length(base) + 2, F.length(no_fragment))).otherwise("")
-    pairs = F.filter(F.split(raw_query, "&", -1),
-                     lambda p: (p != "") & ~is_tracking_param(F.substring_index(p, "=", 1)))
+    page = F.substring_index(url, "#", 1)
+    base = F.substring_index(page, "?", 1)
+    query = F.regexp_replace(F.regexp_replace(F.substring(page, F.length(base) + 1, F.length(page)), DROPPED_PAIR, ""),
+                             "[?&]$", "")
     if strict:
         def pair(p: Column) -> Column:
             key = F.substring_index(p, "=", 1)
             return F.concat(_reencode(key), F.lit("="), _reencode(F.substring(p, F.length(key) + 2, F.length(p))))
-        pairs = F.transform(pairs, pair)
-    kept = F.array_join(pairs, "&")
-    return F.when(kept == "", base).otherwise(F.concat(base, F.lit("?"), kept))
+
+        pairs = F.transform(F.split(F.substring(query, F.lit(2), F.length(query)), "&", -1), pair)
+        query = F.when(query == "", "").otherwise(F.concat(F.lit("?"), F.array_join(pairs, "&")))
+    return F.concat(base, query)
 
 
 def url_host(url: Column) -> Column:
