@@ -282,7 +282,7 @@ SELECT id, {D0} + CASE WHEN id % 2 = 0 THEN INTERVAL (-6) HOUR ELSE INTERVAL 8 H
 WINDOW = f"created_at BETWEEN TIMESTAMP '2024-01-30 08:00:00' AND TIMESTAMP '2024-01-30 18:00:00' AND {VISIBLE} AND is_retained = 1"
 line = " || ' | ' || ".join(f"{quoted(n)} || count(DISTINCT id) FILTER (b = {quoted(c)})" for c, n in V.DIGEST_LABELS)
 add("daily_digest", "articles", f"""
-SELECT '1月30日晚报' AS label, total, category_line, '【全球疏浚情报 1月30日晚报】' || chr(10) ||
+SELECT '1月30日晚报' AS label, total, category_line, '【情报简报 1月30日晚报】' || chr(10) ||
        CASE WHEN total = 0 THEN '截至目前，暂无最新情报更新。' ELSE '本次更新: ' || total || ' 条' || chr(10) || chr(10) || category_line END AS message
 FROM (SELECT count(*) AS total, {line} AS category_line FROM (SELECT *, {BUCKET} AS b FROM articles WHERE {WINDOW}))""")
 add("digest_cover", "articles", f"""

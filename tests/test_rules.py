@@ -298,3 +298,16 @@ def test_checkpointed_ingest_is_the_same(spark, sf_dir):
     scratch_dir(spark, "x")  # makes sure the test session has a checkpoint folder
     plain, stored = (jobs.ingest(v.raw_items, v.store, AS_OF, checkpoint=c)["store"] for c in (False, True))
     assert sorted(map(str, plain.collect())) == sorted(map(str, stored.collect()))
+
+
+def test_written_report(spark, sf_dir):
+    from tidewatch.operators import reports as R
+    from tidewatch.plans.views import Views
+
+    few = Views(spark, sf_dir).articles.where("id < 12")
+    text = R.report_text(few, AS_OF, "Harbour news")
+    assert text.startswith("# 🌏 Harbour news (2024-01-30 18:00)") and text.count("### [") == few.count()
+    sections = [line for line in text.split("\n") if line.startswith("## ")]
+    assert len(sections) == len(set(sections))
+    with pytest.raises(ValueError):
+        R.report_text(few, AS_OF, max_articles=2)

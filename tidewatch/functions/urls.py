@@ -13,7 +13,7 @@ def _reencode(value: Column) -> Column:
 
 
 # one query pair that is empty or only tracks the reader, with the separator after it
-DROPPED_PAIR = r"(?i)(?<=[?&])(?:(?:utm_[^=&]*|" + "|".join(V.TRACKING_PARAMS) + r")(?:=[^&]*)?)?(?:&|$)"
+DROPPED_PAIR = r"(?i)(?<=&|^\?)(?:(?:utm_[^=&]*|" + "|".join(V.TRACKING_PARAMS) + r")(?:=[^&]*)?)?(?:&|$)"
 
 
 def normalize_url(url: Column, strict: bool = False) -> Column:
@@ -25,7 +25,7 @@ def normalize_url(url: Column, strict: bool = False) -> Column:
     page = F.substring_index(url, "#", 1)
     base = F.substring_index(page, "?", 1)
     query = F.regexp_replace(F.regexp_replace(F.substring(page, F.length(base) + 1, F.length(page)), DROPPED_PAIR, ""),
-                             "[?&]$", "")
+                             r"&$|^\?$", "")
     if strict:
         def pair(p: Column) -> Column:
             key = F.substring_index(p, "=", 1)

@@ -14,7 +14,7 @@ from tidewatch.operators.skew import first_per_key
 from tidewatch.operators.stats import digest_bucket, item_key
 
 MORNING, EVENING = "早报", "晚报"
-DIGEST_TITLE = "【全球疏浚情报 "
+DIGEST_NAME = "情报简报"  # heading of messages and reports; callers give their own
 DIGEST_NONE = "截至目前，暂无最新情报更新。"
 
 
@@ -73,7 +73,7 @@ def report_order(articles: DataFrame) -> DataFrame:
     return articles.orderBy(*newest_first())
 
 
-def daily_digest(articles: DataFrame, now: datetime) -> DataFrame:
+def daily_digest(articles: DataFrame, now: datetime, name: str = DIGEST_NAME) -> DataFrame:
     """One row: label, number of articles, category line and message text."""
     start, end, label = push_window(now)
     rows = window_articles(articles, start, end, 1)
@@ -81,10 +81,10 @@ def daily_digest(articles: DataFrame, now: datetime) -> DataFrame:
     per_key = rows.select(bucket.alias("category"), item_key().alias("key")).groupBy("category", "key").agg(
         F.count(F.lit(1)).alias("rows"))
     per_cat = per_key.groupBy("category").agg(F.sum("rows").alias("rows"), F.count("key").alias("n"))
-    parts = [F.concat(F.lit(name), F.coalesce(F.max(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).cast("string"))
-             for c, name in V.DIGEST_LABELS]
+    parts = [F.concat(F.lit(short), F.coalesce(F.max(F.when(F.col("category") == c, F.col("n"))), F.lit(0)).cast("string"))
+             for c, short in V.DIGEST_LABELS]
     out = per_cat.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("total"), F.concat_ws(" | ", *parts).alias("category_line"))
-    head = f"{DIGEST_TITLE}{label}】\n"
+    head = f"【{name} {label}】\n"
     full = F.concat(F.lit(head + "本次更新: "), F.col("total").cast("string"), F.lit(" 条\n\n"), F.col("category_line"))
     return out.select(F.lit(label).alias("label"), "total", "category_line",
                       F.when(F.col("total") == 0, F.lit(head + DIGEST_NONE)).otherwise(full).alias("message"))
@@ -132,12 +132,12 @@ def report_lines(articles: DataFrame) -> DataFrame:
         "created_at").orderBy("section_order", *newest_first())
 
 
-def report_text(articles: DataFrame, as_of: datetime, max_articles: int = 2000) -> str:
+def report_text(articles: DataFrame, as_of: datetime, name: str = DIGEST_NAME, max_articles: int = 2000) -> str:
     """The written report as one text, for a digest of bounded size (refused beyond it)."""
     rows = report_lines(articles).limit(max_articles + 1).collect()
     if len(rows) > max_articles:
         raise ValueError(f"more than {max_articles} articles; narrow the window")
-    out = [f"# 🌏 全球疏浚情报速览 ({as_of:%Y-%m-%d %H:%M})", "", "## 📊 分析概况",
+    out = [f"# 🌏 {name} ({as_of:%Y-%m-%d %H:%M})", "", "## 📊 分析概况",
            f"- **生成时间**: {as_of:%Y-%m-%d %H:%M:%S}", f"- **总文章数**: {len(rows)} 篇", ""]
     section = None
     for r in rows:
