@@ -9,7 +9,6 @@ SQL: dict[str, str] = {}
 LATER = "TIMESTAMP '2024-02-24 18:00:00'"
 START, END = "TIMESTAMP '2024-01-20 08:00:00'", "TIMESTAMP '2024-01-25 18:00:00'"
 VISIBLE = "coalesce(is_hidden, 0) = 0 AND coalesce(valid, 1) = 1"
-EMPTY = V.R_EMPTY
 
 
 def add(name: str, needs: str, body: str) -> None:
@@ -53,8 +52,6 @@ def parsed_day(text: str) -> str:
     return rf"CASE WHEN regexp_matches({text}, '^\d{{4}}-\d{{2}}-\d{{2}}$') THEN CAST({text} AS TIMESTAMP) END"
 
 
-FILLED = "coalesce({}, '') <> ''".format
-
 add("scan_articles", "articles", """
 SELECT id, url, title, title_cn, pub_date, source_type, source_name, category, is_hidden, valid, is_retained, created_at FROM articles""")
 add("article_by_id", "articles", """

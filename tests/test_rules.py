@@ -160,7 +160,9 @@ def test_nearest_place_everywhere(spark):
 def test_unknown_country_code_keeps_the_code(spark):
     gaz = spark.createDataFrame([("X", "A", "NL", None, 52.0, 4.0), ("Y", "B", "ZZ", None, -10.0, 100.0)],
                                 "place string, admin1 string, cc string, continent string, lat double, lng double")
-    dim = spark.createDataFrame([("NL", "Netherlands", "Europe")], "cc string, country string, continent string")
+    dim = spark.createDataFrame([("NL", "Netherlands", "EU"), ("QQ", "Nowhere", "?")], "cc string, country string, code string")
+    dim = dim.select("cc", "country", geocode.continent_name(F.col("code")).alias("continent"))
+    assert {r.cc: r.continent for r in dim.collect()} == {"NL": "Europe", "QQ": "Unknown"}
     pts = spark.createDataFrame([(1, 51.0, 4.0), (2, -9.0, 99.0)], "id int, lat double, lng double")
     got = {r.id: (r.country, r.continent) for r in geocode.reverse_geocode(pts, gaz, dim).collect()}
     assert got == {1: ("Netherlands", "Europe"), 2: ("ZZ", "Unknown")}

@@ -36,10 +36,6 @@ def normalize_url(url: Column, strict: bool = False) -> Column:
     return F.concat(base, query)
 
 
-def url_host(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
-
-
 def resolve_href(href: Column, page_url: Column) -> Column:
     """Absolute form of a link found on a page."""
     origin = F.regexp_extract(page_url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)

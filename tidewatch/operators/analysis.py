@@ -47,10 +47,6 @@ def _ddl_fields() -> str:
     return ", ".join(f"{p.split()[0]}: {p.split()[1]}" for p in S.MODEL_RESULT.split(", "))
 
 
-def _pick(*options: Column) -> Column:
-    return F.coalesce(*options)
-
-
 def merge_results(articles: DataFrame, results: DataFrame) -> DataFrame:
     """One final row per article from text_res and vl_res of ``results`` (unique per url).
 
@@ -75,13 +71,13 @@ def merge_results(articles: DataFrame, results: DataFrame) -> DataFrame:
 
     best = {
         "_category": F.when(by_text, text["category"]).when(by_image, image["category"]),
-        "_title_cn": (F.when(by_text, _pick(T.blank_to_null(text["title_cn"]),
+        "_title_cn": (F.when(by_text, F.coalesce(T.blank_to_null(text["title_cn"]),
                                             F.when(helped, image["title_cn"]), text["title_cn"], title))
-                      .when(by_image, _pick(image["title_cn"], title))),
-        "_summary_cn": (F.when(by_text, _pick(text["summary_cn"], F.lit(V.R_NO_SUMMARY)))
-                        .when(by_image, _pick(image["summary_cn"], F.lit(V.R_NO_SUMMARY)))),
-        "_full_text_cn": F.when(by_text, _pick(text["full_text_cn"], F.lit(""))).otherwise(F.lit("")),
-        "_publish_time": (F.when(by_text, _pick(T.blank_to_null(text["publish_time"]),
+                      .when(by_image, F.coalesce(image["title_cn"], title))),
+        "_summary_cn": (F.when(by_text, F.coalesce(text["summary_cn"], F.lit(V.R_NO_SUMMARY)))
+                        .when(by_image, F.coalesce(image["summary_cn"], F.lit(V.R_NO_SUMMARY)))),
+        "_full_text_cn": F.when(by_text, F.coalesce(text["full_text_cn"], F.lit(""))).otherwise(F.lit("")),
+        "_publish_time": (F.when(by_text, F.coalesce(T.blank_to_null(text["publish_time"]),
                                                 F.when(helped, image["publish_time"])))
                           .when(by_image, image["publish_time"])),
     }
@@ -103,11 +99,11 @@ def merge_results(articles: DataFrame, results: DataFrame) -> DataFrame:
     fallback_summary = F.when(image.isNotNull(), image["summary_cn"]).otherwise(text["summary_cn"])
     return rows.select(
         "id", "url", "title",
-        F.when(is_way("junk_title"), title).when(no_result, _pick(F.when(has_any, fallback_title), title))
+        F.when(is_way("junk_title"), title).when(no_result, F.coalesce(F.when(has_any, fallback_title), title))
         .otherwise(F.col("_title_cn")).alias("title_cn"),
         F.when(settled, C.result_pub_date(F.col("_publish_time"), item_pub)).otherwise(item_pub).alias("pub_date"),
         F.when(is_way("junk_title"), F.lit(V.R_JUNK_SUMMARY))
-        .when(no_result, _pick(F.when(has_any, fallback_summary), reason)).otherwise(F.col("_summary_cn")).alias("summary_cn"),
+        .when(no_result, F.coalesce(F.when(has_any, fallback_summary), reason)).otherwise(F.col("_summary_cn")).alias("summary_cn"),
         "_full_text_cn", F.coalesce("content", F.lit("")).alias("content"),
         F.when(settled, kept["category"]).otherwise("Other").alias("category"),
         F.when(settled, kept["valid"]).otherwise(0).alias("valid"),

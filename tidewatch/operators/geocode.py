@@ -90,12 +90,8 @@ def cell_candidates(cells: DataFrame, gazetteer: DataFrame,
             .groupBy(*cell).agg(F.collect_list("p").alias("places")))
 
 
-def country_name(cc: Column, names: dict[str, str] | None = None) -> Column:
-    """Name of a country code, else the code itself."""
-    return F.coalesce(lookup(cc, names), cc) if names else cc
-
-
 def continent_name(code: Column) -> Column:
+    """Name of a continent code, for building ``country_dim``."""
     return F.coalesce(lookup(code, V.CONTINENT_CODES), F.lit("Unknown"))
 
 

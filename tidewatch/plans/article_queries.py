@@ -15,7 +15,6 @@ from tidewatch.plans.views import AS_OF, Views
 
 LATER = AS_OF + timedelta(days=25)
 START, END = datetime(2024, 1, 20, 8), datetime(2024, 1, 25, 18)
-EMPTY = V.R_EMPTY
 
 
 def variants(i: Column, *options) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewatch import vocab as V
 from tidewatch.functions import dates, text as T
 from tidewatch.functions.urls import resolve_href
-from tidewatch.operators.skew import top_n_per_key, unnest
+from tidewatch.operators.skew import unnest
 
 ANCHOR = r'(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>'
 SILENT = r"(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>|<!--.*?-->"
@@ -191,8 +191,3 @@ def parse_pages(pages: DataFrame, tag: str = "article", min_chars: int = 200, ma
             yield pdf[["page_id", "url"]].assign(content=texts)
 
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id BIGINT, url STRING, content STRING")
-
-
-def best_links_per_page(links: DataFrame, n: int) -> DataFrame:
-    """First n links per page when positions have gaps."""
-    return top_n_per_key(links, ["page_id"], [F.asc("pos")], n, ["pos"])
