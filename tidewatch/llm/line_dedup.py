@@ -77,9 +77,9 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for at in b.column(2).to_pylist():
-            bits = np.zeros(max(at) + 1, bool)
-            bits[at] = True
-            out.append(zlib.compress(np.packbits(~bits, bitorder="little").tobytes(), 6))
+            stay = np.ones(max(at) // 8 * 8 + 8, bool)
+            stay[at] = False
+            out.append(zlib.compress(np.packbits(stay, bitorder="little").tobytes(), 6))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in b.column(2)], pa.int64()), pa.array(out, pa.binary())],
                                          ["doc_id", "row", "n_dropped", "keep"])
 
