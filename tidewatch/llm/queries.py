@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, line_dedup, sql
+from tidewatch.llm import decontaminate, line_dedup, pieces, sql, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,5 +21,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op4_line_dedup)}
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.PATTERN, 512)
+
+
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return pieces.digest(_table(spark, sf_dir, "documents"), public.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op2_decontaminate, op4_line_dedup, op8_token_counts, op9_sentence_pieces)}
 SQL = {"op2_decontaminate": sql.LEAKS, "op4_line_dedup": sql.LINES}
