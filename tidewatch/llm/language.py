@@ -63,7 +63,7 @@ class Sizer:
         if len(sizes) == 1:
             return name, 1.0, 1.0, False
         margin = 1 - best / sorted(sizes)[1]
-        return name, margin / (margin + narrow), margin, margin < narrow
+        return name, margin / (margin + max(narrow, 0.01)), margin, margin < narrow or margin == 0
 
 
 def _pack(texts: list[str], dict_bytes: int) -> bytes:

@@ -135,15 +135,13 @@ class _Encoder(dict):
         return packed
 
 
-_ENCODERS: dict = {}
-
-
-def encoders(name, model: dict, seed: int, dropout: float, variants: int) -> list[_Encoder]:
-    key = (name, seed, dropout, variants)
-    if key not in _ENCODERS:
+def encoders(model: dict, seed: int, dropout: float, variants: int) -> list[_Encoder]:
+    """One encoder a variant, kept with the model as long as the worker keeps that."""
+    kept, key = model.setdefault("encoders", {}), (seed, dropout, variants)
+    if key not in kept:
         skip = skips(seed, dropout) if dropout else b""
-        _ENCODERS[key] = [_Encoder(model, seed, v, skip) for v in range(variants if dropout else 1)]
-    return _ENCODERS[key]
+        kept[key] = [_Encoder(model, seed, v, skip) for v in range(variants if dropout else 1)]
+    return kept[key]
 
 
 def encode_text(text: str, doc_id: int | None, found: list[_Encoder], chunks, seed: int) -> bytes:
@@ -173,7 +171,7 @@ def chunk_pattern(model: dict) -> str:
 def _encode(batches: Iterator[pa.RecordBatch], model, seed: int, dropout: float, variants: int, check: bool) -> Iterator[pa.RecordBatch]:
     import re
 
-    found = encoders(model.id, model.value, seed, dropout, variants)
+    found = encoders(model.value, seed, dropout, variants)
     chunks, raw = re.compile(chunk_pattern(model.value)).findall, model.value["raw"]
     for b in batches:
         texts = [x or "" for x in b.column(1).to_pylist()]

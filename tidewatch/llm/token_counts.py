@@ -98,15 +98,12 @@ class _Counter(dict):
         return n
 
 
-_COUNTERS: dict = {}
-
-
 def _count(batches: Iterator[pa.RecordBatch], model, pattern: str, limit: int) -> Iterator[pa.RecordBatch]:
     import regex
 
-    counter = _COUNTERS.get(model.id)
+    counter = model.value.get("counter")
     if counter is None:
-        counter = _COUNTERS[model.id] = _Counter(model.value)
+        counter = model.value["counter"] = _Counter(model.value)
     words = regex.compile(pattern).findall
     special = model.value["special"]
     cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))).split if special else None
