@@ -3,7 +3,8 @@
 Every learned language has a zstandard raw-content dictionary of its own words. A text (lower case,
 letters only, a word that repeats itself kept once) is compressed in blocks with each dictionary;
 blocks keep the dictionary ahead of what the text itself teaches. The smallest total wins; if the
-runner-up is nearly as small the text is rejected.
+runner-up is nearly as small the text is rejected. Texts too short to be compressed at all follow a
+fixed string that all dictionaries end with, so that the coder doesn't fall back to storing them.
 
 Fitting uses a bounded sample: `sample_docs` labelled texts a language, `sample_chars` characters of
 each, `dict_bytes` of dictionary. A first set of dictionaries throws out sample texts that look
@@ -16,6 +17,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from itertools import groupby
@@ -28,6 +30,8 @@ from tidewatch.llm.text import prepare
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 BLOCK, LEVEL = 1024, 6
+SHORT, SHORT_LEVEL = 256, 12
+CARRIER = b"".join(hashlib.sha256(bytes([i])).hexdigest().encode() for i in range(2))
 PREDICTED = "doc_id long, lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -45,19 +49,25 @@ class Sizer:
     def __init__(self, dictionaries: dict[str, bytes]):
         import zstandard
 
-        self.names, self.coders = sorted(dictionaries), []
-        for name in self.names:
-            content = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=LEVEL)
-            self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False,
-                                                        write_checksum=False, write_dict_id=False).compress)
+        def coder(content: bytes, level: int):
+            content = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            content.precompute_compress(level=level)
+            return zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False,
+                                            write_checksum=False, write_dict_id=False).compress
+
+        self.names = sorted(dictionaries)
+        self.coders = [coder(dictionaries[n] + CARRIER, LEVEL) for n in self.names]
+        self.short_coders = [coder(dictionaries[n] + CARRIER, SHORT_LEVEL) for n in self.names]
 
     def predict(self, text: str | None, narrow: float) -> tuple[str, float, float, bool]:
         data = plain(text or "")
         if not data or not self.names:
             return "und", 0.0, 0.0, True
-        blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = [sum(map(len, map(code, blocks))) for code in self.coders]
+        if len(data) < SHORT:
+            sizes = [len(code(CARRIER + data)) for code in self.short_coders]
+        else:
+            blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
+            sizes = [sum(map(len, map(code, blocks))) for code in self.coders]
         best = min(sizes)
         name = self.names[sizes.index(best)]
         if len(sizes) == 1:
