@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, language, line_dedup, pieces, sql, substring_dedup, token_counts
+from tidewatch.llm import decontaminate, language, line_dedup, pieces, sql, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.mark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
@@ -42,5 +46,5 @@ def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_decontaminate, op4_line_dedup, op5_substring_dedup, op6_language, op8_token_counts, op9_sentence_pieces)}
-SQL = {"op2_decontaminate": sql.LEAKS, "op4_line_dedup": sql.LINES, "op5_substring_dedup": sql.SUBSTRINGS}
+    op1_suffix_dedup, op2_decontaminate, op4_line_dedup, op5_substring_dedup, op6_language, op8_token_counts, op9_sentence_pieces)}
+SQL = {"op1_suffix_dedup": sql.SUFFIXES, "op2_decontaminate": sql.LEAKS, "op4_line_dedup": sql.LINES, "op5_substring_dedup": sql.SUBSTRINGS}
