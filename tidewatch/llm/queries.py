@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import decontaminate, language, line_dedup, pieces, sql, substring_dedup, suffix_dedup, token_counts
+from tidewatch.llm import bag_minhash, decontaminate, language, line_dedup, pieces, sql, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(_table(spark, sf_dir, "documents"), public.path("piece_bpe_32k.model"))
 
 
+def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_decontaminate, op4_line_dedup, op5_substring_dedup, op6_language, op8_token_counts, op9_sentence_pieces)}
+    op1_suffix_dedup, op2_decontaminate, op4_line_dedup, op5_substring_dedup, op6_language, op8_token_counts, op9_sentence_pieces, op10_bag_minhash)}
 SQL = {"op1_suffix_dedup": sql.SUFFIXES, "op2_decontaminate": sql.LEAKS, "op4_line_dedup": sql.LINES, "op5_substring_dedup": sql.SUBSTRINGS}
