@@ -153,17 +153,26 @@ def anchors(values: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return values[at], np.minimum(np.add.reduceat(other.astype(np.int64), at), 255).astype(np.uint8)
 
 
-def send_anchors(found: tuple[np.ndarray, np.ndarray], n: int) -> Iterator[tuple[int, bytes]]:
-    key, rows = found
-    if len(key):
-        for bucket, at in by_bucket(bucket_of(key, n)):
-            yield bucket, packed(key[at], rows[at])
+def anchor_code(anchor: np.ndarray, n: int) -> np.ndarray:
+    """Bucket in the upper half, 32 more bits of the hash in the lower. Only a chance equality inside
+    one bucket makes two anchors one; that adds candidates, which later rounds refuse, and loses none."""
+    key = mix(anchor)
+    return (key % np.uint64(n)) << np.uint64(32) | (mix(key) >> np.uint64(32))
+
+
+def send_anchors(found: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    code, rows = found
+    if len(code):
+        bucket = (code >> np.uint64(32)).astype(np.int32)  # codes are sorted
+        edge = np.flatnonzero(np.diff(bucket)) + 1
+        for lo, hi in zip(np.append(0, edge), np.append(edge, len(code))):
+            yield int(bucket[lo]), packed(code[lo:hi].astype(np.uint32), rows[lo:hi], bucket[lo:lo + 1])
 
 
 def repeated_anchors(hot: int) -> Callable[[list[bytes]], list[bytes | None]]:
     """Answers each block with those of its anchors that two or more texts hold; flags those in more than `hot`."""
     def reduce(payloads: list[bytes]) -> list[bytes | None]:
-        (key, rows), at = gathered(payloads, np.uint64, np.uint8)
+        (key, rows, bucket), at = gathered(payloads, np.uint32, np.uint8, np.int32)
         order = np.argsort(key, kind="stable")
         new = np.ones(len(key), bool)
         new[1:] = key[order][1:] != key[order][:-1]
@@ -172,7 +181,7 @@ def repeated_anchors(hot: int) -> Callable[[list[bytes]], list[bytes | None]]:
         out = []
         for lo, hi in zip(at[:-1], at[1:]):
             again = np.flatnonzero(total[lo:hi] > 1) + lo
-            out.append(packed(key[again], (total[again] > hot).astype(np.uint8)) if len(again) else None)
+            out.append(packed(key[again], (total[again] > hot).astype(np.uint8), bucket[:1]) if len(again) else None)
         return out
 
     return reduce
@@ -187,6 +196,10 @@ def member(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_table(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    (key, flag), _ = gathered(replies, np.uint64, np.uint8)
-    order = np.argsort(key, kind="stable")
-    return key[order], flag[order]
+    """Sorted codes of the anchors that stay alive, and their flags."""
+    fields = [unpacked(p, np.uint32, np.uint8, np.int32) for p in replies]
+    if not fields:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    code = np.concatenate([f[0].astype(np.uint64) | np.uint64(int(f[2][0]) << 32) for f in fields])
+    order = np.argsort(code)
+    return code[order], np.concatenate([f[1] for f in fields])[order]

@@ -21,15 +21,15 @@ class RunIndex:
         n_texts, n = len(size), len(data) + len(size)
         self.size, self.least = size, least
         end = np.cumsum(size + 1) - 1
-        symbol = np.zeros(n + _FIRST, np.uint64)
+        symbol = np.zeros(n + _FIRST, np.uint16)
         inner = np.ones(n, bool)
         inner[end] = False
-        symbol[:n][inner] = data.astype(np.uint64) + np.uint64(1)
-        text = np.repeat(np.arange(n_texts), size + 1)
-        left = end[text] - np.arange(n)
+        symbol[:n][inner] = data.astype(np.uint16) + np.uint16(1)
+        text = np.repeat(np.arange(n_texts, dtype=np.int32), size + 1)
+        left = (end[text] - np.arange(n)).astype(np.int32)
         suffixes = self._sorted(symbol, left, n)
         # the transform in runs
-        before = np.where(inner[suffixes - 1] & (suffixes > 0), symbol[suffixes - 1], np.uint64(0)).astype(np.int16)
+        before = np.where(inner[suffixes - 1] & (suffixes > 0), symbol[suffixes - 1], np.uint16(0))
         new = np.ones(n, bool)
         new[1:] = before[1:] != before[:-1]
         self.run_start = np.flatnonzero(new)
@@ -45,12 +45,11 @@ class RunIndex:
         edge = np.ones(n, bool)
         whole = left[suffixes] >= least
         pair = np.flatnonzero(whole[1:] & whole[:-1]) + 1
-        raw = symbol[:n].astype(np.uint16)
         for lo in range(0, len(pair), 1 << 16):
             k = pair[lo:lo + (1 << 16)]
             same = np.ones(len(k), bool)
             for j in range(least):
-                same &= raw[suffixes[k] + j] == raw[suffixes[k - 1] + j]
+                same &= symbol[suffixes[k] + j] == symbol[suffixes[k - 1] + j]
             edge[k] = ~same
         self.range_start = np.flatnonzero(edge)
         self.range_first = np.minimum.reduceat(doc[text[suffixes]], self.range_start)
@@ -61,7 +60,7 @@ class RunIndex:
         key, live = np.zeros(n, np.uint64), np.ones(n, bool)
         for j in range(_FIRST):
             live &= left >= j
-            key = (key << np.uint64(9)) | np.where(live, symbol[j:n + j], np.uint64(0))
+            key = (key << np.uint64(9)) | np.where(live, symbol[j:n + j], np.uint16(0))
         order = np.argsort(key, kind="stable")
         new = np.ones(n, bool)
         new[1:] = (key[order][1:] != key[order][:-1]) | (left[order][1:] < _FIRST)

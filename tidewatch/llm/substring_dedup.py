@@ -46,9 +46,9 @@ def _seeds(data, at, doc, half: int, n: int):
         least, inside = _chosen(row, h, half)
         new = inside.copy()
         new[1:] &= (least[1:] != least[:-1]) | (row[1:len(least)] != row[:len(least) - 1]) | ~inside[:-1]
-        values.append(least[new])
+        values.append(blocks.anchor_code(least[new], n))
         rows.append(row[:len(least)][new] + lo)
-    return blocks.send_anchors(blocks.anchors(np.concatenate(values), doc[np.concatenate(rows)]), n) if values else []
+    return blocks.send_anchors(blocks.anchors(np.concatenate(values), doc[np.concatenate(rows)])) if values else []
 
 
 def _windows(data, at, doc, replies, half: int, n: int):
@@ -57,7 +57,7 @@ def _windows(data, at, doc, replies, half: int, n: int):
     for lo, _, data_, at_ in pieces(data, at):
         _, _, row, h = _halves(data_, at_, half, 0)
         least, inside = _chosen(row, h, half)
-        keep = np.flatnonzero(inside & blocks.member(least, alive)[0])
+        keep = np.flatnonzero(inside & blocks.member(blocks.anchor_code(least, n), alive)[0])
         if len(keep):
             a.append(_doubled(h, half)[keep])
             b.append(_doubled(_halves(data_, at_, half, 1)[3], half)[keep])

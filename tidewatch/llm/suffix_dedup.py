@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 
 from tidewatch.llm import blocks
@@ -25,13 +26,14 @@ from tidewatch.llm.run_index import RunIndex
 from tidewatch.llm.text import covered, mix, pieces, sliding_min, span_hash, window_hash
 
 INNER = 24
+_SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 STRETCH = 32
 HOT = 255
 
 
 def _anchored(data, at, least: int):
     """(anchor of each window start, whether the window stays inside one text, its row)."""
-    h = window_hash(mix(data.astype(np.uint64)), INNER)
+    h = window_hash(_SYMBOL[data], INNER)
     low = sliding_min(h, least - INNER + 1)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))[:len(low)]
     return low, np.arange(len(low)) + least <= at[1:][row], row
@@ -45,9 +47,9 @@ def _seeds(data, at, doc, least: int, n: int):
             continue
         new = inside.copy()
         new[1:] &= (low[1:] != low[:-1]) | (row[1:] != row[:-1]) | ~inside[:-1]
-        values.append(low[new])
+        values.append(blocks.anchor_code(low[new], n))
         rows.append(row[new] + lo)
-    return blocks.send_anchors(blocks.anchors(np.concatenate(values), doc[np.concatenate(rows)]), n) if values else []
+    return blocks.send_anchors(blocks.anchors(np.concatenate(values), doc[np.concatenate(rows)])) if values else []
 
 
 def _segments(data, at, alive, flag, least: int, n: int):
@@ -55,7 +57,8 @@ def _segments(data, at, alive, flag, least: int, n: int):
     low, inside, row = _anchored(data, at, least)
     if not len(low):
         return None
-    hit, where = blocks.member(low, alive)
+    edge = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+    hit, where = (np.repeat(x, np.diff(np.append(edge, len(low)))) for x in blocks.member(blocks.anchor_code(low[edge], n), alive))
     hit &= inside
     if not hit.any():
         return None
@@ -71,7 +74,12 @@ def _segments(data, at, alive, flag, least: int, n: int):
     end = stop + least - 1
     a, b = span_hash(data, first, end, 0), span_hash(data, first, end, 1)
     key = np.where(flag[where[first]] > 0, low[first] ^ a, low[first])
-    return first, end, row[first], a, b, blocks.bucket_of(key, n)
+    return first, end, row[first], a, b, blocks.bucket_of(key, index_buckets(n))
+
+
+def index_buckets(n: int) -> int:
+    """More buckets than blocks where there are few, since an index takes many times its text's memory."""
+    return max(n, min(4 * n, 512))
 
 
 def _texts(data, start, end):
@@ -99,18 +107,19 @@ def _send(data, at, doc, replies, least: int, n: int):
     same = [x[order] for x in (bucket, a, b)]
     new[1:] = np.any([x[1:] != x[:-1] for x in same], axis=0)
     keep, edge = order[new], np.flatnonzero(new)
-    last = d[order[np.append(edge[1:], len(order)) - 1]]
+    several = d[order[np.append(edge[1:], len(order)) - 1]] > d[keep]
     for bucket_, at_ in blocks.by_bucket(bucket[keep]):
         k = keep[at_]
         text, _ = _texts(data, start[k], end[k])
-        yield bucket_, blocks.packed(a[k], b[k], d[k], last[at_], (end[k] - start[k]).astype(np.uint8), text)
+        yield bucket_, zstandard.compress(blocks.packed(d[k], several[at_].astype(np.uint8), (end[k] - start[k]).astype(np.uint8), text), 3)
 
 
 def _match(payloads, least: int):
-    fields = [blocks.unpacked(p, np.uint64, np.uint64, np.int64, np.int64, np.uint8, np.uint8) for p in payloads]
-    a, b, d, last, size, data = (np.concatenate(x) for x in zip(*fields))
+    fields = [blocks.unpacked(zstandard.decompress(p), np.int64, np.uint8, np.uint8, np.uint8) for p in payloads]
+    d, several, size, data = (np.concatenate(x) for x in zip(*fields))
     size = size.astype(np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
+    a, b = span_hash(data, at[:-1], at[1:], 0), span_hash(data, at[:-1], at[1:], 1)
     order = np.lexsort((d, b, a))
     new = np.ones(len(a), bool)
     new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
@@ -134,12 +143,12 @@ def _match(payloads, least: int):
     run_at = np.searchsorted(of, np.arange(len(owner) + 1))
     row = 0
     for f in fields:
-        mine = place[group[row:row + len(f[0])]]
-        lo, n = run_at[mine], np.diff(run_at)[mine]
+        mine = slice(row, row + len(f[0]))
+        lo, n = run_at[place[group[mine]]], np.diff(run_at)[place[group[mine]]]
         take = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-        useful = np.minimum.reduceat(run_doc[take], np.cumsum(n) - n) < last[row:row + len(mine)]
+        useful = (np.minimum.reduceat(run_doc[take], np.cumsum(n) - n) < d[mine]) | (several[mine] > 0)
         take = take[np.repeat(useful, n)]
-        yield blocks.packed(f[0][useful], f[1][useful], n[useful].astype(np.uint8), run_from[take], run_doc[take]) if useful.any() else None
+        yield blocks.packed(a[mine][useful], b[mine][useful], n[useful].astype(np.uint8), run_from[take], run_doc[take]) if useful.any() else None
         row += len(f[0])
 
 
