@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bag_minhash, decontaminate, language, line_dedup, pieces, sql, substring_dedup, suffix_dedup, token_counts
+from tidewatch.llm import bag_minhash, decontaminate, language, line_dedup, pieces, quality, sql, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.mark(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_decontaminate, op4_line_dedup, op5_substring_dedup, op6_language, op8_token_counts, op9_sentence_pieces, op10_bag_minhash)}
+    op1_suffix_dedup, op2_decontaminate, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_language, op8_token_counts, op9_sentence_pieces, op10_bag_minhash)}
 SQL = {"op1_suffix_dedup": sql.SUFFIXES, "op2_decontaminate": sql.LEAKS, "op4_line_dedup": sql.LINES, "op5_substring_dedup": sql.SUBSTRINGS}
