@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bag_minhash, decontaminate, language, line_dedup, pieces, quality, sql, substring_dedup, suffix_dedup, token_counts
+from tidewatch.llm import bag_minhash, decontaminate, html_main, language, line_dedup, pieces, quality, sql, substring_dedup, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
@@ -54,5 +58,5 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_decontaminate, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_language, op8_token_counts, op9_sentence_pieces, op10_bag_minhash)}
+    op1_suffix_dedup, op2_decontaminate, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_language, op7_html_main, op8_token_counts, op9_sentence_pieces, op10_bag_minhash)}
 SQL = {"op1_suffix_dedup": sql.SUFFIXES, "op2_decontaminate": sql.LEAKS, "op4_line_dedup": sql.LINES, "op5_substring_dedup": sql.SUBSTRINGS}
