@@ -146,5 +146,5 @@ def digest(marks: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any hit, all columns kept."""
-    hit = mark(docs, benchmark, window).filter(F.size("hit_words") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    hit = mark(docs, benchmark, window).filter(F.size("hit_words") > 0).select(F.col("doc_id").alias("_hit_id")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_hit_id")), "left_anti")

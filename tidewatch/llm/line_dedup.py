@@ -126,14 +126,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    bits = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_of"), F.col("row").alias("_row"), "keep")
-    return docs.join(bits, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.xxhash64("text") == F.col("_row")), "left")
+    bits = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_dealt_of"), F.col("row").alias("_dealt_row"), F.col("keep").alias("_dealt_keep"))
+    return docs.join(bits, F.col("doc_id").eqNullSafe(F.col("_dealt_of")) & (F.xxhash64("text") == F.col("_dealt_row")), "left")
 
 
 def digests(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Per document: lines, lines dropped, digest of what stays."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    return _with_bitmaps(docs, min_chars, min_docs).select("doc_id", "text", "keep").mapInArrow(
+    return _with_bitmaps(docs, min_chars, min_docs).select("doc_id", "text", "_dealt_keep").mapInArrow(
         _digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
@@ -144,10 +144,10 @@ def remove(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame
     def apply(batches):
         for b in batches:
             table = {f: b.column(i) for i, f in enumerate(b.schema.names)}
-            made = list(_apply([b.select(["doc_id", "text", "keep"])]))[0]
+            made = list(_apply([b.select(["doc_id", "text", "_dealt_keep"])]))[0]
             table["text"] = made.column(3)
             if "n_chars" in table:
                 table["n_chars"] = pa.array([None if x is None else len(x) for x in made.column(3).to_pylist()], table["n_chars"].type)
             yield pa.RecordBatch.from_arrays([table[n] for n in names], names)
 
-    return _with_bitmaps(docs, min_chars, min_docs).select(*names, "keep").mapInArrow(apply, docs.schema)
+    return _with_bitmaps(docs, min_chars, min_docs).select(*names, "_dealt_keep").mapInArrow(apply, docs.schema)

@@ -57,6 +57,12 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_decontaminate, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_language, op7_html_main, op8_token_counts, op9_sentence_pieces, op10_bag_minhash)}
+    op1_suffix_dedup, op2_decontaminate, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_language, op7_html_main, op8_token_counts, op9_sentence_pieces, op10_bag_minhash, pipeline)}
 SQL = {"op1_suffix_dedup": sql.SUFFIXES, "op2_decontaminate": sql.LEAKS, "op4_line_dedup": sql.LINES, "op5_substring_dedup": sql.SUBSTRINGS}
