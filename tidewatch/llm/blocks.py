@@ -34,7 +34,7 @@ class Exchange:
         """`docs` needs doc_id and text. A null doc_id is a document that sorts first."""
         spark = prepare(docs.sparkSession)
         n = parts(spark)
-        self.n = max(n, min(2 * n, 256))  # messages grow with its square
+        self.n = max(n, min(2 * n, 128))  # messages grow with its square
         doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
         self.docs = docs.select(_block(doc, self.n).alias("block"), doc.alias("doc"), "text")
         first = (docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
