@@ -71,7 +71,7 @@ def signatures(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n_rows: int
     below = np.where(layer > 0, 1 << np.maximum(layer - 1, 0), 0)
     rate = np.maximum(below, 1) * float(registers)
     time, out = np.zeros(len(row)), np.full((n_rows, registers), np.inf)
-    flat, step = out.reshape(-1), np.uint64(1)
+    flat, step = out.reshape(-1), np.ones(1, np.uint64)
     while len(row):
         drawn = mix(key + _C * step)
         time = time - np.log(((drawn >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53) / rate
