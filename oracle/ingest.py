@@ -85,7 +85,7 @@ FROM {base} b FULL OUTER JOIN (SELECT url, min(seq) AS first_seq, arg_max(cat, s
 define("store_r", ["store"], "SELECT *, CAST(NULL AS VARCHAR) AS remark FROM store")
 define("upd_raw", ["items"], """
 SELECT link AS url, seq, title, CAST(NULL AS VARCHAR) AS title_cn, pub_date, source_type, source_name,
-       CASE WHEN seq % 5 = 0 THEN substr(summary_raw, 1, 60) ELSE '' END AS summary_cn,
+       CASE WHEN seq % 5 = 0 THEN summary_raw ELSE '' END AS summary_cn,
        CASE seq % 7 WHEN 0 THEN 'Other' WHEN 1 THEN 'news' END AS category, CASE seq % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS valid,
        CASE WHEN seq % 6 = 0 THEN 1 END AS is_hidden, CASE WHEN seq % 3 = 0 THEN 1 END AS is_retained,
        CASE WHEN seq % 8 = 0 THEN '备注' || seq ELSE '' END AS remark FROM items""")

@@ -60,9 +60,8 @@ links("listed", "listed_pages", inside("nav"), f"length(title) > 15 AND {BAD}")
 links("others", "other_pages", "html", f"length(title) > 20 AND contains(url, '/news/') AND {BAD}")
 add("extract_links_custom", "listed others", "SELECT * FROM listed UNION ALL SELECT * FROM others")
 add("extract_content", "", f"""
-SELECT page_id, url, substr(CASE WHEN length(a) > 200 THEN a ELSE b END, 1, 15000) AS content
+SELECT page_id, url, CASE WHEN length(a) > 200 THEN a ELSE b END AS content
 FROM (SELECT page_id, url, {text_of(inside('article'))} AS a, {text_of(inside('body'))} AS b FROM pages)""")
-SQL["html_udf"] = SQL["extract_content"]
 add("extract_page_date", "", """
 SELECT page_id, url, CASE WHEN page_id % 4 = 3 THEN '' ELSE '2024-01-' || lpad(CAST(page_id % 27 + 1 AS VARCHAR), 2, '0') END AS pub_date FROM pages""")
 add("security_interstitial", "", f"""
@@ -91,7 +90,7 @@ SELECT source_name AS account, seq, title, link, seq // 200 AS page,
        strftime(TIMESTAMP '1970-01-01' + to_seconds(1706000000 + seq * 600), '%Y-%m-%d') AS day0 FROM raw_items""")
 define("read_rows", ["account_rows"], """
 SELECT *, row_number() OVER (PARTITION BY account ORDER BY page, seq) AS n FROM account_rows
-WHERE page < CASE WHEN right(account, 1) = '3' AND account IN (SELECT account FROM account_rows WHERE page = 1) THEN 1 ELSE 5 END""")
+WHERE page < CASE WHEN right(account, 1) = '3' AND account IN (SELECT account FROM account_rows WHERE page = 1) THEN 1 ELSE 2147483647 END""")
 add("read_wechat_json", "read_rows", """
 SELECT account, title, link, day8 AS pub_date, 'd' AS summary_raw, 'wechat' AS source_type, 'c' || seq AS cover FROM read_rows WHERE n <= 25""")
 add("first_n_per_account", "raw_items", """

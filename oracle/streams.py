@@ -18,8 +18,8 @@ add("stream_track_ingest", "tracks placed_points", f"""
 SELECT id, t.mmsi, round(t.lat, 6) AS lat, round(t.lng, 6) AS lng, t.{TS}, city, p.country FROM tracks t JOIN placed_points p USING (id)""")
 # every vessel is judged at its own newest point; the stream's clock stays three hours behind the newest report
 define("own_recent", ["tracks"], f"""
-SELECT * EXCLUDE (newest, rn) FROM (SELECT *, max({TS}) OVER (PARTITION BY mmsi) AS newest,
-  row_number() OVER (PARTITION BY mmsi ORDER BY {TS} DESC, id DESC) AS rn FROM tracks) WHERE {TS} >= newest - INTERVAL 10 DAY AND rn <= 2000""")
+SELECT * EXCLUDE (newest) FROM (SELECT *, max({TS}) OVER (PARTITION BY mmsi) AS newest FROM tracks)
+WHERE {TS} >= newest - INTERVAL 10 DAY""")
 status_views("own_", "own_recent")
 add("stream_vessel_status", "tracks own_facts", f"""
 SELECT mmsi, CASE WHEN off THEN 'offline' WHEN by_window OR by_fallback THEN 'moored' WHEN speed_ms IS NULL THEN 'offline' WHEN speed_ms < 0.3 THEN 'moored'
@@ -27,7 +27,7 @@ SELECT mmsi, CASE WHEN off THEN 'offline' WHEN by_window OR by_fallback THEN 'mo
        round(CASE WHEN off THEN NULL WHEN by_window OR by_fallback THEN 0.0 ELSE speed_ms / 0.514444::DOUBLE END, 6) AS speed_kn, heading,
        CASE WHEN NOT off THEN printf('%.6f, %.6f', lat, lng) END AS location, latest_ts AS status_date
 FROM (SELECT *, epoch_ms(latest_ts) + 24 * 3600000 <= (SELECT epoch_ms(max({TS})) - 3 * 3600000 FROM tracks) AS off FROM own_facts)""")
-add("stream_article_dedup", "items store", "SELECT DISTINCT link FROM items WHERE link NOT IN (SELECT url FROM store)")
+add("stream_article_dedup", "items store", "SELECT link, min(seq) AS seq FROM items WHERE link NOT IN (SELECT url FROM store) GROUP BY link")
 add("stream_daily_counts", "articles", f"""
 SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS articles FROM articles WHERE {VISIBLE} GROUP BY 1""")
 add("stream_shift_digest", "articles", f"""

@@ -14,9 +14,7 @@ def add(name: str, needs: str, body: str) -> None:
 
 TS = '"timestamp"'
 define("since10", ["tracks"], f"SELECT * FROM tracks WHERE {TS} BETWEEN {NOW} - INTERVAL 10 DAY AND {NOW}")
-define("recent", ["since10"], f"""
-SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY mmsi ORDER BY {TS} DESC, id DESC) AS rn FROM since10)
-WHERE rn <= 2000""")
+define("recent", ["since10"], "SELECT * FROM since10")
 
 
 def status_views(prefix: str, source: str) -> str:

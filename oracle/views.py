@@ -39,14 +39,14 @@ SELECT doc_id AS seq,
          ['Contract award for ', 'New dredger delivery to ', 'Quarterly revenue of ', 'Beach restoration underway at ', 'Permit approval for ',
           'Soil research by ', 'Skip to main content ', 'River and estuary near ', 'Agreement signed with ', '疏浚 航道 ', 'Hello ',
           'Port terminal berth ', 'Back to ', '404 Not Found ', 'Strike plan at ', 'About us '][CAST(doc_id % 16 AS INTEGER) + 1]
-         || substr(replace(text, chr(10), ' '), 1, 40) END AS title,
+         || split_part(text, chr(10), 1) END AS title,
        'https://news' || CAST(k % 7 AS VARCHAR) || '.example.org/item/' || CAST(k AS VARCHAR)
          || CASE WHEN k % 4 = 0 THEN '?page=2' ELSE '' END
          || CASE doc_id % 5 WHEN 0 THEN (CASE WHEN k % 4 = 0 THEN '&' ELSE '?' END) || 'utm_source=feed'
                             WHEN 1 THEN '#top' WHEN 2 THEN (CASE WHEN k % 4 = 0 THEN '&' ELSE '?' END) || 'ref=x' ELSE '' END AS link,
        CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 13 = 0 THEN 'n/a'
             ELSE strftime({NOW} - to_days(CAST(doc_id % 9 AS INTEGER)), '%Y-%m-%d') END AS pub_date,
-       substr(text, 1, 200) AS summary_raw,
+       text AS summary_raw,
        CASE WHEN doc_id % 10 < 3 THEN 'rss' WHEN doc_id % 10 < 9 THEN 'web' ELSE 'wechat' END AS source_type,
        source AS source_name, {NOW} AS fetched_at
 FROM (SELECT *, CASE WHEN doc_id % 7 = 6 THEN doc_id - 3 ELSE doc_id END AS k FROM documents)"""),
@@ -55,7 +55,7 @@ SELECT r.seq AS id, 'https://news' || CAST(r.seq % 7 AS VARCHAR) || '.example.or
          || CASE WHEN r.seq % 4 = 0 THEN '?page=2' ELSE '' END AS url, r.title,
        CASE WHEN r.seq % 3 = 0 THEN '译 ' || r.title END AS title_cn, r.pub_date,
        r.source_type, CASE WHEN r.seq % 23 = 0 THEN NULL ELSE r.source_name END AS source_name,
-       CASE WHEN r.seq % 4 = 0 THEN '' ELSE substr(d.text, 1, 80) END AS summary_cn,
+       CASE WHEN r.seq % 4 = 0 THEN '' ELSE d.text END AS summary_cn,
        CASE WHEN r.seq % 6 = 0 THEN '' ELSE d.text END AS content,
        CASE WHEN r.seq % 2 = 0 THEN 'assets/' || CAST(r.seq AS VARCHAR) || '.jpg' ELSE '' END AS screenshot_path,
        CASE WHEN r.seq % 8 = 7 THEN NULL
@@ -71,7 +71,7 @@ WHERE r.seq % 7 <> 6"""),
 SELECT a.url, l.doc_id IS NOT NULL AS has_text, l.quality = 0 AS t_is_junk,
        CASE WHEN l.doc_id IS NOT NULL THEN a.category END AS t_category,
        CASE WHEN l.doc_id IS NOT NULL AND a.id % 4 <> 1 THEN '文 ' || a.title END AS t_title_cn,
-       CASE WHEN l.doc_id IS NOT NULL THEN substr(a.content, 1, 60) END AS t_summary_cn,
+       CASE WHEN l.doc_id IS NOT NULL THEN a.content END AS t_summary_cn,
        CASE WHEN l.doc_id IS NOT NULL AND a.id % 4 <> 2 THEN a.pub_date END AS t_publish_time,
        a.screenshot_path <> '' AND a.id % 3 <> 0 AS has_vl,
        CASE WHEN a.screenshot_path <> '' AND a.id % 3 <> 0 THEN a.id % 5 = 0 END AS v_is_junk,

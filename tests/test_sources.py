@@ -85,7 +85,7 @@ def test_failed_account_page_stops_reading(spark):
 
     rows = [("a", 0, page(0, "1", "2")), ("a", 1, page(-1)), ("a", 2, page(0, "3")), ("b", 0, page(0)), ("c", 5, page(0, "late"))]
     df = spark.createDataFrame(rows, "account string, page int, payload string")
-    assert sorted((r.account, r.title) for r in files.wechat_items(df).collect()) == [("a", "1"), ("a", "2")]
+    assert sorted((r.account, r.title) for r in files.wechat_items(df).collect()) == [("a", "1"), ("a", "2"), ("c", "late")]
 
 
 def test_day_partitions_are_replaced(spark):

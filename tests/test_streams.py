@@ -11,7 +11,7 @@ from tidewatch.operators import tracks as T, upsert as U
 from tidewatch.plans.views import AS_OF, Views, tracks_from_events
 from tidewatch.session import scratch_dir
 from tidewatch.streaming import articles as SA, tracks as ST
-from tidewatch.streaming.sinks import latest_per_key, read_batches, write_batches
+from tidewatch.streaming.sinks import latest_per_key, read_batches
 
 
 def land(spark, df, order, parts=5):
@@ -35,18 +35,18 @@ def places(spark):
 
 def test_daily_counts_over_batches(spark, sf_dir):
     arts = Views(spark, sf_dir).articles
-    path, (out, cp) = land(spark, arts, "created_at"), places(spark)
-    write_batches(SA.daily_counts(open_stream(spark, path, arts.schema), "40 days"), out, cp, mode="update").awaitTermination()
-    got = {r.day: r.articles for r in latest_per_key(read_batches(spark, out), ["day"]).collect()}
+    path, (out, cp) = land(spark, arts, F.xxhash64("id")), places(spark)
+    SA.start_counts(open_stream(spark, path, arts.schema), SA.daily_counts, out, cp).awaitTermination()
+    got = {r.day: r.articles for r in SA.read_counts(spark, out, ["day"]).collect()}
     want = arts.where("coalesce(is_hidden, 0) = 0 and coalesce(valid, 1) = 1").groupBy(F.to_date("created_at").alias("d")).count()
     assert got == {r.d: r["count"] for r in want.collect()}
 
 
 def test_shift_digest_over_batches(spark, sf_dir):
     arts = Views(spark, sf_dir).articles
-    path, (out, cp) = land(spark, arts, "id"), places(spark)
-    write_batches(SA.shift_digest(open_stream(spark, path, arts.schema), "40 days"), out, cp, mode="update").awaitTermination()
-    got = latest_per_key(read_batches(spark, out), ["shift_start", "category"]).agg(F.sum("articles")).first()[0]
+    path, (out, cp) = land(spark, arts, F.xxhash64("id")), places(spark)
+    SA.start_counts(open_stream(spark, path, arts.schema), SA.shift_digest, out, cp).awaitTermination()
+    got = SA.read_counts(spark, out, ["shift_start", "category"]).agg(F.sum("articles")).first()[0]
     assert got == arts.where("coalesce(is_hidden, 0) = 0 and coalesce(valid, 1) = 1 and is_retained = 1").count()
 
 

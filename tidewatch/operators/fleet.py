@@ -115,8 +115,8 @@ def position_update(ships: DataFrame, placed: DataFrame, as_of: datetime) -> Dat
 
 
 def fleet_status_update(ships: DataFrame, tracks: DataFrame, as_of: datetime, days: int = 3,
-                        offline_hours: int = 2, limit: int = V.TRACK_READ) -> DataFrame:
-    """Recompute the status of every ship with a mmsi and write it back."""
+                        offline_hours: int = 2, limit: int | None = None) -> DataFrame:
+    """Recompute the status of every ship with a mmsi and write it back; ``status_date`` is added or kept up."""
     seen = vessel_status(tracks, as_of, days, offline_hours, limit)
     wanted = ships.where(geo.has_mmsi(F.col("mmsi"))).select("id", "mmsi", F.col("location").alias("_loc"), "region")
     status = wanted.join(seen.withColumnRenamed("mmsi", "_m"), F.trim("mmsi") == F.col("_m"), "left").select(
@@ -129,6 +129,10 @@ def fleet_status_update(ships: DataFrame, tracks: DataFrame, as_of: datetime, da
               "location": F.when(hit, F.col("_l")).otherwise(F.col("location")),
               "updated_at": F.when(hit, ts(as_of)).otherwise(F.col("updated_at")),
               "speed": F.coalesce("_kn", "speed"), "heading": F.coalesce("_h", "heading")}
+    if "status_date" in ships.columns:
+        kind = ships.schema["status_date"].dataType
+        change["status_date"] = F.when(hit, F.col("_d").cast(kind)).otherwise(F.col("status_date"))
+        return rows.select(*[change.get(c, F.col(c)).alias(c) for c in ships.columns])
     return rows.select(*[change.get(c, F.col(c)).alias(c) for c in ships.columns], F.col("_d").alias("status_date"))
 
 

@@ -1,7 +1,7 @@
 """Vessel tracks: retention, segment speeds, stationarity and status.
 
-The status rules look at no more than the newest 2000 points of a vessel, so after that cut every
-vessel is a small group; all later steps share one exchange and one sort by (mmsi, newest first).
+No step holds a whole vessel in one window: the previous position is found inside time buckets, the
+newest speeds by a cut that works before the shuffle, and all else is an aggregate per vessel.
 """
 
 from __future__ import annotations
@@ -25,11 +25,11 @@ def track_retention(tracks: DataFrame, keep: int = V.TRACK_KEEP, salts: int | No
     return top_n_per_key(tracks, ["mmsi"], newest_first(), keep, ["id"], salts)
 
 
-def recent_tracks(tracks: DataFrame, as_of: datetime, days: int = 3, limit: int = V.TRACK_READ,
+def recent_tracks(tracks: DataFrame, as_of: datetime, days: int = 3, limit: int | None = None,
                   salts: int | None = None) -> DataFrame:
-    """Newest ``limit`` points of every vessel within the last days up to ``as_of``, start included."""
+    """Points of every vessel within the last days up to ``as_of``, start included; the newest ``limit`` if one is given."""
     since = tracks.where(F.col("timestamp").between(ts(as_of - timedelta(days=days)), ts(as_of)))
-    return top_n_per_key(since, ["mmsi"], newest_first(), limit, ["id"], salts)
+    return since if limit is None else top_n_per_key(since, ["mmsi"], newest_first(), limit, ["id"], salts)
 
 
 def _since(as_of: datetime, days: int) -> Column:
@@ -42,10 +42,6 @@ def track_history(tracks: DataFrame, mmsi: str, as_of: datetime, days: int = 3)
             .select("lat", "lng", "speed", "heading", "timestamp", "created_at").orderBy("timestamp"))
 
 
-def _newest_window():
-    return Window.partitionBy("mmsi").orderBy(*newest_first())
-
-
 def _point() -> Column:
     return F.when(F.col("timestamp").isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull(),
                   F.struct("timestamp", "lat", "lng"))
@@ -59,21 +55,15 @@ def _segment_speed(prev: str, here: str = "_pt") -> Column:
 
 
 def segment_speeds(recent: DataFrame) -> DataFrame:
-    """Valid speeds between consecutive positions, with ``age`` = 1 for the newest valid one.
-
-    The previous position counts even if its own segment was refused. For points already cut by
-    ``recent_tracks``; see ``long_track_segments`` for whole tracks.
-    """
-    win = _newest_window()
-    rows = recent.withColumn("_pt", _point()).where(F.col("_pt").isNotNull())
-    rows = rows.withColumn("_prev", F.lead("_pt").over(win)).withColumn("speed_ms", _segment_speed("_prev"))
-    so_far = win.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("age", F.count("speed_ms").over(so_far)).where(F.col("speed_ms").isNotNull())
-    return rows.select("mmsi", "id", "timestamp", "speed_ms", "age")
+    """Valid speeds between consecutive positions. The previous position counts even if its own segment was refused."""
+    rows = long_track_segments(recent).where(F.col("speed_ms").isNotNull())
+    return rows.select("mmsi", "id", "timestamp", "speed_ms")
 
 
 def last_speeds(recent: DataFrame, n: int = V.SPEED_TAIL) -> DataFrame:
-    return segment_speeds(recent).where(F.col("age") <= n)
+    """The newest ``n`` valid speeds of every vessel, ``age`` 1 for the newest."""
+    few = top_n_per_key(segment_speeds(recent), ["mmsi"], newest_first(), n, ["id"])
+    return few.withColumn("age", F.row_number().over(Window.partitionBy("mmsi").orderBy(*newest_first())).cast("bigint"))
 
 
 def median_speed(recent: DataFrame) -> DataFrame:
@@ -81,10 +71,15 @@ def median_speed(recent: DataFrame) -> DataFrame:
     return last_speeds(recent).groupBy("mmsi").agg(F.median("speed_ms").alias("speed_ms"))
 
 
+def _median_knots(recent: DataFrame) -> DataFrame:
+    """Exact median of the recorded knots, from counts per value."""
+    counts = recent.where(F.col("speed") >= 0).groupBy("mmsi", "speed").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy("mmsi").agg(F.percentile("speed", 0.5, F.col("_n")).alias("knots"))
+
+
 def fallback_speed(recent: DataFrame) -> DataFrame:
     """Median of the recorded knots, as metres per second."""
-    return recent.where(F.col("speed") >= 0).groupBy("mmsi").agg(
-        geo.knots_to_ms(F.median("speed")).alias("speed_ms"))
+    return _median_knots(recent).select("mmsi", geo.knots_to_ms(F.col("knots")).alias("speed_ms"))
 
 
 def latest_point(tracks: DataFrame) -> DataFrame:
@@ -110,34 +105,25 @@ def recent_window(tracks: DataFrame, hours: int) -> DataFrame:
 
 def _facts(recent: DataFrame, window_hours: int, drift_m: float, gap_hours: float) -> DataFrame:
     """Everything the rules need to know about a vessel, one row per vessel."""
-    win = _newest_window()
-    so_far = win.rowsBetween(Window.unboundedPreceding, 0)
-    rows = recent.withColumn("_pt", _point())
-    rows = (rows.withColumn("_latest_ts", F.first("timestamp", ignorenulls=True).over(so_far))
-            .withColumn("_latest_pt", F.first("_pt", ignorenulls=True).over(so_far))
-            .withColumn("_prev", F.expr("lead(_pt) IGNORE NULLS OVER (PARTITION BY mmsi ORDER BY timestamp DESC, id DESC)"))
-            .withColumn("_rank", F.row_number().over(win))
-            .withColumn("_pt_rank", F.count("_pt").over(so_far))
-            .withColumn("_speed_ms", F.when(F.col("_pt").isNotNull(), _segment_speed("_prev")))
-            .withColumn("_age", F.count("_speed_ms").over(so_far)))
-    in_window = F.col("_pt").isNotNull() & (
-        F.col("timestamp") >= F.col("_latest_ts") - F.make_dt_interval(hours=F.lit(window_hours)))
-    drift = geo.haversine_m(F.col("_latest_pt.lat"), F.col("_latest_pt.lng"), F.col("lat"), F.col("lng"))
-    first_pt = F.col("_pt").isNotNull() & (F.col("_pt_rank") == 1)
-    gap = geo.seconds_between(F.col("_prev.timestamp"), F.col("timestamp")) / 3600
-    step = geo.haversine_m(F.col("lat"), F.col("lng"), F.col("_prev.lat"), F.col("_prev.lng"))
-    newest = F.col("_rank") == 1
-    return rows.groupBy("mmsi").agg(
-        F.max("_latest_ts").alias("latest_ts"),
-        F.max(F.when(newest, F.col("lat"))).alias("lat"), F.max(F.when(newest, F.col("lng"))).alias("lng"),
-        F.max(F.when(newest, F.col("heading"))).alias("heading"),
-        F.count_if(in_window).alias("_in_window"),
-        F.max(F.when(in_window, drift)).alias("_drift"),
-        F.max(F.when(first_pt & (gap >= gap_hours), step)).alias("_step"),
-        F.median(F.when(F.col("_age") <= V.SPEED_TAIL, F.col("_speed_ms"))).alias("_median_ms"),
-        F.median(F.when(F.col("speed") >= 0, F.col("speed"))).alias("_median_kn"),
-    ).withColumn("by_window", (F.col("_in_window") >= 2) & (F.col("_drift") <= drift_m)
-                 ).withColumn("by_fallback", (F.col("_in_window") < 2) & F.coalesce(F.col("_step") <= drift_m, F.lit(False)))
+    when = F.struct("timestamp", "id")
+    newest = recent.withColumn("_pt", _point()).groupBy("mmsi").agg(
+        F.max("timestamp").alias("latest_ts"), F.max_by(F.struct("lat", "lng", "heading"), when).alias("_row"),
+        F.max_by("_pt", F.when(F.col("_pt").isNotNull(), when)).alias("_spot"))
+    spot = newest.select("mmsi", F.col("latest_ts").alias("_until"), "_spot")
+    near = (recent.withColumn("_pt", _point()).where(F.col("_pt").isNotNull()).join(spot, "mmsi")
+            .where(F.col("timestamp") >= F.col("_until") - F.make_dt_interval(hours=F.lit(window_hours))))
+    drift = geo.haversine_m(F.col("_spot.lat"), F.col("_spot.lng"), F.col("lat"), F.col("lng"))
+    near = near.groupBy("mmsi").agg(F.count(F.lit(1)).alias("_near"), F.max(drift).alias("_drift"))
+    steps = long_track_segments(recent)
+    last = steps.groupBy("mmsi").agg(F.max_by(F.struct("step_m", "gap_s"), when).alias("_last"))
+    facts = newest.join(near, "mmsi", "left").join(last, "mmsi", "left").join(
+        median_speed(recent).withColumnRenamed("speed_ms", "_median_ms"), "mmsi", "left").join(
+        _median_knots(recent).withColumnRenamed("knots", "_median_kn"), "mmsi", "left")
+    still = (F.col("_last.gap_s") / 3600 >= gap_hours) & (F.col("_last.step_m") <= drift_m)
+    return (facts.withColumns({"lat": F.col("_row.lat"), "lng": F.col("_row.lng"), "heading": F.col("_row.heading"),
+                               "_in_window": F.coalesce("_near", F.lit(0).cast("bigint"))})
+            .withColumn("by_window", (F.col("_in_window") >= 2) & (F.col("_drift") <= drift_m))
+            .withColumn("by_fallback", (F.col("_in_window") < 2) & F.coalesce(still, F.lit(False))))
 
 
 def stationary_window(recent: DataFrame, window_hours: int = 2, drift_m: float = V.DRIFT_M) -> DataFrame:
@@ -166,7 +152,7 @@ def _offline(as_of: datetime, hours: int) -> Column:
 
 
 def vessel_status(tracks: DataFrame, as_of: datetime, days: int = 3, offline_hours: int = 2,
-                  limit: int = V.TRACK_READ, salts: int | None = None) -> DataFrame:
+                  limit: int | None = None, salts: int | None = None) -> DataFrame:
     """Status, speed in knots, heading and position of every vessel with points in the last days.
 
     Offline, else stationary, else by the median segment speed, else by the recorded speeds.
@@ -193,6 +179,7 @@ def long_track_segments(tracks: DataFrame, bucket_seconds: int = 3600) -> DataFr
     steps = with_previous(points, "mmsi", "timestamp", "id", ["lat", "lng"], bucket_seconds)
     return (steps.withColumn("_pt", _point())
             .withColumn("step_m", geo.haversine_m(F.col("prev.lat"), F.col("prev.lng"), F.col("lat"), F.col("lng")))
+            .withColumn("gap_s", geo.seconds_between(F.col("prev.timestamp"), F.col("timestamp")))
             .withColumn("speed_ms", _segment_speed("prev")).drop("prev", "_pt"))
 
 

@@ -60,7 +60,7 @@ def updates(v: Views) -> DataFrame:
     s = F.col("seq")
     return v.raw_items.select(
         normalize(F.col("link")).alias("url"), "seq", "title", "pub_date", "source_type", "source_name",
-        F.when(s % 5 == 0, F.substring("summary_raw", 1, 60)).otherwise("").alias("summary_cn"),
+        F.when(s % 5 == 0, F.col("summary_raw")).otherwise("").alias("summary_cn"),
         F.when(s % 7 == 0, "Other").when(s % 7 == 1, "news").alias("category"),
         F.when(s % 4 == 0, 0).when(s % 4 == 1, 1).alias("valid"), F.when(s % 6 == 0, 1).alias("is_hidden"),
         F.when(s % 3 == 0, 1).alias("is_retained"),

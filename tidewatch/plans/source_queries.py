@@ -63,11 +63,6 @@ def extract_content(v):
     return P.extract_content(v.pages)
 
 
-@query
-def html_udf(v):
-    return P.parse_pages(v.pages)
-
-
 @query
 def extract_page_date(v):
     return P.extract_page_date(dated_pages(v))

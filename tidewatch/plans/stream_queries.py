@@ -52,26 +52,24 @@ def stream_vessel_status(v):
 def stream_article_dedup(v):
     out, checkpoint = folders(v, "items")
     SA.start_article_dedup(raw_from_documents(documents(v)), v.store, out, checkpoint).awaitTermination()
-    return read_batches(v.spark, out).select("link")
+    return read_batches(v.spark, out).select("link", "seq")
 
 
-def _final(v: Views, rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    from tidewatch.streaming.sinks import write_batches
-
+def _counted(v: Views, count, name: str, keys: list[str]) -> DataFrame:
     out, checkpoint = folders(v, name)
-    write_batches(rows, out, checkpoint, mode="update").awaitTermination()
-    return latest_per_key(read_batches(v.spark, out), keys)
+    SA.start_counts(articles_from_documents(documents(v)), count, out, checkpoint).awaitTermination()
+    return SA.read_counts(v.spark, out, keys)
 
 
 @query
 def stream_daily_counts(v):
-    rows = _final(v, SA.daily_counts(articles_from_documents(documents(v))), "daily", ["day"])
+    rows = _counted(v, SA.daily_counts, "daily", ["day"])
     return rows.select(F.col("day").cast("string").alias("day"), "articles")
 
 
 @query
 def stream_shift_digest(v):
-    return _final(v, SA.shift_digest(articles_from_documents(documents(v))), "shifts", ["shift_start", "category"])
+    return _counted(v, SA.shift_digest, "shifts", ["shift_start", "category"])
 
 
 @query

@@ -59,13 +59,13 @@ def _pub_date(d: Column) -> Column:
 def _raw_columns() -> dict[str, Column]:
     d, k = F.col("doc_id"), _page_of(F.col("doc_id"))
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (d % 16 + 1).cast("int"))
-    head = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 40)
+    head = F.substring_index("text", "\n", 1)
     joint = F.when(k % 4 == 0, "&").otherwise("?")
     tail = F.when(d % 5 == 0, F.concat(joint, F.lit("utm_source=feed"))).when(d % 5 == 1, "#top").when(
         d % 5 == 2, F.concat(joint, F.lit("ref=x"))).otherwise("")
     return {
         "seq": d, "title": F.when(d % 41 == 0, "").otherwise(F.concat(phrase, head)),
-        "link": F.concat(_url(k), tail), "pub_date": _pub_date(d), "summary_raw": F.substring("text", 1, 200),
+        "link": F.concat(_url(k), tail), "pub_date": _pub_date(d), "summary_raw": F.col("text"),
         "source_type": F.when(d % 10 < 3, "rss").when(d % 10 < 9, "web").otherwise("wechat"),
         "source_name": F.col("source"), "fetched_at": as_of()}
 
@@ -88,7 +88,7 @@ def articles_from_documents(documents: DataFrame) -> DataFrame:
         n.alias("id"), _url(n).alias("url"), F.col("r_title").alias("title"),
         F.when(n % 3 == 0, F.concat(F.lit("译 "), F.col("r_title"))).alias("title_cn"), F.col("r_pub_date").alias("pub_date"),
         F.col("r_source_type").alias("source_type"), F.when(n % 23 != 0, F.col("source")).alias("source_name"),
-        F.when(n % 4 == 0, "").otherwise(F.substring("text", 1, 80)).alias("summary_cn"),
+        F.when(n % 4 == 0, "").otherwise(F.col("text")).alias("summary_cn"),
         F.when(n % 6 == 0, "").otherwise(F.col("text")).alias("content"),
         F.when(n % 2 == 0, F.concat(F.lit("assets/"), _text(n), F.lit(".jpg"))).otherwise("").alias("screenshot_path"),
         F.when(n % 8 != 7, F.element_at(F.array(*[F.lit(c) for c in STORED_CATEGORIES]), F.least(n % 8 + 1, F.lit(7)).cast("int"))).alias("category"),
@@ -169,7 +169,7 @@ class Views:
         text_res = F.struct(
             (F.col("quality") == 0).alias("is_junk"), F.col("category").alias("category"),
             F.when(i % 4 != 1, F.concat(F.lit("文 "), F.col("title"))).alias("title_cn"),
-            F.substring("content", 1, 60).alias("summary_cn"), nothing.alias("full_text_cn"),
+            F.col("content").alias("summary_cn"), nothing.alias("full_text_cn"),
             F.when(i % 4 != 2, F.col("pub_date")).alias("publish_time"), nothing.alias("image_desc"))
         vl_res = F.struct(
             (i % 5 == 0).alias("is_junk"), F.lit("Project").alias("category"),

@@ -72,12 +72,12 @@ def feed_items(entries: DataFrame, as_of: datetime, hours: int = 24, zone_hours:
                     F.coalesce("summary_raw", F.lit("")).alias("summary_raw"), F.lit("rss").alias("source_type")))
 
 
-def wechat_items(pages: DataFrame, count: int = 10, max_pages: int = 5, zone_hours: float = 0.0) -> DataFrame:
+def wechat_items(pages: DataFrame, count: int = 10, zone_hours: float = 0.0) -> DataFrame:
     """Account pages (account, page, payload) as items, the first ``count`` of every account.
 
     Pages after a failed or empty one are not read; the reply status tells.
     """
-    parsed = pages.where(F.col("page") < max_pages).withColumn("_p", F.from_json("payload", S.WECHAT_PAGE))
+    parsed = pages.withColumn("_p", F.from_json("payload", S.WECHAT_PAGE))
     ok = (F.col("_p.base_resp.ret") == 0) & (F.size(F.coalesce("_p.app_msg_list", F.array())) > 0)
     bad = (parsed.where(~F.coalesce(ok, F.lit(False))).groupBy("account").agg(F.min("page").alias("_stop")))
     rows = (parsed.where(ok).join(bad, "account", "left")

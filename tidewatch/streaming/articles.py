@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,45 +13,47 @@ from tidewatch.operators import reports as R, stats
 from tidewatch.operators.dedup import new_minus_store
 from tidewatch.operators.filters import visible_valid
 from tidewatch.operators.items import normalize_links
+from tidewatch.operators.skew import first_per_key
 from tidewatch.operators.upsert import upsert_articles
 from tidewatch.streaming.sinks import read_batches, write_batches
 
 
-def event_time(rows: DataFrame, name: str) -> DataFrame:
-    """Watermarks need a zoned type; the session zone is UTC, so the clock reading stays the same."""
-    return rows.withColumn(name, F.col(name).cast("timestamp"))
+def start_article_dedup(items: DataFrame, store: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
+    """New links only: the first item (smallest seq) of each link in its batch, if neither stored nor written by an earlier batch."""
+    spark, known = items.sparkSession, store.select("url")
 
+    def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
+        rows = normalize_links(batch).where(~T.is_blank(F.col("link")))
+        rows = new_minus_store(first_per_key(rows, ["link"], [F.asc("seq")], ["seq"]), known)
+        if batch_id == 0:
+            return rows
+        earlier = read_batches(spark, path).where(F.col("batch_id") < batch_id).select("link")
+        return rows.join(earlier, "link", "left_anti")
 
-def unique_items(items: DataFrame, delay: str = "5 days") -> DataFrame:
-    """One item per normalised link; a link is remembered for the freshness span."""
-    rows = normalize_links(items).where(~T.is_blank(F.col("link")))
-    return event_time(rows, "fetched_at").withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["link"])
+    return write_batches(items, path, checkpoint, each=fresh, with_id=True, **kw)
 
 
-def start_article_dedup(items: DataFrame, store: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
-    """New links only: unique in the stream, then not in the store."""
-    return write_batches(unique_items(items), path, checkpoint, each=lambda b: new_minus_store(b, store), **kw)
+def daily_counts(articles: DataFrame) -> DataFrame:
+    """Visible, valid articles per day."""
+    rows = articles.where(visible_valid()).groupBy(F.to_date("created_at").alias("day"))
+    return rows.agg(F.count(F.lit(1)).alias("articles"))
 
 
-def daily_counts(articles: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Visible, valid articles per day, updated as they arrive."""
-    rows = event_time(articles.where(visible_valid()), "created_at").withWatermark("created_at", delay)
-    return (rows.groupBy(F.window("created_at", "1 day")).agg(F.count(F.lit(1)).alias("articles"))
-            .select(F.to_date("window.start").alias("day"), "articles"))
+def shift_digest(articles: DataFrame) -> DataFrame:
+    """Retained articles per half-open shift and digest category."""
+    rows = articles.where(visible_valid() & (F.col("is_retained") == 1))
+    return rows.groupBy(R.shift_start(F.col("created_at")).alias("shift_start"), stats.digest_bucket(F.col("category")).alias("category")).agg(
+        F.count(F.lit(1)).alias("articles"))
 
 
-def shift_digest(articles: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Retained articles per half-open shift and digest category, updated as they arrive.
+def start_counts(articles: DataFrame, count: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **kw) -> StreamingQuery:
+    """Append each batch's partial counts. No state and no watermark, so an article counts however late it arrives."""
+    return write_batches(articles, path, checkpoint, each=count, **kw)
 
-    Shifts are 14 and 10 hours long, so the shift start is the group key; being the watermarked
-    column it also lets Spark drop finished shifts.
-    """
-    rows = articles.where(visible_valid() & (F.col("is_retained") == 1))
-    rows = rows.select(R.shift_start(F.col("created_at")).alias("shift_start"),
-                       stats.digest_bucket(F.col("category")).alias("category"))
-    counts = (event_time(rows, "shift_start").withWatermark("shift_start", delay).groupBy("shift_start", "category")
-              .agg(F.count(F.lit(1)).alias("articles")))
-    return counts.withColumn("shift_start", F.col("shift_start").cast("timestamp_ntz"))
+
+def read_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """All partial counts so far, added up."""
+    return read_batches(spark, path).groupBy(*keys).agg(F.sum("articles").alias("articles"))
 
 
 def start_updates_log(updates: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:

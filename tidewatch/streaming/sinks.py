@@ -9,11 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append",
-                  each: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start a query that writes every micro-batch, after ``each``, to its own folder under ``path``."""
+                  each: Callable[..., DataFrame] | None = None, available_now: bool = True, with_id: bool = False) -> StreamingQuery:
+    """Start a query that writes every micro-batch, after ``each`` (also given the batch id if asked), to its own folder under ``path``."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        rows = each(batch) if each else batch
+        rows = (each(batch, batch_id) if with_id else each(batch)) if each else batch
         rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint)

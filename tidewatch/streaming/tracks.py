@@ -74,8 +74,8 @@ def judge(points: pd.DataFrame, window_hours: float = 2, gap_hours: float = 2) -
 class VesselStatus(StatefulProcessor):
     """Keeps the newest points of a vessel; a timer reports it offline when it falls silent."""
 
-    def __init__(self, days: int = 3, offline_hours: int = 2, limit: int = V.TRACK_READ):
-        self.days, self.offline_hours, self.limit = days, offline_hours, limit
+    def __init__(self, days: int = 3, offline_hours: int = 2):
+        self.days, self.offline_hours = days, offline_hours
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -83,13 +83,13 @@ class VesselStatus(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         known = pd.DataFrame(list(self.points.get()), columns=_FIELDS)
-        for chunk in rows:  # cut after every chunk, so a busy vessel never grows in memory
+        for chunk in rows:  # cut to the look-back after every chunk
             fresh = pd.DataFrame({"ts_us": chunk["timestamp"].astype("datetime64[us]").astype("int64"),
                                   **{c: chunk[c] for c in _FIELDS[1:]}})
             known = fresh if known.empty else pd.concat([known, fresh], ignore_index=True)
             known = known.drop_duplicates(["ts_us", "id"]).sort_values(["ts_us", "id"])
             oldest = known["ts_us"].iloc[-1] - self.days * 86_400_000_000
-            known = known[known["ts_us"] >= oldest].tail(self.limit)
+            known = known[known["ts_us"] >= oldest]
         self.points.put([tuple(None if pd.isna(x) else x for x in r)
                          for r in known.astype({"ts_us": "int64", "id": "int64"}).astype(object).itertuples(index=False)])
         last = known.iloc[-1]
@@ -105,11 +105,17 @@ class VesselStatus(StatefulProcessor):
         points = pd.DataFrame(list(self.points.get()), columns=_FIELDS)
         if not points.empty:
             yield self._row(key, "offline", None, points.iloc[-1], None)
+            last = int(points["ts_us"].iloc[-1]) // 1000
+            forget = last + self.days * 86_400_000
+            if expiredTimerInfo.getExpiryTimeInMs() >= forget:
+                self.points.clear()
+            else:  # a vessel that stays silent for the whole look-back is forgotten
+                self.handle.registerTimer(forget)
 
     @staticmethod
     def _row(key, status, knots, last, place) -> pd.DataFrame:
         return pd.DataFrame({"mmsi": [key[0]], "status": [status], "speed_kn": pd.Series([knots], dtype="float64"),
-                             "heading": [float(last["heading"])], "location": [place],
+                             "heading": [float(last["heading"]) if pd.notna(last["heading"]) else None], "location": [place],
                              "status_date": [pd.Timestamp(int(last["ts_us"]), unit="us")]})
 
 

@@ -161,6 +161,5 @@ MAX_SEGMENT_MS = 15.0
 DRIFT_M = 80.0
 SPEED_TAIL = 24
 TRACK_KEEP = 5000
-TRACK_READ = 2000
 FRESH_DAYS = 5
 STALE_DAYS = 30
