@@ -37,9 +37,32 @@ def test_site_links_fall_back(spark):
     assert [r.url for r in inside.collect()] == ["https://h.x/press/one"]
 
 
-def test_parser_agrees(spark):
-    df = page_df(spark)
-    assert P.parse_pages(df, tag="div").first().content == P.extract_content(df).first().content
+def hand_page(spark, html):
+    return spark.createDataFrame([(1, "https://h.x/dir/p", html)], "page_id bigint, url string, html string")
+
+
+def test_nested_and_repeated_containers(spark):
+    main = "main words " * 30
+    df = hand_page(spark, f'<body><div class="content"><div>intro</div><p>{main}</p></div><div class=content>second</div></body>')
+    assert P.extract_content(df).first().content == f"intro\n{main.strip()}"
+    link = '<div class="card"><a href="/press/{0}">Headline number {0} of the day</a></div>'
+    df = hand_page(spark, "".join(link.format(i) for i in range(3)))
+    assert [r.url for r in P.extract_links_custom(df, include=["h.x"]).collect()] == [f"https://h.x/press/{i}" for i in range(3)]
+    df = hand_page(spark, '<div class="latest-news-box"><a href="/press/a">A headline that is long enough</a></div><a href="/b">Another headline, outside of it</a>')
+    assert [r.url for r in P.extract_links_custom(df, include=["h.x"]).collect()] == ["https://h.x/press/a"]
+
+
+@pytest.mark.parametrize("href", ["'/press/one'", '"/press/one"', "/press/one"])
+def test_every_quote_style(spark, href):
+    df = hand_page(spark, f"<body><a class=x href={href}>It&#8217;s a headline &amp; long enough</a>")
+    assert [(r.title, r.url) for r in P.extract_links(df).collect()] == [("It’s a headline & long enough", "https://h.x/press/one")]
+
+
+def test_dates_in_any_attribute_order(spark):
+    df = hand_page(spark, "<head><meta name=date content='no date'><meta content='2024-1-5T08:00Z' property='article:published_time'></head><time datetime=2023/1/1>")
+    assert P.extract_page_date(df).first().pub_date == "2024-01-05"
+    assert P.extract_page_date(hand_page(spark, "<time datetime='soon'><time datetime=2023/1/1>")).first().pub_date == "2023-01-01"
+    assert P.extract_page_date(hand_page(spark, None)).first().pub_date == ""
 
 
 def test_source_config_file(spark, tmp_path):

@@ -71,9 +71,9 @@ def extract_page_date(v):
 @query
 def security_interstitial(v):
     title = F.when(F.col("page_id") % 5 == 0, "Privacy error").when(F.col("page_id") % 5 == 1, "Oops net::ERR_CERT_DATE_INVALID").otherwise(
-        P.visible_text(P.container(F.col("html"), "title")))
+        P.page_title())
     url = F.when(F.col("page_id") % 5 == 2, "chrome-error://chromewebdata/").otherwise(F.col("url"))
-    return v.pages.select("page_id", T.is_security_page(title, url).alias("is_blocked"))
+    return P.outline(v.pages).select("page_id", T.is_security_page(title, url).alias("is_blocked"))
 
 
 def configured_links(v: Views) -> DataFrame:

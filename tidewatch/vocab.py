@@ -93,7 +93,7 @@ TRACKING_PARAMS = ["gclid", "fbclid", "igshid", "mc_cid", "mc_eid", "mkt_tok", "
 CONTENT_SELECTORS = ["article", ".post-content", ".entry-content", ".article-content", ".article-body",
                      "#article-body", ".body-content", ".main-content", "main", "#content", ".content"]
 SITE_LINK_SELECTORS = ["article", ".news-item", ".card", ".news", ".press-item", ".release", ".item",
-                       "h2", "h3", "h4"]
+                       '[class*="news"]', '[class*="press"]', "h2", "h3", "h4", ".overview", ".listing", ".items"]
 
 # --- remarks written into results (fixed values) ---
 R_EMPTY = "标题或链接为空"
