@@ -202,6 +202,10 @@ SELECT id, CASE WHEN is_relevant THEN 1 ELSE 0 END AS valid, c AS category, CASE
        CASE WHEN NOT is_relevant THEN '无效数据' WHEN c <> 'Other' THEN '保留' ELSE 'AI判定无关' END AS remark
 FROM (SELECT *, CASE WHEN is_relevant THEN coalesce({norm_cat('category')}, 'Market') ELSE 'Other' END AS c FROM judged)""")
 add("result_pub_date", "articles", "SELECT id, CASE WHEN id % 4 = 0 THEN '2024-01-09' ELSE pub_date END AS pub_date FROM articles")
+add("resolve_category_keep_other", "articles", f"""
+SELECT id, CASE WHEN lower(trim(category)) = 'other' THEN 'Other' ELSE {resolve('category', 'title', 'title_cn', 'summary_cn')} END AS category FROM articles""")
+add("contains_any_word", "", r"""
+SELECT doc_id, coalesce(regexp_matches(lower(text), '(^|[^a-z0-9])(the|of|und|là|\+1)([^a-z0-9]|$)'), false) AS hit FROM documents""")
 add("contains_any", "", f"SELECT doc_id, {any_word('lower(text)', V.SECONDARY_WORDS)} AS hit FROM documents")
 
 add("daily_counts", "articles", f"""

@@ -4,14 +4,14 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry
+from tidewatch.plans.catalog import QUERIES
 
 WRITES = {"append_tracks", "read_vessel_csv", "write_articles", "write_audit", "read_feed_files"}
-NAMES = sorted(n for n in entry.queries() if n not in WRITES and not n.startswith("stream_"))
+NAMES = sorted(n for n in QUERIES if n not in WRITES and not n.startswith("stream_"))
 
 
 def plan(spark, sf_dir, name):
-    return entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -307,9 +307,27 @@ def test_written_report(spark, sf_dir):
     from tidewatch.plans.views import Views
 
     few = Views(spark, sf_dir).articles.where("id < 12")
-    text = R.report_text(few, AS_OF, "Harbour news")
+    text = "\n".join(r.line for r in R.report_document(few, AS_OF, "Harbour news").collect())
     assert text.startswith("# 🌏 Harbour news (2024-01-30 18:00)") and text.count("### [") == few.count()
     sections = [line for line in text.split("\n") if line.startswith("## ")]
     assert len(sections) == len(set(sections))
-    with pytest.raises(ValueError):
-        R.report_text(few, AS_OF, max_articles=2)
+    assert text.index("分析概况") < text.index("### [")
+
+
+def test_status_update_runs_on_its_own_output(spark, sf_dir):
+    from tidewatch.operators import fleet
+    from tidewatch.plans.views import Views
+
+    v = Views(spark, sf_dir)
+    once = fleet.fleet_status_update(v.ships, v.tracks, AS_OF, 10, 24)
+    again = fleet.fleet_status_update(once, v.tracks, AS_OF, 10, 24)
+    assert again.columns == once.columns and sorted(map(str, again.collect())) == sorted(map(str, once.collect()))
+
+
+def test_long_track_is_read_whole(spark):
+    """Ten thousand points of one vessel: medians and windows see all of them."""
+    rows = [(i, "9", "n", 50.0 + i * 1e-5, 4.0, float(i % 7), 0.0, "x", AS_OF - timedelta(seconds=20 * (10_000 - i)), AS_OF) for i in range(10_000)]
+    tracks = spark.createDataFrame(rows, S.TRACK)
+    assert T.segment_speeds(T.recent_tracks(tracks, AS_OF)).count() == 9_999
+    assert T.fallback_speed(T.recent_tracks(tracks, AS_OF)).first().speed_ms == pytest.approx(3 * 0.514444)
+    assert T.vessel_status(tracks, AS_OF).first().status == "moored"

@@ -41,10 +41,14 @@ def normalize_category(value: Column) -> Column:
     return _normalized(low, _compact(low))
 
 
-def resolve_category(category: Column, *texts: Column) -> Column:
-    """Given category if it can be normalised, else inferred from the texts, else the default."""
+def resolve_category(category: Column, *texts: Column, keep_other: bool = False) -> Column:
+    """Given category if it can be normalised, else inferred from the texts, else the default.
+
+    "Other" is no topic and is derived anew, unless ``keep_other``.
+    """
     text = F.concat_ws(" ", *[F.coalesce(t, F.lit("")) for t in texts])
-    return F.coalesce(normalize_category(category), infer_category(text), F.lit(V.DEFAULT_CATEGORY))
+    derived = F.coalesce(normalize_category(category), infer_category(text), F.lit(V.DEFAULT_CATEGORY))
+    return F.when(F.lower(F.trim(category)) == "other", F.lit("Other")).otherwise(derived) if keep_other else derived
 
 
 def with_normalized_category(df: DataFrame, name: str, value: Column) -> DataFrame:

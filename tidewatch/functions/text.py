@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -35,11 +36,15 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def contains_any(lowered: Column, words: list[str]) -> Column:
+def contains_any(lowered: Column, words: list[str], word_boundary: bool = False) -> Column:
     """Any of the words as a substring. Pass text that is already lower case.
 
     A word that contains another word of the list cannot change the answer and is not searched for.
+    With ``word_boundary`` a word counts only where no Latin letter or digit touches it.
     """
+    if word_boundary:
+        any_of = "|".join(re.escape(w) for w in dict.fromkeys(words))
+        return F.rlike(lowered, F.lit(rf"(?<![a-z0-9])(?:{any_of})(?![a-z0-9])"))
     needed = [w for w in dict.fromkeys(words) if not any(o in w for o in words if o != w)]
     if len(needed) <= 3:
         return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in needed])
@@ -51,8 +56,8 @@ def count_hits(lowered: Column, words: list[str]) -> Column:
     return bind(lowered, lambda t: F.size(F.filter(word_array(words), lambda w: F.contains(t, w))))
 
 
-def text_contains_any(text: Column, words: list[str]) -> Column:
-    return F.coalesce(contains_any(F.lower(text), words), F.lit(False))
+def text_contains_any(text: Column, words: list[str], word_boundary: bool = False) -> Column:
+    return F.coalesce(contains_any(F.lower(text), words, word_boundary), F.lit(False))
 
 
 def clean_article_text(text: Column) -> Column:

@@ -132,20 +132,24 @@ def report_lines(articles: DataFrame) -> DataFrame:
         "created_at").orderBy("section_order", *newest_first())
 
 
-def report_text(articles: DataFrame, as_of: datetime, name: str = DIGEST_NAME, max_articles: int = 2000) -> str:
-    """The written report as one text, for a digest of bounded size (refused beyond it)."""
-    rows = report_lines(articles).limit(max_articles + 1).collect()
-    if len(rows) > max_articles:
-        raise ValueError(f"more than {max_articles} articles; narrow the window")
-    out = [f"# 🌏 {name} ({as_of:%Y-%m-%d %H:%M})", "", "## 📊 分析概况",
-           f"- **生成时间**: {as_of:%Y-%m-%d %H:%M:%S}", f"- **总文章数**: {len(rows)} 篇", ""]
-    section = None
-    for r in rows:
-        if r.section != section:
-            section = r.section
-            out.append(section)
-        out += [x for x in (r.heading, r.summary_line, r.picture_line) if x] + [""]
-    return "\n".join(out)
+def report_document(articles: DataFrame, as_of: datetime, name: str = DIGEST_NAME) -> DataFrame:
+    """The written report, one row a line, in order. Of any size: nothing is gathered but the number of articles."""
+    rows = report_lines(articles)
+    parts = F.filter(F.array("heading", "summary_line", "picture_line", F.lit("")), lambda x: x.isNotNull())
+    newest = [F.col("created_at"), F.col("id").cast("bigint").alias("id")]
+    body = rows.select("section_order", F.lit(1).alias("_body"), *newest, F.posexplode(parts).alias("_at", "line"))
+    none = [F.lit(None).cast("timestamp_ntz").alias("created_at"), F.lit(None).cast("bigint").alias("id"), F.lit(0).alias("_at")]
+    heads = rows.select("section_order", F.lit(0).alias("_body"), *none, F.col("section").alias("line")).distinct()
+    top = F.array(F.lit(f"# 🌏 {name} ({as_of:%Y-%m-%d %H:%M})"), F.lit(""), F.lit("## 📊 分析概况"),
+                  F.lit(f"- **生成时间**: {as_of:%Y-%m-%d %H:%M:%S}"), F.concat(F.lit("- **总文章数**: "), F.col("n").cast("string"), F.lit(" 篇")), F.lit(""))
+    intro = articles.agg(F.count(F.lit(1)).alias("n")).select(F.lit(0).alias("section_order"), F.lit(0).alias("_body"), *none[:2], F.posexplode(top).alias("_at", "line"))
+    return (intro.unionByName(heads).unionByName(body)
+            .orderBy("section_order", "_body", F.desc("created_at"), F.desc("id"), "_at").select("line"))
+
+
+def write_report(articles: DataFrame, as_of: datetime, path: str, name: str = DIGEST_NAME) -> None:
+    """Write the report as text files whose names keep the order."""
+    report_document(articles, as_of, name).write.mode("overwrite").text(path)
 
 
 AUDIT_HEADER = ["| 序号 | 网站 | 新闻名称 | 发布时间 | 是否保留 | TextLLM识别成功 | VL识别成功 | 数据来源 | 备注 | 新闻链接 |",

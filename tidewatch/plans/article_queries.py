@@ -323,6 +323,12 @@ def resolve_category(v):
                                                       F.col("summary_cn"), F.lit("")).alias("category"))
 
 
+@query
+def resolve_category_keep_other(v):
+    return v.articles.select("id", C.resolve_category(F.col("category"), F.col("title"), F.col("title_cn"), F.col("summary_cn"),
+                                                      keep_other=True).alias("category"))
+
+
 @query
 def primary_category(v):
     other = F.element_at(F.array(*[F.lit(c) for c in V.CATEGORIES]), (F.col("id") % 7 + 1).cast("int"))
@@ -359,6 +365,11 @@ def contains_any(v):
     return v.documents.select("doc_id", T.text_contains_any(F.col("text"), V.SECONDARY_WORDS).alias("hit"))
 
 
+@query
+def contains_any_word(v):
+    return v.documents.select("doc_id", T.text_contains_any(F.col("text"), ["the", "of", "und", "là", "+1"], word_boundary=True).alias("hit"))
+
+
 # --- counts ---
 
 

@@ -135,7 +135,9 @@ def _struct(ddl: str) -> str:
 
 
 def read_source_config(spark: SparkSession, path: str) -> DataFrame:
-    return source_configs(spark.read.text(path, wholetext=True).withColumnRenamed("value", "doc"))
+    """Configuration files in the order of their paths."""
+    docs = spark.read.text(path, wholetext=True).select(F.col("value").alias("doc"), F.col("_metadata.file_path").alias("file"))
+    return source_configs(docs, order=["file"]).drop("file")
 
 
 def fleet_positions(payloads: DataFrame, order: str = "batch") -> DataFrame:
