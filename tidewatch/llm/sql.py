@@ -48,19 +48,19 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, s
 FROM words LEFT JOIN kept USING (doc_id)"""
 
 SUFFIXES = """
-WITH raw AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
-windows AS (
-  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS h
-  FROM (SELECT doc_id, x, unnest(range(n - 49)) AS i FROM raw WHERE n >= 50)),
-first AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN first USING (h) WHERE first < doc_id),
-flagged AS (
-  SELECT doc_id, p, substr(x, 2 * p + 1, 2) AS b, g IS NOT NULL AS g, coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY p), 0) AS before
-  FROM (SELECT doc_id, x, unnest(range(n)) AS p FROM raw) LEFT JOIN (SELECT doc_id, p, 1 AS g FROM gone) USING (doc_id, p)),
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+windows AS (SELECT doc_id, i, x[i:i + 49] AS w FROM (SELECT doc_id, x, unnest(range(1, n - 48)) AS i FROM raw WHERE n >= 50)),
+first AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+gone AS (SELECT DISTINCT doc_id, i FROM windows JOIN first USING (w) WHERE first < doc_id),
+marked AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 50, true) AS fresh FROM gone),
+numbered AS (SELECT doc_id, i, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + 49 AS e FROM numbered GROUP BY doc_id, run),
+parts AS (SELECT *, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM spans),
 kept AS (
-  SELECT doc_id, count(*) FILTER (g) AS n_removed, count(*) FILTER (g AND before = 0) AS n_spans,
-    string_agg(b, '' ORDER BY p) FILTER (NOT g) AS b
-  FROM flagged GROUP BY doc_id)
-SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  sha256(unhex(coalesce(b, ''))) AS kept_sha256
+  SELECT doc_id, sum(e - s + 1)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(CASE WHEN s - 1 > before THEN hex(x[before + 1:s - 1]) ELSE '' END, '' ORDER BY s)
+      || CASE WHEN max(e) < any_value(n) THEN hex(any_value(x)[max(e) + 1:any_value(n)]) ELSE '' END AS b
+  FROM parts JOIN raw USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_removed IS NULL THEN x ELSE unhex(b) END) AS kept_sha256
 FROM raw LEFT JOIN kept USING (doc_id)"""
