@@ -69,8 +69,13 @@ def skips(seed: int, dropout: float) -> bytes:
     return (drawn.astype(np.float64) < dropout * 2.0**64).astype(np.uint8).tobytes()
 
 
-def segment(chunk: str, rank: dict[str, int], key: int = 0, skip: bytes = b"") -> list[str]:
-    """Pieces of one chunk. A candidate (place and rank) is skipped if the flag of its keyed hash is set."""
+def skipped(top: int, key: int, skip: bytes) -> int:
+    """The flag of a candidate's keyed hash; `top` is its rank and place."""
+    return skip[((top ^ key) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF]
+
+
+def segment(chunk: str, rank: dict[str, int], key: int = 0, skip: bytes = b"", merged: list[int] | None = None) -> list[str]:
+    """Pieces of one chunk. A candidate is skipped if its flag is set; `merged` collects the others in order."""
     part = list(chunk)
     n = len(part)
     if n < 2:
@@ -91,8 +96,10 @@ def segment(chunk: str, rank: dict[str, int], key: int = 0, skip: bytes = b"") -
         if not part[i] or j >= n:
             continue
         both = part[i] + part[j]
-        if rank.get(both) != r or skip and skip[((top ^ key) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF]:
+        if rank.get(both) != r or skip and skipped(top, key, skip):
             continue
+        if merged is not None:
+            merged.append(top)
         part[i], part[j] = both, ""
         k = right[i] = right[j]
         if k < n:
@@ -108,26 +115,49 @@ def segment(chunk: str, rank: dict[str, int], key: int = 0, skip: bytes = b"") -
     return [p for p in part if p]
 
 
-class _Encoder(dict):
-    """Ids (packed ints) by chunk, one variant."""
+class _Whole(dict):
+    """(packed ids, merges in order) by chunk, without dropout; shared by the variants."""
 
-    def __init__(self, model: dict, seed: int, variant: int, skip: bytes):
+    def __init__(self, model: dict):
         super().__init__()
-        self.model, self.skip = model, skip
-        self.salt = _fold(seed * 0x9E3779B97F4A7C15 + variant + 1 & _M)
+        self.model = model
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids, byte, key = self.model["ids"], self.model["byte"], 0
-        if self.skip:
-            key = self.salt ^ zlib.crc32(chunk.encode("utf-8", "surrogatepass")) << 32
-        out = []
-        for piece in segment(chunk, self.model["rank"], key, self.skip):
+    def packed(self, pieces: list[str]) -> bytes:
+        ids, byte, out = self.model["ids"], self.model["byte"], []
+        for piece in pieces:
             i = ids.get(piece)
             if i is not None:
                 out.append(i)
             else:
                 out += [byte + b for c in piece for b in (MARK if c == HELD else c).encode()]
-        packed = array("i", out).tobytes()
+        return array("i", out).tobytes()
+
+    def __missing__(self, chunk: str) -> tuple[bytes, tuple[int, ...]]:
+        merged: list[int] = []
+        got = self.packed(segment(chunk, self.model["rank"], merged=merged)), tuple(merged)
+        if len(chunk) <= 64:
+            if len(self) >= KEPT_CHUNKS:
+                self.clear()
+            self[chunk] = got
+        return got
+
+
+class _Encoder(dict):
+    """Ids (packed ints) by chunk, one variant."""
+
+    def __init__(self, whole: _Whole, seed: int, variant: int, skip: bytes):
+        super().__init__()
+        self.whole, self.skip = whole, skip
+        self.salt = _fold(seed * 0x9E3779B97F4A7C15 + variant + 1 & _M)
+
+    def __missing__(self, chunk: str) -> bytes:
+        packed, merged = self.whole[chunk]
+        if self.skip:
+            key, skip = self.salt ^ zlib.crc32(chunk.encode("utf-8", "surrogatepass")) << 32, self.skip
+            for top in merged:
+                if skip[((top ^ key) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF]:  # else dropout changes nothing
+                    packed = self.whole.packed(segment(chunk, self.whole.model["rank"], key, skip))
+                    break
         if len(chunk) <= 64:
             if len(self) >= KEPT_CHUNKS:
                 self.clear()
@@ -140,7 +170,8 @@ def encoders(model: dict, seed: int, dropout: float, variants: int) -> list[_Enc
     kept, key = model.setdefault("encoders", {}), (seed, dropout, variants)
     if key not in kept:
         skip = skips(seed, dropout) if dropout else b""
-        kept[key] = [_Encoder(model, seed, v, skip) for v in range(variants if dropout else 1)]
+        whole = _Whole(model)
+        kept[key] = [_Encoder(whole, seed, v, skip) for v in range(variants if dropout else 1)]
     return kept[key]
 
 
