@@ -202,3 +202,4 @@ SELECT url, id AS seq, title, title_cn, pub_date, source_type, source_name, summ
 add("analysis_job", "store_r job_updates", upsert("store_r", "job_updates", NOW, False))
 outcome("job_outcome", "audit", "todo_gated")
 add("analysis_job_audit", "job_outcome", "SELECT seq, keep, text_ok, vl_ok, remark FROM job_outcome")
+SQL["upsert_store"] = SQL["upsert_articles"]

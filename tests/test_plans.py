@@ -6,7 +6,7 @@ import pytest
 
 from tidewatch.plans.catalog import QUERIES
 
-WRITES = {"append_tracks", "read_vessel_csv", "write_articles", "write_audit", "read_feed_files"}
+WRITES = {"append_tracks", "upsert_store", "read_vessel_csv", "write_articles", "write_audit", "read_feed_files"}
 NAMES = sorted(n for n in QUERIES if n not in WRITES and not n.startswith("stream_"))
 
 

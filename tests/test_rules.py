@@ -298,7 +298,7 @@ def test_checkpointed_ingest_is_the_same(spark, sf_dir):
 
     v = Views(spark, sf_dir)
     scratch_dir(spark, "x")  # makes sure the test session has a checkpoint folder
-    plain, stored = (jobs.ingest(v.raw_items, v.store, AS_OF, checkpoint=c)["store"] for c in (False, True))
+    plain, stored = (jobs.ingest(v.raw_items, v.store, AS_OF, store_once=c)["store"] for c in (False, True))
     assert sorted(map(str, plain.collect())) == sorted(map(str, stored.collect()))
 
 
@@ -331,3 +331,38 @@ def test_long_track_is_read_whole(spark):
     assert T.segment_speeds(T.recent_tracks(tracks, AS_OF)).count() == 9_999
     assert T.fallback_speed(T.recent_tracks(tracks, AS_OF)).first().speed_ms == pytest.approx(3 * 0.514444)
     assert T.vessel_status(tracks, AS_OF).first().status == "moored"
+
+
+def test_fleet_job_runs_on_its_own_output(spark, sf_dir):
+    from tidewatch.plans import jobs, track_queries as Q
+    from tidewatch.plans.views import Views
+    from tidewatch.sources import files
+
+    v = Views(spark, sf_dir)
+    payload = files.fleet_positions(Q.payloads(v))
+    once = jobs.fleet_job(payload, v.ships, v.tracks, v.gazetteer, AS_OF, 10, 24)
+    store = v.tracks.unionByName(once["new_tracks"])
+    again = jobs.fleet_job(payload, once["ships"], store.dropDuplicates(["mmsi", "timestamp", "lat", "lng"]), v.gazetteer, AS_OF, 10, 24)
+    key = lambda df: {r.id: (r.mmsi, r.location, r.country) for r in df.collect()}
+    assert again["ships"].columns == once["ships"].columns and key(again["ships"]) == key(once["ships"])
+
+
+def test_only_touched_buckets_are_written(spark):
+    import os
+
+    from tidewatch.operators import upsert as U
+    from tidewatch.session import scratch_dir
+    from tidewatch.sources import sinks
+
+    store = spark.createDataFrame([(i, f"u{i}", "old", None, "", "rss", "s", None, None, 1, 0, 0, None, AS_OF) for i in range(200)], STORE)
+    updates = spark.createDataFrame(random_updates(random.Random(5), 4), UPDATE)
+    path = scratch_dir(spark, "store")
+    sinks.write_store(store, path)
+    root = path.removeprefix("file:")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+    before = files()
+    sinks.upsert_store(spark, path, updates, AS_OF)
+    assert len(before & files()) >= len(before) - 4 and before != files()
+    want = U.upsert_articles(store, updates, AS_OF)
+    got = spark.read.parquet(path).select(*want.columns)
+    assert sorted(map(str, got.drop("id").collect())) == sorted(map(str, want.drop("id").collect()))

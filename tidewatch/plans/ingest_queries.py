@@ -77,6 +77,15 @@ def upsert_articles(v):
     return U.upsert_articles(store, updates(v), LATER).select(*STORE_COLUMNS)
 
 
+@query
+def upsert_store(v):
+    """The same updates written into a bucketed store."""
+    path = scratch_dir(v.spark, "store")
+    sinks.write_store(v.store.withColumn("remark", F.lit(None).cast("string")), path)
+    sinks.upsert_store(v.spark, path, updates(v), LATER)
+    return sinks.read_table(v.spark, path).select(*STORE_COLUMNS)
+
+
 @query
 def ingest_job(v):
     return jobs.ingest(v.raw_items, v.store, AS_OF)["store"].select(*STORE_COLUMNS)

@@ -9,20 +9,21 @@ from pyspark.sql import DataFrame, functions as F
 from tidewatch import vocab as V
 from tidewatch.functions import geo, text as T
 from tidewatch.operators import analysis as A, dedup as D, filters, fleet, geocode, items as I, tracks, upsert as U
+from tidewatch.session import stored
 
 
-def ingest(items: DataFrame, store: DataFrame, as_of: datetime, checkpoint: bool = False) -> dict[str, DataFrame]:
+def ingest(items: DataFrame, store: DataFrame, as_of: datetime, store_once: bool = True) -> dict[str, DataFrame]:
     """Collected items into the store. Returns decided (every item), audit and the new store.
 
-    Every output comes from the one table of decided items; with ``checkpoint`` it is written to the
-    session's checkpoint folder once instead of being computed for each output.
+    Every output comes from the one table of decided items, which is written to the scratch folder
+    once (unless told otherwise) instead of being computed for each output.
     """
     rows = I.complete_item_fields(I.normalize_links(items))
     if "remark" not in store.columns:
         store = store.withColumn("remark", F.lit(None).cast("string"))
     decided = D.ingest_disposition(rows, store, as_of)
-    if checkpoint:
-        decided = decided.checkpoint()
+    if store_once:
+        decided = stored(decided, "decided")
     has_link = ~T.is_blank(F.col("link"))
     new = D.as_store_rows(decided.where(has_link & ~F.col("is_known") & F.col("is_first")), as_of)
     grown = store.unionByName(new, allowMissingColumns=True)
@@ -64,9 +65,14 @@ def track_rows(placed: DataFrame, as_of: datetime) -> DataFrame:
 
 def fleet_job(payload: DataFrame, ships: DataFrame, track_store: DataFrame, gazetteer: DataFrame, as_of: datetime,
               days: int = 3, offline_hours: int = 2) -> dict[str, DataFrame]:
-    """New positions into registry and tracks, tracks cut to their length, status recomputed."""
-    placed = place_positions(payload, ships, gazetteer, as_of)
-    registry = fleet.position_update(ships, placed, as_of)
-    grown = tracks.track_retention(track_store.unionByName(track_rows(placed, as_of)), V.TRACK_KEEP)
-    return {"placed": placed, "tracks": grown,
-            "ships": fleet.fleet_status_update(registry, grown, as_of, days, offline_hours)}
+    """New positions into the registry, status recomputed. Runs on its own output.
+
+    The positions are placed once and written to the scratch folder. ``new_tracks`` is what to append;
+    the status reads the look-back of the track table only. ``tracks`` is the whole table cut to its
+    length, for a compaction that need not run each time.
+    """
+    placed = stored(place_positions(payload, ships, gazetteer, as_of), "placed")
+    registry, fresh = fleet.position_update(ships, placed, as_of), track_rows(placed, as_of)
+    seen = tracks.recent_tracks(track_store, as_of, days).unionByName(fresh)
+    return {"placed": placed, "new_tracks": fresh, "tracks": tracks.track_retention(track_store.unionByName(fresh), V.TRACK_KEEP),
+            "ships": fleet.fleet_status_update(registry, seen, as_of, days, offline_hours)}

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tidewatch.operators.upsert import upsert_articles
+from tidewatch.session import stored
+
+STORE_BUCKETS = 64
 
 
 def write_articles(articles: DataFrame, path: str) -> None:
@@ -16,6 +23,23 @@ def write_articles(articles: DataFrame, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("created_date").parquet(path))
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("url"), F.lit(buckets)).cast("int")
+
+
+def write_store(articles: DataFrame, path: str, buckets: int = STORE_BUCKETS) -> None:
+    """Lay a store out by buckets of the url, so that an update touches few of them; only buckets in ``articles`` are replaced."""
+    rows = _ranges(articles.withColumn("bucket", _bucket(buckets)), "bucket", "url")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def upsert_store(spark: SparkSession, path: str, updates: DataFrame, as_of: datetime, buckets: int = STORE_BUCKETS) -> None:
+    """Apply updates to a store laid out by ``write_store``; buckets without updates are neither read nor written."""
+    touched = [r[0] for r in updates.where("url is not null").select(_bucket(buckets)).distinct().collect()]  # at most `buckets` numbers
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).drop("bucket")
+    write_store(stored(upsert_articles(old, updates, as_of), "upsert"), path, buckets)
+
+
 def write_audit(audit: DataFrame, run_id: str | None, path: str) -> None:
     rows = audit if run_id is None else audit.withColumn("run_id", F.lit(run_id))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
