@@ -154,7 +154,7 @@ SELECT id FROM articles WHERE coalesce(is_hidden, 0) = 0 AND valid = 1 AND is_re
 AND CAST(created_at AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-28'
 AND (title ILIKE '%dredg%' OR coalesce(title_cn, '') ILIKE '%dredg%' OR summary_cn ILIKE '%dredg%')""")
 add("article_filter_fields", "articles", """
-SELECT id FROM articles WHERE coalesce(is_hidden, 0) = 0 AND category = 'Equipment' AND source_type = 'web' AND source_name = 'src9'""")
+SELECT id FROM articles WHERE coalesce(is_hidden, 0) = 0 AND category = 'Equipment' AND source_type = 'wechat' AND source_name = 'src9'""")
 add("keyword_search", "articles", """
 SELECT id, title FROM articles WHERE title ILIKE '%TERMINAL%' OR coalesce(title_cn, '') ILIKE '%TERMINAL%' OR summary_cn ILIKE '%TERMINAL%'""")
 add("needs_enrichment", "articles", f"""

@@ -249,7 +249,7 @@ def article_filter(v):
 
 @query
 def article_filter_fields(v):
-    return filters.article_filter(v.articles, category="Equipment", source_type="web", source_name="src9").select("id")
+    return filters.article_filter(v.articles, category="Equipment", source_type="wechat", source_name="src9").select("id")
 
 
 @query
