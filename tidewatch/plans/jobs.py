@@ -49,12 +49,12 @@ def analyse(store: DataFrame, results: DataFrame, run_items: DataFrame, audit: D
 
 
 def place_positions(payload: DataFrame, ships: DataFrame, gazetteer: DataFrame, as_of: datetime,
-                    country_dim: DataFrame | None = None) -> DataFrame:
-    """Reported positions of registered ships, validated and with their nearest place."""
+                    country_dim: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Reported positions of registered ships, validated and with their nearest place (``index``: a kept ``index_places``)."""
     rows = fleet.fleet_position_join(ships, payload).where(geo.is_nonzero_position(F.col("lat"), F.col("lng")))
     rows = rows.withColumn("vessel_name", fleet.vessel_name_choice(F.col("shipname"), F.col("name"), F.col("registry_name")))
     rows = rows.withColumn("timestamp", F.coalesce("timestamp", filters.ts(as_of)))
-    return geocode.reverse_geocode(rows, gazetteer, country_dim)
+    return geocode.reverse_geocode(rows, gazetteer, country_dim, index)
 
 
 def track_rows(placed: DataFrame, as_of: datetime) -> DataFrame:
@@ -64,14 +64,14 @@ def track_rows(placed: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def fleet_job(payload: DataFrame, ships: DataFrame, track_store: DataFrame, gazetteer: DataFrame, as_of: datetime,
-              days: int = 3, offline_hours: int = 2) -> dict[str, DataFrame]:
+              days: int = 3, offline_hours: int = 2, index: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """New positions into the registry, status recomputed. Runs on its own output.
 
     The positions are placed once and written to the scratch folder. ``new_tracks`` is what to append;
     the status reads the look-back of the track table only. ``tracks`` is the whole table cut to its
     length, for a compaction that need not run each time.
     """
-    placed = stored(place_positions(payload, ships, gazetteer, as_of), "placed")
+    placed = stored(place_positions(payload, ships, gazetteer, as_of, index=index), "placed")
     registry, fresh = fleet.position_update(ships, placed, as_of), track_rows(placed, as_of)
     seen = tracks.recent_tracks(track_store, as_of, days).unionByName(fresh)
     return {"placed": placed, "new_tracks": fresh, "tracks": tracks.track_retention(track_store.unionByName(fresh), V.TRACK_KEEP),

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from tidewatch import vocab as V
 from tidewatch.functions import geo
 from tidewatch.operators.filters import ts
-from tidewatch.operators.geocode import reverse_geocode
+from tidewatch.operators.geocode import index_places, reverse_geocode
+from tidewatch.session import stored
 from tidewatch.streaming.sinks import write_batches
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -20,13 +21,14 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def start_track_ingest(reports: DataFrame, gazetteer: DataFrame, path: str, checkpoint: str,
                        as_of: datetime | None = None, **kw) -> StreamingQuery:
-    """Position reports: validated, placed and appended."""
+    """Position reports: validated, placed and appended. The places are indexed once, not in every batch."""
+    index = tuple(stored(t, "places") for t in index_places(gazetteer))
 
     def place(batch: DataFrame) -> DataFrame:
         good = batch.where(geo.is_nonzero_position(F.col("lat"), F.col("lng")))
         if as_of is not None:
             good = good.withColumn("timestamp", F.coalesce("timestamp", ts(as_of)))
-        return reverse_geocode(good, gazetteer)
+        return reverse_geocode(good, gazetteer, index=index)
 
     return write_batches(reports, path, checkpoint, each=place, **kw)
 
