@@ -142,3 +142,17 @@ def test_empty_tables(spark, nothing):
         assert df.count() == 0
     one = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
     assert decontaminate.digest(decontaminate.mark(one, empty)).first()[1:4] == (3, 0, 0)
+
+
+def test_located_tells_equal_first_halves_apart():
+    a, b = np.array([1, 1, 1, 5, 9, 9], np.uint64), np.array([2, 4, 7, 1, 3, 8], np.uint64)
+    hit, where = blocks.located(np.array([1, 1, 1, 5, 9, 9, 10, 0], np.uint64), np.array([7, 2, 5, 1, 8, 9, 1, 1], np.uint64), a, b)
+    assert hit.tolist() == [True, True, False, True, True, False, False, False] and where[hit].tolist() == [2, 0, 3, 5]
+
+
+def test_plans_hold_no_cross_join(docs, spark):
+    benchmark = spark.createDataFrame([(1, "some words")], "item_id long, text string")
+    for df in (suffix_dedup.digests(docs), substring_dedup.digests(docs), line_dedup.digests(docs), bag_minhash.keep_one(docs),
+               decontaminate.clean_documents(docs, benchmark)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -196,6 +196,20 @@ def member(values: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return of[at] == values, at
 
 
+def located(a: np.ndarray, b: np.ndarray, key_a: np.ndarray, key_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(is it there, where) of 128-bit values in keys sorted by their first, then second half."""
+    hit, where = member(a, key_a)
+    while len(key_a):
+        on = np.flatnonzero(hit & (key_b[where] != b))
+        if not len(on):
+            break
+        where[on] += 1
+        hit[on] &= key_a[np.minimum(where[on], len(key_a) - 1)] == a[on]
+        hit[on] &= where[on] < len(key_a)
+        where[on] = np.minimum(where[on], len(key_a) - 1)
+    return hit, where
+
+
 def anchor_table(replies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted codes of the anchors that stay alive, and their flags."""
     fields = [unpacked(p, np.uint32, np.uint8, np.int32) for p in replies]

@@ -97,16 +97,10 @@ def _removed(data, at, doc, first, replies, half: int):
         gone = np.zeros(len(start), bool)
         if len(a) and len(h) > half:
             h50 = _doubled(h, half)
-            hit, where = blocks.member(h50, a)
-            hit = np.flatnonzero(hit & (row[:len(h50)] == row[2 * half - 1:2 * half - 1 + len(h50)]))
+            hit = np.flatnonzero(blocks.member(h50, a)[0] & (row[:len(h50)] == row[2 * half - 1:2 * half - 1 + len(h50)]))
             if len(hit):
-                other, where = _doubled(_halves(data_, at_, half, 1)[3], half)[hit], where[hit]
-                while True:  # step over equal first hashes with another second one
-                    on = np.flatnonzero((b[where] != other) & (where + 1 < len(a)) & (a[np.minimum(where + 1, len(a) - 1)] == a[where]))
-                    if not len(on):
-                        break
-                    where[on] += 1
-                hit = hit[(b[where] == other) & (least[where] < doc[lo + row[hit]])]
+                there, where = blocks.located(h50[hit], _doubled(_halves(data_, at_, half, 1)[3], half)[hit], a, b)
+                hit = hit[there & (least[where] < doc[lo + row[hit]])]
                 gone = covered(len(start), hit, hit + 2 * half)
         n = np.bincount(row, minlength=hi - lo)
         gone |= (~first[lo:hi] & (n >= 2 * half))[row]

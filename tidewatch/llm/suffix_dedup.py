@@ -165,14 +165,7 @@ def _removed(data, at, doc, first, replies, least: int, n: int):
         got = _segments(data_, at_, alive, flag, least, n) if len(a) else None
         if got:
             start, end, row, sa, sb, _ = got
-            hit, where = blocks.member(sa, key_a)
-            for step in range(64):  # over equal first hashes with another second one
-                on = np.flatnonzero(hit & (key_b[where] != sb))
-                if not len(on):
-                    break
-                where[on] += 1
-                hit[on] &= (where[on] < len(key_a)) & (key_a[np.minimum(where[on], len(key_a) - 1)] == sa[on])
-                where[on] = np.minimum(where[on], len(key_a) - 1)
+            hit, where = blocks.located(sa, sb, key_a, key_b)
             hit = np.flatnonzero(hit)
             if len(hit):
                 reply = order[where[hit]]
