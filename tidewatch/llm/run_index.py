@@ -3,7 +3,7 @@
 The texts are given in the order of their documents, so that equal suffixes sort by document. The
 index keeps, for each run of equal symbols, its start, its symbol and where that symbol's suffixes
 continue (the sampled end), and for each range of suffixes that agree on `least` symbols the
-smallest document. Texts are streamed through it backwards, all at once: one step takes every text
+smallest document; two directories name the run and the range of a place. Texts are streamed through it backwards, all at once: one step takes every text
 one symbol to the left, and once `least` symbols are matched the range tells the earliest document.
 """
 
@@ -32,7 +32,7 @@ class RunIndex:
         before = np.where(inner[suffixes - 1] & (suffixes > 0), symbol[suffixes - 1], np.uint16(0))
         new = np.ones(n, bool)
         new[1:] = before[1:] != before[:-1]
-        self.run_start = np.flatnonzero(new)
+        self.run_start, self.run_of = np.flatnonzero(new), (np.cumsum(new) - 1).astype(np.int32)
         self.run_symbol = before[self.run_start]
         length = np.diff(np.append(self.run_start, n))
         below = np.concatenate([[0], np.cumsum(np.bincount(symbol[:n].astype(np.int64), minlength=257))])
@@ -51,7 +51,7 @@ class RunIndex:
             for j in range(least):
                 same &= symbol[suffixes[k] + j] == symbol[suffixes[k - 1] + j]
             edge[k] = ~same
-        self.range_start = np.flatnonzero(edge)
+        self.range_start, self.range_of = np.flatnonzero(edge), (np.cumsum(edge) - 1).astype(np.int32)
         self.range_first = np.minimum.reduceat(doc[text[suffixes]], self.range_start)
 
     @staticmethod
@@ -91,12 +91,11 @@ class RunIndex:
         text = np.flatnonzero(windows)
         at, matched = text.astype(np.int64), 0  # the terminators sort first, in the order of the texts
         while len(text):
-            run = np.searchsorted(self.run_start, at, "right") - 1
+            run = self.run_of[at]
             at = self.run_next[run] + at - self.run_start[run]
             matched += 1
             if matched >= self.least:
-                where = np.searchsorted(self.range_start, at, "right") - 1
-                out[first[text] + self.size[text] - matched] = self.range_first[where]
+                out[first[text] + self.size[text] - matched] = self.range_first[self.range_of[at]]
                 more = self.size[text] > matched
                 text, at = text[more], at[more]
         return out
