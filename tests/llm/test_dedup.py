@@ -87,6 +87,29 @@ def test_near_groups(docs, pairs):
     assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} >= set(got.values())
 
 
+def twins(n_pairs, seed):
+    """Texts of one template at 0.75 or so to one another, and each near its one twin."""
+    r = random.Random(seed)
+    own = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
+    template, out = own(516), []
+    for _ in range(n_pairs):
+        shared, mine = own(28), []
+        for _ in range(2):
+            mine.append(" ".join(template + shared + own(52)))
+        out += mine
+    r.shuffle(out)
+    return list(enumerate(out))
+
+
+def test_twins_split_between_chunks_meet(spark, monkeypatch):
+    monkeypatch.setattr(bag_minhash, "CHUNK", 4)
+    monkeypatch.setattr(bag_minhash, "CENTRAL", 1)
+    pairs = twins(60, 5)
+    found = bag_minhash.groups(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    want = plain.near_groups(pairs)
+    assert len(set(want.values())) == 60 and {r.doc_id: r.group_id for r in found} == want
+
+
 def test_large_buckets_keep_their_common_origin(spark, monkeypatch):
     """Copies of one text that are near it and far from one another, in buckets of many chunks."""
     monkeypatch.setattr(bag_minhash, "CHUNK", 12)

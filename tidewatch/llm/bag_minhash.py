@@ -10,7 +10,12 @@ Texts with one multiset are one class from the start. Classes that agree on all
 meet in a bucket; a bucket links them by a maximum spanning forest over the estimates (and some
 nearest neighbours where estimates are doubtful), never all pairs. Large buckets are dealt into chunks;
 each chunk also gets the bucket's most central classes, so that what links to a common origin still
-does. Links are verified by exact multiset overlap, and their components are the groups.
+does. Links are verified by exact multiset overlap, and their components are the first groups.
+
+What the links left apart is settled by prefixes: classes of a large bucket that holds more than one
+group order their shingles rarest first, and two of them at the threshold always share one among the
+first few (`prefixes`). Such pairs of different groups are all verified unless their estimate rules
+them out, so neither chunks nor the choice of links can lose a pair that met in a large bucket.
 
 Defined cases: a text without words is a group of its own; one of fewer words than a shingle is one
 shingle; rows with one doc_id are rows of one document; a null doc_id sorts first. Other columns are
@@ -33,6 +38,7 @@ from tidewatch.llm.text import ALNUM, LOWER, bytes_of, materialised, mix, pieces
 BANDS, BAND_ROWS = 24, 4
 REGISTERS = BANDS * BAND_ROWS
 CHUNK, CENTRAL = 800, 8
+SLOTS = 1 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 SIGNED = "doc long, h1 long, h2 long, n long, bands array<long>, sig binary"
 
@@ -160,8 +166,8 @@ def _central(table: pa.Table) -> pa.Table:
     return table.append_column("score", pa.array(score[top]))
 
 
-def candidates(classes: DataFrame, least: float) -> DataFrame:
-    """(a, b) pairs of classes to verify; `classes` has rep, bands, sig."""
+def candidates(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) pairs of classes to verify first, and the buckets of more than two; `classes` has rep, bands, sig."""
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     size = banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b")).filter("n > 1")
     size = materialised(size, "buckets")
@@ -177,7 +183,93 @@ def candidates(classes: DataFrame, least: float) -> DataFrame:
               .select("band", "key", "salt", "t.rep", "t.sig"))
     chunks = crowd.select("band", "key", "salt", "rep", "sig").unionByName(shared)
     linked = chunks.groupBy("band", "key", "salt").applyInArrow(lambda t: _link(t, least), "a long, b long")
-    return pairs.unionByName(linked).distinct()
+    return pairs.unionByName(linked).distinct(), crowd
+
+
+def unsettled(crowd: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(rep, root) of the classes whose bucket holds classes of other groups that may be partners."""
+    held = crowd.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    held = held.filter(F.col("n") > CHUNK).select("band", "key", "rep", "root")
+    mixed = held.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "key")
+    return held.join(mixed, ["band", "key"], "left_semi").select("rep", "root").distinct()
+
+
+def _elements(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each shingle of each text, its copies numbered: overlap of multisets is overlap of these."""
+    row, key, weight = shingles(data, at, size)
+    which = np.repeat(np.arange(len(row)), weight)
+    copy = np.arange(len(which)) - np.repeat(np.cumsum(weight) - weight, weight)
+    return row[which], mix(key[which] + _C * copy.astype(np.uint64))
+
+
+def _slots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    count = np.zeros(SLOTS, np.int64)
+    low, high = np.full(SLOTS, np.iinfo(np.int64).max), np.full(SLOTS, np.iinfo(np.int64).min)
+    for b in batches:
+        root = b.column(1).to_numpy()
+        for lo, hi, data, at in pieces(*bytes_of(b.column(2))):
+            row, element = _elements(data, at, size)
+            slot, of = (element % np.uint64(SLOTS)).astype(np.int64), root[lo:hi][row]
+            count += np.bincount(slot, minlength=SLOTS)
+            np.minimum.at(low, slot, of)
+            np.maximum.at(high, slot, of)
+    found = np.flatnonzero(count)
+    for lo in range(0, len(found), 50_000):
+        part = found[lo:lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(x[part]) for x in (count, low, high))], ["slot", "n", "low", "high"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], size: int, least: float, table) -> Iterator[pa.RecordBatch]:
+    count, mixed = table.value
+    for b in batches:
+        rep, root = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for lo, hi, data, at in pieces(*bytes_of(b.column(2))):
+            row, element = _elements(data, at, size)
+            slot = (element % np.uint64(SLOTS)).astype(np.int64)
+            order = np.lexsort((element, count[slot], row))
+            row, element, slot = row[order], element[order], slot[order]
+            n = np.bincount(row, minlength=hi - lo)
+            place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            long, short = (n - np.ceil(n * x - 1e-9).astype(np.int64) for x in (least, 2 * least / (1 + least)))
+            keep = (place <= long[row]) & mixed[slot]
+            row, element, place = row[keep], element[keep], place[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (element.view(np.int64), rep[lo:hi][row], root[lo:hi][row], n[row].astype(np.int64), place <= short[row])],
+                                             ["element", "rep", "root", "n", "short"])
+
+
+def prefixes(texts: DataFrame, least: float, size: int) -> DataFrame:
+    """(element, rep, root, n, short): the rarest elements of each text; `texts` has rep, root, text.
+
+    Two texts of n <= m elements with similarity `least` or more have 2 least / (1 + least) n and least m
+    or more of them in common. So in any common order the first shared one is among the first
+    n - ceil(2 least / (1 + least) n) + 1 of the smaller text (`short`) and the first m - ceil(least m) + 1
+    of the other. Rarity is counted in SLOTS counters, which only decide the order; an element whose
+    counter saw one group alone can't join two and isn't given.
+    """
+    seen = texts.mapInArrow(lambda it: _slots(it, size), "slot int, n long, low long, high long")
+    seen = seen.groupBy("slot").agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("mixed")).toArrow()
+    count, mixed, slot = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, bool), seen.column("slot").to_numpy()
+    count[slot], mixed[slot] = seen.column("n").to_numpy(), seen.column("mixed").to_numpy()
+    table = texts.sparkSession.sparkContext.broadcast((count, mixed))
+    return texts.mapInArrow(lambda it: _prefixes(it, size, least, table), "element long, rep long, root long, n long, short boolean")
+
+
+def _possible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        one, two = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint16).reshape(len(b), -1) for i in (2, 3))
+        yield b.select([0, 1]).filter(pa.array((one == two).sum(axis=1) >= (least - 0.2) * REGISTERS))
+
+
+def meetings(found: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(a, b) of all pairs of different groups that share a prefix element and may reach `least`."""
+    small = found.filter("short").select("element", F.col("rep").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"))
+    other = found.select("element", F.col("rep").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("q_n"))
+    fits = (F.col("p_root") != F.col("q_root")) & ((F.col("p_n") < F.col("q_n")) | (F.col("p_n") == F.col("q_n")) & (F.col("p") < F.col("q")))
+    pairs = small.join(other, "element").filter(fits & (F.col("p_n") >= F.col("q_n") * least - 1e-6))
+    pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _possible(it, least), "a long, b long")
 
 
 def _overlap(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -192,6 +284,16 @@ def _overlap(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iter
         yield b.select([0, 1]).filter(pa.array(keep))
 
 
+def verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
+    """Those (a, b) whose multisets overlap as much as asked."""
+    wanted = materialised(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    chosen = texts.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
+    chosen = materialised(chosen, "candidate-texts")
+    sides = pairs.join(chosen.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    sides = sides.join(chosen.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    return sides.mapInArrow(lambda it: _overlap(it, size, least), "a long, b long")
+
+
 def groups(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     """(doc_id, group_id, n_links): the smallest doc_id of the group, and the verified links of the document's class."""
     spark = prepare(docs.sparkSession)
@@ -201,14 +303,19 @@ def groups(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
     # rows that share a doc_id but not a multiset are apart until the end; a class goes by its smallest document
     classes = signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = materialised(classes, "classes")
-    pairs = materialised(candidates(classes, least), "candidates")
-    wanted = materialised(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
-    chosen = texts.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    chosen = materialised(chosen, "candidate-texts")
-    sides = pairs.join(chosen.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    sides = sides.join(chosen.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    links = materialised(sides.mapInArrow(lambda it: _overlap(it, size, least), "a long, b long"), "links")
+    pairs, crowd = candidates(classes, least)
+    pairs = materialised(pairs, "candidates")
+    links = materialised(verified(pairs, texts, least, size), "links")
     roots = components(links)
+    apart = materialised(unsettled(crowd, roots, least), "unsettled")
+    if not apart.isEmpty():
+        read = texts.join(apart.select(F.col("rep").alias("doc"), "root"), "doc").groupBy(F.col("doc").alias("rep"), "root").agg(F.min("text").alias("text"))
+        found = materialised(prefixes(materialised(read, "unsettled-texts"), least, size), "prefixes")
+        late = materialised(meetings(found, classes, least).join(pairs, ["a", "b"], "left_anti"), "meetings")
+        late = materialised(verified(late, texts, least, size), "late-links")
+        if not late.isEmpty():
+            links = links.unionByName(late)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
     count = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     found = (classes.select("h1", "h2", "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(count, "rep", "left")
              .select("h1", "h2", "n", F.coalesce("root", "rep").alias("group"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
