@@ -87,15 +87,15 @@ def test_near_groups(docs, pairs):
     assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} >= set(got.values())
 
 
-def twins(n_pairs, seed):
-    """Texts of one template at 0.75 or so to one another, and each near its one twin."""
+def twins(n_pairs, seed, both=28):
+    """Texts of one template at 0.76 to one another, and each near its one twin by `both` words more."""
     r = random.Random(seed)
     own = lambda k: [f"w{r.randrange(10**9)}" for _ in range(k)]
     template, out = own(516), []
     for _ in range(n_pairs):
-        shared, mine = own(28), []
+        shared, mine = own(both), []
         for _ in range(2):
-            mine.append(" ".join(template + shared + own(52)))
+            mine.append(" ".join(template + shared + own(80 - both)))
         out += mine
     r.shuffle(out)
     return list(enumerate(out))
@@ -110,6 +110,15 @@ def test_twins_split_between_chunks_meet(spark, monkeypatch):
     assert len(set(want.values())) == 60 and {r.doc_id: r.group_id for r in found} == want
 
 
+def test_twins_among_many_neighbours_meet(spark):
+    pairs = twins(150, 6, 20)
+    found = bag_minhash.groups(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    twin = {}
+    for i, t in pairs:
+        twin.setdefault(t.split(" ")[516], []).append(i)
+    assert all(len(x) == 2 for x in twin.values()) and {r.doc_id: r.group_id for r in found} == {i: min(x) for x in twin.values() for i in x}
+
+
 def test_large_buckets_keep_their_common_origin(spark, monkeypatch):
     """Copies of one text that are near it and far from one another, in buckets of many chunks."""
     monkeypatch.setattr(bag_minhash, "CHUNK", 12)

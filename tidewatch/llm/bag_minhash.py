@@ -12,10 +12,12 @@ nearest neighbours where estimates are doubtful), never all pairs. Large buckets
 each chunk also gets the bucket's most central classes, so that what links to a common origin still
 does. Links are verified by exact multiset overlap, and their components are the first groups.
 
-What the links left apart is settled by prefixes: classes of a large bucket that holds more than one
-group order their shingles rarest first, and two of them at the threshold always share one among the
-first few (`prefixes`). Such pairs of different groups are all verified unless their estimate rules
-them out, so neither chunks nor the choice of links can lose a pair that met in a large bucket.
+What the links left apart is settled by prefixes: classes of a bucket of more than two that may be near
+a class of another group (in a large bucket: all classes, if it holds more than one group) order their
+shingles rarest first, and two of them at the threshold always share one among the first few
+(`prefixes`). Such pairs of different groups are all verified unless their estimate rules them out
+(less than 0.2 below the threshold counts as possible), so neither chunks nor the choice of links can
+lose a pair that met in a bucket.
 
 Defined cases: a text without words is a group of its own; one of fewer words than a shingle is one
 shingle; rows with one doc_id are rows of one document; a null doc_id sorts first. Other columns are
@@ -186,12 +188,24 @@ def candidates(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     return pairs.unionByName(linked).distinct(), crowd
 
 
+def _doubtful(table: pa.Table, least: float) -> pa.Table:
+    """The classes of a bucket that may be near one of another group."""
+    root = table.column("root").to_numpy()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(len(root), -1)
+    found = np.zeros(len(root), bool)
+    for i in range(len(root)):
+        found[i] = ((sig == sig[i]).sum(axis=1)[root != root[i]] >= (least - 0.2) * sig.shape[1]).any()
+    return table.select(["rep", "root"]).filter(pa.array(found))
+
+
 def unsettled(crowd: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     """(rep, root) of the classes whose bucket holds classes of other groups that may be partners."""
     held = crowd.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    held = held.filter(F.col("n") > CHUNK).select("band", "key", "rep", "root")
     mixed = held.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band", "key")
-    return held.join(mixed, ["band", "key"], "left_semi").select("rep", "root").distinct()
+    held = materialised(held.join(mixed, ["band", "key"], "left_semi").select("band", "key", "n", "rep", "root", "sig"), "mixed")
+    small = held.filter(F.col("n") <= CHUNK).select("band", "key", "rep", "root", "sig")
+    small = small.groupBy("band", "key").applyInArrow(lambda t: _doubtful(t, least), "rep long, root long")
+    return held.filter(F.col("n") > CHUNK).select("rep", "root").unionByName(small).distinct()
 
 
 def _elements(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -233,12 +247,12 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, least: float, table)
             long, short = (n - np.ceil(n * x - 1e-9).astype(np.int64) for x in (least, 2 * least / (1 + least)))
             keep = (place <= long[row]) & mixed[slot]
             row, element, place = row[keep], element[keep], place[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (element.view(np.int64), rep[lo:hi][row], root[lo:hi][row], n[row].astype(np.int64), place <= short[row])],
-                                             ["element", "rep", "root", "n", "short"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (element.view(np.int64), rep[lo:hi][row], root[lo:hi][row], n[row].astype(np.int64), place, place <= short[row])],
+                                             ["element", "rep", "root", "n", "place", "short"])
 
 
 def prefixes(texts: DataFrame, least: float, size: int) -> DataFrame:
-    """(element, rep, root, n, short): the rarest elements of each text; `texts` has rep, root, text.
+    """(element, rep, root, n, place, short): the rarest elements of each text; `texts` has rep, root, text.
 
     Two texts of n <= m elements with similarity `least` or more have 2 least / (1 + least) n and least m
     or more of them in common. So in any common order the first shared one is among the first
@@ -251,7 +265,7 @@ def prefixes(texts: DataFrame, least: float, size: int) -> DataFrame:
     count, mixed, slot = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, bool), seen.column("slot").to_numpy()
     count[slot], mixed[slot] = seen.column("n").to_numpy(), seen.column("mixed").to_numpy()
     table = texts.sparkSession.sparkContext.broadcast((count, mixed))
-    return texts.mapInArrow(lambda it: _prefixes(it, size, least, table), "element long, rep long, root long, n long, short boolean")
+    return texts.mapInArrow(lambda it: _prefixes(it, size, least, table), "element long, rep long, root long, n long, place long, short boolean")
 
 
 def _possible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -262,10 +276,12 @@ def _possible(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
 
 def meetings(found: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """(a, b) of all pairs of different groups that share a prefix element and may reach `least`."""
-    small = found.filter("short").select("element", F.col("rep").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"))
-    other = found.select("element", F.col("rep").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("q_n"))
+    small = found.filter("short").select("element", F.col("rep").alias("p"), F.col("root").alias("p_root"), F.col("n").alias("p_n"), F.col("place").alias("p_at"))
+    other = found.select("element", F.col("rep").alias("q"), F.col("root").alias("q_root"), F.col("n").alias("q_n"), F.col("place").alias("q_at"))
     fits = (F.col("p_root") != F.col("q_root")) & ((F.col("p_n") < F.col("q_n")) | (F.col("p_n") == F.col("q_n")) & (F.col("p") < F.col("q")))
-    pairs = small.join(other, "element").filter(fits & (F.col("p_n") >= F.col("q_n") * least - 1e-6))
+    # behind their first shared element both must have enough left
+    left = F.least(F.col("p_n") - F.col("p_at"), F.col("q_n") - F.col("q_at")) >= (F.col("p_n") + F.col("q_n")) * (least / (1 + least)) - 1e-6
+    pairs = small.join(other, "element").filter(fits & left & (F.col("p_n") >= F.col("q_n") * least - 1e-6))
     pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     for side in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("rep").alias(side), F.col("sig").alias(f"sig_{side}")), side)
@@ -295,7 +311,11 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> Dat
 
 
 def groups(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
-    """(doc_id, group_id, n_links): the smallest doc_id of the group, and the verified links of the document's class."""
+    """(doc_id, group_id, n_links): the smallest doc_id of the group, and how many links of the document's class were verified.
+
+    n_links counts the links that joined the groups, not all near texts: pairs that links have already joined are
+    not tried.
+    """
     spark = prepare(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
     texts = docs.select(doc.alias("doc"), "text")
