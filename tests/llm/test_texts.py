@@ -4,6 +4,7 @@ import random
 import re
 from array import array
 
+import numpy as np
 import public_tokenizers as public
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm import plain
 from tidewatch.llm import html_main, language, line_dedup, pieces, quality, token_counts
-from tidewatch.llm.text import materialised
+from tidewatch.llm.text import materialised, mix
 
 BPE, PIECES = public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model")
 ODD = ["a<|endoftext|>b <|endoftext|>", "  x\n\n  y ", "▁ ▁▁ x", "ａ①ﬁ 日本 😀\0\t", "a" * 3000, " " * 40, "It's 3.5% — naïve "]
@@ -99,6 +100,27 @@ def test_pieces_without_dropout_are_the_library_s(pairs):
             assert list(array("i", pieces.encode_text(t or "", i, found, chunks, 1))) == known.encode(t or "")
 
 
+def test_pieces_drop_merges_of_each_occurrence():
+    model = pieces.load(PIECES)
+    found, chunks = pieces.encoders(model, 3, 0.3, 4), re.compile(pieces.chunk_pattern(model)).findall
+    class Drawn:
+        def __init__(self, key):
+            self.key = key
+
+        def __contains__(self, top):
+            return found.flags[((top ^ self.key) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF]
+
+    kinds = set()
+    for doc in range(400):
+        got = pieces.encode_text("international", doc, found, chunks, 3)
+        base = np.uint64(pieces._fold((3 * 0x9E3779B97F4A7C15 ^ doc) & (1 << 64) - 1))
+        key = int(mix(np.array([base], np.uint64))[0])
+        assert got == found.packed(pieces.segment("▁international", model["rank"], Drawn(key)))
+        assert pieces.decode_ids(got, model["raw"]) == "international"
+        kinds.add(got)
+    assert len(kinds) > 20
+
+
 def test_pieces_round_trip(spark, docs, pairs):
     coded = pieces.encode(docs, PIECES, seed=5, dropout=0.3).cache()
     back = sorted(((r.doc_id, r.text) for r in pieces.decode(coded, PIECES).collect()), key=repr)

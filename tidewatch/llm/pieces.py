@@ -3,9 +3,9 @@
 A text gets one leading space, spaces become the piece mark, and chunks (a run of marks and what
 follows up to the next mark) are segmented by agenda: the best-scored adjacent pair, leftmost first,
 is popped and merged if its union is a piece. With dropout a popped candidate is skipped by a keyed
-hash of (seed, variant, chunk, place, rank). The variant of a chunk is a
-keyed hash of (seed, document, ordinal) modulo `variants`, so one word is cut in several ways while
-workers can keep what they have seen. Equal inputs and seed give equal pieces on any cluster.
+hash of (seed, document, ordinal, place, rank), so every occurrence of a word is cut on its own. Workers
+keep the segmentation of a chunk for each set of candidates skipped, whatever occurrence led to it.
+Equal inputs and seed give equal pieces on any cluster.
 
 Defined cases: null or empty text has no pieces; characters without a piece, and a piece mark in
 the text itself, become byte pieces; decoding gives back every text exactly (null decodes as empty).
@@ -15,7 +15,6 @@ Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
@@ -63,19 +62,14 @@ def _fold(x: int) -> int:
     return x ^ (x >> 31)
 
 
-def skips(seed: int, dropout: float) -> bytes:
+def skips(seed: int, dropout: float) -> np.ndarray:
     """One flag for each value of a 16-bit keyed hash; about `dropout` of them are set."""
     drawn = mix(np.uint64(_fold(seed * 0x9E3779B97F4A7C15 & _M)) + np.arange(1 << 16, dtype=np.uint64))
-    return (drawn.astype(np.float64) < dropout * 2.0**64).astype(np.uint8).tobytes()
+    return drawn.astype(np.float64) < dropout * 2.0**64
 
 
-def skipped(top: int, key: int, skip: bytes) -> int:
-    """The flag of a candidate's keyed hash; `top` is its rank and place."""
-    return skip[((top ^ key) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF]
-
-
-def segment(chunk: str, rank: dict[str, int], key: int = 0, skip: bytes = b"", merged: list[int] | None = None) -> list[str]:
-    """Pieces of one chunk. A candidate is skipped if its flag is set; `merged` collects the others in order."""
+def segment(chunk: str, rank: dict[str, int], skip: tuple[int, ...] = (), merged: list[int] | None = None) -> list[str]:
+    """Pieces of one chunk. Candidates (rank and place) in `skip` are skipped; `merged` collects the others in order."""
     part = list(chunk)
     n = len(part)
     if n < 2:
@@ -96,7 +90,7 @@ def segment(chunk: str, rank: dict[str, int], key: int = 0, skip: bytes = b"", m
         if not part[i] or j >= n:
             continue
         both = part[i] + part[j]
-        if rank.get(both) != r or skip and skipped(top, key, skip):
+        if rank.get(both) != r or top in skip:
             continue
         if merged is not None:
             merged.append(top)
@@ -115,12 +109,14 @@ def segment(chunk: str, rank: dict[str, int], key: int = 0, skip: bytes = b"", m
     return [p for p in part if p]
 
 
-class _Whole(dict):
-    """(packed ids, merges in order) by chunk, without dropout; shared by the variants."""
+class _Encoder(dict):
+    """(packed ids, packed merges in order) by (chunk, candidates skipped)."""
 
-    def __init__(self, model: dict):
+    def __init__(self, model: dict, seed: int, dropout: float):
         super().__init__()
-        self.model = model
+        self.model, self.seed = model, seed
+        self.flags = skips(seed, dropout) if dropout else None
+        self.flag = self.flags.tobytes() if dropout else b""
 
     def packed(self, pieces: list[str]) -> bytes:
         ids, byte, out = self.model["ids"], self.model["byte"], []
@@ -132,61 +128,56 @@ class _Whole(dict):
                 out += [byte + b for c in piece for b in (MARK if c == HELD else c).encode()]
         return array("i", out).tobytes()
 
-    def __missing__(self, chunk: str) -> tuple[bytes, tuple[int, ...]]:
+    def __missing__(self, key) -> tuple[bytes, bytes]:
+        chunk, skip = key if isinstance(key, tuple) else (key, ())
         merged: list[int] = []
-        got = self.packed(segment(chunk, self.model["rank"], merged=merged)), tuple(merged)
+        got = self.packed(segment(chunk, self.model["rank"], skip, merged)), array("Q", merged).tobytes()
         if len(chunk) <= 64:
             if len(self) >= KEPT_CHUNKS:
                 self.clear()
-            self[chunk] = got
+            self[key] = got
         return got
 
-
-class _Encoder(dict):
-    """Ids (packed ints) by chunk, one variant."""
-
-    def __init__(self, whole: _Whole, seed: int, variant: int, skip: bytes):
-        super().__init__()
-        self.whole, self.skip = whole, skip
-        self.salt = _fold(seed * 0x9E3779B97F4A7C15 + variant + 1 & _M)
-
-    def __missing__(self, chunk: str) -> bytes:
-        packed, merged = self.whole[chunk]
-        if self.skip:
-            key, skip = self.salt ^ zlib.crc32(chunk.encode("utf-8", "surrogatepass")) << 32, self.skip
-            for top in merged:
-                if skip[((top ^ key) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF]:  # else dropout changes nothing
-                    packed = self.whole.packed(segment(chunk, self.whole.model["rank"], key, skip))
+    def dropped(self, chunk: str, merged: bytes, key: int) -> bytes:
+        """Ids of one occurrence: from the merges without dropout on, the first flagged one is skipped until none is."""
+        flag, skip, packed = self.flag, (), b""
+        while True:
+            for top in array("Q", merged):
+                if flag[((top ^ key) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF]:
+                    skip += (top,)
                     break
-        if len(chunk) <= 64:
-            if len(self) >= KEPT_CHUNKS:
-                self.clear()
-            self[chunk] = packed
-        return packed
+            else:
+                return packed
+            packed, merged = self[chunk, skip]
 
 
-def encoders(model: dict, seed: int, dropout: float, variants: int) -> list[_Encoder]:
-    """One encoder a variant, kept with the model as long as the worker keeps that."""
-    kept, key = model.setdefault("encoders", {}), (seed, dropout, variants)
+def encoders(model: dict, seed: int, dropout: float, variants: int | None = None) -> _Encoder:
+    """The encoder, kept with the model as long as the worker keeps that. `variants` has no effect any more."""
+    kept, key = model.setdefault("encoders", {}), (seed, dropout)
     if key not in kept:
-        skip = skips(seed, dropout) if dropout else b""
-        whole = _Whole(model)
-        kept[key] = [_Encoder(whole, seed, v, skip) for v in range(variants if dropout else 1)]
+        kept[key] = _Encoder(model, seed, dropout)
     return kept[key]
 
 
-def encode_text(text: str, doc_id: int | None, found: list[_Encoder], chunks, seed: int) -> bytes:
+def encode_text(text: str, doc_id: int | None, found: _Encoder, chunks, seed: int) -> bytes:
     """Packed 32-bit piece ids of one text."""
     if not text:
         return b""
     if MARK in text:
         text = text.replace(MARK, HELD)
     chunk = chunks(MARK + text.replace(" ", MARK))
-    if len(found) == 1:
-        return b"".join(map(found[0].__getitem__, chunk))
-    base = np.uint64(_fold((seed * 0x9E3779B97F4A7C15 ^ ((doc_id or 0) & _M)) & _M))
-    which = (mix(base + np.arange(len(chunk), dtype=np.uint64)) % np.uint64(len(found))).tolist()
-    return b"".join([found[v][c] for v, c in zip(which, chunk)])
+    whole = list(map(found.__getitem__, chunk))
+    packed = [x for x, _ in whole]
+    if found.flags is not None:
+        base = np.uint64(_fold((seed * 0x9E3779B97F4A7C15 ^ ((doc_id or 0) & _M)) & _M))
+        key = mix(base + np.arange(len(chunk), dtype=np.uint64))
+        of = np.repeat(np.arange(len(chunk)), [len(x) >> 3 for _, x in whole])
+        top = np.frombuffer(b"".join([x for _, x in whole]), np.uint64)
+        flagged = found.flags[((top ^ key[of]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) & np.uint64(0xFFFF)]
+        some = np.unique(of[flagged])
+        for i, k in zip(some.tolist(), key[some].tolist()):
+            packed[i] = found.dropped(chunk[i], whole[i][1], k)
+    return b"".join(packed)
 
 
 def decode_ids(ids: bytes, raw: list[bytes]) -> str:
