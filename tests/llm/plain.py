@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -160,3 +161,55 @@ def near_groups(pairs, least=0.8):
             if both and both >= least * (sum(x.values()) + sum(y.values()) - both):
                 edges.append((ids[a], ids[b]))
     return roots(ids, edges)
+
+
+def collocations(rows, least, share=80, top=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of rows (text, lang), phrase by phrase."""
+    f, total = collections.Counter(), collections.Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (text or "").translate(ASCII_LOWER)):
+            w = [x for x in re.split("[ \t]+", piece) if x]
+            total[lang] += len(w)
+            for k in range(1, 5):
+                f.update((lang, tuple(w[i:i + k])) for i in range(len(w) - k + 1))
+    f = {x: n for x, n in f.items() if n >= least}
+    most = collections.Counter()
+    for (lang, w), n in f.items():
+        for k in range(2, len(w)):
+            for i in range(len(w) - k + 1):
+                most[lang, w[i:i + k]] = max(most[lang, w[i:i + k]], n)
+    found = collections.defaultdict(list)
+    for (lang, w), a in f.items():
+        if len(w) > 1 and 100 * most[lang, w] < share * a:
+            score, _, left, right = min((2000000 * a // (f[lang, w[:k]] + f[lang, w[k:]]), k, f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w)))
+            found[lang].append((-score, -a, " ".join(w).encode(), left, right))
+    for lang, rows_ in found.items():
+        for rank, (s, a, phrase, left, right) in enumerate(sorted(rows_)[:top], 1):
+            yield lang, rank, phrase.decode(), -a, left, right, total[lang], -s
+
+
+def vector_codes(rows, rounds=6):
+    """(vec_id, code, error, label_error, codebook) of rows (vec_id, vector, label), part by part."""
+    kept = [(i, [math.floor(4096 * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    kept.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    width = -(-max((len(v) for _, v, _ in kept), default=0) // 8) * 8
+    cut = [[(v + [0] * (width - len(v)))[p * width // 8:(p + 1) * width // 8] for p in range(8)] for _, v, _ in kept]
+    books = [[list(v[p]) for v in cut[:16]] for p in range(8)]
+
+    def assigned():
+        return [[min((sum((a - b) ** 2 for a, b in zip(v[p], e)), k) for k, e in enumerate(books[p])) for p in range(8)] for v in cut]
+
+    for _ in range(rounds):
+        at = assigned()
+        for p in range(8):
+            for k in range(len(books[p])):
+                of = [v[p] for v, a in zip(cut, at) if a[p][1] == k]
+                if of:
+                    books[p][k] = [sum(x) // len(of) for x in zip(*of)]
+    at, total = assigned(), collections.Counter()
+    for (_, _, label), a in zip(kept, at):
+        total[label] += sum(d for d, _ in a)
+    book = sha(",".join(str(x) for p in books for e in p for x in e))
+    for (i, _, label), a in zip(kept, at):
+        yield i, "".join(f"{k:02x}" for _, k in a), sum(d for d, _ in a), total[label], book

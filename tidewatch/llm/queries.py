@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bag_minhash, decontaminate, html_main, language, line_dedup, pieces, quality, sql, substring_dedup, suffix_dedup, token_counts
+from tidewatch.llm import (bag_minhash, collocations, decontaminate, html_main, language, line_dedup, pieces, quality, sql, substring_dedup, suffix_dedup,
+                           token_counts, token_files, vector_codes)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +58,20 @@ def op10_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents")).drop("place")
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return token_files.digests(_table(spark, sf_dir, "documents"), public.path("word_bpe_49k.json"), 2)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -64,5 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_suffix_dedup, op2_decontaminate, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_language, op7_html_main, op8_token_counts, op9_sentence_pieces, op10_bag_minhash, pipeline)}
-SQL = {"op1_suffix_dedup": sql.SUFFIXES, "op2_decontaminate": sql.LEAKS, "op4_line_dedup": sql.LINES, "op5_substring_dedup": sql.SUBSTRINGS}
+    op1_suffix_dedup, op2_decontaminate, op3_quality_rules, op4_line_dedup, op5_substring_dedup, op6_language, op7_html_main, op8_token_counts, op9_sentence_pieces, op10_bag_minhash,
+    op11_collocations, op12_token_files, op13_vector_codes, pipeline)}
+SQL = {"op1_suffix_dedup": sql.SUFFIXES, "op2_decontaminate": sql.LEAKS, "op4_line_dedup": sql.LINES, "op5_substring_dedup": sql.SUBSTRINGS,
+       "op11_collocations": sql.COLLOCATIONS, "op13_vector_codes": sql.VECTOR_CODES}

@@ -64,3 +64,57 @@ kept AS (
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(CASE WHEN n_removed IS NULL THEN x ELSE unhex(b) END) AS kept_sha256
 FROM raw LEFT JOIN kept USING (doc_id)"""
+
+COLLOCATIONS = f"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS p, lang, regexp_split_to_array(piece, '[ \\x09]+') AS w0
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+words AS (SELECT p, lang, list_filter(w0, lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, w[i:i + k - 1] AS parts
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, any_value(parts) AS parts, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 30),
+cuts AS (SELECT lang, k, phrase, parts, f AS a, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+valued AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, cut, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.parts[1:cut], ' ')
+  JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.parts[cut + 1:cuts.k], ' ')),
+best AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_parts AS (
+  SELECT lang, f, array_to_string(parts[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, f, parts, size, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM f WHERE k > 2))),
+longer AS (SELECT lang, phrase, max(f) AS most FROM inner_parts GROUP BY lang, phrase),
+left_over AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM left_over JOIN total USING (lang) QUALIFY rank <= 2000"""
+
+
+def _assignment(k: int) -> str:
+    """Nearest entry of each part, lowest index first, for the codebooks of round k."""
+    return f"""
+d{k} AS (SELECT row, p, e, any_value(n) AS n, sum((x - y) * (x - y)) AS d FROM (
+  SELECT parts.row, parts.p, parts.j, parts.x, b{k}.e, b{k}.y, 0 AS n FROM parts JOIN b{k} USING (p, j)) GROUP BY row, p, e),
+a{k} AS (SELECT row, p, e, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY row, p ORDER BY d, e) = 1)"""
+
+
+def _update(k: int) -> str:
+    """Entries of round k + 1: floor of sum by count; unused ones stay."""
+    return f"""
+b{k + 1} AS (SELECT b{k}.p, b{k}.e, b{k}.j, coalesce((s - ((s % n) + n) % n) // n, b{k}.y) AS y FROM b{k} LEFT JOIN (
+  SELECT p, e, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM parts JOIN a{k} USING (row, p) GROUP BY p, e, j) USING (p, e, j))"""
+
+
+_KEPT = """
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row, vec_id, label, embedding AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+flat AS (SELECT row, unnest(v) AS x, unnest(range(len(v))) AS i, len(v) // 8 AS size FROM kept),
+parts AS (SELECT row, i // size AS p, i % size AS j, floor(4096 * x::DOUBLE)::HUGEINT AS x FROM flat),
+b0 AS (SELECT p, row AS e, j, x AS y FROM parts WHERE row < 16)"""
+
+VECTOR_CODES = _KEPT + "".join("," + _assignment(k) + "," + _update(k) for k in range(6)) + "," + _assignment(6) + """,
+coded AS (SELECT row, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY row),
+book AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM b6)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), book"""

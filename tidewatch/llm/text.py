@@ -119,11 +119,25 @@ def spans(member: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """64-bit hash of each byte range."""
-    up, down = powers(which, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + _STEP * (end - start).astype(np.uint64))
+    """64-bit hash of each byte range.
+
+    The range's 8-byte blocks are mixed with their place before they are summed, so no pattern of bytes
+    cancels out; another `which` gives an independent function.
+    """
+    size = (end - start).astype(np.int64)
+    blocks = (size + 7) >> 3
+    if not len(blocks) or not blocks.any():
+        return mix(_STEP * size.astype(np.uint64) + _BASES[which])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    ends = np.cumsum(blocks)
+    place = np.arange(ends[-1]) - np.repeat(ends - blocks, blocks)
+    value = word[np.repeat(start, blocks) + 8 * place]
+    rest = ends[blocks > 0] - 1  # the last block of each range may be cut
+    value[rest] &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - (np.uint64(8) * (((size[blocks > 0] - 1) & 7) + 1).astype(np.uint64)))
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(mix(value ^ mix(place.astype(np.uint64) * _STEP + _BASES[which])), out=total[1:])
+    return mix(total[ends] - total[ends - blocks] + _STEP * size.astype(np.uint64) + _BASES[which])
 
 
 def window_hash(word: np.ndarray, k: int, which: int = 0) -> np.ndarray:
