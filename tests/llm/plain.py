@@ -148,19 +148,38 @@ def bag(text, size=5):
     return collections.Counter(tuple(w[j:j + size]) for j in range(len(w) - size + 1)) if len(w) >= size else collections.Counter([tuple(w)] if w else [])
 
 
-def near_groups(pairs, least=0.8):
-    bags = {}
-    for i, t in pairs:
-        bags.setdefault(i, bag(t))
-    ids = list(bags)
+def near_rows(pairs, least=0.8):
+    """The group of each row: the least id among the rows near it, directly or through others."""
+    bags = [bag(t) for _, t in pairs]
     edges = []
-    for a in range(len(ids)):
-        for b in range(a):
-            x, y = bags[ids[a]], bags[ids[b]]
+    for a, x in enumerate(bags):
+        for b, y in enumerate(bags[:a]):
             both = sum((x & y).values())
             if both and both >= least * (sum(x.values()) + sum(y.values()) - both):
-                edges.append((ids[a], ids[b]))
-    return roots(ids, edges)
+                edges.append((a, b))
+    up = roots(range(len(pairs)), edges)
+    least_id = {}
+    for k, (i, _) in enumerate(pairs):
+        least_id[up[k]] = min(least_id.get(up[k], order(i)), order(i))
+    return [(i, None if least_id[up[k]] == order(None) else least_id[up[k]]) for k, (i, _) in enumerate(pairs)]
+
+
+def near_groups(pairs, least=0.8):
+    return dict(near_rows(pairs, least))
+
+
+def agenda(chunk, rank, dropped):
+    """Pieces of a chunk: again and again the best-ranked pair, leftmost first, is skipped for good or merged."""
+    part, struck = [(k, c) for k, c in enumerate(chunk)], set()
+    while True:
+        found = [(rank[x + y], i, k) for k, ((i, x), (_, y)) in enumerate(zip(part, part[1:])) if x + y in rank and (i, x, y) not in struck]
+        if not found:
+            return [x for _, x in part]
+        r, i, k = min(found)
+        if dropped(r, i):
+            struck.add((i, part[k][1], part[k + 1][1]))
+        else:
+            part[k:k + 2] = [(i, part[k][1] + part[k + 1][1])]
 
 
 def collocations(rows, least, share=80, top=2000):

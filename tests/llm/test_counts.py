@@ -9,7 +9,7 @@ import pytest
 
 from tests.llm import plain
 from tidewatch.llm import collocations, token_files, vector_codes
-from tidewatch.llm.text import scratch, span_hash
+from tidewatch.llm.text import scratch, word_hash
 
 WORDS = public.path("word_bpe_49k.json")
 
@@ -74,9 +74,9 @@ def test_hash_tells_patterned_words_apart():
     data = np.frombuffer((one + two + one[:9] + one[:8] + "\0").encode(), np.uint8)
     start, end = np.array([0, 1024, 2048, 2057, 2057, 2066]), np.array([1024, 2048, 2057, 2065, 2066, 2066])
     for which in (0, 1):
-        assert len(set(span_hash(data, start, end, which).tolist())) == 6
+        assert len(set(word_hash(data, start, end, which).tolist())) == 6
     again = np.concatenate([np.zeros(3, np.uint8), data])
-    assert (span_hash(again, start + 3, end + 3) == span_hash(data, start, end)).all()
+    assert (word_hash(again, start + 3, end + 3) == word_hash(data, start, end)).all()
 
 
 TEXTS = ["It's 3.5% - naïve ", "a<|endoftext|>b <|startoftext|>", "  x\n\n  y ", "ａ①ﬁ 日本 😀\0\t", "Ça_va__ Œuvre Ÿ ª º ÀÉ_x'S 'RE a'll 'tis ''s 's's", "µİ² x́ Σας", "'", "_", "",

@@ -87,6 +87,66 @@ def test_near_groups(docs, pairs):
     assert stay.columns == docs.columns and {r.doc_id for r in stay.collect()} >= set(got.values())
 
 
+def test_near_groups_of_shared_and_null_ids(spark):
+    r = random.Random(8)
+    prose = lambda: [f"w{r.randrange(10**6)}" for _ in range(120)]
+    near = lambda x: " ".join([*x[:60], "new", *x[61:]])
+    a, b, c = prose(), prose(), prose()
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a)), (None, near(c)), (None, " ".join(c)), (9, " ".join(c)), (None, " ".join(prose())), (None, None), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.group_id) for x in bag_minhash.groups(docs).collect()), key=repr)
+    assert got == sorted(plain.near_rows(rows), key=repr)
+    kept = sorted(((x.doc_id, x.text) for x in bag_minhash.keep_one(docs).collect()), key=repr)
+    one_of_c = [x for x in kept if x[1] in (" ".join(c), near(c))]
+    assert len(one_of_c) == 1 and one_of_c[0][0] is None
+    assert sorted(set(kept) - set(one_of_c), key=repr) == sorted([rows[0], rows[1], *rows[7:]], key=repr)
+
+
+def patterned(n=1024):
+    """A word in Thue-Morse order over two letters, and its complement."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_patterned_words_stay_apart(spark):
+    one, two = patterned()
+    rows = [(1, " ".join([one] * 60)), (2, " ".join([two] * 60)), (3, " ".join([one, two] * 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(substring_dedup.digests(docs), plain.substrings(rows))
+    assert {x.doc_id: x.group_id for x in bag_minhash.groups(docs).collect()} == plain.near_groups(rows)
+
+
+def family(kind, n):
+    """Texts of one template with twins, or texts put together from a small stock of phrases."""
+    r = random.Random(n)
+    stock = [" ".join(f"p{k}x{r.randrange(10**6)}" for _ in range(12)) for k in range(40)]
+    if kind == "letters":
+        return [(i, " ".join(r.choice(stock) for _ in range(20))) for i in range(n)]
+    return twins(n // 2, n)
+
+
+@pytest.mark.parametrize("kind", ["twins", "letters"])
+def test_pairs_to_verify_follow_the_documents(spark, kind, monkeypatch):
+    made = []
+    whole = bag_minhash.verified
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(bag_minhash, "verified", counted)
+    total = {}
+    for n in (100, 400):
+        made.clear()
+        pairs = family(kind, n)
+        found = bag_minhash.groups(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+        assert n > 100 or {x.doc_id: x.group_id for x in found} == plain.near_groups(pairs)
+        total[n] = sum(made)
+    assert total[400] < 40 * 400 and total[400] < 10 * max(total[100], 100)
+
+
 def twins(n_pairs, seed, both=28):
     """Texts of one template at 0.76 to one another, and each near its one twin by `both` words more."""
     r = random.Random(seed)

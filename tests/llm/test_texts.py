@@ -2,7 +2,6 @@
 
 import random
 import re
-from array import array
 
 import numpy as np
 import public_tokenizers as public
@@ -93,32 +92,59 @@ def test_token_counts(docs, pairs):
 def test_pieces_without_dropout_are_the_library_s(pairs):
     import sentencepiece
 
-    known, model = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.load(PIECES)
-    found, chunks = pieces.encoders(model, 1, 0.0, 1), re.compile(pieces.chunk_pattern(model)).findall
-    for i, t in pairs:
-        if "▁" not in (t or ""):
-            assert list(array("i", pieces.encode_text(t or "", i, found, chunks, 1))) == known.encode(t or "")
+    known, found = sentencepiece.SentencePieceProcessor(model_file=PIECES), pieces.Agenda(pieces.load(PIECES), 1, 0.0)
+    some = [(i, t or "") for i, t in pairs if "▁" not in (t or "")]
+    for (_, t), got in zip(some, found.texts([t for _, t in some], [i for i, _ in some])):
+        assert got.tolist() == known.encode(t)
+
+
+def chunks_of(text, model):
+    """Chunks of a text: a run of marks and what follows; a line end by itself, if no piece holds one."""
+    text = "▁" + text.replace("▁", "\ud800").replace(" ", "▁")
+    return re.findall("\n|▁+[^▁\n]*|[^▁\n]+" if model["lines"] else "▁+[^▁]*|[^▁]+", text)
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5])
+def test_pieces_are_those_of_a_plain_agenda(pairs, dropout):
+    """Every occurrence draws its own skips, by document, ordinal, place and rank."""
+    model, seed = pieces.load(PIECES), 3
+    found = pieces.Agenda(model, seed, dropout)
+    r = random.Random(9)
+    rows = [(i, (t or "")[:700]) for i, t in pairs] + [(5, "international"), (6, "international"), (None, "▁a ▁▁ b")]
+    rows += [(7000 + k, "".join(r.choice("ab the \n▁  é日😀tion\0\t.ing") for _ in range(r.randint(0, 90)))) for k in range(60)] + [(-1, "x" * 90), (-2, "internationally" * 9)]
+    for (i, t), got in zip(rows, found.texts([t for _, t in rows], [i for i, _ in rows])):
+        base = pieces._fold((seed * 0x9E3779B97F4A7C15 ^ ((i or 0) & (1 << 64) - 1)) & (1 << 64) - 1)
+        want = []
+        for k, chunk in enumerate(chunks_of(t, model) if t else []):
+            key = int(mix(np.array([base + k & (1 << 64) - 1], np.uint64))[0])
+            drop = lambda rank, place, key=key: dropout and found.flags[((rank << 32 | place) ^ key) * 0x9E3779B97F4A7C15 >> 40 & 0xFFFF]
+            for piece in plain.agenda(chunk, model["rank"], drop):
+                whole = model["ids"].get(piece)
+                want += [whole] if whole is not None else [model["byte"] + b for c in piece for b in ("▁" if c == "\ud800" else c).encode()]
+        assert got.tolist() == want, t
 
 
 def test_pieces_drop_merges_of_each_occurrence():
-    model = pieces.load(PIECES)
-    found, chunks = pieces.encoders(model, 3, 0.3, 4), re.compile(pieces.chunk_pattern(model)).findall
-    class Drawn:
-        def __init__(self, key):
-            self.key = key
-
-        def __contains__(self, top):
-            return found.flags[((top ^ self.key) * 0x9E3779B97F4A7C15 >> 40) & 0xFFFF]
-
-    kinds = set()
-    for doc in range(400):
-        got = pieces.encode_text("international", doc, found, chunks, 3)
-        base = np.uint64(pieces._fold((3 * 0x9E3779B97F4A7C15 ^ doc) & (1 << 64) - 1))
-        key = int(mix(np.array([base], np.uint64))[0])
-        assert got == found.packed(pieces.segment("▁international", model["rank"], Drawn(key)))
-        assert pieces.decode_ids(got, model["raw"]) == "international"
-        kinds.add(got)
+    found = pieces.Agenda(pieces.load(PIECES), 3, 0.3)
+    kinds = {tuple(x.tolist()) for x in found.texts(["international"] * 400, list(range(400)))}
     assert len(kinds) > 20
+    ids = found.texts(["international " * 40], [1])[0].tolist()
+    words = "".join(f"{i} " for i in ids).split(str(found.model["ids"]["▁"]))
+    assert len(set(words)) > 5
+
+
+def test_pieces_of_many_texts_equal_those_of_each(monkeypatch):
+    found = pieces.Agenda(pieces.load(PIECES), 3, 0.2)
+    texts = ["one two three", "", "four " * 50, "x" * 70, "\n", "five"]
+    whole = [x.tolist() for x in found.texts(texts, list(range(6)))]
+    monkeypatch.setattr(pieces, "BATCH_CHARS", 1)
+    assert whole == [x.tolist() for x in found.texts(texts, list(range(6)))] and whole[1] == []
+
+
+def test_no_pieces(spark):
+    nothing = plain.frame(spark, [])
+    assert pieces.digest(nothing, PIECES).count() == pieces.decode(pieces.encode(nothing, PIECES), PIECES).count() == 0
+    assert token_counts.count_tokens(nothing, BPE, public.PATTERN).count() == 0
 
 
 def test_pieces_round_trip(spark, docs, pairs):
@@ -134,14 +160,6 @@ def test_pieces_round_trip(spark, docs, pairs):
     assert all(r.lossless for r in pieces.digest(docs, PIECES).collect())
 
 
-def test_word_is_cut_in_several_ways():
-    model = pieces.load(PIECES)
-    found, chunks = pieces.encoders(model, 3, 0.3, 4), re.compile(pieces.chunk_pattern(model)).findall
-    ids = list(array("i", pieces.encode_text("international " * 40, 1, found, chunks, 3)))
-    words = "".join(f"{i} " for i in ids).split(str(model["ids"]["▁"]))
-    assert len(set(words)) > 1
-
-
 PAGES = [
     ("<article><header><h1>T&amp;C</h1></header><nav>no</nav><p>One <b>two</b>\n three<p>Four<br>five<aside>no</aside></article><p>out", "T&C\nOne two three\nFour\nfive"),
     ("<body><main>a<script>var x='</main>'</script><style>p{}</style> b<form><p>no</form></main><footer>f</footer>", "a b"),

@@ -19,9 +19,14 @@ shingles rarest first, and two of them at the threshold always share one among t
 (less than 0.2 below the threshold counts as possible), so neither chunks nor the choice of links can
 lose a pair that met in a bucket.
 
+A class has a number of its own (`rep`), in the order of its smallest doc_id and its multiset; documents
+come back in at the end only, so texts that share a doc_id, or have none, are told apart.
+
 Defined cases: a text without words is a group of its own; one of fewer words than a shingle is one
-shingle; rows with one doc_id are rows of one document; a null doc_id sorts first. Other columns are
-not read by the operator.
+shingle; a text of any length is one multiset; rows with one doc_id are rows of one document, which may
+belong to several groups if their texts differ; a null doc_id sorts first, and a group that holds one is
+named null; ties in estimates go to the class with the smaller number; an empty table gives no rows.
+Other columns are not read by the operator.
 """
 
 from __future__ import annotations
@@ -35,21 +40,21 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.blocks import NO_ID
 from tidewatch.llm.components import components
-from tidewatch.llm.text import ALNUM, LOWER, bytes_of, materialised, mix, pieces, prepare, span_hash, spans, window_hash
+from tidewatch.llm.text import ALNUM, LOWER, bytes_of, materialised, mix, parts, pieces, prepare, word_hash, spans, window_hash
 
 BANDS, BAND_ROWS = 24, 4
 REGISTERS = BANDS * BAND_ROWS
 CHUNK, CENTRAL = 800, 8
 SLOTS = 1 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
-SIGNED = "doc long, h1 long, h2 long, n long, bands array<long>, sig binary"
+SIGNED = "doc long, tkey long, h1 long, h2 long, n long, bands array<long>, sig binary"
 
 
 def shingles(data: np.ndarray, at: np.ndarray, size: int):
     """(row, hash, count) of each distinct shingle of each text, ordered by row."""
     low = LOWER[data]
     start, end, row = spans(ALNUM[low], at)
-    word = span_hash(low, start, end)
+    word = word_hash(low, start, end)
     n = np.bincount(row, minlength=len(at) - 1)
     first = np.cumsum(n) - n
     h = window_hash(word, size)
@@ -97,7 +102,7 @@ def signatures(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n_rows: int
 def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, at = bytes_of(b.column(1))
-        doc = b.column(0).to_numpy()
+        doc, tkey = b.column(0).to_numpy(), b.column(2).to_numpy()
         for lo, hi, data_, at_ in pieces(data, at):
             row, key, weight = shingles(data_, at_, size)
             n = np.bincount(row, weights=weight, minlength=hi - lo).astype(np.int64)
@@ -115,13 +120,13 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
                 ident.append(total.view(np.int64))
             short = (bits >> np.uint64(48)).astype(np.uint16)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS), pa.array(band.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi]), *(pa.array(x) for x in (*ident, n)), lists,
-                                              pa.array([x.tobytes() for x in short], pa.binary())], ["doc", "h1", "h2", "n", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[lo:hi]), pa.array(tkey[lo:hi]), *(pa.array(x) for x in (*ident, n)), lists,
+                                              pa.array([x.tobytes() for x in short], pa.binary())], ["doc", "tkey", "h1", "h2", "n", "bands", "sig"])
 
 
 def _forest(rep: np.ndarray, sig: np.ndarray, least: float) -> set:
     """Links of a maximum spanning forest over the estimates, and nearest neighbours where they are doubtful."""
-    order = np.argsort(rep, kind="stable")
+    order = np.argsort(rep, kind="stable")  # so ties go to the smaller number
     rep, sig = rep[order], sig[order]
     n, k = sig.shape
     sure = least + 0.12
@@ -300,52 +305,75 @@ def _overlap(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iter
         yield b.select([0, 1]).filter(pa.array(keep))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
+def _texts_of(reps: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """`reps` with one text of each class."""
+    where = reps.join(classes.select("rep", "doc", "tkey"), "rep")
+    return texts.join(where, ["doc", "tkey"]).groupBy(*reps.columns).agg(F.min("text").alias("text"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
     """Those (a, b) whose multisets overlap as much as asked."""
-    wanted = materialised(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
-    chosen = texts.join(wanted, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-    chosen = materialised(chosen, "candidate-texts")
-    sides = pairs.join(chosen.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
-    sides = sides.join(chosen.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    wanted = materialised(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
+    chosen = materialised(_texts_of(wanted, classes, texts), "candidate-texts")
+    sides = pairs.join(chosen.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    sides = sides.join(chosen.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return sides.mapInArrow(lambda it: _overlap(it, size, least), "a long, b long")
 
 
-def groups(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
-    """(doc_id, group_id, n_links): the smallest doc_id of the group, and how many links of the document's class were verified.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc, text, tkey): the key tells apart texts under one doc_id."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("doc"), "text", F.xxhash64("text").alias("tkey"))
 
-    n_links counts the links that joined the groups, not all near texts: pairs that links have already joined are
-    not tried.
-    """
+
+def _grouped(docs: DataFrame, least: float, size: int) -> DataFrame:
+    """(doc, tkey, group, named, n_links) of every row; `named` tells the rows whose class and document give the group its name."""
     spark = prepare(docs.sparkSession)
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
-    texts = docs.select(doc.alias("doc"), "text")
+    texts = _keyed(docs)
     signed = materialised(texts.mapInArrow(lambda it: _sign(it, size), SIGNED), "signatures")
-    # rows that share a doc_id but not a multiset are apart until the end; a class goes by its smallest document
-    classes = signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    classes = materialised(classes, "classes")
+    classes = (signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "tkey")).alias("at"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+               .select("at.doc", "at.tkey", "h1", "h2", "n", "bands", "sig"))
+    classes = classes.repartitionByRange(parts(spark), "doc", "h1", "h2").sortWithinPartitions("doc", "h1", "h2", "n")
+    classes = materialised(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     pairs, crowd = candidates(classes, least)
     pairs = materialised(pairs, "candidates")
-    links = materialised(verified(pairs, texts, least, size), "links")
+    links = materialised(verified(pairs, classes, texts, least, size), "links")
     roots = components(links)
     apart = materialised(unsettled(crowd, roots, least), "unsettled")
     if not apart.isEmpty():
-        read = texts.join(apart.select(F.col("rep").alias("doc"), "root"), "doc").groupBy(F.col("doc").alias("rep"), "root").agg(F.min("text").alias("text"))
+        read = _texts_of(apart, classes, texts)
         found = materialised(prefixes(materialised(read, "unsettled-texts"), least, size), "prefixes")
         late = materialised(meetings(found, classes, least).join(pairs, ["a", "b"], "left_anti"), "meetings")
-        late = materialised(verified(late, texts, least, size), "late-links")
+        late = materialised(verified(late, classes, texts, least, size), "late-links")
         if not late.isEmpty():
             links = links.unionByName(late)
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
     count = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    found = (classes.select("h1", "h2", "n", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(count, "rep", "left")
-             .select("h1", "h2", "n", F.coalesce("root", "rep").alias("group"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    member = signed.filter("n > 0").select("doc", "h1", "h2", "n").join(found, ["h1", "h2", "n"]).select("doc", "group", "n_links")
-    bare = signed.filter("n = 0").select("doc", F.col("doc").alias("group"), F.lit(0).cast("long").alias("n_links"))
+    found = (classes.select("h1", "h2", "n", "rep", "doc").join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(count, "rep", "left")
+             .select("h1", "h2", "n", "rep", "doc", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    name = found.filter("rep = root").select("root", F.col("doc").alias("group"))  # the least number has the least document
+    found = found.join(name, "root").select("h1", "h2", "n", "group", (F.col("rep") == F.col("root")).alias("first"), "n_links")
+    member = signed.filter("n > 0").select("doc", "tkey", "h1", "h2", "n").join(found, ["h1", "h2", "n"])
+    member = member.select("doc", "tkey", "group", (F.col("first") & (F.col("doc") == F.col("group"))).alias("named"), "n_links")
+    bare = signed.filter("n = 0").select("doc", "tkey", F.col("doc").alias("group"), F.lit(True).alias("named"), F.lit(0).cast("long").alias("n_links"))
+    return member.unionByName(bare)
+
+
+def groups(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
+    """(doc_id, group_id, n_links): the smallest doc_id of the group, and how many links of the document's class were verified.
+
+    n_links counts the links that joined the groups, not all near texts: pairs that links have already joined are
+    not tried.
+    """
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return member.unionByName(bare).select(real("doc").alias("doc_id"), real("group").alias("group_id"), "n_links")
+    return _grouped(docs, least, size).select(real("doc").alias("doc_id"), real("group").alias("group_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, least: float = 0.8, size: int = 5) -> DataFrame:
-    """The documents whose doc_id names their group, all columns kept; texts without words all stay."""
-    stay = groups(docs, least, size).filter("doc_id <=> group_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """The document that names each group, all columns kept; texts without words all stay.
+
+    Its rows stay if they have the words of its first class, so of several near texts under one doc_id, or
+    without any, one class stays.
+    """
+    stay = _grouped(docs, least, size).filter("named").select(F.col("doc").alias("_doc"), F.col("tkey").alias("_tkey")).distinct()
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
+    return docs.join(stay, (doc == F.col("_doc")) & (F.xxhash64("text") == F.col("_tkey")), "left_semi")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.blocks import NO_ID
-from tidewatch.llm.text import LOWER, byte_class, bytes_of, materialised, mix, pieces, prepare, span_hash, spans, window_hash
+from tidewatch.llm.text import LOWER, byte_class, bytes_of, materialised, mix, pieces, prepare, word_hash, spans, window_hash
 
 MOST_WORDS = 4
 CUT = byte_class([(0x0A, 0x0D)] + [(ord(c), ord(c)) for c in ".,;:!?"])
@@ -54,7 +54,7 @@ class _Batch:
         cuts = np.concatenate([[0], np.cumsum(CUT[self.low])])
         self.piece = cuts[self.start] if len(self.start) else self.start
         self.lang = lang[self.row]
-        self.hash = span_hash(self.low, self.start, self.end)
+        self.hash = word_hash(self.low, self.start, self.end)
 
     def inside(self, k: int) -> np.ndarray:
         n = max(0, len(self.start) - k + 1)
@@ -71,7 +71,7 @@ def _lang_keys(column) -> tuple[np.ndarray, list[str]]:
     """A hash for the language of each row, and their names."""
     names = [UNKNOWN if x is None else x for x in column.to_pylist()]
     known = {x: np.frombuffer(x.encode(), np.uint8) for x in set(names)}
-    key = {x: span_hash(v, np.array([0]), np.array([len(v)]), 1)[0] for x, v in known.items()}
+    key = {x: word_hash(v, np.array([0]), np.array([len(v)]), 1)[0] for x, v in known.items()}
     return np.array([key[x] for x in names], np.uint64), names
 
 

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tidewatch.llm import blocks
-from tidewatch.llm.text import NOT_SPACE, covered, mix, pieces, sliding_min, span_hash, spans, window_hash
+from tidewatch.llm.text import NOT_SPACE, covered, mix, pieces, sliding_min, word_hash, spans, window_hash
 
 _K = np.uint64(0x9FB21C651E98DF25)
 
@@ -26,7 +26,7 @@ _K = np.uint64(0x9FB21C651E98DF25)
 def _halves(data, at, half: int, which: int):
     """Words, their rows, and the hash of each half-length window."""
     start, end, row = spans(NOT_SPACE[data], at)
-    return start, end, row, window_hash(span_hash(data, start, end, which), half, which)
+    return start, end, row, window_hash(word_hash(data, start, end, which), half, which)
 
 
 def _doubled(h: np.ndarray, half: int) -> np.ndarray:
