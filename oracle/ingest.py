@@ -203,3 +203,4 @@ add("analysis_job", "store_r job_updates", upsert("store_r", "job_updates", NOW,
 outcome("job_outcome", "audit", "todo_gated")
 add("analysis_job_audit", "job_outcome", "SELECT seq, keep, text_ok, vl_ok, remark FROM job_outcome")
 SQL["upsert_store"] = SQL["upsert_articles"]
+SQL["ingest_into_store"] = SQL["ingest_job"]

@@ -16,7 +16,7 @@ def add(name: str, needs: str, body: str) -> None:
 
 add("stream_track_ingest", "tracks placed_points", f"""
 SELECT id, t.mmsi, round(t.lat, 6) AS lat, round(t.lng, 6) AS lng, t.{TS}, city, p.country FROM tracks t JOIN placed_points p USING (id)""")
-# every vessel is judged at its own newest point; the stream's clock stays three hours behind the newest report
+# the look-back of a vessel ends at its own newest point; vessels are listed and called offline as of the newest report of all
 define("own_recent", ["tracks"], f"""
 SELECT * EXCLUDE (newest) FROM (SELECT *, max({TS}) OVER (PARTITION BY mmsi) AS newest FROM tracks)
 WHERE {TS} >= newest - INTERVAL 10 DAY""")
@@ -26,8 +26,9 @@ SELECT mmsi, CASE WHEN off THEN 'offline' WHEN by_window OR by_fallback THEN 'mo
             WHEN speed_ms <= 3.0 THEN 'dredging' ELSE 'underway' END AS status,
        round(CASE WHEN off THEN NULL WHEN by_window OR by_fallback THEN 0.0 ELSE speed_ms / 0.514444::DOUBLE END, 6) AS speed_kn, heading,
        CASE WHEN NOT off THEN printf('%.6f, %.6f', lat, lng) END AS location, latest_ts AS status_date
-FROM (SELECT *, epoch_ms(latest_ts) + 24 * 3600000 <= (SELECT epoch_ms(max({TS})) - 3 * 3600000 FROM tracks) AS off FROM own_facts)""")
-add("stream_article_dedup", "items store", "SELECT link, min(seq) AS seq FROM items WHERE link NOT IN (SELECT url FROM store) GROUP BY link")
+FROM (SELECT *, latest_ts < (SELECT max({TS}) FROM tracks) - INTERVAL 24 HOUR AS off FROM own_facts)
+WHERE latest_ts >= (SELECT max({TS}) FROM tracks) - INTERVAL 10 DAY""")
+add("stream_article_dedup", "items store", "SELECT link, CAST(1 AS BIGINT) AS times FROM items WHERE link NOT IN (SELECT url FROM store) GROUP BY link")
 add("stream_daily_counts", "articles", f"""
 SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS articles FROM articles WHERE {VISIBLE} GROUP BY 1""")
 add("stream_shift_digest", "articles", f"""

@@ -6,7 +6,7 @@ import pytest
 
 from tidewatch.plans.catalog import QUERIES
 
-WRITES = {"append_tracks", "upsert_store", "read_vessel_csv", "write_articles", "write_audit", "read_feed_files"}
+WRITES = {"append_tracks", "upsert_store", "ingest_into_store", "read_vessel_csv", "write_articles", "write_audit", "read_feed_files"}
 NAMES = sorted(n for n in QUERIES if n not in WRITES and not n.startswith("stream_"))
 
 
@@ -31,4 +31,29 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
 
 def test_rows_beyond_the_cut_do_not_reach_the_shuffle(spark, sf_dir):
     assert plan(spark, sf_dir, "track_retention").count("WindowGroupLimit") >= 2
-    assert plan(spark, sf_dir, "vessel_status").count("WindowGroupLimit") >= 1
+    text = plan(spark, sf_dir, "vessel_status")
+    assert len(re.findall("FileScan", text)) <= 4 and len(re.findall("Exchange ", text)) <= 7
+
+
+def test_stored_tracks_are_read_by_day(spark, sf_dir):
+    """Whoever asks for a time range reads the days of the range, also the fleet job."""
+    from datetime import timedelta
+
+    from tidewatch.operators import tracks as T
+    from tidewatch.plans import jobs, track_queries as Q
+    from tidewatch.plans.views import AS_OF, Views
+    from tidewatch.session import scratch_dir
+    from tidewatch.sources import files, sinks
+
+    v, path = Views(spark, sf_dir), scratch_dir(spark, "tracks")
+    sinks.append_tracks(v.tracks, path)
+    stored = sinks.read_table(spark, path)
+    fleet = jobs.fleet_job(files.fleet_positions(Q.payloads(v)), v.ships, stored, v.gazetteer, AS_OF, 2)
+    for df, want in ((T.recent_tracks(stored, AS_OF, 2), T.recent_tracks(v.tracks, AS_OF, 2)), (T.track_history(stored, "7", AS_OF, 5), T.track_history(v.tracks, "7", AS_OF, 5)),
+                     (T.has_track(stored, AS_OF, 5), T.has_track(v.tracks, AS_OF, 5)), (fleet["ships"], None)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in text.split("FileScan")[1:] if "track_date" in x]
+        assert scans and all(re.search(r"PartitionFilters: \[[^\]]*track_date#\d+ >= 20", x) for x in scans)
+        assert want is None or (df.count() == want.count() and sorted(df.columns) == sorted(want.columns))
+    days = {f.split("track_date=")[1][:10] for f in T.recent_tracks(stored, AS_OF, 2).inputFiles()}
+    assert days <= {str((AS_OF - timedelta(days=d)).date()) for d in range(3)}

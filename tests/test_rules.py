@@ -347,22 +347,97 @@ def test_fleet_job_runs_on_its_own_output(spark, sf_dir):
     assert again["ships"].columns == once["ships"].columns and key(again["ships"]) == key(once["ships"])
 
 
-def test_only_touched_buckets_are_written(spark):
+def parquet_files(path):
     import os
 
+    root = path.removeprefix("file:")
+    return {os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
+
+
+def store_rows(spark, n):
+    return spark.createDataFrame([(i, f"u{i}", "old", None, "", "rss", "s", None, None, 1, 0, 0, None, AS_OF) for i in range(n)], STORE)
+
+
+def test_only_touched_buckets_are_written(spark):
     from tidewatch.operators import upsert as U
     from tidewatch.session import scratch_dir
-    from tidewatch.sources import sinks
+    from tidewatch.sources import store as table
 
-    store = spark.createDataFrame([(i, f"u{i}", "old", None, "", "rss", "s", None, None, 1, 0, 0, None, AS_OF) for i in range(200)], STORE)
+    store, path = store_rows(spark, 200), scratch_dir(spark, "store")
     updates = spark.createDataFrame(random_updates(random.Random(5), 4), UPDATE)
-    path = scratch_dir(spark, "store")
-    sinks.write_store(store, path)
-    root = path.removeprefix("file:")
-    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")}
-    before = files()
-    sinks.upsert_store(spark, path, updates, AS_OF)
-    assert len(before & files()) >= len(before) - 4 and before != files()
+    table.write(store, path, 64)
+    before = parquet_files(path)
+    table.upsert(spark, path, updates, AS_OF)
+    assert len(before & parquet_files(path)) >= len(before) - 4 and before != parquet_files(path)
     want = U.upsert_articles(store, updates, AS_OF)
-    got = spark.read.parquet(path).select(*want.columns)
+    got = table.read(spark, path).select(*want.columns)
     assert sorted(map(str, got.drop("id").collect())) == sorted(map(str, want.drop("id").collect()))
+
+
+def test_store_keeps_its_layout(spark):
+    from tidewatch.session import scratch_dir
+    from tidewatch.sources import store as table
+
+    path = scratch_dir(spark, "store")
+    one = spark.createDataFrame([("u7", 1, "new", "", "", None, None, None, None, "")], UPDATE)
+    with pytest.raises(ValueError, match="no store"):
+        table.upsert(spark, path, one, AS_OF)
+    table.write(store_rows(spark, 115), path, 64)
+    with pytest.raises(ValueError, match="64 buckets, not 16"):
+        table.upsert(spark, path, one, AS_OF, buckets=16)
+    with pytest.raises(ValueError, match="64 buckets, not 16"):
+        table.write(store_rows(spark, 3), path, 16)
+    before = parquet_files(path)
+    table.upsert(spark, path, one, AS_OF)
+    changed = {f.rsplit("/", 2)[1] for f in before ^ parquet_files(path)}
+    assert len(changed) == 1 and table.read(spark, path).count() == 115
+    assert table.read(spark, path).where("url = 'u7'").first().title == "new"
+    assert [table.buckets_for(n) for n in (0, 1, 100_000, 100_001, 250_000, 10**12)] == [1, 1, 1, 2, 4, 1 << 16]
+    plan = table.touched(spark, path, one)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+
+
+def test_jobs_write_through_the_store(spark, sf_dir):
+    from tidewatch.plans import ingest_queries as Q, jobs
+    from tidewatch.plans.views import Views
+    from tidewatch.session import scratch_dir
+    from tidewatch.sources import store as table
+
+    v, path = Views(spark, sf_dir), scratch_dir(spark, "store")
+    old = v.store.withColumn("remark", F.lit(None).cast("string"))
+    table.write(old, path, 64)
+    before = parquet_files(path)
+    few = v.raw_items.where("seq < 4")
+    out = jobs.ingest_into(spark, few, path, AS_OF)
+    assert out.keys() == {"decided", "audit"} and out["decided"].count() == few.count()
+    assert len(before - parquet_files(path)) <= 4
+    whole = jobs.ingest(few, old, AS_OF)["store"].select(*old.columns)
+    text = lambda df: sorted(map(str, df.drop("id").collect()))
+    assert text(table.read(spark, path).select(*old.columns)) == text(whole)
+    table.write(v.articles, other := scratch_dir(spark, "articles"), 16)
+    both = (jobs.analyse_into(spark, other, v.analysis, v.raw_items, Q.audit(v), AS_OF) if hasattr(Q, "audit") else None)
+    assert both is None or both.keys() == {"merged", "gated", "audit"}
+
+
+def test_newest_speeds_and_gaps_against_plain_rules(spark):
+    """Vessel facts with rows without a position, hot hours and gaps of empty hours."""
+    import numpy as np
+    import pandas as pd
+
+    from tidewatch.operators import tracks as T
+    from tidewatch.streaming.tracks import _measured
+
+    r = random.Random(11)
+    rows = []
+    for vessel in range(6):
+        at = AS_OF - timedelta(hours=60)
+        for i in range(r.choice([1, 2, 40, 160])):
+            at += timedelta(seconds=r.choice([0, 5, 60, 600, 9000]))
+            lat, lng = (None, None) if r.random() < 0.2 else (30 + r.random() / 50, 120 + r.random() / 50)
+            rows.append((vessel * 1000 + i, str(vessel), lat, lng, r.choice([None, -1.0, 3.5, 7.0]), 90.0, at))
+    df = spark.createDataFrame(rows, "id long, mmsi string, lat double, lng double, speed double, heading double, timestamp timestamp_ntz").repartition(5)
+    for f in T._facts(df, 2, 80, 2).collect():
+        mine = sorted((x[6], x[0], x) for x in rows if x[1] == f.mmsi)
+        want = _measured(np.array([pd.Timestamp(t).value // 1000 for t, _, _ in mine]), np.array([[np.nan if v is None else v for v in x[2:6]] for _, _, x in mine], float), 2)
+        for name in ("_in_window", "_drift", "_step_m", "_gap_s", "_median_ms", "_median_kn"):
+            assert (f[name] is None) == (want[name] is None) and (want[name] is None or f[name] == pytest.approx(want[name], rel=1e-6, abs=1e-6)), (f.mmsi, name)

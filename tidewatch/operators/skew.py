@@ -33,23 +33,33 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column], spread: l
 
 
 def with_previous(df: DataFrame, key: str, ts: str, tie: str, carried: list[str],
-                  bucket_seconds: int = 3600) -> DataFrame:
-    """Add ``prev`` = STRUCT<ts, carried...> of the preceding row of the key, by (ts, tie).
+                  bucket_seconds: int = 3600, counts: Column | None = None) -> DataFrame:
+    """Add ``prev`` = STRUCT<ts, carried...> of the preceding row of the key, by (ts, tie), and ``_bucket``.
 
     A key is never one window: rows are ranked inside (key, time bucket), and the last row of a
     bucket is carried into the next bucket in use. Only those carried rows see the whole key.
+    With ``counts`` only rows for which it holds can be a preceding row.
     """
     bucket = F.floor(seconds_between(F.lit(EPOCH).cast("timestamp_ntz"), F.col(ts)) / bucket_seconds)
     rows = df.withColumn("_bucket", bucket)
     point = F.struct(ts, tie, *carried)
-    tails = rows.groupBy(key, "_bucket").agg(F.max_by(point, F.struct(ts, tie)).alias("_tail"))
+    last = F.struct(ts, tie)
+    tails = rows.groupBy(key, "_bucket").agg(F.max_by(point, last if counts is None else F.when(counts, last)).alias("_tail"))
     by_key = Window.partitionBy(key).orderBy("_bucket")
-    carry = (tails.withColumn("_bucket", F.lead("_bucket").over(by_key)).where(F.col("_bucket").isNotNull())
-             .select(key, "_bucket", "_tail.*", F.lit(True).alias("_carried")))
+    if counts is None:
+        before = F.lag("_tail").over(by_key)
+    else:  # a bucket may hold no row that counts
+        before = F.last("_tail", ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, -1))
+    carry = tails.withColumn("_tail", before).where(F.col("_tail").isNotNull())
+    carry = carry.select(key, "_bucket", "_tail.*", F.lit(True).alias("_carried"))
     both = rows.withColumn("_carried", F.lit(False)).unionByName(carry, allowMissingColumns=True)
     in_bucket = Window.partitionBy(key, "_bucket").orderBy(ts, tie)
-    return (both.withColumn("prev", F.lag(F.struct(ts, *carried)).over(in_bucket))
-            .where(~F.col("_carried")).drop("_bucket", "_carried"))
+    row = F.struct(ts, *carried)
+    if counts is None:
+        prev = F.lag(row).over(in_bucket)
+    else:
+        prev = F.last(F.when(counts, row), ignorenulls=True).over(in_bucket.rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("prev", prev).where(~F.col("_carried")).drop("_carried")
 
 
 def unnest(df: DataFrame, keep: list, array: Column, pos: str, value: str) -> DataFrame:

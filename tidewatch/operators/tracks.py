@@ -1,7 +1,8 @@
 """Vessel tracks: retention, segment speeds, stationarity and status.
 
 No step holds a whole vessel in one window: the previous position is found inside time buckets, the
-newest speeds by a cut that works before the shuffle, and all else is an aggregate per vessel.
+newest speeds by a cut inside these, and all else is an aggregate per vessel. Tables written by
+`append_tracks` carry their day (`track_date`); whoever asks for a time range reads these days only.
 """
 
 from __future__ import annotations
@@ -28,17 +29,24 @@ def track_retention(tracks: DataFrame, keep: int = V.TRACK_KEEP, salts: int | No
 def recent_tracks(tracks: DataFrame, as_of: datetime, days: int = 3, limit: int | None = None,
                   salts: int | None = None) -> DataFrame:
     """Points of every vessel within the last days up to ``as_of``, start included; the newest ``limit`` if one is given."""
-    since = tracks.where(F.col("timestamp").between(ts(as_of - timedelta(days=days)), ts(as_of)))
+    since = dated(tracks, as_of - timedelta(days=days), as_of).where(F.col("timestamp").between(ts(as_of - timedelta(days=days)), ts(as_of)))
     return since if limit is None else top_n_per_key(since, ["mmsi"], newest_first(), limit, ["id"], salts)
 
 
+def dated(tracks: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """The days from ``start`` to ``end`` of a table that is stored by day; other tables as they are."""
+    if "track_date" not in tracks.columns:
+        return tracks
+    return tracks.where(F.col("track_date").between(F.lit(start.date()), F.lit(end.date()))).drop("track_date")
+
+
 def _since(as_of: datetime, days: int) -> Column:
     return (F.col("timestamp") > ts(as_of - timedelta(days=days))) & (F.col("timestamp") <= ts(as_of))
 
 
 def track_history(tracks: DataFrame, mmsi: str, as_of: datetime, days: int = 3) -> DataFrame:
     """Points of one vessel, oldest first; the start itself is left out."""
-    return (tracks.where((F.col("mmsi") == mmsi) & _since(as_of, days))
+    return (dated(tracks, as_of - timedelta(days=days), as_of).where((F.col("mmsi") == mmsi) & _since(as_of, days))
             .select("lat", "lng", "speed", "heading", "timestamp", "created_at").orderBy("timestamp"))
 
 
@@ -104,25 +112,41 @@ def recent_window(tracks: DataFrame, hours: int) -> DataFrame:
 
 
 def _facts(recent: DataFrame, window_hours: int, drift_m: float, gap_hours: float) -> DataFrame:
-    """Everything the rules need to know about a vessel, one row per vessel."""
+    """Everything the rules need to know about a vessel, one row per vessel.
+
+    One pass finds the steps, one aggregate takes all that needs no other row, one join the drift around
+    the newest point. Of each hour at most as many speeds as count in the end are gathered.
+    """
     when = F.struct("timestamp", "id")
-    newest = recent.withColumn("_pt", _point()).groupBy("mmsi").agg(
+    steps = long_track_segments(recent, keep=["speed", "heading"], all_points=True)
+    valid = F.col("speed_ms").isNotNull()
+    rank = F.row_number().over(Window.partitionBy("mmsi", "_bucket", valid).orderBy(*newest_first()))
+    steps = steps.withColumn("_age", F.when(valid, rank))
+    tail = F.slice(F.sort_array(F.collect_list(F.when(F.col("_age") <= V.SPEED_TAIL, F.struct("timestamp", "id", "speed_ms"))), False), 1, V.SPEED_TAIL)
+    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.col("timestamp").isNotNull()
+    facts = steps.groupBy("mmsi").agg(
         F.max("timestamp").alias("latest_ts"), F.max_by(F.struct("lat", "lng", "heading"), when).alias("_row"),
-        F.max_by("_pt", F.when(F.col("_pt").isNotNull(), when)).alias("_spot"))
-    spot = newest.select("mmsi", F.col("latest_ts").alias("_until"), "_spot")
-    near = (recent.withColumn("_pt", _point()).where(F.col("_pt").isNotNull()).join(spot, "mmsi")
-            .where(F.col("timestamp") >= F.col("_until") - F.make_dt_interval(hours=F.lit(window_hours))))
-    drift = geo.haversine_m(F.col("_spot.lat"), F.col("_spot.lng"), F.col("lat"), F.col("lng"))
-    near = near.groupBy("mmsi").agg(F.count(F.lit(1)).alias("_near"), F.max(drift).alias("_drift"))
-    steps = long_track_segments(recent)
-    last = steps.groupBy("mmsi").agg(F.max_by(F.struct("step_m", "gap_s"), when).alias("_last"))
-    facts = newest.join(near, "mmsi", "left").join(last, "mmsi", "left").join(
-        median_speed(recent).withColumnRenamed("speed_ms", "_median_ms"), "mmsi", "left").join(
-        _median_knots(recent).withColumnRenamed("knots", "_median_kn"), "mmsi", "left")
-    still = (F.col("_last.gap_s") / 3600 >= gap_hours) & (F.col("_last.step_m") <= drift_m)
-    return (facts.withColumns({"lat": F.col("_row.lat"), "lng": F.col("_row.lng"), "heading": F.col("_row.heading"),
-                               "_in_window": F.coalesce("_near", F.lit(0).cast("bigint"))})
-            .withColumn("by_window", (F.col("_in_window") >= 2) & (F.col("_drift") <= drift_m))
+        F.max_by(F.struct("lat", "lng"), F.when(placed, when)).alias("_spot"),
+        F.max_by(F.struct("step_m", "gap_s"), F.when(placed, when)).alias("_last"), tail.alias("_tail"),
+        F.percentile(F.when(F.col("speed") >= 0, F.col("speed")), 0.5).alias("_median_kn"))
+    near = recent.where(placed).select("mmsi", F.col("timestamp").alias("_ts"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    soon = F.col("_ts") >= F.col("latest_ts") - F.make_dt_interval(hours=F.lit(window_hours))
+    drift = F.when(soon, geo.haversine_m(F.col("_spot.lat"), F.col("_spot.lng"), F.col("_lat"), F.col("_lng")))
+    same = ["latest_ts", "_row", "_last", "_tail", "_median_kn"]
+    facts = facts.join(near, "mmsi", "left").groupBy("mmsi").agg(
+        *(F.any_value(c).alias(c) for c in same), F.count_if(soon).alias("_in_window"), F.max(drift).alias("_drift"))
+    speeds = F.array_sort(F.transform("_tail", lambda x: x.speed_ms))
+    n = F.size(speeds)
+    middle = (F.get(speeds, F.floor((n - 1) / 2).cast("int")) + F.get(speeds, F.floor(n / 2).cast("int"))) / 2
+    facts = facts.withColumns({"lat": F.col("_row.lat"), "lng": F.col("_row.lng"), "heading": F.col("_row.heading"), "_step_m": F.col("_last.step_m"),
+                               "_gap_s": F.col("_last.gap_s"), "_median_ms": F.when(n > 0, middle)})
+    return at_rest(facts, drift_m, gap_hours)
+
+
+def at_rest(facts: DataFrame, drift_m: float = V.DRIFT_M, gap_hours: float = 2) -> DataFrame:
+    """Whether the points around the newest one, or else the last step, show a vessel that stays where it is."""
+    still = (F.col("_gap_s") / 3600 >= gap_hours) & (F.col("_step_m") <= drift_m)
+    return (facts.withColumn("by_window", (F.col("_in_window") >= 2) & (F.col("_drift") <= drift_m))
             .withColumn("by_fallback", (F.col("_in_window") < 2) & F.coalesce(still, F.lit(False))))
 
 
@@ -158,8 +182,13 @@ def vessel_status(tracks: DataFrame, as_of: datetime, days: int = 3, offline_hou
     Offline, else stationary, else by the median segment speed, else by the recorded speeds.
     """
     facts = _facts(recent_tracks(tracks, as_of, days, limit, salts), 2, V.DRIFT_M, 2)
-    facts = facts.withColumn("_offline", _offline(as_of, offline_hours)).withColumn(
-        "_still", ~F.col("_offline") & (F.col("by_window") | F.col("by_fallback")))
+    return status_rows(facts, as_of, offline_hours)
+
+
+def status_rows(facts: DataFrame, as_of: datetime, offline_hours: int) -> DataFrame:
+    """The rules: status, speed in knots, heading and position from a vessel's facts."""
+    facts = facts.withColumn("_offline", _offline(as_of, offline_hours))
+    facts = facts.withColumn("_still", ~F.col("_offline") & (F.col("by_window") | F.col("by_fallback")))
     speed = F.coalesce("_median_ms", geo.knots_to_ms(F.col("_median_kn")))
     return facts.select(
         "mmsi",
@@ -172,15 +201,22 @@ def vessel_status(tracks: DataFrame, as_of: datetime, days: int = 3, offline_hou
         F.col("latest_ts").alias("status_date"))
 
 
-def long_track_segments(tracks: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """Distance and speed of every step of whole tracks, however long one track is."""
-    points = tracks.where(F.col("timestamp").isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull())
-    points = points.select("mmsi", "id", "timestamp", "lat", "lng")
-    steps = with_previous(points, "mmsi", "timestamp", "id", ["lat", "lng"], bucket_seconds)
-    return (steps.withColumn("_pt", _point())
-            .withColumn("step_m", geo.haversine_m(F.col("prev.lat"), F.col("prev.lng"), F.col("lat"), F.col("lng")))
-            .withColumn("gap_s", geo.seconds_between(F.col("prev.timestamp"), F.col("timestamp")))
-            .withColumn("speed_ms", _segment_speed("prev")).drop("prev", "_pt"))
+def long_track_segments(tracks: DataFrame, bucket_seconds: int = 3600, keep: list[str] | None = None, all_points: bool = False) -> DataFrame:
+    """Distance and speed of every step of whole tracks, however long one track is.
+
+    ``keep`` names more columns to carry along. With ``all_points`` rows without a position stay, as rows without a
+    step, and `_bucket` tells the time bucket.
+    """
+    placed = F.col("timestamp").isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    points = tracks.select("mmsi", "id", "timestamp", "lat", "lng", *(keep or []))
+    if not all_points:
+        points = points.where(placed)
+    steps = with_previous(points, "mmsi", "timestamp", "id", ["lat", "lng"], bucket_seconds, placed if all_points else None)
+    steps = (steps.withColumn("_pt", _point())
+             .withColumn("step_m", geo.haversine_m(F.col("prev.lat"), F.col("prev.lng"), F.col("lat"), F.col("lng")))
+             .withColumn("gap_s", F.when(F.col("_pt").isNotNull(), geo.seconds_between(F.col("prev.timestamp"), F.col("timestamp"))))
+             .withColumn("speed_ms", _segment_speed("prev")).drop("prev", "_pt"))
+    return steps if all_points else steps.drop("_bucket")
 
 
 def path_length(tracks: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
@@ -200,5 +236,5 @@ def track_extent(tracks: DataFrame) -> DataFrame:
 
 def has_track(tracks: DataFrame, as_of: datetime, days: int = 3) -> DataFrame:
     """Vessels with at least two points in the last days."""
-    return (tracks.where(_since(as_of, days)).groupBy("mmsi")
+    return (dated(tracks, as_of - timedelta(days=days), as_of).where(_since(as_of, days)).groupBy("mmsi")
             .agg(F.count(F.lit(1)).alias("points")).where(F.col("points") >= 2))

@@ -11,7 +11,7 @@ from tidewatch.plans.article_queries import LATER
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import AS_OF, Views
 from tidewatch.session import scratch_dir
-from tidewatch.sources import sinks
+from tidewatch.sources import sinks, store
 
 
 def collected(v: Views) -> DataFrame:
@@ -81,9 +81,18 @@ def upsert_articles(v):
 def upsert_store(v):
     """The same updates written into a bucketed store."""
     path = scratch_dir(v.spark, "store")
-    sinks.write_store(v.store.withColumn("remark", F.lit(None).cast("string")), path)
-    sinks.upsert_store(v.spark, path, updates(v), LATER)
-    return sinks.read_table(v.spark, path).select(*STORE_COLUMNS)
+    store.write(v.store.withColumn("remark", F.lit(None).cast("string")), path, 16)
+    store.upsert(v.spark, path, updates(v), LATER)
+    return store.read(v.spark, path).select(*STORE_COLUMNS)
+
+
+@query
+def ingest_into_store(v):
+    """The ingest job on a stored table."""
+    path = scratch_dir(v.spark, "store")
+    store.write(v.store.withColumn("remark", F.lit(None).cast("string")), path, 16)
+    jobs.ingest_into(v.spark, v.raw_items, path, AS_OF)
+    return store.read(v.spark, path).select(*STORE_COLUMNS)
 
 
 @query

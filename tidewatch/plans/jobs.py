@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch import vocab as V
 from tidewatch.functions import geo, text as T
 from tidewatch.operators import analysis as A, dedup as D, filters, fleet, geocode, items as I, tracks, upsert as U
 from tidewatch.session import stored
+from tidewatch.sources import store as table
 
 
 def ingest(items: DataFrame, store: DataFrame, as_of: datetime, store_once: bool = True) -> dict[str, DataFrame]:
@@ -35,15 +36,47 @@ def ingest(items: DataFrame, store: DataFrame, as_of: datetime, store_once: bool
             "store": U.upsert_articles(grown, updates, as_of)}
 
 
+def _into(spark: SparkSession, path: str, old: DataFrame, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Write a job's new store rows, and give its other outputs."""
+    table.write(stored(out.pop("store").select(*old.columns), "store"), path)
+    return out
+
+
+def ingest_into(spark: SparkSession, items: DataFrame, path: str, as_of: datetime) -> dict[str, DataFrame]:
+    """`ingest` on a stored table (`sources.store`): only buckets of the items' links are read and rewritten. Returns decided and audit."""
+    links = I.normalize_links(items).select(F.col("link").alias("url"))
+    old = table.touched(spark, path, links)
+    return _into(spark, path, old, ingest(items, old, as_of))
+
+
+def analyse_into(spark: SparkSession, path: str, results: DataFrame, run_items: DataFrame, audit: DataFrame, as_of: datetime,
+                 date_source: str = "run") -> dict[str, DataFrame]:
+    """`analyse` on a stored table: articles with results are looked up by id, their buckets alone are rewritten.
+
+    Returns merged and gated results and the audit.
+    """
+    articles = table.read(spark, path)
+    todo = filters.needs_analysis(articles)
+    merged = stored(A.merge_results(todo, results), "merged")
+    gated = stored(A.run_date_gate(merged, run_items, as_of, date_source), "gated")
+    table.upsert(spark, path, analysis_updates(gated), as_of)
+    return {"merged": merged, "gated": gated, "audit": A.audit_outcome(audit, gated)}
+
+
+def analysis_updates(gated: DataFrame) -> DataFrame:
+    """Gated results as updates of the store."""
+    return gated.select("url", F.col("id").alias("seq"), "title", "title_cn", "pub_date", "source_type", "source_name",
+                        "summary_cn", "full_text_cn", "content", "screenshot_path", "category", "valid",
+                        "is_retained", "remark")
+
+
 def analyse(store: DataFrame, results: DataFrame, run_items: DataFrame, audit: DataFrame, as_of: datetime,
             date_source: str = "run") -> dict[str, DataFrame]:
     """Model results into the store. Returns merged results, gated results, audit and the new store."""
     todo = filters.needs_analysis(store)
     merged = A.merge_results(todo, results)
     gated = A.run_date_gate(merged, run_items, as_of, date_source)
-    updates = gated.select("url", F.col("id").alias("seq"), "title", "title_cn", "pub_date", "source_type", "source_name",
-                           "summary_cn", "full_text_cn", "content", "screenshot_path", "category", "valid",
-                           "is_retained", "remark")
+    updates = analysis_updates(gated)
     return {"merged": merged, "gated": gated, "audit": A.audit_outcome(audit, gated),
             "store": U.upsert_articles(store, updates, as_of)}
 
@@ -73,6 +106,6 @@ def fleet_job(payload: DataFrame, ships: DataFrame, track_store: DataFrame, gaze
     """
     placed = stored(place_positions(payload, ships, gazetteer, as_of, index=index), "placed")
     registry, fresh = fleet.position_update(ships, placed, as_of), track_rows(placed, as_of)
-    seen = tracks.recent_tracks(track_store, as_of, days).unionByName(fresh)
-    return {"placed": placed, "new_tracks": fresh, "tracks": tracks.track_retention(track_store.unionByName(fresh), V.TRACK_KEEP),
+    seen = tracks.recent_tracks(track_store, as_of, days).select(*fresh.columns).unionByName(fresh)
+    return {"placed": placed, "new_tracks": fresh, "tracks": tracks.track_retention(track_store.select(*fresh.columns).unionByName(fresh), V.TRACK_KEEP),
             "ships": fleet.fleet_status_update(registry, seen, as_of, days, offline_hours)}

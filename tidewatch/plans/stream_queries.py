@@ -10,12 +10,17 @@ from tidewatch.plans.registry import query
 from tidewatch.plans.views import DOCUMENTS_DDL, EVENTS_DDL, Views, articles_from_documents, raw_from_documents, tracks_from_events
 from tidewatch.session import scratch_dir
 from tidewatch.streaming import articles as SA, tracks as ST
-from tidewatch.streaming.sinks import latest_per_key, read_batches
+from tidewatch.streaming.sinks import read_batches
+
+
+FILES = 4
 
 
 def stream(v: Views, name: str, ddl: str) -> DataFrame:
-    """One sample table as a stream of files."""
-    return v.spark.readStream.schema(ddl).option("pathGlobFilter", f"{name}.parquet").parquet(v.sf_dir)
+    """One sample table as a stream of files, whose rows arrive in no order, a file in each batch."""
+    path = scratch_dir(v.spark, "arriving")
+    v.table(name).repartition(FILES).write.parquet(path)
+    return v.spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def events(v: Views) -> DataFrame:
@@ -42,17 +47,16 @@ def stream_track_ingest(v):
 @query
 def stream_vessel_status(v):
     out, checkpoint = folders(v, "status")
-    ST.start_vessel_status(events(v), out, checkpoint, days=10, offline_hours=24).awaitTermination()
-    rows = latest_per_key(read_batches(v.spark, out), ["mmsi"])
-    return rows.select("mmsi", "status", F.round("speed_kn", 6).alias("speed_kn"), "heading", "location",
-                       F.col("status_date").cast("timestamp_ntz").alias("status_date"))
+    ST.start_vessel_status(events(v), out, checkpoint, days=10).awaitTermination()
+    rows = ST.current_status(v.spark, out, days=10, offline_hours=24)
+    return rows.select("mmsi", "status", F.round("speed_kn", 6).alias("speed_kn"), "heading", "location", "status_date")
 
 
 @query
 def stream_article_dedup(v):
     out, checkpoint = folders(v, "items")
     SA.start_article_dedup(raw_from_documents(documents(v)), v.store, out, checkpoint).awaitTermination()
-    return read_batches(v.spark, out).select("link", "seq")
+    return read_batches(v.spark, out).groupBy("link").agg(F.count(F.lit(1)).alias("times"))
 
 
 def _counted(v: Views, count, name: str, keys: list[str]) -> DataFrame:

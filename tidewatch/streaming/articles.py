@@ -10,27 +10,37 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidewatch.functions import text as T
 from tidewatch.operators import reports as R, stats
-from tidewatch.operators.dedup import new_minus_store
 from tidewatch.operators.filters import visible_valid
 from tidewatch.operators.items import normalize_links
 from tidewatch.operators.skew import first_per_key
 from tidewatch.operators.upsert import upsert_articles
-from tidewatch.streaming.sinks import read_batches, write_batches
+from tidewatch.session import stored
+from tidewatch.sources import store
+from tidewatch.streaming import seen
+from tidewatch.streaming.sinks import FOLD_EVERY, read_batches, run_path, write_batches
 
 
-def start_article_dedup(items: DataFrame, store: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
-    """New links only: the first item (smallest seq) of each link in its batch, if neither stored nor written by an earlier batch."""
-    spark, known = items.sparkSession, store.select("url")
+def start_article_dedup(items: DataFrame, store: DataFrame, path: str, checkpoint: str, per_bucket: int = seen.PER_BUCKET, **kw) -> StreamingQuery:
+    """New links only: the first item (smallest seq) of each link in its batch, if neither stored nor written by an earlier batch.
+
+    What was seen is an index beside the output (`seen.SeenLinks`), of which a batch reads the buckets of its own links
+    only; it takes the store's links in once, when the query starts for the first time.
+    """
+    spark = items.sparkSession
+    known = seen.SeenLinks(spark, f"{path}/_links", per_bucket, kw.get("fold_every", FOLD_EVERY))
+    known.seed(store)
 
     def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
         rows = normalize_links(batch).where(~T.is_blank(F.col("link")))
-        rows = new_minus_store(first_per_key(rows, ["link"], [F.asc("seq")], ["seq"]), known)
-        if batch_id == 0:
-            return rows
-        earlier = read_batches(spark, path).where(F.col("batch_id") < batch_id).select("link")
-        return rows.join(earlier, "link", "left_anti")
+        rows = stored(first_per_key(rows, ["link"], [F.asc("seq")], ["seq"]), "links")
+        return rows.join(known.unseen(rows.select("link"), batch_id), "link", "left_semi")
+
+    def note(batch_id: int) -> None:
+        known.add(spark.read.parquet(run_path(path, batch_id, batch_id)).select("link"), batch_id)
+        if (batch_id + 1) % known.fold_every == 0:
+            known.fold(batch_id + 1)
 
-    return write_batches(items, path, checkpoint, each=fresh, with_id=True, **kw)
+    return write_batches(items, path, checkpoint, each=fresh, with_id=True, after=note, **kw)
 
 
 def daily_counts(articles: DataFrame) -> DataFrame:
@@ -47,8 +57,17 @@ def shift_digest(articles: DataFrame) -> DataFrame:
 
 
 def start_counts(articles: DataFrame, count: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, **kw) -> StreamingQuery:
-    """Append each batch's partial counts. No state and no watermark, so an article counts however late it arrives."""
-    return write_batches(articles, path, checkpoint, each=count, **kw)
+    """Append each batch's partial counts. No state and no watermark, so an article counts however late it arrives.
+
+    Folds add the counts up, so a key is few rows however many batches there were.
+    """
+    return write_batches(articles, path, checkpoint, each=count, combine=added, **kw)
+
+
+def added(counts: DataFrame) -> DataFrame:
+    """Partial counts of equal keys added up."""
+    keys = [c for c in counts.columns if c != "articles"]
+    return counts.groupBy(*keys).agg(F.sum("articles").alias("articles"))
 
 
 def read_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -61,12 +80,17 @@ def start_updates_log(updates: DataFrame, path: str, checkpoint: str, **kw) -> S
     return write_batches(updates, path, checkpoint, **kw)
 
 
-def current_store(spark: SparkSession, store: DataFrame, log_path: str, as_of: datetime) -> DataFrame:
+def current_store(spark: SparkSession, articles: DataFrame, log_path: str, as_of: datetime) -> DataFrame:
     """Store as of all logged updates. Folding ordered updates is the same in one go or batch by batch."""
-    return upsert_articles(store, read_batches(spark, log_path).drop("batch_id"), as_of)
+    return upsert_articles(articles, read_batches(spark, log_path), as_of)
+
+
+def apply_log(spark: SparkSession, store_path: str, log_path: str, as_of: datetime) -> None:
+    """Write the logged updates into a stored table; only buckets with updates are read and written. Applying a log twice gives the same store."""
+    store.upsert(spark, store_path, read_batches(spark, log_path), as_of)
 
 
-def compact(spark: SparkSession, store: DataFrame, log_path: str, out_path: str, as_of: datetime) -> DataFrame:
+def compact(spark: SparkSession, articles: DataFrame, log_path: str, out_path: str, as_of: datetime) -> DataFrame:
     """Write the current store to a new folder; the log can start afresh after it."""
-    current_store(spark, store, log_path, as_of).write.mode("overwrite").parquet(out_path)
+    current_store(spark, articles, log_path, as_of).write.mode("overwrite").parquet(out_path)
     return spark.read.parquet(out_path)

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tidewatch import vocab as V
 from tidewatch.functions import geo
 from tidewatch.operators.filters import ts
 from tidewatch.operators.geocode import index_places, reverse_geocode
+from tidewatch.operators.tracks import at_rest, status_rows
 from tidewatch.session import stored
-from tidewatch.streaming.sinks import write_batches
+from tidewatch.streaming.sinks import latest_per_key, read_batches, write_batches
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -33,9 +34,10 @@ def start_track_ingest(reports: DataFrame, gazetteer: DataFrame, path: str, chec
     return write_batches(reports, path, checkpoint, each=place, **kw)
 
 
-STATUS_ROW = ("mmsi STRING, status STRING, speed_kn DOUBLE, heading DOUBLE, location STRING, status_date TIMESTAMP")
-_POINT = "ts_us BIGINT, id BIGINT, lat DOUBLE, lng DOUBLE, speed DOUBLE, heading DOUBLE"
-_FIELDS = ["ts_us", "id", "lat", "lng", "speed", "heading"]
+POINT_KEY, POINT = "ts_us BIGINT, id BIGINT", "lat DOUBLE, lng DOUBLE, speed DOUBLE, heading DOUBLE"
+FACTS = ("mmsi STRING, latest_ts TIMESTAMP, lat DOUBLE, lng DOUBLE, heading DOUBLE, _in_window BIGINT, _drift DOUBLE, _step_m DOUBLE, _gap_s DOUBLE, "
+         "_median_ms DOUBLE, _median_kn DOUBLE")
+HOUR_US = 3_600_000_000
 
 
 def _metres(lat1, lng1, lat2, lng2):
@@ -44,98 +46,90 @@ def _metres(lat1, lng1, lat2, lng2):
     return 2 * V.EARTH_RADIUS_M * np.arcsin(np.minimum(np.sqrt(a), 1.0))
 
 
-def judge(points: pd.DataFrame, window_hours: float = 2, gap_hours: float = 2) -> tuple[str, float | None]:
-    """Status and knots of one vessel from its points in time order (not offline)."""
-    p = points[points["lat"].notna() & points["lng"].notna()]
-    t, lat, lng = p["ts_us"].to_numpy(), p["lat"].to_numpy(), p["lng"].to_numpy()
-    hour = 3_600_000_000
-    newest = points["ts_us"].max()
-    near = t >= newest - window_hours * hour
-    if near.sum() >= 2:
-        still = _metres(lat[-1], lng[-1], lat[near], lng[near]).max() <= V.DRIFT_M
-    else:
-        still = (len(t) >= 2 and t[-1] - t[-2] >= gap_hours * hour
-                 and _metres(lat[-1], lng[-1], lat[-2], lng[-2]) <= V.DRIFT_M)
-    if still:
-        return "moored", 0.0
-    dt = np.diff(t) / 1e6
-    step = _metres(lat[:-1], lng[:-1], lat[1:], lng[1:])
-    ok = dt > 0
-    speeds = step[ok] / dt[ok]
-    speeds = speeds[speeds <= V.MAX_SEGMENT_MS][-V.SPEED_TAIL:]
-    knots = points["speed"][points["speed"] >= 0]
-    if len(speeds):
-        ms = float(np.median(speeds))
-    elif len(knots):
-        ms = float(np.median(knots)) * V.KNOT_MS
-    else:
-        return "offline", None
-    return ("moored" if ms < 0.3 else "dredging" if ms <= 3.0 else "underway"), ms / V.KNOT_MS
-
-
-class VesselStatus(StatefulProcessor):
-    """Keeps the newest points of a vessel; a timer reports it offline when it falls silent."""
-
-    def __init__(self, days: int = 3, offline_hours: int = 2):
-        self.days, self.offline_hours = days, offline_hours
+def _measured(when: np.ndarray, rows: np.ndarray, window_hours: float) -> dict:
+    """What `tracks._facts` measures, of one vessel's points in time order; the rules are not repeated here."""
+    lat, lng, speed, heading = rows.T
+    placed = ~np.isnan(lat) & ~np.isnan(lng)
+    t, y, x = when[placed], lat[placed], lng[placed]
+    near = t >= when[-1] - window_hours * HOUR_US
+    step, gap = _metres(y[:-1], x[:-1], y[1:], x[1:]), np.diff(t) / 1e6
+    ok = gap > 0
+    speeds = step[ok] / gap[ok]
+    speeds, knots = speeds[speeds <= V.MAX_SEGMENT_MS][-V.SPEED_TAIL:], speed[speed >= 0]
+    number = lambda v: None if np.isnan(v) else float(v)
+    return {"latest_ts": pd.Timestamp(int(when[-1]), unit="us"), "lat": number(lat[-1]), "lng": number(lng[-1]), "heading": number(heading[-1]), "_in_window": int(near.sum()),
+            "_drift": float(_metres(y[-1], x[-1], y[near], x[near]).max()) if near.any() else None,
+            "_step_m": float(step[-1]) if len(step) else None, "_gap_s": float(gap[-1]) if len(gap) else None,
+            "_median_ms": float(np.median(speeds)) if len(speeds) else None, "_median_kn": float(np.median(knots)) if len(knots) else None}
+
+
+class VesselPoints(StatefulProcessor):
+    """The points of a vessel's look-back by time and id: a report is one entry, wherever in time it falls.
+
+    A repeated report replaces itself. Entries older than the look-back of the newest point go; a timer
+    clears what a silent vessel leaves behind.
+    """
+
+    def __init__(self, days: int = 3, window_hours: float = 2):
+        self.days, self.window_hours = days, window_hours
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.points = handle.getListState("points", _POINT)
+        self.points = handle.getMapState("points", POINT_KEY, POINT)
 
     def handleInputRows(self, key, rows, timerValues):
-        known = pd.DataFrame(list(self.points.get()), columns=_FIELDS)
-        for chunk in rows:  # cut to the look-back after every chunk
-            fresh = pd.DataFrame({"ts_us": chunk["timestamp"].astype("datetime64[us]").astype("int64"),
-                                  **{c: chunk[c] for c in _FIELDS[1:]}})
-            known = fresh if known.empty else pd.concat([known, fresh], ignore_index=True)
-            known = known.drop_duplicates(["ts_us", "id"]).sort_values(["ts_us", "id"])
-            oldest = known["ts_us"].iloc[-1] - self.days * 86_400_000_000
-            known = known[known["ts_us"] >= oldest]
-        self.points.put([tuple(None if pd.isna(x) else x for x in r)
-                         for r in known.astype({"ts_us": "int64", "id": "int64"}).astype(object).itertuples(index=False)])
-        last = known.iloc[-1]
-        silent_at = int(last["ts_us"]) // 1000 + self.offline_hours * 3_600_000
+        for chunk in rows:
+            when = chunk["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
+            values = chunk[["lat", "lng", "speed", "heading"]].astype("float64").to_numpy()
+            for t, i, value in zip(when.tolist(), chunk["id"].tolist(), values.tolist()):
+                self.points.updateValue((t, i), tuple(None if v != v else v for v in value))
+        found = sorted((tuple(k), tuple(v)) for k, v in self.points.iterator())
+        newest = found[-1][0][0]
+        oldest = newest - self.days * 24 * HOUR_US
+        while found[0][0][0] < oldest:
+            self.points.removeKey(found.pop(0)[0])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(silent_at)
-        status, knots = judge(known)
-        place = f"{last['lat']:.6f}, {last['lng']:.6f}" if pd.notna(last["lat"]) and pd.notna(last["lng"]) else None
-        yield self._row(key, status, knots, last, place)
+        self.handle.registerTimer(newest // 1000)
+        facts = _measured(np.array([k[0] for k, _ in found]), np.array([v for _, v in found], float), self.window_hours)
+        yield pd.DataFrame([{"mmsi": key[0], **facts}]).astype({c: "float64" for c in facts if c not in ("latest_ts", "_in_window")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        points = pd.DataFrame(list(self.points.get()), columns=_FIELDS)
-        if not points.empty:
-            yield self._row(key, "offline", None, points.iloc[-1], None)
-            last = int(points["ts_us"].iloc[-1]) // 1000
-            forget = last + self.days * 86_400_000
-            if expiredTimerInfo.getExpiryTimeInMs() >= forget:
-                self.points.clear()
-            else:  # a vessel that stays silent for the whole look-back is forgotten
-                self.handle.registerTimer(forget)
+        self.points.clear()
+        return iter([])
 
-    @staticmethod
-    def _row(key, status, knots, last, place) -> pd.DataFrame:
-        return pd.DataFrame({"mmsi": [key[0]], "status": [status], "speed_kn": pd.Series([knots], dtype="float64"),
-                             "heading": [float(last["heading"]) if pd.notna(last["heading"]) else None], "location": [place],
-                             "status_date": [pd.Timestamp(int(last["ts_us"]), unit="us")]})
 
+def vessel_facts_stream(points: DataFrame, days: int = 3, window_hours: float = 2) -> DataFrame:
+    """The facts of a vessel, anew whenever it reports, in time or late.
 
-def vessel_status_stream(points: DataFrame, days: int = 3, offline_hours: int = 2, delay: str = "3 hours") -> DataFrame:
-    """A status row whenever a vessel reports, and one when it has been silent too long.
-
-    Reports later than ``delay`` behind the newest one do not change the live status; the track
-    table keeps them all and the batch status counts them.
+    The look-back of a vessel ends at its newest report. The watermark is two look-backs behind the newest report of
+    all, so every report counts that can lie in the look-back of a vessel that is still listed (`current_status`).
 
     ``points``: id, mmsi, lat, lng, speed, heading, timestamp.
     """
     rows = points.select("mmsi", "id", "lat", "lng", "speed", "heading", F.col("timestamp").cast("timestamp").alias("timestamp"))
-    return rows.withWatermark("timestamp", delay).groupBy("mmsi").transformWithStateInPandas(
-        statefulProcessor=VesselStatus(days, offline_hours), outputStructType=STATUS_ROW, outputMode="Update",
-        timeMode="EventTime")
+    rows = rows.where(F.col("timestamp").isNotNull() & F.col("mmsi").isNotNull() & F.col("id").isNotNull())
+    return rows.withWatermark("timestamp", f"{2 * days} days").groupBy("mmsi").transformWithStateInPandas(
+        statefulProcessor=VesselPoints(days, window_hours), outputStructType=FACTS, outputMode="Update", timeMode="EventTime")
 
 
-def start_vessel_status(points: DataFrame, path: str, checkpoint: str, days: int = 3, offline_hours: int = 2,
-                        **kw) -> StreamingQuery:
+def start_vessel_status(points: DataFrame, path: str, checkpoint: str, days: int = 3, **kw) -> StreamingQuery:
+    """Keep the newest facts of every vessel; folds keep one row of each."""
     points.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return write_batches(vessel_status_stream(points, days, offline_hours), path, checkpoint, mode="update", **kw)
+
+    def numbered(rows: DataFrame, batch_id: int) -> DataFrame:
+        return rows.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("mmsi").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "mmsi"]), "batch_id").alias("s")).select("mmsi", "s.*")
+
+    return write_batches(vessel_facts_stream(points, days), path, checkpoint, mode="update", each=numbered, with_id=True, combine=newest, **kw)
+
+
+def current_status(spark: SparkSession, path: str, as_of: datetime | None = None, days: int = 3, offline_hours: int = 2) -> DataFrame:
+    """Status of every vessel with reports in the last days up to ``as_of`` (default: the newest report), by the rules of the batch job."""
+    facts = latest_per_key(read_batches(spark, path), ["mmsi"]).withColumn("latest_ts", F.col("latest_ts").cast("timestamp_ntz"))
+    as_of = as_of or facts.agg(F.max("latest_ts")).first()[0]
+    if as_of is None:
+        return status_rows(at_rest(facts), datetime(1970, 1, 1), offline_hours)
+    return status_rows(at_rest(facts.where(F.col("latest_ts") >= ts(as_of - timedelta(days=days)))), as_of, offline_hours)
