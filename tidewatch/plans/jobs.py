@@ -36,21 +36,17 @@ def ingest(items: DataFrame, store: DataFrame, as_of: datetime, store_once: bool
             "store": U.upsert_articles(grown, updates, as_of)}
 
 
-def _into(spark: SparkSession, path: str, old: DataFrame, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Write a job's new store rows, and give its other outputs."""
-    table.write(stored(out.pop("store").select(*old.columns), "store"), path)
-    return out
-
-
-def ingest_into(spark: SparkSession, items: DataFrame, path: str, as_of: datetime) -> dict[str, DataFrame]:
+def ingest_into(spark: SparkSession, items: DataFrame, path: str, as_of: datetime, job: str | None = None) -> dict[str, DataFrame]:
     """`ingest` on a stored table (`sources.store`): only buckets of the items' links are read and rewritten. Returns decided and audit."""
     links = I.normalize_links(items).select(F.col("link").alias("url"))
     old = table.touched(spark, path, links)
-    return _into(spark, path, old, ingest(items, old, as_of))
+    out = ingest(items, old, as_of)
+    table.write(out.pop("store").select(*old.columns), path, job=job)
+    return out
 
 
 def analyse_into(spark: SparkSession, path: str, results: DataFrame, run_items: DataFrame, audit: DataFrame, as_of: datetime,
-                 date_source: str = "run") -> dict[str, DataFrame]:
+                 date_source: str = "run", job: str | None = None) -> dict[str, DataFrame]:
     """`analyse` on a stored table: articles with results are looked up by id, their buckets alone are rewritten.
 
     Returns merged and gated results and the audit.
@@ -59,7 +55,7 @@ def analyse_into(spark: SparkSession, path: str, results: DataFrame, run_items:
     todo = filters.needs_analysis(articles)
     merged = stored(A.merge_results(todo, results), "merged")
     gated = stored(A.run_date_gate(merged, run_items, as_of, date_source), "gated")
-    table.upsert(spark, path, analysis_updates(gated), as_of)
+    table.upsert(spark, path, analysis_updates(gated), as_of, job=job)
     return {"merged": merged, "gated": gated, "audit": A.audit_outcome(audit, gated)}
 
 

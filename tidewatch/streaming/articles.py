@@ -15,9 +15,9 @@ from tidewatch.operators.items import normalize_links
 from tidewatch.operators.skew import first_per_key
 from tidewatch.operators.upsert import upsert_articles
 from tidewatch.session import stored
-from tidewatch.sources import store
+from tidewatch.sources import folders, store
 from tidewatch.streaming import seen
-from tidewatch.streaming.sinks import FOLD_EVERY, read_batches, run_path, write_batches
+from tidewatch.streaming.sinks import FOLD_EVERY, read_batches, run_path, runs, write_batches
 
 
 def start_article_dedup(items: DataFrame, store: DataFrame, path: str, checkpoint: str, per_bucket: int = seen.PER_BUCKET, **kw) -> StreamingQuery:
@@ -77,17 +77,30 @@ def read_counts(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 def start_updates_log(updates: DataFrame, path: str, checkpoint: str, **kw) -> StreamingQuery:
     """Append arriving updates (url, seq, columns) to a log; the store itself is not rewritten per batch."""
-    return write_batches(updates, path, checkpoint, **kw)
+    return write_batches(updates, path, checkpoint, each=lambda rows, i: rows.withColumn("batch_id", F.lit(i).cast("bigint")), with_id=True, **kw)
 
 
 def current_store(spark: SparkSession, articles: DataFrame, log_path: str, as_of: datetime) -> DataFrame:
     """Store as of all logged updates. Folding ordered updates is the same in one go or batch by batch."""
-    return upsert_articles(articles, read_batches(spark, log_path), as_of)
+    return upsert_articles(articles, read_batches(spark, log_path).drop("batch_id"), as_of)
 
 
-def apply_log(spark: SparkSession, store_path: str, log_path: str, as_of: datetime) -> None:
-    """Write the logged updates into a stored table; only buckets with updates are read and written. Applying a log twice gives the same store."""
-    store.upsert(spark, store_path, read_batches(spark, log_path), as_of)
+def apply_log(spark: SparkSession, store_path: str, log_path: str, as_of: datetime) -> int:
+    """Write updates that were logged since the last call into a stored table, whose buckets with updates alone are rewritten.
+
+    The table notes the last batch it holds, so a call that is repeated, or ended half-way before, applies nothing twice.
+    Returns that batch, -1 if there is none.
+    """
+    logged = runs(spark, log_path)
+    if not logged:
+        return -1
+    store.recover(spark, store_path)
+    done = max((int(x[4:]) for x in folders.children(spark, f"{store_path}/_jobs") if x.startswith("log_")), default=-1)
+    last = logged[-1][1]
+    if last > done:
+        new = spark.read.parquet(*[run_path(log_path, *r) for r in logged if r[1] > done]).where(F.col("batch_id") > done).drop("batch_id")
+        store.upsert(spark, store_path, new, as_of, job=f"log_{last}")
+    return last
 
 
 def compact(spark: SparkSession, articles: DataFrame, log_path: str, out_path: str, as_of: datetime) -> DataFrame:

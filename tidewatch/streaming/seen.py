@@ -45,7 +45,7 @@ class SeenLinks:
         folders.delete(self.spark, to)
         n = buckets_for(links.count(), self.per_bucket)
         rows = links.select("link", _hash().alias("h")).withColumn("bucket", F.pmod("h", F.lit(n)).cast("int"))
-        rows = rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "h").sortWithinPartitions("bucket", "h")
+        rows = rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "h")  # a file for each
         rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{to}/of_{n}")
         self.spark.range(0).coalesce(1).write.mode("append").parquet(to)  # commits the run
 
@@ -94,10 +94,10 @@ class SeenLinks:
         return links if known is None else links.join(known, "link", "left_anti")
 
     def files(self, links: DataFrame, before: int) -> list[str]:
-        """The files that `unseen` looks into."""
+        """The files that `unseen` looks into for the hashes of its buckets."""
         out: list[str] = []
         for run in sinks.runs(self.spark, self.path, before):
             folder, n = self._layout(run)
-            part = self.spark.read.schema("link string, h long, bucket int").parquet(folder)
-            out += part.where(F.col("bucket").isin(self._touched(links, n))).inputFiles()
+            part = self.spark.read.schema("link string, h long, bucket int").parquet(folder).where(F.col("bucket").isin(self._touched(links, n)))
+            out += [r[0] for r in part.select(F.input_file_name()).distinct().collect()]
         return out
