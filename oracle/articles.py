@@ -267,10 +267,10 @@ add("title_dedup_top5", "articles", f"""
 SELECT id, shown AS shown_title FROM (SELECT id, created_at, {TITLE} AS shown FROM articles WHERE created_at BETWEEN {START} AND {END}
   QUALIFY row_number() OVER (PARTITION BY shown ORDER BY created_at DESC, id DESC) = 1) ORDER BY created_at DESC, id DESC LIMIT 5""")
 add("report_dedup", "articles", "SELECT id, category, created_at FROM articles")
-SHORT_KEY = key_of("coalesce(nullif(substr(title_cn, 1, 18), ''), nullif(substr(title, 1, 22), ''), nullif(summary_cn, ''))")
+WHOLE_KEY = key_of("coalesce(nullif(title_cn, ''), nullif(title, ''), nullif(summary_cn, ''))")
 add("dedup_market_titles", "articles", f"""
 SELECT id, category FROM (SELECT id, category, row_number() OVER (PARTITION BY coalesce(category, ''),
-  CASE WHEN category = 'Market' THEN coalesce(nullif({SHORT_KEY}, ''), url) ELSE CAST(id AS VARCHAR) END ORDER BY created_at DESC, id DESC) AS rn FROM articles) WHERE rn = 1""")
+  CASE WHEN category = 'Market' THEN coalesce(nullif({WHOLE_KEY}, ''), url) ELSE CAST(id AS VARCHAR) END ORDER BY created_at DESC, id DESC) AS rn FROM articles) WHERE rn = 1""")
 D0 = "CAST(CAST(created_at AS DATE) AS TIMESTAMP)"
 add("push_window", "articles", f"""
 SELECT id, {D0} + CASE WHEN m THEN INTERVAL (-6) HOUR ELSE INTERVAL 8 HOUR END AS window_start,

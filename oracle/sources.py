@@ -98,9 +98,8 @@ SELECT source_name AS account, seq FROM raw_items QUALIFY row_number() OVER (PAR
 add("read_wechat_feed", "read_rows", f"""
 SELECT account, title, link, day0 AS pub_date, 'wechat' AS source_type FROM read_rows WHERE n <= 5 AND right(account, 1) IN ('0', '2', '4', '6', '8')
 UNION ALL SELECT account, CASE WHEN seq % 6 = 5 THEN '无标题' ELSE {SAFE} END, link, CASE WHEN {DATED} AND seq % 8 <> 7 THEN pub_date ELSE '' END, 'wechat'
-FROM (SELECT *, source_name AS account, row_number() OVER (PARTITION BY source_name ORDER BY seq) AS n,
-             seq // 200 = min(seq // 200) OVER (PARTITION BY source_name) AS in_first FROM raw_items)
-WHERE n <= 5 AND in_first AND right(account, 1) NOT IN ('0', '2', '4', '6', '8')""")
+FROM (SELECT *, source_name AS account, row_number() OVER (PARTITION BY source_name ORDER BY seq) AS n FROM raw_items)
+WHERE n <= 25 AND right(account, 1) NOT IN ('0', '2', '4', '6', '8')""")
 define("config_rows", [], f"""
 SELECT s_suppkey AS k, s_name AS name, 'https://x.example/' || s_suppkey AS url, coalesce({variants('s_suppkey', "'rss'", "'web'", "'wechat'", 'NULL')}, 'web') AS type,
        CASE WHEN s_suppkey % 5 = 0 THEN '.news' ELSE 'body' END AS selector, CASE WHEN s_suppkey % 7 = 0 THEN CAST(s_suppkey % 40 AS INTEGER) ELSE 10 END AS max_links,

@@ -487,8 +487,7 @@ def report_dedup(v):
 
 @query
 def dedup_market_titles(v):
-    return D.dedup_market_titles(v.articles.withColumn("title_cn", F.substring("title_cn", 1, 18)).withColumn(
-        "title", F.substring("title", 1, 22))).select("id", "category")
+    return D.dedup_market_titles(v.articles).select("id", "category")
 
 
 @query

@@ -169,9 +169,8 @@ def read_wechat_feed(v):
     """Accounts with an even last digit have the listing; all of them have feeds, some at the second base only."""
     listing = files.wechat_items(account_pages(v).where(F.substring("account", -1, 1).isin("0", "2", "4", "6", "8")), count=5)
     based = feed_documents(v, []).withColumn("base", F.when(F.substring("account", -1, 1) == "1", 1).otherwise(0))
-    first = top_n_per_key(based, ["account"], [F.asc("batch")], 1, ["batch"]).drop("batch")
-    empty = first.where(F.col("base") == 1).select("account", F.lit(0).alias("base"), F.lit("<rss><channel></channel></rss>").alias("doc"))
-    second = files.wechat_feed_items(first.unionByName(empty), count=5)
+    empty = based.where(F.col("base") == 1).select("account", F.lit(0).alias("base"), "batch", F.lit("<rss><channel></channel></rss>").alias("doc"))
+    second = files.wechat_feed_items(based.select("account", "base", "batch", "doc").unionByName(empty), count=25)
     return files.wechat_with_fallback(listing, second).select("account", "title", "link", "pub_date", "source_type")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewatch import schemas as S
 from tidewatch.functions import dates, text as T
@@ -92,15 +92,20 @@ def wechat_items(pages: DataFrame, count: int = 10, zone_hours: float = 0.0) ->
 
 
 def wechat_feed_items(feeds: DataFrame, count: int = 10) -> DataFrame:
-    """Account feeds (account, base, doc): first feed of an account with entries, first ``count`` of them."""
-    rows = feed_entries(feeds)
-    best = rows.groupBy("account").agg(F.min("base").alias("base"))
-    rows = top_n_per_key(rows.join(best, ["account", "base"], "left_semi"), ["account"], [F.asc("pos")], count, ["pos"])
+    """Account feeds (account, base, doc): first base of an account with entries, first ``count`` of them.
+
+    A base may have several documents, in the order of a column `batch`.
+    """
+    if "batch" not in feeds.columns:
+        feeds = feeds.withColumn("batch", F.lit(0))
+    order = F.struct("base", "batch", "pos")  # the least base alone has the first entries, as long as it has any
+    first = top_n_per_key(feed_entries(feeds), ["account"], [order], count, ["batch", "pos"])
+    rows = first.withColumn("_best", F.min("base").over(Window.partitionBy("account"))).where(F.col("base") == F.col("_best"))
     rfc = F.when(F.col("published").rlike(r"^[A-Z][a-z]{2}, \d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"),
                  F.col("published"))
     # the day as written, without moving it to another zone
     day = dates.parse_rfc_datetime(F.regexp_replace(rfc, r" [+-]\d{4}$", ""))
-    return rows.select("account", "pos", F.coalesce("title", F.lit(NO_TITLE)).alias("title"),
+    return rows.select("account", "batch", "pos", F.coalesce("title", F.lit(NO_TITLE)).alias("title"),
                        F.coalesce("link", F.lit("")).alias("link"),
                        F.coalesce(F.date_format(day, "yyyy-MM-dd"), F.lit("")).alias("pub_date"),
                        F.lit("").alias("summary_raw"), F.lit("wechat").alias("source_type"),
