@@ -167,6 +167,10 @@ PAGES = [
     ("<article><div id=cookie-notice>no</div><ul><li>1<li>2</ul><p hidden>no</p></article>", "1\n2"),
     ("<article><p>cut off <b>here <a href=\"x", "cut off here"),
     ("<article><p>sh</p><p>same</p><p>same</p></article>", "sh\nsame\nsame"),
+    ("<article><p data-id='comment-3'>a</p><p title='see role=alert'>b</p><p title=\"the hidden truth\">c</p><p class='not-hidden md:block'>d</p>"
+     "<div class='share-price-table'>e</div><div class='post-content'>f</div></article>", "a\nb\nc\nd\ne\nf"),
+    ("<article><p>a</p><div class='site-footer top'>no</div><div id='comment-3'>no</div><p class='cookie-notice'>no</p><p style='color:red; display : none'>no</p>"
+     "<p aria-hidden=true>no</p><p HIDDEN>no</p><div role=navigation>no</div><p aria-hidden='false'>b</p></article>", "a\nb"),
     ("", ""), (None, ""),
 ]
 
@@ -186,6 +190,50 @@ def test_open_pages_lose_what_their_host_repeats(spark):
     assert got == {**dict(enumerate(own)), 50: f"{repeated}\n{own[0]}", 51: "plain"}
 
 
+def test_tags_in_scripts_and_comments_do_not_mark_a_page(spark):
+    menu = "<div>home news about contact imprint more</div>"
+    rows = [(i, f"http://a.b/{i}", f"<!--<main>-->{menu}<script>'<article>'</script><p>own text {i} of this page only {i} here</p>") for i in range(5)]
+    got = {x.page_id: x.text for x in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own text {i} of this page only {i} here" for i in range(5)}
+
+
+def test_copies_of_an_open_article_stay(spark):
+    r = random.Random(4)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    whole = text()
+    rows = [(i, f"http://a.b/{i}", f"<div>menu of the site with links</div><p>{whole if i < 3 else text()}</p>") for i in range(12)]
+    got = {x.page_id: x.text for x in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == whole for i in range(3)) and all("menu" not in t and len(t.split(" ")) == 40 for t in got.values())
+
+
+def plain_pages(rows, window=6, least_pages=3, least_share=0.1):
+    """Open pages (page_id, host, block texts) without what their host repeats, window by window."""
+    hosts, out = {}, {}
+    for _, host, parts in rows:
+        hosts.setdefault(host, set()).add(tuple(parts))
+    for i, host, parts in rows:
+        grams = lambda p: [tuple(p.split(" ")[j:j + window]) for j in range(max(1, len(p.split(" ")) - window + 1))]
+        on = lambda g: sum(any(g in grams(x) for x in page) for page in hosts[host])
+        lines = []
+        for p in parts:
+            w = p.split(" ")
+            gone = set()
+            for j, g in enumerate(grams(p)):
+                if on(g) >= max(least_pages, least_share * len(hosts[host])):
+                    gone.update(range(j, j + len(g)))
+            lines.append(" ".join(x for j, x in enumerate(w) if j not in gone))
+        out[i] = "\n".join(x for x in lines if x)
+    return out
+
+
+def test_open_pages_against_plain_windows(spark):
+    r = random.Random(12)
+    stock = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(1, 14))) for _ in range(14)]
+    rows = [(i, r.choice(["x.y", "x.y", "z"]), [r.choice(stock) if r.random() < 0.6 else " ".join(f"u{r.randrange(9999)}" for _ in range(9)) for _ in range(r.randint(1, 5))]) for i in range(40)]
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", "".join(f"<p>{p}</p>" for p in parts)) for i, h, parts in rows], "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in html_main.main_text(frame.repartition(4)).collect()} == plain_pages(rows)
+
+
 def test_empty_pages(spark):
     assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
