@@ -251,7 +251,8 @@ SELECT run_id, CAST(strptime(run_id, '%Y%m%d_%H%M%S') AS TIMESTAMP) AS run_at, s
 FROM (SELECT strftime(created_at, '%Y%m%d_000000') AS run_id, count(*) AS searched, count(*) FILTER (is_retained = 1) AS kept FROM articles GROUP BY 1)""")
 
 PAGE = "coalesce(is_hidden, 0) = 0 AND valid = 1"
-add("paged_articles", "articles", f"""
+for name in ("paged_articles", "paged_after"):
+    add(name, "articles", f"""
 SELECT id, title, pub_date, source_type, CAST(created_at AS VARCHAR) AS created_at, category FROM articles WHERE {PAGE}
 ORDER BY articles.created_at DESC, articles.pub_date DESC, id DESC LIMIT 50 OFFSET 50""")
 add("paged_total", "articles", f"SELECT count(*) AS total FROM articles WHERE {PAGE}")

@@ -58,7 +58,7 @@ add("scan_tracks", "tracks", f"""
 SELECT mmsi, {TS}, round(lat, 6) AS lat, round(lng, 6) AS lng, round(speed, 6) AS speed FROM tracks
 WHERE {TS} >= {NOW} - INTERVAL 10 DAY""")
 add("scan_ships", "ships", "SELECT * FROM ships")
-for key, keep in (("track_retention", 5000), ("track_retention_short", 40)):
+for key, keep in (("track_retention", 5000), ("track_retention_short", 40), ("track_store_retention", 40)):
     add(key, "tracks", f"""
 SELECT id, mmsi, {TS} FROM tracks
 QUALIFY row_number() OVER (PARTITION BY mmsi ORDER BY {TS} DESC, id DESC) <= {keep}""")

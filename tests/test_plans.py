@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.plans.catalog import QUERIES
 
-WRITES = {"append_tracks", "upsert_store", "ingest_into_store", "read_vessel_csv", "write_articles", "write_audit", "read_feed_files"}
+WRITES = {"append_tracks", "upsert_store", "ingest_into_store", "read_vessel_csv", "write_articles", "write_audit", "read_feed_files", "track_store_retention"}
 NAMES = sorted(n for n in QUERIES if n not in WRITES and not n.startswith("stream_"))
 
 
@@ -58,3 +58,13 @@ def test_stored_tracks_are_read_by_day(spark, sf_dir):
         assert want is None or (df.count() == want.count() and sorted(df.columns) == sorted(want.columns))
     days = {r[0].split("track_date=")[1][:10] for r in T.recent_tracks(stored, AS_OF, 2).select(F.input_file_name()).distinct().collect()}
     assert days <= {str((AS_OF - timedelta(days=d)).date()) for d in range(3)}
+
+
+@pytest.mark.parametrize("name", ["category_trend", "statistics_bundle"])
+def test_statistics_share_one_scan(spark, sf_dir, name):
+    """All parts read one table of counts, and no row gathers the cells of several categories."""
+    df = QUERIES[name](spark, sf_dir)
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\*\(\d+\) ColumnarToRow", text)) == 1  # scans that ran; planned ones carry no number
+    assert "ReusedExchange" in text and "collect_set(category" not in text

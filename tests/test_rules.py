@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch import schemas as S
-from tidewatch.operators import analysis as A, dedup as D, geocode, skew, tracks as T, upsert as U
+from tidewatch.operators import analysis as A, dedup as D, filters, geocode, skew, tracks as T, upsert as U
 from tidewatch.plans.views import AS_OF
 
 NAMES = ["id", "mmsi", "vessel_name", "lat", "lng", "speed", "heading", "status_raw", "timestamp", "created_at"]
@@ -157,6 +157,17 @@ def test_nearest_place_everywhere(spark):
         assert got[i].place_distance_m == pytest.approx(best, abs=0.01)
 
 
+def test_far_cells_meet_few_places(spark):
+    """Land, coast and open sea: a cell meets a small part of the places, before any filter."""
+    n, h = 20_000, [F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1_000_000)) / 1_000_000 for k in (1, 2)]
+    gaz = spark.range(n).select(F.concat(F.lit("p"), F.col("id")).alias("place"), F.lit("a").alias("admin1"), F.lit("c").alias("cc"),
+                                F.lit("c").alias("continent"), (h[0] * 30 + 30).alias("lat"), (h[1] * 60).alias("lng"))
+    cells = spark.createDataFrame([(450, 300), (299, 300), (100, -300)], "cell_lat bigint, cell_lng bigint")
+    coarse = geocode._coarse_candidates(cells, geocode.index_places(gaz), geocode.LEVELS[0])
+    met = geocode.met_in_parents(cells, coarse, 1, geocode.LEVELS[0]).groupBy("cell_lat").count().collect()
+    assert len(met) == 3 and all(r["count"] < n * 0.1 for r in met), met
+
+
 def test_unknown_country_code_keeps_the_code(spark):
     gaz = spark.createDataFrame([("X", "A", "NL", None, 52.0, 4.0), ("Y", "B", "ZZ", None, -10.0, 100.0)],
                                 "place string, admin1 string, cc string, continent string, lat double, lng double")
@@ -466,3 +477,78 @@ def test_newest_speeds_and_gaps_against_plain_rules(spark):
         want = _measured(np.array([pd.Timestamp(t).value // 1000 for t, _, _ in mine]), np.array([[np.nan if v is None else v for v in x[2:6]] for _, _, x in mine], float), 2)
         for name in ("_in_window", "_drift", "_step_m", "_gap_s", "_median_ms", "_median_kn"):
             assert (f[name] is None) == (want[name] is None) and (want[name] is None or f[name] == pytest.approx(want[name], rel=1e-6, abs=1e-6)), (f.mmsi, name)
+
+
+def track_points(spark, rows):
+    return spark.createDataFrame([(i, m, None if t is None else AS_OF + timedelta(minutes=t)) for i, m, t in rows], "id long, mmsi string, timestamp timestamp_ntz")
+
+
+def test_track_store_rewrites_what_loses_points(spark):
+    """Only folders with points too old change; ties, no vessel and no time have defined results."""
+    from tidewatch.session import scratch_dir
+    from tidewatch.sources import track_store
+
+    path = scratch_dir(spark, "track_store")
+    first = [(i, "long", i) for i in range(30)] + [(100 + i, f"v{i}", i) for i in range(40)] + [(200 + i, None, i) for i in range(9)] + [(300, "long", None)]
+    second = [(400 + i, "long", 100 + i % 3) for i in range(6)] + [(500 + i, f"v{i}", 50) for i in range(40)]
+    track_store.append(track_points(spark, first), path, "007", 8)
+    track_store.append(track_points(spark, second), path, "2024-01-30")
+    track_store.append(track_points(spark, second), path, "2024-01-30")
+    whole = first + second
+    files = lambda: {r[0] for r in spark.read.parquet(path).select(F.input_file_name()).distinct().collect()}
+    before, rows = files(), lambda: sorted((r.id, r.mmsi) for r in track_store.read(spark, path).collect())
+    assert len(rows()) == len(whole)
+    for keep in (10, 4):
+        track_store.retain(spark, path, keep)
+        got = sorted(r.id for r in track_store.read(spark, path).collect())
+        cut = T.track_retention(track_points(spark, whole).where("mmsi is not null"), keep)
+        assert got == sorted([r.id for r in cut.collect()] + [i for i, m, _ in whole if m is None])
+    after = files()
+    place = lambda name: name.split("/bucket=")[1].split("/")[0]
+    changed = {place(x) for x in before ^ after}
+    assert len(changed) == 1 and len({place(x) for x in before}) > 4
+    track_store.retain(spark, path, 4)
+    assert files() == after
+    # all points of the vessel's first run are gone; its folder holds other vessels' points or is gone as well
+    track_store.retain(spark, path, 1)
+    assert len(rows()) == 41 + 9
+    for wrong in ("", "a/b", "x y"):
+        with pytest.raises(ValueError):
+            track_store.append(track_points(spark, first), path, wrong)
+
+
+def test_track_store_finishes_a_writer_that_ended(spark, monkeypatch):
+    """A writer may end after the stage, inside the overwrite, or before the stage is whole."""
+    from tidewatch.session import scratch_dir
+    from tidewatch.sources import folders, track_store
+
+    path = scratch_dir(spark, "track_store")
+    track_store.append(track_points(spark, [(i, "a", i) for i in range(5)]), path, "one", 4)
+    track_store.append(track_points(spark, [(10 + i, "a", 10 + i) for i in range(5)]), path, "two")
+    ids = lambda: sorted(r.id for r in track_store.read(spark, path).collect())
+    with monkeypatch.context() as m:
+        m.setattr(track_store, "recover", lambda *a: None)
+        track_store.retain(spark, path, 3)
+    assert ids() == [*range(5), *range(10, 15)]
+    with monkeypatch.context() as m:  # ends before the emptied folder of the first run goes
+        m.setattr(folders, "delete", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            track_store.recover(spark, path)
+    track_store.recover(spark, path)
+    assert ids() == [12, 13, 14]
+    track_points(spark, [(99, "z", 1)]).withColumn("bucket", F.lit(0)).withColumn("run_id", F.lit("r-x")).write.partitionBy("bucket", "run_id").parquet(f"{path}/_staged_cut/points")
+    track_store.append(track_points(spark, [(20, "a", 20)]), path, "three")
+    assert ids() == [12, 13, 14, 20] and "_staged_cut" not in folders.children(spark, path)
+
+
+def test_pages_after_a_row_give_every_row_once(spark):
+    """Empty times and dates come last, as on numbered pages."""
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, AS_OF, AS_OF + timedelta(hours=1)]), rnd.choice([None, "", "2024-01-01", "2024-01-02"]), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "created_at timestamp_ntz, pub_date string, id long")
+    want = [r.id for r in filters.page_of(df, 1, 100).collect()]
+    got, page = [], filters.page_of(df, 1, 17).collect()
+    while page:
+        got += [r.id for r in page]
+        page = filters.page_after(df, *page[-1], page_size=17).collect()
+    assert got == want and len(got) == 60

@@ -79,12 +79,26 @@ def page_of(articles: DataFrame, page: int = 1, page_size: int = 50) -> DataFram
             .offset(max(page - 1, 0) * page_size).limit(page_size))
 
 
-def page_after(articles: DataFrame, last_created_at, last_pub_date: str, last_id: int,
+def page_after(articles: DataFrame, last_created_at, last_pub_date: str | None, last_id: int | None,
                page_size: int = 50) -> DataFrame:
-    """The page after a known last row; cheap however deep the page lies."""
-    here = F.struct(F.col("created_at"), F.coalesce("pub_date", F.lit("")), F.col("id"))
-    there = F.struct(ts(last_created_at), F.lit(last_pub_date), F.lit(last_id).cast("bigint"))
-    return page_of(articles.where((F.col("created_at") <= ts(last_created_at)) & (here < there)), 1, page_size)
+    """The page after a known last row; cheap however deep the page lies.
+
+    Empty values come last, as on numbered pages, so all pages in turn give every row once.
+    """
+    last = {"created_at": ts(last_created_at) if last_created_at is not None else None,
+            "pub_date": F.lit(last_pub_date), "id": F.lit(last_id).cast("bigint")}
+    if last["created_at"] is None:
+        last["created_at"] = F.lit(None).cast("timestamp_ntz")
+
+    def place(values) -> Column:
+        created, published, number = values
+        return F.struct(created.isNotNull(), F.coalesce(created, F.lit("0001-01-01").cast("timestamp_ntz")), published.isNotNull(),
+                        F.coalesce(published, F.lit("")), number.isNotNull(), F.coalesce(number, F.lit(0).cast("bigint")))
+
+    rest = place([F.col("created_at"), F.col("pub_date"), F.col("id").cast("bigint")]) < place(last.values())
+    if last_created_at is not None:  # reaches the scan
+        rest = (F.col("created_at").isNull() | (F.col("created_at") <= ts(last_created_at))) & rest
+    return page_of(articles.where(rest), 1, page_size)
 
 
 def count_rows(df: DataFrame) -> DataFrame:

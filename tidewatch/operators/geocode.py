@@ -5,8 +5,10 @@ can be nearest to any point of a cell are found once per cell. Places lie in cub
 in three dimensions, where neither poles nor the date line are special: whatever is within one cube
 length of a cell lies in one of the 27 cubes around it. One representative per cube bounds the
 distance to the nearest place; that bound picks the cube size in which all candidates must lie.
-Both steps are equi-joins. Positions then meet only the few candidates of their own cell, inside
-the row, with no further shuffle.
+Both steps are equi-joins. Only the coarsest cells go through the cubes, some thousands at most; finer
+cells look among the candidates of the cell they lie in, so that a cell far from any place meets the
+few places its surroundings can be nearest to, not all of a continent. Positions then meet only the
+few candidates of their own cell, inside the row, with no further shuffle.
 """
 
 from __future__ import annotations
@@ -20,10 +22,15 @@ from tidewatch.functions import geo, text as T
 from tidewatch.functions.labels import lookup
 
 CELL_DEGREES = 0.1
+# cells of each level, coarsest first, in cells of the finest
+LEVELS = [32, 1]
 # chord lengths on the unit sphere; cubes of the last size reach every place
 CUBE_SIZES = [1 / 256, 1 / 64, 1 / 16, 1 / 4, 1.0, 2.0]
-# chord from the middle of a cell to its corner, with a margin for rounding
-CELL_RADIUS = math.radians(CELL_DEGREES) / math.sqrt(2) * 1.01
+
+
+def cell_radius(width: int = 1) -> float:
+    """Chord from the middle of a cell to its corner, with a margin for rounding."""
+    return math.radians(CELL_DEGREES * width) / math.sqrt(2) * 1.01
 
 
 def _cell(name: str) -> Column:
@@ -73,21 +80,47 @@ def _chord() -> Column:
     return F.sqrt(sum((F.col(a) - F.col(f"q.{a}")) * (F.col(a) - F.col(f"q.{a}")) for a in ("x", "y", "z")))
 
 
-def cell_candidates(cells: DataFrame, gazetteer: DataFrame,
-                    index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """(cell_lat, cell_lng, places): every place that can be nearest to a point of the cell."""
-    representatives, places = index or index_places(gazetteer)
-    cell = ["cell_lat", "cell_lng"]
-    middle = _with_xyz(cells, (F.col("cell_lat") + 0.5) * CELL_DEGREES, (F.col("cell_lng") + 0.5) * CELL_DEGREES)
-    bound = (_cubes(middle, _sizes()).join(representatives, KEYS).groupBy(*cell, "x", "y", "z")
-             .agg((F.min(_chord()) + 2 * CELL_RADIUS).alias("within")))
+def _level(cells: DataFrame, width: int) -> DataFrame:
+    """The cells of a level that hold the given finest cells, with their middles."""
+    up = [F.floor(F.col(c) / width).alias(c) for c in ("cell_lat", "cell_lng")]
+    middle = [(F.col(c) + 0.5) * (CELL_DEGREES * width) for c in ("cell_lat", "cell_lng")]
+    return _with_xyz(cells.select(*up).distinct() if width > 1 else cells, *middle)
+
+
+def _nearest_of(met: DataFrame, width: int) -> DataFrame:
+    """Of the places a cell has met those that can be nearest to one of its points."""
+    nearest = F.min("d").over(Window.partitionBy("cell_lat", "cell_lng"))
+    near = met.withColumn("d", _chord()).withColumn("reach", nearest + 2 * cell_radius(width))
+    return near.where(F.col("d") <= F.col("reach")).select("cell_lat", "cell_lng", "q", "p")
+
+
+def _coarse_candidates(cells: DataFrame, index: tuple[DataFrame, DataFrame], width: int) -> DataFrame:
+    """Candidates through the cubes; for cells of which there are few."""
+    representatives, places = index
+    bound = (_cubes(_level(cells, width), _sizes()).join(representatives, KEYS).groupBy("cell_lat", "cell_lng", "x", "y", "z")
+             .agg((F.min(_chord()) + 2 * cell_radius(width)).alias("within")))
     pick = F.lit(len(CUBE_SIZES) - 1)
     for i in reversed(range(len(CUBE_SIZES) - 1)):
         pick = F.when(F.col("within") <= CUBE_SIZES[i], i).otherwise(pick)
-    near = _cubes(bound, F.array(F.element_at(_sizes(), pick + 1))).join(places, KEYS).withColumn("d", _chord())
-    reach = F.min("d").over(Window.partitionBy(*cell)) + 2 * CELL_RADIUS
-    return (near.withColumn("reach", reach).where(F.col("d") <= F.col("reach"))
-            .groupBy(*cell).agg(F.collect_list("p").alias("places")))
+    return _nearest_of(_cubes(bound, F.array(F.element_at(_sizes(), pick + 1))).join(places, KEYS), width)
+
+
+def met_in_parents(cells: DataFrame, parents: DataFrame, width: int, parent_width: int) -> DataFrame:
+    """Every cell of a level with the candidates of the coarser cell it lies in."""
+    ratio = parent_width // width
+    own = (_level(cells, width).withColumn("_lat", F.floor(F.col("cell_lat") / ratio))
+           .withColumn("_lng", F.floor(F.col("cell_lng") / ratio)))
+    above = parents.select(F.col("cell_lat").alias("_lat"), F.col("cell_lng").alias("_lng"), "q", "p")
+    return own.join(above, ["_lat", "_lng"]).drop("_lat", "_lng")
+
+
+def cell_candidates(cells: DataFrame, gazetteer: DataFrame,
+                    index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(cell_lat, cell_lng, places): every place that can be nearest to a point of the cell."""
+    found = _coarse_candidates(cells, index or index_places(gazetteer), LEVELS[0])
+    for above, width in zip(LEVELS, LEVELS[1:]):
+        found = _nearest_of(met_in_parents(cells, found, width, above), width)
+    return found.groupBy("cell_lat", "cell_lng").agg(F.collect_list("p").alias("places"))
 
 
 def continent_name(code: Column) -> Column:

@@ -37,33 +37,56 @@ def trend_day() -> Column:
     return dates.date_of_text(F.replace(text, F.lit("T"), F.lit(" ")))
 
 
-def category_trend(articles: DataFrame) -> DataFrame:
-    """Articles per category and day, zero where a category has none on a day in use.
+def _counted(rows: DataFrame) -> DataFrame:
+    """Counts per (category, day) and per source, in one pass: (category, day, source, by_source, n)."""
+    keys = {"category": known_category(), "day": trend_day(), "source": source_label()}
+    named = rows.select(*(c.alias(k) for k, c in keys.items()))
+    return (named.groupingSets([["category", "day"], ["source"]], "category", "day", "source")
+            .agg(F.grouping("category").cast("bigint").alias("by_source"), F.count(F.lit(1)).alias("n")))
+
+
+def _kept(cells: DataFrame, by_source: int) -> DataFrame:
+    """The counts of one kind.
+
+    The factor n keeps this filter above the aggregate, so that all uses share one scan and one shuffle.
+    """
+    return cells.where(F.col("n") * (F.col("by_source") == by_source).cast("bigint") > 0)
+
+
+def _dense(cells: DataFrame) -> DataFrame:
+    """Counts per category and day with zeros for the days that only other categories have.
 
-    Only the per-cell counts, at most days x categories of them, are brought together for the fill.
+    A category is one row with its counts by day, and the days in use come as one array: both are bounded
+    by the calendar, however many categories there are. The cells never meet in one row or task.
     """
-    cells = (articles.select(known_category().alias("category"), trend_day().alias("day"))
-             .groupBy("category", "day").agg(F.count(F.lit(1)).alias("n")))
-    grid = cells.agg(F.collect_set("category").alias("cats"), F.collect_set("day").alias("days"),
-                     F.map_from_entries(F.collect_list(F.when(F.col("day").isNotNull(), F.struct(
-                         F.struct("category", "day"), "n")))).alias("known"))
-    rows = grid.select(F.explode("cats").alias("category"), "days", "known").select(
-        "category", F.explode("days").alias("day"), "known")
-    return rows.select(
-        "category", "day",
-        F.coalesce(F.try_element_at("known", F.struct("category", "day")), F.lit(0)).cast("bigint").alias("articles"),
-        labels.category_chart_label(F.col("category")).alias("label"))
+    # days come from the counted cells, n included, so that the shuffle below is the one of the cells
+    days = cells.where(F.col("n") > 0).agg(F.collect_set("day").alias("days"))
+    known = cells.groupBy("category").agg(F.map_from_entries(F.collect_list(
+        F.when(F.col("day").isNotNull(), F.struct("day", "n")))).alias("known"))
+    rows = known.select("category", "known", F.explode(days.scalar()).alias("day"))
+    return rows.select("category", "day", F.coalesce(F.try_element_at("known", "day"), F.lit(0)).cast("bigint").alias("articles"),
+                       labels.category_chart_label(F.col("category")).alias("label"))
+
+
+def category_trend(articles: DataFrame) -> DataFrame:
+    """Articles per category and day, zero where a category has none on a day in use."""
+    return _dense(articles.select(known_category().alias("category"), trend_day().alias("day"))
+                  .groupBy("category", "day").agg(F.count(F.lit(1)).alias("n")))
 
 
 def all_dates(articles: DataFrame) -> DataFrame:
     return articles.select(trend_day().alias("day")).where(F.col("day").isNotNull()).distinct()
 
 
-def source_top(articles: DataFrame, n: int = 20) -> DataFrame:
-    """The most frequent sources; a missing name falls back to the source type."""
+def source_label() -> Column:
+    """Name of the source; a missing one falls back to the source type."""
     name = F.col("source_name")
-    source = F.when(T.is_blank(name) | (name == "None"), F.col("source_type")).otherwise(name)
-    return (articles.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("articles"))
+    return F.when(T.is_blank(name) | (name == "None"), F.col("source_type")).otherwise(name)
+
+
+def source_top(articles: DataFrame, n: int = 20) -> DataFrame:
+    """The most frequent sources."""
+    return (articles.groupBy(source_label().alias("source")).agg(F.count(F.lit(1)).alias("articles"))
             .orderBy(F.desc("articles"), "source").limit(n))
 
 
@@ -77,11 +100,14 @@ def statistics_range(articles: DataFrame, as_of: datetime, start: date | None =
 
 
 def statistics_bundle(articles: DataFrame, as_of: datetime, **kw) -> dict[str, DataFrame]:
-    """The three parts of the statistics report, over the narrow columns they need."""
-    rows = statistics_range(articles, as_of, **kw).select("category", "pub_date", "created_at", "source_name",
-                                                           "source_type")
-    return {"category_stats": category_counts(rows), "trend_stats": category_trend(rows),
-            "source_stats": source_top(rows)}
+    """The three parts of the statistics report, all from one table of counts."""
+    cells = _counted(statistics_range(articles, as_of, **kw))
+    by_day = _kept(cells, 0)
+    pie = (by_day.groupBy("category").agg(F.sum("n").alias("articles"))
+           .withColumn("label", labels.category_chart_label(F.col("category"))))
+    bar = (_kept(cells, 1).select("source", F.col("n").alias("articles"))
+           .orderBy(F.desc("articles"), "source").limit(20))
+    return {"category_stats": pie, "trend_stats": _dense(by_day), "source_stats": bar}
 
 
 def statistics_long(articles: DataFrame, as_of: datetime, **kw) -> DataFrame:

@@ -453,6 +453,15 @@ def paged_articles(v):
         "id", "title", "pub_date", "source_type", "created_at", "category")
 
 
+@query
+def paged_after(v):
+    """The second page, found from the last row of the first one."""
+    rows = filters.article_filter(v.articles, valid=1)
+    last = filters.page_of(rows, page_size=50).select("created_at", "pub_date", "id").tail(1)
+    page = filters.page_after(rows, *last[0], page_size=50) if last else rows.limit(0)
+    return filters.present_article(page).select("id", "title", "pub_date", "source_type", "created_at", "category")
+
+
 @query
 def paged_total(v):
     return filters.count_rows(filters.article_filter(v.articles, valid=1))

@@ -14,7 +14,7 @@ from tidewatch.plans import jobs
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import AS_OF, Views, as_of
 from tidewatch.session import scratch_dir
-from tidewatch.sources import files, sinks
+from tidewatch.sources import files, sinks, track_store
 
 DAYS, OFFLINE_HOURS = 10, 24
 
@@ -368,6 +368,16 @@ def append_tracks(v):
                                                   F.col("track_date").cast("string").alias("track_date"))
 
 
+@query
+def track_store_retention(v):
+    """Two runs appended to the bucketed track store, then every vessel cut to its newest 40 points."""
+    path = scratch_dir(v.spark, "track_store")
+    for run, part in (("even", F.col("id") % 2 == 0), ("odd", F.col("id") % 2 == 1)):
+        track_store.append(v.tracks.where(part), path, run, 16)
+    track_store.retain(v.spark, path, keep=40)
+    return track_store.read(v.spark, path).select("id", "mmsi", "timestamp")
+
+
 @query
 def read_vessel_csv(v):
     """Registry written as a GBK file and imported again."""

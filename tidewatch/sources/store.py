@@ -41,13 +41,19 @@ def layout(spark: SparkSession, path: str, expected: int | None = None) -> int |
     return n
 
 
+def laid_out(rows: DataFrame, path: str, buckets: int | None = None) -> int:
+    """The number of buckets, which a new table takes from its first rows and records."""
+    n = layout(rows.sparkSession, path, buckets)
+    if n is None:
+        n = buckets or buckets_for(rows.count())
+        rows.sparkSession.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_layout")
+    return n
+
+
 def write(articles: DataFrame, path: str, buckets: int | None = None, job: str | None = None) -> None:
     """Lay a store out, or replace those buckets of an existing one that ``articles`` has rows of."""
     spark = articles.sparkSession
-    n = layout(spark, path, buckets)
-    if n is None:
-        n = buckets or buckets_for(articles.count())
-        spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/_layout")
+    n = laid_out(articles, path, buckets)
     recover(spark, path)
     job = job or uuid.uuid4().hex
     if not applied(spark, path, job):
