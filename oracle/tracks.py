@@ -69,6 +69,7 @@ add("track_history", "tracks", f"""
 SELECT round(lat, 6) AS lat, round(lng, 6) AS lng, round(speed, 6) AS speed, heading, {TS} FROM tracks
 WHERE mmsi = '7' AND {TS} > {NOW} - INTERVAL 30 DAY AND {TS} <= {NOW}""")
 add("segment_speed", "speeds", "SELECT mmsi, id, round(ms, 6) AS speed_ms FROM speeds")
+add("segment_speed_by_range", "speeds", "SELECT mmsi, id, round(ms, 6) AS speed_ms FROM speeds")
 add("last_24_speeds", "speeds", "SELECT mmsi, id, age, round(ms, 6) AS speed_ms FROM speeds WHERE age <= 24")
 add("median_speed", "med", "SELECT mmsi, round(ms, 6) AS speed_ms FROM med")
 add("fallback_speed", "knots", "SELECT mmsi, round(kn * 0.514444::DOUBLE, 6) AS speed_ms FROM knots")
@@ -99,7 +100,8 @@ FROM (SELECT *, coalesce(trim(mmsi) <> '', false) AS has FROM ships) s LEFT JOIN
 define("whole_step", ["tracks"], f"""
 SELECT *, {haversine('plat', 'plng', 'lat', 'lng')} AS dist FROM (
   SELECT *, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM tracks WINDOW w AS (PARTITION BY mmsi ORDER BY {TS}, id))""")
-add("path_length", "whole_step", f"""
+for name in ("path_length", "path_length_by_range"):
+    add(name, "whole_step", f"""
 SELECT mmsi, round(coalesce(sum(dist), 0), 2) AS total_m,
        round(coalesce(arg_max(dist, ({TS}, id)), 0), 2) AS last_step_m FROM whole_step GROUP BY mmsi""")
 add("track_extent", "tracks", """

@@ -130,9 +130,40 @@ def test_previous_row_across_buckets(spark, bucket):
     assert got == want
 
 
+@pytest.mark.parametrize("tasks", [1, 7, 64])
+def test_previous_row_by_range(spark, tasks):
+    """Keys that span many tasks, several keys in one task, ties in time, empty keys and times, no rows."""
+    rows = [(r[0], r[1] if r[1] != "3" else None, r[8] if r[0] % 11 else None, r[3]) for r in make_tracks(7, vessels=12, hot=600)]
+    df = spark.createDataFrame(rows, "id bigint, mmsi string, timestamp timestamp_ntz, lat double")
+    got = {r.id: (r.prev.timestamp, r.prev.lat) if r.prev else None for r in skew.ranged_previous(df, "mmsi", "timestamp", "id", ["lat"], tasks).collect()}
+    want = {}
+    for v in {r[1] for r in rows}:
+        pts = sorted((r for r in rows if r[1] == v), key=lambda r: (r[2] or datetime.min, r[0]))
+        want.update({b[0]: (a[2], a[3]) for a, b in zip(pts, pts[1:])})
+        want[pts[0][0]] = None
+    assert got == want
+    none = skew.ranged_previous(df.where("id < 0"), "mmsi", "timestamp", "id", ["lat"], tasks)
+    assert none.collect() == [] and none.columns == [*df.columns, "prev"]
+
+
+def test_three_million_points_in_one_hour(spark):
+    """One vessel's hot hour spreads over all tasks, and its length is that of the steps in their order."""
+    n = 3_000_000
+    at = F.lit(AS_OF).cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("id") / F.lit(1000)).cast("decimal(18,6)"))
+    hot = spark.range(n).select("id", F.lit("hot").alias("mmsi"), at.alias("timestamp"), (F.col("id") % 1000 / 1e5).alias("lat"), F.lit(0.0).alias("lng"))
+    tasks = skew.dealt_by_range(hot, ["mmsi", "timestamp", "id"], 8).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 8 and max(r[1] for r in tasks) < 2 * n / 8
+    got = T.path_length(hot, by_range=True).first()
+    up, back = metres(0.0, 0.0, 1e-5, 0.0), metres(999e-5, 0.0, 0.0, 0.0)
+    assert got.total_m == pytest.approx(up * (n - n // 1000) + back * (n // 1000 - 1), rel=1e-6)
+    assert got.last_step_m == pytest.approx(up, rel=1e-6)
+
+
 def test_path_length_model(spark):
     rows = make_tracks(6, vessels=8, hot=500)
     got = {r.mmsi: r.total_m for r in T.path_length(spark.createDataFrame(rows, S.TRACK), 600).collect()}
+    ranged = {r.mmsi: r.total_m for r in T.path_length(spark.createDataFrame(rows, S.TRACK), by_range=True).collect()}
+    assert ranged == pytest.approx(got, rel=1e-9, abs=1e-6)
     for v in got:
         pts = [r for r in sorted((r for r in rows if r[1] == v), key=lambda r: (r[8], r[0])) if r[3] is not None]
         assert got[v] == pytest.approx(sum(metres(a[3], a[4], b[3], b[4]) for a, b in zip(pts, pts[1:])), rel=1e-9, abs=1e-6)

@@ -46,9 +46,10 @@ def contains_any(lowered: Column, words: list[str], word_boundary: bool = False)
         any_of = "|".join(re.escape(w) for w in dict.fromkeys(words))
         return F.rlike(lowered, F.lit(rf"(?<![a-z0-9])(?:{any_of})(?![a-z0-9])"))
     needed = [w for w in dict.fromkeys(words) if not any(o in w for o in words if o != w)]
-    if len(needed) <= 3:
-        return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(w)) for w in needed])
-    return bind(lowered, lambda t: F.exists(word_array(needed), lambda w: F.contains(t, w)))
+    def any_of_them(t: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.contains(t, F.lit(w)) for w in needed])
+
+    return any_of_them(lowered) if len(needed) <= 3 else bind(lowered, any_of_them)
 
 
 def count_hits(lowered: Column, words: list[str]) -> Column:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from tidewatch.functions.geo import seconds_between
+from tidewatch.session import stored
 
 EPOCH = "1970-01-01 00:00:00"
 
@@ -62,6 +68,59 @@ def with_previous(df: DataFrame, key: str, ts: str, tie: str, carried: list[str]
     return both.withColumn("prev", prev).where(~F.col("_carried")).drop("_carried")
 
 
+def dealt_by_range(df: DataFrame, order: list[str], tasks: int | None = None) -> DataFrame:
+    """Rows in ranges of ``order``, sorted inside each; a hot key spreads over as many tasks as its rows need."""
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+
+
+def _within_task(batches: Iterator[pa.RecordBatch], key: str, point: list[str]) -> Iterator[pa.RecordBatch]:
+    """Adds ``prev``, and marks the task's first row (``_open``) and its last one (``_tail``)."""
+    last = held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            yield _marked(*held, False)
+        rows = pa.Table.from_batches([b]).select(list(dict.fromkeys([key, *point])))
+        before = pa.concat_tables([rows.slice(0, 1) if last is None else last, rows.slice(0, b.num_rows - 1)]).combine_chunks()
+        was, now = before[key].combine_chunks(), rows[key].combine_chunks()
+        other = pc.invert(pc.or_(pc.fill_null(pc.equal(was, now), False), pc.and_(pc.is_null(was), pc.is_null(now))))
+        if last is None:
+            other = pa.concat_arrays([pa.array([True]), other.slice(1)])
+        prev = pa.StructArray.from_arrays([before[c].combine_chunks() for c in point], point, mask=other)
+        held, last = (b, prev, last is None), rows.slice(b.num_rows - 1)
+    if held is not None:
+        yield _marked(*held, True)
+
+
+def _marked(b: pa.RecordBatch, prev: pa.Array, first: bool, final: bool) -> pa.RecordBatch:
+    rest = [False] * (b.num_rows - 1)
+    return pa.RecordBatch.from_arrays([*b.columns, prev, pa.array([first, *rest]), pa.array([*rest, final])],
+                                      [*b.schema.names, "prev", "_open", "_tail"])
+
+
+def ranged_previous(df: DataFrame, key: str, ts: str, tie: str, carried: list[str], tasks: int | None = None) -> DataFrame:
+    """``prev`` as in ``with_previous``, for keys with very many rows inside one time bucket.
+
+    Rows are dealt by range of (key, ts, tie), whatever stretch of time is hot. Each task streams its rows
+    once; only its first row may have its predecessor elsewhere, and that is the last row of the task
+    before. The dealt rows are written once, so that both ends of a task come from the same ranges, and
+    at most two rows a task meet by key. Empty times come first, empty keys are one key.
+    """
+    point = [ts, *carried]
+    prev = StructField("prev", StructType([StructField(c, df.schema[c].dataType) for c in point]))
+    marks = [StructField("_task", IntegerType()), prev, StructField("_open", BooleanType()), StructField("_tail", BooleanType())]
+    fields = [StructField(f.name, f.dataType) for f in df.schema.fields]
+    rows = dealt_by_range(df, [key, ts, tie], tasks).withColumn("_task", F.spark_partition_id())
+    rows = stored(rows.mapInArrow(lambda it: _within_task(it, key, point), StructType(fields + marks)), "ranged")
+    ends = rows.where(F.col("_open") | F.col("_tail"))
+    before = Window.partitionBy(key).orderBy("_task", F.desc("_open")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.last(F.when(F.col("_tail"), F.struct(*point)), ignorenulls=True).over(before)
+    first = ends.withColumn("prev", carry).where("_open")
+    return rows.where(~F.col("_open")).unionByName(first).drop("_task", "_open", "_tail")
+
+
 def unnest(df: DataFrame, keep: list, array: Column, pos: str, value: str) -> DataFrame:
     """One row per array element, with its position.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch import vocab as V
 from tidewatch.functions import geo
 from tidewatch.operators.filters import ts
-from tidewatch.operators.skew import top_n_per_key, with_previous
+from tidewatch.operators.skew import ranged_previous, top_n_per_key, with_previous
 
 
 def newest_first() -> list[Column]:
@@ -62,9 +62,9 @@ def _segment_speed(prev: str, here: str = "_pt") -> Column:
     return F.when((dt > 0) & (speed <= V.MAX_SEGMENT_MS), speed)
 
 
-def segment_speeds(recent: DataFrame) -> DataFrame:
+def segment_speeds(recent: DataFrame, by_range: bool = False) -> DataFrame:
     """Valid speeds between consecutive positions. The previous position counts even if its own segment was refused."""
-    rows = long_track_segments(recent).where(F.col("speed_ms").isNotNull())
+    rows = long_track_segments(recent, by_range=by_range).where(F.col("speed_ms").isNotNull())
     return rows.select("mmsi", "id", "timestamp", "speed_ms")
 
 
@@ -201,17 +201,24 @@ def status_rows(facts: DataFrame, as_of: datetime, offline_hours: int) -> DataFr
         F.col("latest_ts").alias("status_date"))
 
 
-def long_track_segments(tracks: DataFrame, bucket_seconds: int = 3600, keep: list[str] | None = None, all_points: bool = False) -> DataFrame:
+def long_track_segments(tracks: DataFrame, bucket_seconds: int = 3600, keep: list[str] | None = None, all_points: bool = False,
+                        by_range: bool = False) -> DataFrame:
     """Distance and speed of every step of whole tracks, however long one track is.
 
     ``keep`` names more columns to carry along. With ``all_points`` rows without a position stay, as rows without a
-    step, and `_bucket` tells the time bucket.
+    step, and `_bucket` tells the time bucket. ``by_range`` is for tracks with millions of points in one hour: it
+    deals points by range instead of by hour, for the price of one written table.
     """
+    if by_range and all_points:
+        raise ValueError("by_range takes points with a position only")
     placed = F.col("timestamp").isNotNull() & F.col("lat").isNotNull() & F.col("lng").isNotNull()
     points = tracks.select("mmsi", "id", "timestamp", "lat", "lng", *(keep or []))
     if not all_points:
         points = points.where(placed)
-    steps = with_previous(points, "mmsi", "timestamp", "id", ["lat", "lng"], bucket_seconds, placed if all_points else None)
+    if by_range:
+        steps = ranged_previous(points, "mmsi", "timestamp", "id", ["lat", "lng"])
+    else:
+        steps = with_previous(points, "mmsi", "timestamp", "id", ["lat", "lng"], bucket_seconds, placed if all_points else None)
     steps = (steps.withColumn("_pt", _point())
              .withColumn("step_m", geo.haversine_m(F.col("prev.lat"), F.col("prev.lng"), F.col("lat"), F.col("lng")))
              .withColumn("gap_s", F.when(F.col("_pt").isNotNull(), geo.seconds_between(F.col("prev.timestamp"), F.col("timestamp"))))
@@ -219,9 +226,9 @@ def long_track_segments(tracks: DataFrame, bucket_seconds: int = 3600, keep: lis
     return steps if all_points else steps.drop("_bucket")
 
 
-def path_length(tracks: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def path_length(tracks: DataFrame, bucket_seconds: int = 3600, by_range: bool = False) -> DataFrame:
     """Length of every track and of its last step."""
-    return long_track_segments(tracks, bucket_seconds).groupBy("mmsi").agg(
+    return long_track_segments(tracks, bucket_seconds, by_range=by_range).groupBy("mmsi").agg(
         F.coalesce(F.sum("step_m"), F.lit(0.0)).alias("total_m"),
         F.coalesce(F.max_by("step_m", F.struct("timestamp", "id")), F.lit(0.0)).alias("last_step_m"))
 

@@ -141,6 +141,17 @@ def path_length(v):
                                           F.round("last_step_m", 2).alias("last_step_m"))
 
 
+@query
+def path_length_by_range(v):
+    return T.path_length(v.tracks, by_range=True).select("mmsi", F.round("total_m", 2).alias("total_m"),
+                                                         F.round("last_step_m", 2).alias("last_step_m"))
+
+
+@query
+def segment_speed_by_range(v):
+    return T.segment_speeds(recent(v), by_range=True).select("mmsi", "id", r6("speed_ms"))
+
+
 @query
 def track_extent(v):
     return T.track_extent(v.tracks).select("mmsi", r6("min_lat"), r6("max_lat"), r6("min_lng"), r6("max_lng"),
