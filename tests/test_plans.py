@@ -68,3 +68,24 @@ def test_statistics_share_one_scan(spark, sf_dir, name):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"\*\(\d+\) ColumnarToRow", text)) == 1  # scans that ran; planned ones carry no number
     assert "ReusedExchange" in text and "collect_set(category" not in text
+
+
+def test_run_summary_counts_everything_at_once(spark, sf_dir):
+    """One aggregate over items and results; no second grouping of the links."""
+    text = plan(spark, sf_dir, "run_summary")
+    assert len(re.findall("Exchange SinglePartition", text)) == 1
+
+
+def test_account_pages_are_parsed_once(spark):
+    from tidewatch.sources import files
+
+    rows = [("a", i, '{"base_resp": {"ret": 0}, "app_msg_list": [{"title": "t", "link": "l"}]}') for i in range(3)]
+    df = files.wechat_items(spark.createDataFrame(rows, "account string, page bigint, payload string").repartition(2))
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Scan ExistingRDD", text)) == 1 and text.count("from_json") == 1
+
+
+@pytest.mark.parametrize("name", ["stationary_window", "stationary_fallback"])
+def test_stationarity_takes_no_speeds(spark, sf_dir, name):
+    text = plan(spark, sf_dir, name)
+    assert "percentile" not in text and "collect_list" not in text

@@ -145,3 +145,29 @@ def test_scratch_refuses_a_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         scratch_dir(Session(), "x")
+
+
+def test_account_pages_stop_at_the_first_bad_one(spark):
+    """Random replies against a plain loop: failed, empty and unreadable pages, cuts before, at and behind them."""
+    import json
+    import random
+
+    rnd, rows, want = random.Random(3), [], {}
+    for n in range(60):
+        kind, at = f"a{n}", rnd.randint(0, 6)
+        titles, stopped = [], False
+        for page in range(rnd.randint(1, 6)):
+            msgs = [{"title": f"{page}.{i}", "link": "l"} for i in range(rnd.randint(1, 4))]
+            bad = page == at
+            payload = rnd.choice([json.dumps({"base_resp": {"ret": 5}, "app_msg_list": msgs}), json.dumps({"base_resp": {"ret": 0}, "app_msg_list": []}),
+                                  json.dumps({"base_resp": {"ret": 0}}), "no json", None]) if bad else json.dumps({"base_resp": {"ret": 0}, "app_msg_list": msgs})
+            stopped |= bad
+            titles += [] if stopped else [m["title"] for m in msgs]
+            rows.append((kind, page, payload))
+        want[kind] = titles[:5]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "account string, page bigint, payload string").repartition(5)
+    got = {}
+    for r in sorted(files.wechat_items(df, count=5).collect(), key=lambda r: (r.account, r.page, r.pos)):
+        got.setdefault(r.account, []).append(r.title)
+    assert got == {k: t for k, t in want.items() if t}

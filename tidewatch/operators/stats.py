@@ -142,20 +142,22 @@ def digest_category_counts(articles: DataFrame) -> DataFrame:
         "category", "place", F.coalesce("n", F.lit(0)).cast("bigint").alias("articles"))
 
 
-def run_summary(audit: DataFrame, outcomes: DataFrame, inserted: DataFrame) -> DataFrame:
-    """One row of run counters: from audit remarks, per-result flags and the insert counts."""
-    def remark(text: str) -> Column:
-        return F.count_if(F.col("remark") == text)
-
-    a = audit.agg(remark(V.R_EMPTY).alias("skipped"), remark(V.R_DUPLICATE).alias("duplicates"),
-                  remark(V.R_PROCESSED).alias("processed"),
-                  F.count_if(F.col("remark").isin(V.R_NO_DATE, V.R_OLD)).alias("outdated"))
-    o = outcomes.agg(F.count(F.lit(1)).alias("analysed"), F.count_if("kept").alias("kept"),
-                     F.count_if(~F.col("kept")).alias("junk"), F.count_if("text_ok").alias("text_success"),
-                     F.count_if("vl_ok").alias("image_success"), F.count_if(~F.col("vl_ok")).alias("image_failed"))
-    # three one-row tables folded into one row
-    parts = inserted.unionByName(a, allowMissingColumns=True).unionByName(o, allowMissingColumns=True)
-    rows = parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+def run_summary(decided: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row of run counters, from the decided items of a run (as `jobs.ingest` stores them) and per-result flags.
+
+    Items and results are counted by one aggregate over both; no link is grouped or looked up again.
+    """
+    what = F.col("remark")
+    items = decided.select(F.lit(True).alias("_item"), "remark", (F.col("is_first") & ~F.col("is_known")).alias("_new"),
+                           F.when(F.col("link").isNull(), 1).alias("_unlinked"))
+    results = outcomes.select(F.lit(False).alias("_item"), "kept", "text_ok", "vl_ok")
+    rows = items.unionByName(results, allowMissingColumns=True).agg(
+        F.count_if("_item").alias("scanned"), (F.count_if("_new") + F.coalesce(F.max("_unlinked"), F.lit(0))).alias("inserted"),
+        F.count_if(what == V.R_EMPTY).alias("skipped"), F.count_if(what == V.R_DUPLICATE).alias("duplicates"),
+        F.count_if(what == V.R_PROCESSED).alias("processed"), F.count_if(what.isin(V.R_NO_DATE, V.R_OLD)).alias("outdated"),
+        F.count_if(~F.col("_item")).alias("analysed"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("junk"),
+        F.count_if("text_ok").alias("text_success"), F.count_if("vl_ok").alias("image_success"),
+        F.count_if(~F.col("vl_ok")).alias("image_failed"))
 
     def rate(part: str, total: Column) -> Column:
         return F.coalesce(F.try_divide(F.col(part) * 100.0, total), F.lit(0.0))

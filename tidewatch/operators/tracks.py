@@ -111,30 +111,52 @@ def recent_window(tracks: DataFrame, hours: int) -> DataFrame:
             .drop("_newest"))
 
 
+def _when() -> Column:
+    return F.struct("timestamp", "id")
+
+
+def _placed() -> Column:
+    return F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.col("timestamp").isNotNull()
+
+
+def _newest_time() -> Column:
+    return F.max("timestamp").alias("latest_ts")
+
+
+def _newest_spot() -> Column:
+    return F.max_by(F.struct("lat", "lng"), F.when(_placed(), _when())).alias("_spot")
+
+
+def _last_step() -> Column:
+    return F.max_by(F.struct("step_m", "gap_s"), F.when(_placed(), _when())).alias("_last")
+
+
+def _with_drift(facts: DataFrame, recent: DataFrame, window_hours: int) -> DataFrame:
+    """Adds how many positions lie near the newest time of a vessel, and how far they are from its newest spot."""
+    near = recent.where(_placed()).select("mmsi", F.col("timestamp").alias("_ts"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
+    soon = F.col("_ts") >= F.col("latest_ts") - F.make_dt_interval(hours=F.lit(window_hours))
+    drift = F.when(soon, geo.haversine_m(F.col("_spot.lat"), F.col("_spot.lng"), F.col("_lat"), F.col("_lng")))
+    same = [c for c in facts.columns if c not in ("mmsi", "_spot")]
+    return facts.join(near, "mmsi", "left").groupBy("mmsi").agg(
+        *(F.any_value(c).alias(c) for c in same), F.count_if(soon).alias("_in_window"), F.max(drift).alias("_drift"))
+
+
 def _facts(recent: DataFrame, window_hours: int, drift_m: float, gap_hours: float) -> DataFrame:
     """Everything the rules need to know about a vessel, one row per vessel.
 
     One pass finds the steps, one aggregate takes all that needs no other row, one join the drift around
     the newest point. Of each hour at most as many speeds as count in the end are gathered.
     """
-    when = F.struct("timestamp", "id")
+    when = _when()
     steps = long_track_segments(recent, keep=["speed", "heading"], all_points=True)
     valid = F.col("speed_ms").isNotNull()
     rank = F.row_number().over(Window.partitionBy("mmsi", "_bucket", valid).orderBy(*newest_first()))
     steps = steps.withColumn("_age", F.when(valid, rank))
     tail = F.slice(F.sort_array(F.collect_list(F.when(F.col("_age") <= V.SPEED_TAIL, F.struct("timestamp", "id", "speed_ms"))), False), 1, V.SPEED_TAIL)
-    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull() & F.col("timestamp").isNotNull()
     facts = steps.groupBy("mmsi").agg(
-        F.max("timestamp").alias("latest_ts"), F.max_by(F.struct("lat", "lng", "heading"), when).alias("_row"),
-        F.max_by(F.struct("lat", "lng"), F.when(placed, when)).alias("_spot"),
-        F.max_by(F.struct("step_m", "gap_s"), F.when(placed, when)).alias("_last"), tail.alias("_tail"),
+        _newest_time(), F.max_by(F.struct("lat", "lng", "heading"), when).alias("_row"), _newest_spot(), _last_step(), tail.alias("_tail"),
         F.percentile(F.when(F.col("speed") >= 0, F.col("speed")), 0.5).alias("_median_kn"))
-    near = recent.where(placed).select("mmsi", F.col("timestamp").alias("_ts"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
-    soon = F.col("_ts") >= F.col("latest_ts") - F.make_dt_interval(hours=F.lit(window_hours))
-    drift = F.when(soon, geo.haversine_m(F.col("_spot.lat"), F.col("_spot.lng"), F.col("_lat"), F.col("_lng")))
-    same = ["latest_ts", "_row", "_last", "_tail", "_median_kn"]
-    facts = facts.join(near, "mmsi", "left").groupBy("mmsi").agg(
-        *(F.any_value(c).alias(c) for c in same), F.count_if(soon).alias("_in_window"), F.max(drift).alias("_drift"))
+    facts = _with_drift(facts, recent, window_hours)
     speeds = F.array_sort(F.transform("_tail", lambda x: x.speed_ms))
     n = F.size(speeds)
     middle = (F.get(speeds, F.floor((n - 1) / 2).cast("int")) + F.get(speeds, F.floor(n / 2).cast("int"))) / 2
@@ -152,7 +174,7 @@ def at_rest(facts: DataFrame, drift_m: float = V.DRIFT_M, gap_hours: float = 2)
 
 def stationary_window(recent: DataFrame, window_hours: int = 2, drift_m: float = V.DRIFT_M) -> DataFrame:
     """Vessels with at least two positions near their newest point in time, and how far they drifted."""
-    facts = _facts(recent, window_hours, drift_m, 2)
+    facts = _with_drift(recent.groupBy("mmsi").agg(_newest_time(), _newest_spot()), recent, window_hours)
     return facts.where(F.col("_in_window") >= 2).select(
         "mmsi", F.col("_in_window").alias("points"), F.col("_drift").alias("max_drift_m"),
         (F.col("_drift") <= drift_m).alias("is_stationary"))
@@ -160,7 +182,9 @@ def stationary_window(recent: DataFrame, window_hours: int = 2, drift_m: float =
 
 def stationary_fallback(recent: DataFrame, gap_hours: float = 2, drift_m: float = V.DRIFT_M) -> DataFrame:
     """Other vessels: newest two positions far apart in time and close in space."""
-    facts = _facts(recent, 2, drift_m, gap_hours)
+    steps = long_track_segments(recent, all_points=True)
+    facts = _with_drift(steps.groupBy("mmsi").agg(_newest_time(), _newest_spot(), _last_step()), recent, 2)
+    facts = at_rest(facts.withColumns({"_step_m": F.col("_last.step_m"), "_gap_s": F.col("_last.gap_s")}), drift_m, gap_hours)
     return facts.where(F.col("_in_window") < 2).select("mmsi", F.col("by_fallback").alias("is_stationary"))
 
 

@@ -180,9 +180,7 @@ def write_audit(v):
 
 @query
 def run_summary(v):
-    items = collected(v)
-    audit = D.audit_projection(D.ingest_disposition(items, v.store, AS_OF))
-    return stats.run_summary(audit, A.outcome_flags(merged(v)), D.insert_counts(items, v.store))
+    return stats.run_summary(D.ingest_disposition(collected(v), v.store, AS_OF), A.outcome_flags(merged(v)))
 
 
 @query

@@ -75,15 +75,17 @@ def feed_items(entries: DataFrame, as_of: datetime, hours: int = 24, zone_hours:
 def wechat_items(pages: DataFrame, count: int = 10, zone_hours: float = 0.0) -> DataFrame:
     """Account pages (account, page, payload) as items, the first ``count`` of every account.
 
-    Pages after a failed or empty one are not read; the reply status tells.
+    Pages after a failed or empty one are not read; the reply status tells. Such a page goes along as
+    one row that stands before its page, so each payload is parsed once and no account is looked up again.
     """
     parsed = pages.withColumn("_p", F.from_json("payload", S.WECHAT_PAGE))
-    ok = (F.col("_p.base_resp.ret") == 0) & (F.size(F.coalesce("_p.app_msg_list", F.array())) > 0)
-    bad = (parsed.where(~F.coalesce(ok, F.lit(False))).groupBy("account").agg(F.min("page").alias("_stop")))
-    rows = (parsed.where(ok).join(bad, "account", "left")
-            .where(F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))))
-    rows = unnest(rows, ["account", "page"], F.col("_p.app_msg_list"), "pos", "m")
-    first = top_n_per_key(rows, ["account"], [F.asc("page"), F.asc("pos")], count, ["page", "pos"])
+    ok = F.coalesce((F.col("_p.base_resp.ret") == 0) & (F.size("_p.app_msg_list") > 0), F.lit(False))
+    stop = F.when(F.col("page").isNotNull(), F.array(F.lit(None).cast(parsed.select("_p.app_msg_list").schema[0].dataType.elementType)))
+    listed = parsed.select("account", "page", ok.alias("_ok"), F.when(ok, F.col("_p.app_msg_list")).otherwise(stop).alias("_list"))
+    rows = unnest(listed, ["account", "page", "_ok"], F.col("_list"), "pos", "m")
+    first = top_n_per_key(rows, ["account"], [F.asc("page"), F.asc("_ok"), F.asc("pos")], count, ["page", "pos"])
+    so_far = Window.partitionBy("account").orderBy("page", "_ok", "pos")
+    first = first.withColumn("_open", F.min("_ok").over(so_far.rowsBetween(Window.unboundedPreceding, 0))).where("_open")
     return first.select(
         "account", "page", "pos", F.col("m.title").alias("title"), F.col("m.link").alias("link"),
         dates.epoch_date(F.col("m.update_time"), zone_hours).alias("pub_date"),
