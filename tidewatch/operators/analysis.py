@@ -145,13 +145,6 @@ def outcome_flags(results: DataFrame) -> DataFrame:
             .withColumn("kept", ~F.coalesce(F.col("is_junk"), F.lit(False))))
 
 
-# audit remarks after the analysis (fixed values)
-A_UNRELATED = "AI判定无关: 非疏浚主题"
-A_INVALID = "无效数据 (valid=0)"
-A_NOT_KEPT = "未保留 (is_retained=0)"
-A_NO_RESULT = "分析未通过(可能提取失败)"
-
-
 def audit_outcome(audit: DataFrame, gated: DataFrame) -> DataFrame:
     """Write the outcome of the analysis into the pending audit rows."""
     res = gated.select(F.col("url").alias("link"), F.lit(True).alias("_hit"), "is_dropped", "is_retained", "is_junk",
@@ -162,10 +155,10 @@ def audit_outcome(audit: DataFrame, gated: DataFrame) -> DataFrame:
     rows = audit.join(res, "link", "left")
     pending = F.col("remark") == V.R_PENDING
     kept = pending & F.coalesce(~F.col("is_dropped") & (F.col("is_retained") == 1), F.lit(False))
-    remark = (F.when(~pending, F.col("remark")).when(F.col("_hit").isNull(), F.lit(A_NO_RESULT))
+    remark = (F.when(~pending, F.col("remark")).when(F.col("_hit").isNull(), F.lit(V.A_NO_RESULT))
               .when(F.col("is_dropped"), F.lit(V.R_OLD_RUN)).when(F.col("is_retained") == 1, F.lit(V.R_KEPT))
-              .when(F.col("is_junk"), F.lit(A_UNRELATED)).when(F.col("_valid") == 0, F.lit(A_INVALID))
-              .otherwise(F.lit(A_NOT_KEPT)))
+              .when(F.col("is_junk"), F.lit(V.A_UNRELATED)).when(F.col("_valid") == 0, F.lit(V.A_INVALID))
+              .otherwise(F.lit(V.A_NOT_KEPT)))
     return rows.select(
         "seq", "site", "title", F.when(kept, T.first_filled(F.col("_title_cn"), F.col("title"))).alias("title_cn"), "link",
         "pub_date", "source_type", kept.alias("keep"), (kept & F.coalesce("_text", F.lit(False))).alias("text_ok"),

@@ -12,10 +12,7 @@ from tidewatch.operators import filters
 from tidewatch.operators.dedup import newest_first
 from tidewatch.operators.skew import first_per_key
 from tidewatch.operators.stats import digest_bucket, item_key
-
-MORNING, EVENING = "早报", "晚报"
-DIGEST_NAME = "情报简报"  # heading of messages and reports; callers give their own
-DIGEST_NONE = "截至目前，暂无最新情报更新。"
+from tidewatch.vocab import AUDIT_HEADER, DIGEST_NAME, DIGEST_NONE, EVENING, MORNING  # noqa: F401
 
 
 def report_range(kind: str, day: date) -> tuple[datetime, datetime]:
@@ -121,14 +118,14 @@ def report_lines(articles: DataFrame) -> DataFrame:
     translated = ~T.is_blank(F.col("title_cn")) & (F.col("title_cn") != title)
     note = F.col("vl_desc") if "vl_desc" in articles.columns else F.lit("")
     summary = F.coalesce("summary_cn", F.lit(V.R_NO_SUMMARY))
-    has_note = ~T.is_blank(note) & (note != "无视觉分析") & ~F.contains(summary, F.lit("视觉补充"))
+    has_note = ~T.is_blank(note) & (note != V.NO_PICTURE) & ~F.contains(summary, F.lit(V.PICTURE_NOTE))
     return rows.select(
         F.array_position(order, F.col("_cat")).cast("int").alias("section_order"),
         F.concat(F.lit("## "), labels.lookup(F.col("_cat"), dict(V.REPORT_SECTIONS))).alias("section"), "id",
         F.concat(F.lit("### ["), F.when(translated, F.lit("[译] ")).otherwise(F.lit("")), shown, F.lit("]("),
                  F.coalesce("url", F.lit("")), F.lit(")")).alias("heading"),
         F.concat(F.lit("- **摘要**: "), summary).alias("summary_line"),
-        F.when(has_note, F.concat(F.lit("- **👀 视觉补充**: "), note)).alias("picture_line"),
+        F.when(has_note, F.concat(F.lit(f"- **👀 {V.PICTURE_NOTE}**: "), note)).alias("picture_line"),
         "created_at").orderBy("section_order", *newest_first())
 
 
@@ -152,10 +149,6 @@ def write_report(articles: DataFrame, as_of: datetime, path: str, name: str = DI
     report_document(articles, as_of, name).write.mode("overwrite").text(path)
 
 
-AUDIT_HEADER = ["| 序号 | 网站 | 新闻名称 | 发布时间 | 是否保留 | TextLLM识别成功 | VL识别成功 | 数据来源 | 备注 | 新闻链接 |",
-                "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
-
-
 def audit_table(audit: DataFrame) -> DataFrame:
     """Audit rows in display form; seq is the row number."""
     def flag(name: str) -> Column:

@@ -163,3 +163,18 @@ SPEED_TAIL = 24
 TRACK_KEEP = 5000
 FRESH_DAYS = 5
 STALE_DAYS = 30
+
+# audit remarks after the analysis (fixed values)
+A_UNRELATED = "AI判定无关: 非疏浚主题"
+A_INVALID = "无效数据 (valid=0)"
+A_NOT_KEPT = "未保留 (is_retained=0)"
+A_NO_RESULT = "分析未通过(可能提取失败)"
+
+# headings and marks of digests, reports and audit files (fixed values; stored files are read back by them)
+MORNING, EVENING = "早报", "晚报"
+DIGEST_NAME = "情报简报"
+DIGEST_NONE = "截至目前，暂无最新情报更新。"
+NO_PICTURE = "无视觉分析"
+PICTURE_NOTE = "视觉补充"
+AUDIT_HEADER = ["| 序号 | 网站 | 新闻名称 | 发布时间 | 是否保留 | TextLLM识别成功 | VL识别成功 | 数据来源 | 备注 | 新闻链接 |",
+                "| --- | --- | --- | --- | --- | --- | --- | --- | --- | --- |"]
