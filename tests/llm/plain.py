@@ -49,15 +49,15 @@ def order(i):
 
 def kept_substrings(pairs, window, units):
     """Positions removed from each row's units, given that a window may not start in an earlier document."""
-    first = {}
+    first, key = {}, bytes if units is bytes else tuple
     for i, u in pairs:
         for j in range(len(u) - window + 1):
-            w = tuple(u[j:j + window])
+            w = key(u[j:j + window])
             first[w] = min(first.get(w, order(i)), order(i))
     for i, u in pairs:
         gone = [False] * len(u)
         for j in range(len(u) - window + 1):
-            if first[tuple(u[j:j + window])] < order(i):
+            if first[key(u[j:j + window])] < order(i):
                 gone[j:j + window] = [True] * window
         yield i, u, gone
 
@@ -232,3 +232,62 @@ def vector_codes(rows, rounds=6):
     book = sha(",".join(str(x) for p in books for e in p for x in e))
     for (i, _, label), a in zip(kept, at):
         yield i, "".join(f"{k:02x}" for _, k in a), sum(d for d, _ in a), total[label], book
+
+
+def weak_supervision(votes, can_vote_good, rounds):
+    """Posterior of a good text for each row of votes (-1, 0, 1), by expectation-maximisation over the rows themselves."""
+    prior, on_bad, on_good = 0.8, [0.5] * len(can_vote_good), [0.03] * len(can_vote_good)
+
+    def posteriors():
+        for row in votes:
+            g, b = prior, 1 - prior
+            for vote, x, y in zip(row, on_bad, on_good):
+                if vote:
+                    g, b = g * (y if vote < 0 else 1 - y), b * (x if vote < 0 else 1 - x)
+            yield g / (g + b)
+
+    for _ in range(rounds):
+        p = list(posteriors())
+        shares = []
+        for k, can in enumerate(can_vote_good):
+            spoke = [(row[k], q) for row, q in zip(votes, p) if row[k] or not can]
+            shares.append([(sum(w for v, w in ws if v < 0) + a) / (sum(w for _, w in ws) + 2)
+                           for ws, a in (([(v, 1 - q) for v, q in spoke], 1), (spoke, 0.06))])
+        prior = min(0.99, max(0.01, sum(p) / len(p)))
+        on_good = [min(0.9, max(0.001, y)) for _, y in shares]
+        on_bad = [min(0.999, max(x, 1.05 * y)) for (x, _), y in zip(shares, on_good)]
+    return list(posteriors())
+
+
+def letters(text):
+    """Lower-case words of letters, a word after itself left out, joined by one space."""
+    out, word = [], ""
+    for c in text.lower() + " ":
+        if c.isalnum() and not c.isdecimal():
+            word += c
+        elif word:
+            out += [word] if out[-1:] != [word] else []
+            word = ""
+    return " ".join(out).encode()
+
+
+def compressed_size(data, dictionary, carrier):
+    """Bytes that zstandard needs for a text after a dictionary that ends with the carrier; every coder is a fresh one."""
+    import zstandard
+
+    def size(part, level):
+        raw = zstandard.ZstdCompressionDict(dictionary + carrier, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        raw.precompute_compress(level=level)
+        return len(zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False).compress(part))
+
+    return size(carrier + data, 12) if len(data) < 256 else sum(size(data[i:i + 1024], 6) for i in range(0, len(data), 1024))
+
+
+def language(text, dictionaries, carrier, narrow=0.01):
+    """(language, rejected): the smallest of all sizes, equal ones by name."""
+    data = letters(text or "")
+    if not any(c.isalpha() for c in text or "") or not dictionaries:
+        return "und", True
+    sizes = sorted((compressed_size(data, d, carrier), name) for name, d in dictionaries.items())
+    margin = 1 - sizes[0][0] / sizes[1][0] if len(sizes) > 1 else 1
+    return sizes[0][1], margin == 0 or margin < narrow

@@ -7,6 +7,7 @@ import pytest
 
 from tests.llm import plain
 from tidewatch.llm import bag_minhash, blocks, components, decontaminate, line_dedup, run_index, substring_dedup, suffix_dedup
+from tidewatch.llm.text import PIECE_BYTES
 
 
 def same(df, want):
@@ -42,6 +43,30 @@ def test_substring_dedup(docs, pairs):
     same(substring_dedup.digests(docs), plain.substrings(pairs))
 
 
+def test_texts_longer_than_a_piece(spark):
+    """A text of more than PIECE_BYTES, and more texts than one piece holds: passages at both ends of the long one and behind its first piece."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    long = [word() for _ in range(PIECE_BYTES // 7 + 3000)]
+    cut = lambda at, n: " ".join(long[at:at + n])
+    there = PIECE_BYTES // 7
+    rows = [(5, " ".join(long)), (9, f"{word()} {cut(0, 60)} {word()}"), (2, f"{cut(there - 40, 90)} {word()}"), (7, cut(len(long) - 55, 55)),
+            (3, cut(100, 49)), *((20 + i, " ".join(word() for _ in range(400))) for i in range(4)), (30, cut(there + 200, 70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(suffix_dedup.digests(docs), plain.suffixes(rows))
+    same(substring_dedup.digests(docs), plain.substrings(rows))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 24, 25, 26, 48, 49, 50, 51])
+def test_tables_of_few_words(spark, n):
+    """Blocks that hold fewer words than one window, or just one window."""
+    rows = [(1, " ".join(f"w{i}" for i in range(n)))]
+    for some in (rows, rows + [(2, rows[0][1])]):
+        docs = spark.createDataFrame(some, "doc_id long, text string")
+        same(substring_dedup.digests(docs), plain.substrings(some))
+        same(suffix_dedup.digests(docs), plain.suffixes(some))
+
+
 def test_line_dedup(docs, pairs):
     want = list(plain.lines(pairs))
     same(line_dedup.digests(docs), [(i, n, k, plain.sha(t)) for i, n, k, t in want])

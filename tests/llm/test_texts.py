@@ -51,6 +51,18 @@ def test_posterior_matches_plain_bayes(spark):
     assert p == pytest.approx(0.7 * 0.1 * 0.9 / (0.7 * 0.1 * 0.9 + 0.3 * 0.6 * 0.4))
 
 
+def test_verdict_is_that_of_a_plain_maximisation(spark, sf_dir):
+    """Posterior and verdict of every document against expectation-maximisation over single rows."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = [f"vote_{n}" for n in quality.RULES]
+    voted = quality.votes(quality.measures(texts)).select("doc_id", *names).collect()
+    p = plain.weak_supervision([tuple(r)[1:] for r in voted], [good is not None for _, good in quality.RULES.values()], quality.ROUNDS)
+    want = {r.doc_id: x for r, x in zip(voted, p)}
+    judged = quality.judge(texts).collect()
+    assert len({round(x, 6) for x in p}) > 5 and {r.doc_id: r.quality for r in judged} == pytest.approx(want, abs=1e-9)
+    assert all(r.kept == (not r.base_failed and want[r.doc_id] >= 0.5) for r in judged)
+
+
 def test_empty_quality(spark):
     assert quality.judge(plain.frame(spark, [])).count() == 0
 
@@ -73,6 +85,17 @@ def test_language_odd_cases(spark, docs):
     assert language.identify(plain.frame(spark, [])).count() == 0
 
 
+def test_language_is_that_of_plain_compression(spark, sf_dir):
+    """Every prediction against fresh coders, one text and one language after another."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = [(-1, "²"), (-2, "½ Ⅷ"), (-3, "1 2 3"), (-4, ""), (-5, None), (-6, "x"), (-7, "the the the"), (-8, "日本語")]
+    learned = language.fit(texts.filter(~language.held_out(F.col("doc_id"))))
+    every = texts.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r.doc_id: (r.lang_pred, r.rejected) for r in language.predict(every, learned).collect()}
+    assert got == {r.doc_id: plain.language(r.text, learned, language.CARRIER) for r in every.collect()}
+    assert [got[i][0] for i in (-1, -2, -3, -4, -5)] == ["und"] * 5
+
+
 def test_language_reads_no_label(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     learned = language.fit(docs)
@@ -89,6 +112,10 @@ def test_token_counts(docs, pairs):
     assert sorted(map(tuple, token_counts.count_tokens(docs, BPE, public.PATTERN).collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_no_token_counts(spark):
+    assert token_counts.count_tokens(plain.frame(spark, []), BPE, public.PATTERN).count() == 0
+
+
 def test_pieces_without_dropout_are_the_library_s(pairs):
     import sentencepiece
 

@@ -10,7 +10,7 @@ Fitting uses a bounded sample: `sample_docs` labelled texts a language, `sample_
 each, `dict_bytes` of dictionary. A first set of dictionaries throws out sample texts that look
 wrongly labelled. Prediction reads whole texts and nothing but the text.
 
-Defined cases: null text, or text without a letter, is `und`, score 0, rejected; so is every text
+Defined cases: null text, or text without a letter (signs such as a raised two are none), is `und`, score 0, rejected; so is every text
 if nothing was learned; equal sizes go to the language first by name, score 0, rejected. Other
 columns are not read.
 """
@@ -61,7 +61,7 @@ class Sizer:
 
     def predict(self, text: str | None, narrow: float) -> tuple[str, float, float, bool]:
         data = plain(text or "")
-        if not data or not self.names:
+        if not data or not self.names or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0, True
         if len(data) < SHORT:
             sizes = [len(code(CARRIER + data)) for code in self.short_coders]

@@ -9,6 +9,7 @@ The result is one compressed keep bitmap per document, not text.
 Defined cases: null or empty text is one empty line; rows that share a doc_id are one document, each
 row (told apart by its text) keeps its own lines; a null doc_id is a document of its own that sorts first. Other columns are
 not read.
+A text of any length is taken whole, by one task; empty tables give empty results.
 """
 
 from __future__ import annotations

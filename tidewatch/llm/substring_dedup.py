@@ -8,6 +8,7 @@ smallest document that starts it. A window that starts in a smaller document is
 Defined cases: null text has no words; a text shorter than the window loses nothing; of equal
 texts all but the one with the smallest id lose everything (if long enough); rows with one doc_id
 are one document and don't match each other; a null doc_id sorts first. Other columns are not read.
+A text of any length is taken whole, by one task; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ def _seeds(data, at, doc, half: int, n: int):
     for lo, _, data_, at_ in pieces(data, at):
         _, _, row, h = _halves(data_, at_, half, 0)
         least, inside = _chosen(row, h, half)
+        if not len(least):
+            continue
         new = inside.copy()
         new[1:] &= (least[1:] != least[:-1]) | (row[1:len(least)] != row[:len(least) - 1]) | ~inside[:-1]
         values.append(blocks.anchor_code(least[new], n))

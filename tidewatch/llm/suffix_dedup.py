@@ -11,6 +11,7 @@ passage. A window that starts in a smaller document is removed byte by byte.
 Defined cases: null text is empty; a text shorter than `least` loses nothing; of equal texts all but
 the one with the smallest id lose everything (if long enough); rows with one doc_id are one document
 and don't match each other; a null doc_id sorts first. Other columns are not read.
+A text of any length is taken whole, by one task; empty tables give empty results.
 """
 
 from __future__ import annotations
