@@ -216,3 +216,31 @@ def test_track_ingest_over_batches(spark, sf_dir):
     ST.start_track_ingest(open_stream(spark, path, S.TRACK), v.gazetteer, out, cp).awaitTermination()
     rows = read_batches(spark, out)
     assert rows.count() == v.tracks.count() and rows.where("city = ''").count() == 0
+
+
+
+def sample_documents(spark, ids):
+    """A sample folder with documents of the given ids only."""
+    base = scratch_dir(spark, "sample")
+    rows = [(i, f"Title {i}\nwords of {i}", "en", f"src{abs(i) % 20}", 20) for i in ids]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
+    return base
+
+
+
+def test_arriving_files_follow_the_table(spark, monkeypatch):
+    """More files for a larger table, in four batches all the same; by a column, no file holds less than one before it."""
+    from tidewatch.plans import stream_queries as Q
+
+    base = sample_documents(spark, range(4000))
+    landed = []
+    monkeypatch.setattr(Q, "scratch_dir", lambda s, name: landed.append(scratch_dir(s, name)) or landed[-1])
+    monkeypatch.setattr(Q, "FILE_BYTES", 1 << 11)
+    for order in (None, "doc_id"):
+        rows, (out, cp) = Q.documents(Views(spark, base), order), places(spark)
+        SA.start_updates_log(rows.selectExpr("cast(doc_id as string) as url", "doc_id as seq"), out, cp).awaitTermination()
+        assert len([x for x in folders.children(spark, landed[-1]) if x.startswith("part-")]) > 8
+        per_batch = read_batches(spark, out).groupBy("batch_id").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).orderBy("batch_id").collect()
+        assert 2 <= len(per_batch) <= 4 and sum(r.n for r in per_batch) == 4000
+        if order:
+            assert all(x.b < y.a for x, y in zip(per_batch, per_batch[1:]))

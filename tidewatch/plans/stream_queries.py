@@ -9,36 +9,44 @@ from tidewatch.plans.article_queries import LATER
 from tidewatch.plans.registry import query
 from tidewatch.plans.views import DOCUMENTS_DDL, EVENTS_DDL, Views, articles_from_documents, raw_from_documents, tracks_from_events
 from tidewatch.session import scratch_dir
+from tidewatch.sources import folders
 from tidewatch.streaming import articles as SA, tracks as ST
 from tidewatch.streaming.sinks import read_batches
 
 
-FILES = 4
+BATCHES, FILE_BYTES = 4, 16 << 20
 
 
-def stream(v: Views, name: str, ddl: str) -> DataFrame:
-    """One sample table as a stream of files, whose rows arrive in no order, a file in each batch."""
-    path = scratch_dir(v.spark, "arriving")
-    v.table(name).repartition(FILES).write.parquet(path)
-    return v.spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(path)
+def stream(v: Views, name: str, ddl: str, order: str | None = None) -> DataFrame:
+    """One sample table as a stream of files in BATCHES batches, whose rows arrive in no order, or by a column.
+
+    The number of files follows the table's bytes, so no task holds a fixed share of it.
+    """
+    path, rows = scratch_dir(v.spark, "arriving"), v.table(name)
+    n = BATCHES * max(1, -(-folders.size(v.spark, f"{v.sf_dir}/{name}.parquet") // (BATCHES * FILE_BYTES)))
+    (rows.repartition(n) if order is None else rows.repartitionByRange(n, order)).write.parquet(path)
+    if order is not None:
+        folders.date_in_order(v.spark, path)
+    files = sum(x.startswith("part-") for x in folders.children(v.spark, path))
+    return v.spark.readStream.schema(ddl).option("maxFilesPerTrigger", max(1, -(-files // BATCHES))).parquet(path)
 
 
 def events(v: Views) -> DataFrame:
     return tracks_from_events(stream(v, "events", EVENTS_DDL))
 
 
-def documents(v: Views) -> DataFrame:
-    return stream(v, "documents", DOCUMENTS_DDL)
+def documents(v: Views, order: str | None = None) -> DataFrame:
+    return stream(v, "documents", DOCUMENTS_DDL, order)
 
 
-def folders(v: Views, name: str) -> tuple[str, str]:
+def places(v: Views, name: str) -> tuple[str, str]:
     base = scratch_dir(v.spark, name)
     return f"{base}/out", f"{base}/checkpoint"
 
 
 @query
 def stream_track_ingest(v):
-    out, checkpoint = folders(v, "positions")
+    out, checkpoint = places(v, "positions")
     ST.start_track_ingest(events(v), v.gazetteer, out, checkpoint).awaitTermination()
     return read_batches(v.spark, out).select("id", "mmsi", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"),
                                              "timestamp", "city", "country")
@@ -46,7 +54,7 @@ def stream_track_ingest(v):
 
 @query
 def stream_vessel_status(v):
-    out, checkpoint = folders(v, "status")
+    out, checkpoint = places(v, "status")
     ST.start_vessel_status(events(v), out, checkpoint, days=10).awaitTermination()
     rows = ST.current_status(v.spark, out, days=10, offline_hours=24)
     return rows.select("mmsi", "status", F.round("speed_kn", 6).alias("speed_kn"), "heading", "location", "status_date")
@@ -54,13 +62,13 @@ def stream_vessel_status(v):
 
 @query
 def stream_article_dedup(v):
-    out, checkpoint = folders(v, "items")
+    out, checkpoint = places(v, "items")
     SA.start_article_dedup(raw_from_documents(documents(v)), v.store, out, checkpoint).awaitTermination()
     return read_batches(v.spark, out).groupBy("link").agg(F.count(F.lit(1)).alias("times"))
 
 
 def _counted(v: Views, count, name: str, keys: list[str]) -> DataFrame:
-    out, checkpoint = folders(v, name)
+    out, checkpoint = places(v, name)
     SA.start_counts(articles_from_documents(documents(v)), count, out, checkpoint).awaitTermination()
     return SA.read_counts(v.spark, out, keys)
 
@@ -78,7 +86,7 @@ def stream_shift_digest(v):
 
 @query
 def stream_upsert(v):
-    out, checkpoint = folders(v, "updates")
+    out, checkpoint = places(v, "updates")
     arriving = Views(v.spark, v.sf_dir)
     arriving.__dict__["raw_items"] = raw_from_documents(documents(v))
     SA.start_updates_log(sample_updates(arriving), out, checkpoint).awaitTermination()
