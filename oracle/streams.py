@@ -28,7 +28,7 @@ SELECT mmsi, CASE WHEN off THEN 'offline' WHEN by_window OR by_fallback THEN 'mo
        CASE WHEN NOT off THEN printf('%.6f, %.6f', lat, lng) END AS location, latest_ts AS status_date
 FROM (SELECT *, latest_ts < (SELECT max({TS}) FROM tracks) - INTERVAL 24 HOUR AS off FROM own_facts)
 WHERE latest_ts >= (SELECT max({TS}) FROM tracks) - INTERVAL 10 DAY""")
-add("stream_article_dedup", "items store", "SELECT link, CAST(1 AS BIGINT) AS times FROM items WHERE link NOT IN (SELECT url FROM store) GROUP BY link")
+add("stream_article_dedup", "items store", "SELECT link, min(seq) AS seq, CAST(1 AS BIGINT) AS times FROM items WHERE link NOT IN (SELECT url FROM store) GROUP BY link")
 add("stream_daily_counts", "articles", f"""
 SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS articles FROM articles WHERE {VISIBLE} GROUP BY 1""")
 add("stream_shift_digest", "articles", f"""

@@ -228,6 +228,17 @@ def sample_documents(spark, ids):
 
 
 
+def test_article_dedup_keeps_the_first_item_of_all_batches(spark):
+    from tidewatch.plans.registry import QUERIES
+    import tidewatch.plans.catalog  # noqa: F401
+
+    # 7k + 6 repeats the link of 7k + 3, far apart in a file that holds the later ones first
+    base = sample_documents(spark, [7 * k + 6 for k in range(0, 60)] + [7 * k + 3 for k in range(59, -1, -1)])
+    got = {r.seq: r.times for r in QUERIES["stream_article_dedup"](spark, base).collect()}
+    assert got == {7 * k + 3: 1 for k in range(60) if (7 * k + 3) % 3 == 2}
+
+
+
 def test_arriving_files_follow_the_table(spark, monkeypatch):
     """More files for a larger table, in four batches all the same; by a column, no file holds less than one before it."""
     from tidewatch.plans import stream_queries as Q

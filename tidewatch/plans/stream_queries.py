@@ -62,9 +62,10 @@ def stream_vessel_status(v):
 
 @query
 def stream_article_dedup(v):
+    """Items arrive as they were collected (by seq), so the one that stays is the first of its link in all batches."""
     out, checkpoint = places(v, "items")
-    SA.start_article_dedup(raw_from_documents(documents(v)), v.store, out, checkpoint).awaitTermination()
-    return read_batches(v.spark, out).groupBy("link").agg(F.count(F.lit(1)).alias("times"))
+    SA.start_article_dedup(raw_from_documents(documents(v, "doc_id")), v.store, out, checkpoint).awaitTermination()
+    return read_batches(v.spark, out).groupBy("link").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("times"))
 
 
 def _counted(v: Views, count, name: str, keys: list[str]) -> DataFrame:
