@@ -255,3 +255,16 @@ def test_arriving_files_follow_the_table(spark, monkeypatch):
         assert 2 <= len(per_batch) <= 4 and sum(r.n for r in per_batch) == 4000
         if order:
             assert all(x.b < y.a for x, y in zip(per_batch, per_batch[1:]))
+
+
+
+def test_vessel_state_is_a_few_chunks(spark):
+    schema = "id long, mmsi string, lat double, lng double, speed double, heading double, timestamp timestamp_ntz"
+    rows = [(i, "a", 10.0, 20.0 + i / 1000, 1.0, None, AS_OF + timedelta(minutes=20 * i)) for i in range(400)]
+    path, (out, cp) = land(spark, spark.createDataFrame(rows, schema), "id"), places(spark)
+    query = ST.start_vessel_status(open_stream(spark, path, schema), out, cp)
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"] and p["numInputRows"]]
+    assert held and max(held) <= 12
+    last = latest_per_key(read_batches(spark, out), ["mmsi"]).first()
+    assert last.latest_ts == rows[-1][-1] and last._in_window == 7 and last.heading is None and last._gap_s == 1200

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tidewatch import vocab as V
@@ -34,8 +34,10 @@ def start_track_ingest(reports: DataFrame, gazetteer: DataFrame, path: str, chec
     return write_batches(reports, path, checkpoint, each=place, **kw)
 
 
-POINT_KEY, POINT = "ts_us BIGINT, id BIGINT", "lat DOUBLE, lng DOUBLE, speed DOUBLE, heading DOUBLE"
-FACTS = ("mmsi STRING, latest_ts TIMESTAMP, lat DOUBLE, lng DOUBLE, heading DOUBLE, _in_window BIGINT, _drift DOUBLE, _step_m DOUBLE, _gap_s DOUBLE, "
+CHUNK_KEY, CHUNK = "chunk BIGINT", "points BINARY"
+POINT = np.dtype([("ts_us", "<i8"), ("id", "<i8"), ("lat", "<f8"), ("lng", "<f8"), ("speed", "<f8"), ("heading", "<f8")])
+CHUNKS = 4  # of a look-back
+FACTS = ("mmsi STRING, latest_us BIGINT, lat DOUBLE, lng DOUBLE, heading DOUBLE, _in_window BIGINT, _drift DOUBLE, _step_m DOUBLE, _gap_s DOUBLE, "
          "_median_ms DOUBLE, _median_kn DOUBLE")
 HOUR_US = 3_600_000_000
 
@@ -57,45 +59,60 @@ def _measured(when: np.ndarray, rows: np.ndarray, window_hours: float) -> dict:
     speeds = step[ok] / gap[ok]
     speeds, knots = speeds[speeds <= V.MAX_SEGMENT_MS][-V.SPEED_TAIL:], speed[speed >= 0]
     number = lambda v: None if np.isnan(v) else float(v)
-    return {"latest_ts": pd.Timestamp(int(when[-1]), unit="us"), "lat": number(lat[-1]), "lng": number(lng[-1]), "heading": number(heading[-1]), "_in_window": int(near.sum()),
+    return {"latest_us": int(when[-1]), "lat": number(lat[-1]), "lng": number(lng[-1]), "heading": number(heading[-1]), "_in_window": int(near.sum()),
             "_drift": float(_metres(y[-1], x[-1], y[near], x[near]).max()) if near.any() else None,
             "_step_m": float(step[-1]) if len(step) else None, "_gap_s": float(gap[-1]) if len(gap) else None,
             "_median_ms": float(np.median(speeds)) if len(speeds) else None, "_median_kn": float(np.median(knots)) if len(knots) else None}
 
 
+def _points(rows: Iterator[Row]) -> np.ndarray:
+    """Reports as they are kept in the state; missing measures are NaN."""
+    return np.array([tuple(np.nan if r[c] is None else r[c] for c in POINT.names) for r in rows], POINT)
+
+
 class VesselPoints(StatefulProcessor):
-    """The points of a vessel's look-back by time and id: a report is one entry, wherever in time it falls.
+    """The points of a vessel's look-back, in chunks of a quarter of it by time.
 
-    A repeated report replaces itself. Entries older than the look-back of the newest point go; a timer
+    An entry of the state is the points of one chunk, packed; a report rewrites its own chunk, wherever in time it falls,
+    and chunks older than the look-back of the newest point go. A repeated report replaces itself. A timer
     clears what a silent vessel leaves behind.
     """
 
     def __init__(self, days: int = 3, window_hours: float = 2):
-        self.days, self.window_hours = days, window_hours
+        self.look_back, self.window_hours = days * 24 * HOUR_US, window_hours
+        self.width = max(1, self.look_back // CHUNKS)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.points = handle.getMapState("points", POINT_KEY, POINT)
+        self.chunks = handle.getMapState("chunks", CHUNK_KEY, CHUNK)
 
     def handleInputRows(self, key, rows, timerValues):
-        for chunk in rows:
-            when = chunk["timestamp"].astype("datetime64[us]").astype("int64").to_numpy()
-            values = chunk[["lat", "lng", "speed", "heading"]].astype("float64").to_numpy()
-            for t, i, value in zip(when.tolist(), chunk["id"].tolist(), values.tolist()):
-                self.points.updateValue((t, i), tuple(None if v != v else v for v in value))
-        found = sorted((tuple(k), tuple(v)) for k, v in self.points.iterator())
-        newest = found[-1][0][0]
-        oldest = newest - self.days * 24 * HOUR_US
-        while found[0][0][0] < oldest:
-            self.points.removeKey(found.pop(0)[0])
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(newest // 1000)
-        facts = _measured(np.array([k[0] for k, _ in found]), np.array([v for _, v in found], float), self.window_hours)
-        yield pd.DataFrame([{"mmsi": key[0], **facts}]).astype({c: "float64" for c in facts if c not in ("latest_ts", "_in_window")})
+        new = _points(rows)
+        held = {k[0]: np.frombuffer(bytes(v[0]), POINT) for k, v in self.chunks.iterator()}
+        before = max((int(x["ts_us"].max()) for x in held.values()), default=None)
+        newest = int(new["ts_us"].max()) if before is None else max(before, int(new["ts_us"].max()))
+        oldest = newest - self.look_back
+        new = new[new["ts_us"] >= oldest]
+        found = np.concatenate([*held.values(), new])
+        found = found[np.lexsort((np.arange(len(found)), found["id"], found["ts_us"]))]
+        last = np.append((found["ts_us"][1:] != found["ts_us"][:-1]) | (found["id"][1:] != found["id"][:-1]), True)
+        found = found[last & (found["ts_us"] >= oldest)]  # of a repeated report, the one that came last
+        for chunk in held:
+            if chunk < oldest // self.width:
+                self.chunks.removeKey((chunk,))
+        of = found["ts_us"] // self.width
+        for chunk in np.unique(new["ts_us"] // self.width).tolist():
+            self.chunks.updateValue((chunk,), (found[of == chunk].tobytes(),))
+        if before is None or before // 1000 != newest // 1000:
+            if before is not None:
+                self.handle.deleteTimer(before // 1000)
+            self.handle.registerTimer(newest // 1000)
+        values = np.stack([found[c] for c in POINT.names[2:]], axis=1)
+        facts = _measured(found["ts_us"], values, self.window_hours)
+        yield Row(mmsi=key[0], **facts)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.points.clear()
+        self.chunks.clear()
         return iter([])
 
 
@@ -109,8 +126,10 @@ def vessel_facts_stream(points: DataFrame, days: int = 3, window_hours: float =
     """
     rows = points.select("mmsi", "id", "lat", "lng", "speed", "heading", F.col("timestamp").cast("timestamp").alias("timestamp"))
     rows = rows.where(F.col("timestamp").isNotNull() & F.col("mmsi").isNotNull() & F.col("id").isNotNull())
-    return rows.withWatermark("timestamp", f"{2 * days} days").groupBy("mmsi").transformWithStateInPandas(
+    rows = rows.withColumn("ts_us", F.unix_micros("timestamp")).withWatermark("timestamp", f"{2 * days} days")
+    facts = rows.groupBy("mmsi").transformWithState(
         statefulProcessor=VesselPoints(days, window_hours), outputStructType=FACTS, outputMode="Update", timeMode="EventTime")
+    return facts.select("mmsi", F.timestamp_micros("latest_us").alias("latest_ts"), *facts.columns[2:])
 
 
 def start_vessel_status(points: DataFrame, path: str, checkpoint: str, days: int = 3, **kw) -> StreamingQuery:
