@@ -171,3 +171,12 @@ def test_account_pages_stop_at_the_first_bad_one(spark):
     for r in sorted(files.wechat_items(df, count=5).collect(), key=lambda r: (r.account, r.page, r.pos)):
         got.setdefault(r.account, []).append(r.title)
     assert got == {k: t for k, t in want.items() if t}
+
+
+
+def test_pages_are_parsed_a_portion_at_a_time(spark):
+    assert list(P._portions([3, 3, 9, 1, 1], 6)) == [(0, 2), (2, 3), (3, 5)]
+    assert list(P._portions([], 6)) == [] and list(P._portions([0, 0], 6)) == [(0, 2)] and list(P._portions([7], 6)) == [(0, 1)]
+    rows = [(i, "https://h.x/", None if i % 7 == 0 else f"<p>{'word ' * (300_000 if i == 3 else 1)}{i}</p>") for i in range(40)]
+    got = P.outline(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)).select("page_id", F.length("whole").alias("n")).collect()
+    assert {r.page_id: r.n for r in got} == {i: 0 if h is None else len(h) - 7 + 2 for i, _, h in rows}

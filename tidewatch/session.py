@@ -17,6 +17,8 @@ _SETTINGS = {
     # let "newest k per key" drop rows before the shuffle up to the largest k in use
     "spark.sql.optimizer.windowGroupLimitThreshold": str(TRACK_KEEP),
     "spark.sql.session.timeZone": "UTC",
+    # rows hold whole texts and pages, so a Python task is given few at a time
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # the vessel registry file is encoded in GBK
     "spark.sql.legacy.javaCharsets": "true",
 }

@@ -8,6 +8,7 @@ between containers are column expressions over that. No shuffle is needed.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,6 +21,7 @@ from tidewatch.operators.skew import unnest
 QUIET = {"script", "style", "noscript"}
 BLOCKS = set("p div li ul ol h1 h2 h3 h4 h5 h6 tr table section article nav header footer body br html head title".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
+PARSED_AT_ONCE = 1 << 19
 DATE_METAS = ["article:published_time", "publishdate", "date"]
 OUTLINE = ("whole STRING, elements ARRAY<STRUCT<tag: STRING, id: STRING, classes: STRING, `from`: INT, `to`: INT>>, "
            "links ARRAY<STRUCT<href: STRING, `from`: INT, `to`: INT>>, marks ARRAY<STRUCT<name: STRING, value: STRING>>")
@@ -84,17 +86,33 @@ class _Outline(HTMLParser):
         return "".join(self.text), self.elements, sorted(self.links, key=lambda x: (x[1], x[2])), self.marks
 
 
+def _portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows (from, to) of at most ``most`` together; a larger row stands alone."""
+    lo = total = 0
+    for i, n in enumerate(sizes):
+        if i > lo and total + n > most:
+            yield lo, i
+            lo, total = i, 0
+        total += n
+    if sizes:
+        yield lo, len(sizes)
+
+
 def outline(pages: DataFrame) -> DataFrame:
-    """(page_id, url, whole, elements, links, marks) of every page; null markup is empty."""
+    """(page_id, url, whole, elements, links, marks) of every page; null markup is empty.
+
+    Outlines are far larger than their markup, so a task holds those of about PARSED_AT_ONCE characters at a time.
+    """
     def run(batches):
         for pdf in batches:
-            found = []
-            for html in pdf["html"]:
-                page = _Outline()
-                page.feed(html or "")
-                found.append(page.finish())
-            whole, elements, links, marks = zip(*found) if found else ([], [], [], [])
-            yield pdf[["page_id", "url"]].assign(whole=list(whole), elements=list(elements), links=list(links), marks=list(marks))
+            for lo, hi in _portions([len(html or "") for html in pdf["html"]], PARSED_AT_ONCE):
+                part, found = pdf.iloc[lo:hi], []
+                for html in part["html"]:
+                    page = _Outline()
+                    page.feed(html or "")
+                    found.append(page.finish())
+                whole, elements, links, marks = zip(*found)
+                yield part[["page_id", "url"]].assign(whole=list(whole), elements=list(elements), links=list(links), marks=list(marks))
 
     return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id BIGINT, url STRING, {OUTLINE}")
 
