@@ -180,3 +180,19 @@ def test_pages_are_parsed_a_portion_at_a_time(spark):
     rows = [(i, "https://h.x/", None if i % 7 == 0 else f"<p>{'word ' * (300_000 if i == 3 else 1)}{i}</p>") for i in range(40)]
     got = P.outline(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)).select("page_id", F.length("whole").alias("n")).collect()
     assert {r.page_id: r.n for r in got} == {i: 0 if h is None else len(h) - 7 + 2 for i, _, h in rows}
+
+
+
+def test_feed_documents_share_files(spark, monkeypatch):
+    """Files grow with the collected items, not with accounts."""
+    from tidewatch.plans import source_queries as Q
+    from tidewatch.plans.views import Views
+    from tidewatch.sources import folders
+
+    base, landed = scratch_dir(spark, "sample"), []
+    rows = [(i, f"Title & <{i}>\nwords", "en", None if i == 5 else f"src {i % 40}", 20) for i in range(0, 12_000, 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{base}/documents.parquet")
+    monkeypatch.setattr(Q, "scratch_dir", lambda s, name: landed.append(scratch_dir(s, name)) or landed[-1])
+    assert Q.read_feed_files(Views(spark, base)).select("summary_raw").distinct().count() == len(rows)
+    files = [x for x in folders.children(spark, landed[0]) if x.startswith("part-")]
+    assert 1 < len(files) <= 4

@@ -14,7 +14,7 @@ from tidewatch.session import scratch_dir
 from tidewatch.sources import files, pages as P
 from tidewatch.sources.registry import SourceRegistry
 
-BATCH = 200
+BATCH, LANDED = 200, 25
 
 
 # --- pages ---
@@ -213,7 +213,8 @@ def clean_vessel_row(v):
 
 @query
 def read_feed_files(v):
-    """Feed documents landed as files, one each, and read entry by entry."""
+    """Feed documents landed as files, those of LANDED neighbouring batches in one, and read entry by entry."""
     path = scratch_dir(v.spark, "feeds")
-    feed_documents(v, []).select("account", "batch", "doc").write.partitionBy("account", "batch").text(path)
+    landed = feed_documents(v, []).groupBy(F.floor(F.col("batch") / LANDED)).agg(F.array_join(F.collect_list("doc"), "").alias("docs"))
+    landed.select(F.concat(F.lit("<feeds>"), "docs", F.lit("</feeds>"))).write.option("maxRecordsPerFile", 1).text(path)
     return files.read_feed_files(v.spark, path).select(normalize_url(F.col("link")).alias("link"), "title", "published", "updated", "summary_raw")
