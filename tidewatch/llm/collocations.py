@@ -37,7 +37,7 @@ from tidewatch.llm.text import LOWER, byte_class, bytes_of, materialised, mix, p
 MOST_WORDS = 4
 CUT = byte_class([(0x0A, 0x0D)] + [(ord(c), ord(c)) for c in ".,;:!?"])
 WORD = ~(CUT | byte_class([(0x09, 0x09), (0x20, 0x20)]))
-PIECE = 1 << 22
+PIECE = 1 << 20
 LEAST_BITS, MOST_BITS = 20, 28
 COUNTED = "fp long, lang string, n long"
 PHRASED = "lang string, k int, phrase string, n long, doc long, at long"
