@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import pytest
 from pyspark.sql import functions as F
@@ -261,6 +262,68 @@ def test_open_pages_against_plain_windows(spark):
     assert {x.page_id: x.text for x in html_main.main_text(frame.repartition(4)).collect()} == plain_pages(rows)
 
 
+def test_marked_pages_go_through_their_host_too(spark):
+    """Chrome of marked pages tells an unnamed menu elsewhere; a repeated teaser in an article element is no article; articles stay whole."""
+    menu, teaser = "home news about contact imprint more", "subscribe to our great weekly letter now"
+    rows = [(i, f"http://a.b/{i}", f"<nav>{menu}</nav><aside>{teaser}</aside><article><p>own text {i} of page</p><p>{menu}</p></article>") for i in range(4)]
+    rows += [(4, "http://a.b/4", f"<div>{menu}</div><p>the only page without a mark</p>"),
+             (5, "http://a.b/5", f"<div>{menu}</div><article>{teaser}</article><p>unmarked text beside a teaser</p>"),
+             (6, "http://c.d/6", f"<div>{menu}</div><article>{teaser}</article><p>out</p>")]
+    got = {x.page_id: x.text for x in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"own text {i} of page\n{menu}" for i in range(4)}, 4: "the only page without a mark", 5: "unmarked text beside a teaser", 6: teaser}
+
+
+def plain_mixed_pages(rows, window=6, least_pages=3, least_share=0.1):
+    """Pages (page_id, host, marked, open, chrome texts) by all windows of their host's chrome and open texts, then the check by markup."""
+    grams = lambda p: [tuple(p.split(" ")[j:j + window]) for j in range(max(1, len(p.split(" ")) - window + 1))]
+    outside, unmarked = {}, {}
+    for _, host, marked, other, around in rows:
+        page = (tuple(marked), tuple(other))
+        outside.setdefault(host, {}).setdefault(page, set()).update(g for p in other + around for g in grams(p))
+        if other and not marked:
+            unmarked.setdefault(host, {})[page] = {g for p in other for g in grams(p)}
+    enough = lambda g, pages: sum(g in x for x in pages.values()) >= max(least_pages, least_share * len(pages))
+
+    def left(host, parts):
+        lines = []
+        for p in parts:
+            gone = {k for j, g in enumerate(grams(p)) if enough(g, outside[host]) or enough(g, unmarked.get(host, {})) for k in range(j, j + len(g))}
+            lines.append(" ".join(w for k, w in enumerate(p.split(" ")) if k not in gone))
+        return "\n".join(x for x in lines if x)
+
+    return {i: "\n".join(marked) if marked and (left(host, marked) or not left(host, other)) else left(host, other) for i, host, marked, other, _ in rows}
+
+
+def test_mixed_pages_against_plain_windows(spark):
+    r = random.Random(7)
+    stock = [" ".join(r.choice("abcdefghijkl") for _ in range(r.randint(1, 14))) for _ in range(40)]
+    some = lambda most, own: [r.choice(stock) if r.random() > own else " ".join(f"u{r.randrange(9999)}" for _ in range(9)) for _ in range(r.randint(0, most))]
+    rows = [(i, r.choice(["x.y", "x.y", "z", "w"]), some(2, .3) if r.random() < .6 else [], some(4, .4), some(3, .1)) for i in range(90)]
+    tags = lambda start, parts, end: "".join(start + p + end for p in parts)
+    html = lambda m, o, c: tags("<article>", m, "</article>") + tags("<p>", o, "</p>") + tags("<nav>", c, "</nav>")
+    frame = spark.createDataFrame([(i, f"http://{h}/{i}", html(*parts)) for i, h, *parts in rows], "page_id long, url string, html string")
+    plain = plain_mixed_pages(rows)
+    assert {x.page_id: x.text for x in html_main.main_text(frame.repartition(4)).collect()} == plain
+    assert any(m and plain[i] != "\n".join(m) for i, _, m, _, _ in rows) and any(not m and plain[i] != "\n".join(o) for i, _, m, o, _ in rows)
+
+
+def test_pages_in_small_runs(monkeypatch):
+    """Pages and blocks that fall into several runs give what one run gives."""
+    r = random.Random(3)
+    stock = [" ".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) for _ in range(9)]
+    pages = ["".join(f"<{t}>{r.choice(stock)}</{t}>" for t in r.choices(["p", "article", "nav", "p"], k=r.randint(0, 6))) for _ in range(30)]
+    columns = [pa.array(range(30), pa.int64()), pa.array(["u"] * 30), pa.array([x or None for x in pages]), pa.array([1] * 30, pa.int64())]
+    batch = pa.RecordBatch.from_arrays(columns, ["page_id", "url", "html", "host"])
+    got = []
+    for size in (1 << 21, 25, 1):
+        monkeypatch.setattr(html_main, "PIECE_BYTES", size)
+        parsed = pa.Table.from_batches(html_main._parsed([batch], 6)).combine_chunks()
+        keys = sorted({w["key"] for page in parsed["windows"].to_pylist()[::3] for w in page})
+        told = parsed.select(["page_id", "url", "marked", "open"]).append_column("keys", pa.array([keys if i % 4 else [] for i in range(30)], pa.list_(pa.int64())))
+        got.append((parsed.to_pylist(), [x for b in html_main._unique(told.to_batches(), 6) for x in b.to_pylist()]))
+    assert got[0] == got[1] == got[2] and len({x["text"] for x in got[0][1]}) > 5
+
+
 def test_empty_pages(spark):
     assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

@@ -1,14 +1,20 @@
-"""Main text of web pages: markup first, a host suffix array for what markup leaves open.
+"""Main text of web pages: what a host repeats, found in the order of its token windows, then a check by markup.
 
-A page becomes a stream of text blocks. Text inside navigation, footers, asides, forms, adverts,
-notices, comments, scripts and the like goes, by tag, by the attributes class, id, role and style, and by
+A page becomes a stream of text blocks of three kinds. Text inside navigation, footers, asides, forms, adverts,
+notices, comments and the like is chrome, by tag, by the attributes class, id, role and style, and by
 being hidden; a name counts as a whole, or if all its parts are names of such places or words of position.
-Text inside an article or main element stays as it is,
-however often it occurs on other pages. If a page has neither, its other blocks are open: all open
-token windows of a host are brought into the order of their tokens by Spark (the ranges of the host's
-suffix array that agree on `window` tokens), ranges that enough distinct pages share are boilerplate,
-covered tokens go and the unique runs of each block stay. Pages with equal blocks count as one, so
-copies of an article don't make it boilerplate. A hot host spreads over all tasks, as its windows do.
+Other text inside an article or main element is marked, the rest is open; scripts, styles and titles are no text.
+
+The token windows of all chrome and open blocks of a host, from every page, are brought into the order of
+their tokens by Spark (the ranges of the host's suffix array that agree on `window` tokens), and ranges that
+enough distinct pages share are boilerplate, see `main_text`. They are looked up in the marked and open blocks
+of every page; covered tokens are told from the unique runs. Pages with equal marked and open blocks count as
+one, so copies of an article don't make it boilerplate. A hot host spreads over all tasks, as its windows do.
+
+The check: articles carry lines that footers and adverts of their host carry too, so marked blocks get their
+covered tokens back, unless the host repeats all of a page's marked text (a teaser in an article element) and
+its open blocks have unique runs, which then are the text. Chrome goes, unique or not, and so do open blocks
+beside a marked text. Without marked blocks the unique runs of the open ones are the text.
 
 Defined cases: null or empty html gives empty text; unclosed or stray tags and cut-off pages are read
 as far as they go; tags in comments and scripts are no tags; a block of fewer tokens than the window is
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.text import NOT_SPACE, materialised, prepare, word_hash, spans, window_hash
+from tidewatch.llm.text import NOT_SPACE, PIECE_BYTES, covered, materialised, prepare, word_hash, spans, window_hash
 
 _ATTRS = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 _TOKEN = re.compile(
@@ -47,22 +53,22 @@ CHROME_NAMES = frozenset("""ad ads advert adverts advertisement adsense alert ba
 PLACES = frozenset("""area bar block body bottom box btn button center column container content footer form global header inner item items left link links list
     main mobile module page panel posts primary right secondary section site sticky text top widget widgets wrap wrapper""".split())
 PAGE = "page_id long, url string, text string, n_chars long"
-PARSED = PAGE + ", host string, blocks array<string>, windows array<struct<b: int, at: int, n: int, key: long>>"
+PARSED = "page_id long, url string, host long, marked array<string>, open array<string>, windows array<struct<key: long, open: boolean>>"
 
 
-def blocks(page: str) -> tuple[list[str], bool]:
-    """(text blocks in page order, whether they come from an article or main element)."""
+def blocks(page: str) -> tuple[list[str], list[str], list[str]]:
+    """Text blocks in page order: marked by an article or main element, open, and chrome."""
     stack: list[tuple[str, int, int]] = []
     depth: dict[str, int] = {}
     chrome = main = at = 0
-    kept: dict[bool, list[list[str]]] = {True: [[]], False: [[]]}
+    kept: tuple[list[list[str]], ...] = ([[]], [[]], [[]])
 
     def text(raw: str) -> None:
-        if not chrome and raw:
-            kept[main > 0][-1].append(html.unescape(raw))
+        if raw:
+            kept[2 if chrome else 0 if main else 1][-1].append(html.unescape(raw))
 
     def cut() -> None:
-        for side in kept.values():
+        for side in kept:
             if side[-1]:
                 side.append([])
 
@@ -97,8 +103,8 @@ def blocks(page: str) -> tuple[list[str], bool]:
     if "<" in tail:  # a tag that the page's end cuts off
         tail = tail[:tail.rindex("<")] if re.search(r"<[/!?a-zA-Z][^>]*\Z", tail) else tail
     text(tail)
-    joined = {side: [x for x in (" ".join("".join(part).split()) for part in parts) if x] for side, parts in kept.items()}
-    return (joined[True], True) if joined[True] else (joined[False], False)
+    marked, open_, around = ([x for x in (" ".join("".join(part).split()) for part in parts) if x] for parts in kept)
+    return marked, open_, around
 
 
 def is_chrome_name(name: str, main: int) -> bool:
@@ -122,55 +128,112 @@ def _names_chrome(tag: str, attributes: str, main: int) -> bool:
     return False
 
 
+def _runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about PIECE_BYTES together."""
+    lo = total = 0
+    for i, size in enumerate(sizes):
+        if i > lo and total + size > PIECE_BYTES:
+            yield lo, i
+            lo, total = i, 0
+        total += size
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def _windows(parts: list[str], window: int) -> tuple[np.ndarray, ...]:
+    """(block, first word, words, hash) of each token window and the first word of each block; words count through all blocks."""
+    texts = [x.encode() for x in parts]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    start, end, row = spans(NOT_SPACE[data], at)
+    words = np.bincount(row, minlength=len(parts)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(words)]).astype(np.int64)
+    wide = np.minimum(words, window)
+    many = np.where(words > 0, words - wide + 1, 0)
+    block = np.repeat(np.arange(len(parts)), many)
+    word = first[block] + np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
+    n, key = wide[block], np.zeros(len(block), np.uint64)
+    hashes = word_hash(data, start, end)
+    for k in np.unique(n).tolist():
+        key[n == k] = window_hash(hashes, k)[word[n == k]]
+    return block, word, n, key.view(np.int64), first
+
+
 def _parsed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Text of marked pages; blocks and token windows of open ones."""
-    kind = pa.list_(pa.struct([("b", pa.int32()), ("at", pa.int32()), ("n", pa.int32()), ("key", pa.int64())]))
+    """Marked and open blocks of every page, and the distinct token windows of its chrome and open blocks; `open` are those in a page without marked ones."""
     for b in batches:
-        texts, found, made = [], [], []
-        for page in b.column(2).to_pylist():
-            parts, marked = blocks(page) if page else ([], True)
-            texts.append("\n".join(parts) if marked or not parts else None)
-            found.append(None if texts[-1] is not None else parts)
-            made.append(None if found[-1] is None else [w for i, part in enumerate(parts) for w in _windows(i, part, window)])
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([None if x is None else len(x) for x in texts], pa.int64()),
-                                          b.column(3), pa.array(found, pa.list_(pa.string())), pa.array(made, kind)],
-                                         ["page_id", "url", "text", "n_chars", "host", "blocks", "windows"])
-
-
-def _windows(i: int, part: str, window: int) -> list[dict]:
-    data = np.frombuffer(part.encode(), np.uint8)
-    start, end, _ = spans(NOT_SPACE[data], np.array([0, len(data)]))
-    n = min(len(start), window)
-    keys = window_hash(word_hash(data, start, end), n).view(np.int64).tolist() if n else []
-    return [{"b": i, "at": j, "n": n, "key": k} for j, k in enumerate(keys)]
-
-
-def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages = b.column(2).to_pylist()
+        for lo, hi in _runs([len(x or "") for x in pages]):
+            marked, open_, parts, page, is_open = [], [], [], [], []
+            for i, x in enumerate(pages[lo:hi]):
+                own, other, around = blocks(x) if x else ([], [], [])
+                marked.append(own)
+                open_.append(other)
+                parts += other + around
+                page += [i] * (len(other) + len(around))
+                is_open += [not own] * len(other) + [False] * len(around)
+            block, _, _, key, _ = _windows(parts, window)
+            page, is_open = np.array(page, np.int64)[block], np.array(is_open, bool)[block]
+            order = np.lexsort((~is_open, key, page))
+            page, key, is_open = page[order], key[order], is_open[order]
+            once = np.ones(len(key), bool)
+            once[1:] = (page[1:] != page[:-1]) | (key[1:] != key[:-1])
+            ends = np.searchsorted(page[once], np.arange(hi - lo + 1)).astype(np.int32)
+            found = pa.StructArray.from_arrays([pa.array(key[once]), pa.array(is_open[once])], ["key", "open"])
+            yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], b.column(1)[lo:hi], b.column(3)[lo:hi], pa.array(marked, pa.list_(pa.string())),
+                                              pa.array(open_, pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(ends), found)],
+                                             ["page_id", "url", "host", "marked", "open", "windows"])
+
+
+def _unique(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Text of each page by its host's ranges (`keys`, ascending) and the check by markup."""
     for b in batches:
-        out = []
-        for parts, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            words = [x.split(" ") for x in parts]
-            for g in gone or []:
-                words[g["b"]][g["at"]:g["at"] + g["n"]] = [None] * g["n"]
-            lines = [" ".join([w for w in x if w is not None]) for x in words]
-            out.append("\n".join([x for x in lines if x]))
+        pages = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+        keys, ends = b.column(4).values.to_numpy(zero_copy_only=False), b.column(4).offsets.to_numpy()
+        parts = [x for own, other in pages for x in own + other]
+        at = np.cumsum([0] + [len(own) + len(other) for own, other in pages])
+        gone, first = [np.zeros(0, bool)], [np.zeros(1, np.int64)]
+        for lo, hi in _runs([len(x) for x in parts]):
+            block, word, n, key, starts = _windows(parts[lo:hi], window)
+            hit = np.zeros(len(key), bool)
+            for i in range(int(np.searchsorted(at, lo, "right")) - 1, int(np.searchsorted(at, hi))):
+                common, mine = keys[ends[i]:ends[i + 1]], slice(*np.searchsorted(block, at[i:i + 2] - lo))
+                if len(common):
+                    hit[mine] = common[np.minimum(np.searchsorted(common, key[mine]), len(common) - 1)] == key[mine]
+            gone.append(covered(int(starts[-1]), word[hit], word[hit] + n[hit]))
+            first.append(starts[1:] + first[-1][-1])
+        gone, first, out = np.concatenate(gone), np.concatenate(first), []
+        for (own, other), lo, hi in zip(pages, at.tolist(), at[1:].tolist()):
+            split = lo + len(own)
+            if own and not (gone[first[lo]:first[split]].all() and not gone[first[split]:first[hi]].all()):
+                out.append("\n".join(own))
+                continue
+            left = [" ".join([w for w, g in zip(x.split(" "), gone[f:]) if not g]) for x, f in zip(other, first[split:hi].tolist())]
+            out.append("\n".join([x for x in left if x]))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())],
                                          ["page_id", "url", "text", "n_chars"])
 
 
 def main_text(pages: DataFrame, window: int = 6, least_pages: int = 3, least_share: float = 0.1) -> DataFrame:
-    """(page_id, url, text, n_chars). Open windows on `least_pages` and on `least_share` of a host's open pages are boilerplate."""
+    """(page_id, url, text, n_chars).
+
+    Boilerplate are windows that stand outside marked text on `least_pages` pages of a host and on `least_share` of
+    them; or in open blocks of as many of its pages without marked text, and on that share of these.
+    """
     prepare(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1)), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html"))
-    parsed = materialised(pages.withColumn("host", host).mapInArrow(lambda it: _parsed(it, window), PARSED), "parsed-pages")
-    done = parsed.filter("text is not null").select("page_id", "url", "text", "n_chars")
-    # pages of equal blocks are one page here
-    rest = parsed.filter("text is null").withColumn("page", F.xxhash64("blocks"))
-    rows = rest.select("page", "host", F.explode("windows").alias("w")).select("page", "host", "w.*").distinct()
-    count = rows.select("host", "key", "page").distinct().groupBy("host", "key").agg(F.count("*").alias("on"))
-    total = rest.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    common = count.filter(F.col("on") >= least_pages).join(total, "host").filter(F.col("on") >= least_share * F.col("of")).select("host", "key")
-    gone = rows.join(common, ["host", "key"]).groupBy("host", "page").agg(F.collect_set(F.struct("b", "at", "n")).alias("gone"))
-    left = rest.select("page", "host", "page_id", "url", "blocks").join(gone, ["host", "page"], "left").select("page_id", "url", "blocks", "gone")
-    return done.unionByName(left.mapInArrow(_unique, PAGE))
+    parsed = materialised(pages.withColumn("host", F.xxhash64(host)).mapInArrow(lambda it: _parsed(it, window), PARSED)
+                          # pages of equal marked and open blocks are one page here
+                          .withColumn("page", F.xxhash64(F.size("marked"), "marked", "open")), "parsed-pages")
+    is_open = (F.size("marked") == 0) & (F.size("open") > 0)
+    total = parsed.select("host", "page", is_open.alias("open")).distinct().groupBy("host").agg(F.count("*").alias("of"), F.count_if("open").alias("of_open"))
+    rows = parsed.select("host", "page", F.explode("windows").alias("w")).groupBy("host", "w.key", "page").agg(F.max("w.open").alias("open"))
+    count = rows.groupBy("host", "key").agg(F.count("*").alias("on"), F.count_if("open").alias("on_open")).filter(F.col("on") >= least_pages)
+    shared = ((F.col("on") >= least_share * F.col("of"))
+              | (F.col("on_open") >= least_pages) & (F.col("on_open") >= least_share * F.col("of_open")))
+    common = count.join(total, "host").filter(shared).groupBy("host").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    # written, so that its size is known and pages are dealt by host only if it is too large to be told to all tasks
+    looked_up = parsed.select("page_id", "url", "marked", "open", "host").join(materialised(common, "host-ranges"), "host", "left")
+    told = looked_up.select("page_id", "url", "marked", "open", F.coalesce("keys", F.array().cast("array<long>")).alias("keys"))
+    return told.mapInArrow(lambda it: _unique(it, window), PAGE)
