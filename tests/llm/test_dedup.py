@@ -1,6 +1,7 @@
 """Dedup and decontamination against plain versions, over documents with all odd cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -39,6 +40,66 @@ def test_suffix_dedup_of_common_passages(docs, pairs, monkeypatch):
     same(suffix_dedup.digests(docs), plain.suffixes(pairs))
 
 
+def _bucket_messages(block_texts, n=1):
+    """The messages that blocks, each of one text, send to each index bucket of suffix_dedup; texts' ids are their places."""
+    rows = [(np.frombuffer(t, np.uint8), np.array([0, len(t)]), np.array([i])) for i, t in enumerate(block_texts)]
+    seeds = [dict(suffix_dedup._seeds(*r, 50, n))[0] for r in rows]
+    alive = blocks.repeated_anchors(suffix_dedup.HOT)(seeds)
+    buckets = {}
+    for r, reply in zip(rows, alive):
+        for bucket, payload in suffix_dedup._send(*r, {1: [reply]}, 50, n):
+            buckets.setdefault(bucket, []).append(payload)
+    return buckets
+
+
+def _told(replies):
+    """Each reply as sorted (hashes, first windows, earliest documents) of its segments."""
+    out = []
+    for reply in replies:
+        a, b, n, run_from, run_doc = blocks.unpacked(reply, np.uint64, np.uint64, np.uint8, np.uint8, np.int64) if reply else ([], [], [], [], [])
+        at = np.cumsum(np.append(0, n).astype(int))
+        out.append(sorted((int(x), int(y), run_from[i:j].tolist(), run_doc[i:j].tolist()) for x, y, i, j in zip(a, b, at[:-1], at[1:])))
+    return out
+
+
+def test_suffix_index_memory_does_not_grow_with_the_bucket():
+    """A bucket of many segments is indexed part by part (some 60 MB here at most); one index of all took 355 MB."""
+    passage = np.random.default_rng(4).integers(97, 123, 2_000_000).astype(np.uint8).tobytes()
+    payloads = _bucket_messages([passage, b"own " + passage])[0]
+    tracemalloc.start()
+    replies = list(suffix_dedup._match(payloads, 50))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, f"{peak / 1e6:.0f} MB"
+    assert not replies[0] and all(docs == [0] for *_, docs in _told(replies)[1])
+
+
+def test_suffix_index_parts_tell_what_one_index_tells(monkeypatch):
+    rnd = random.Random(5)
+    lines = ["".join(rnd.choice("ab cde") for _ in range(rnd.randint(40, 160))) for _ in range(60)]
+    texts = [" ".join(rnd.choices(lines, k=40)).encode() for _ in range(12)]
+    for payloads in _bucket_messages(texts).values():
+        whole = _told(suffix_dedup._match(payloads, 50))
+        for limit in (1, 2_000):
+            monkeypatch.setattr(suffix_dedup, "INDEX_BYTES", limit)
+            assert _told(suffix_dedup._match(payloads, 50)) == whole
+        monkeypatch.undo()
+
+
+def test_blocks_follow_the_bytes_of_the_texts(spark):
+    rows = [(i, "é" * 500) for i in range(100)] + [(100, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert blocks.Exchange(docs, 2_000).n == 50 and blocks.Exchange(docs, 1 << 24).n == blocks.Exchange(docs).n == 16
+    assert blocks.Exchange(docs.limit(0), 2_000).n == 16
+    same(suffix_dedup.digests(docs), plain.suffixes(rows))
+
+
+def test_suffix_dedup_of_more_blocks_than_partitions(docs, pairs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4_000)
+    assert blocks.Exchange(docs, 4_000).n > 16
+    same(suffix_dedup.digests(docs), plain.suffixes(pairs))
+
+
 def test_substring_dedup(docs, pairs):
     same(substring_dedup.digests(docs), plain.substrings(pairs))
 

@@ -30,11 +30,17 @@ def _block(doc: Column, n: int) -> Column:
 
 
 class Exchange:
-    def __init__(self, docs: DataFrame):
-        """`docs` needs doc_id and text. A null doc_id is a document that sorts first."""
+    def __init__(self, docs: DataFrame, block_bytes: int | None = None):
+        """`docs` needs doc_id and text. A null doc_id is a document that sorts first.
+
+        `block_bytes`: the texts are summed up first, and there are as many blocks as give a block no more than
+        that on average, however few the shuffle partitions are.
+        """
         spark = prepare(docs.sparkSession)
         n = parts(spark)
         self.n = max(n, min(2 * n, 128))  # messages grow with its square
+        if block_bytes:
+            self.n = max(self.n, -(-(docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // block_bytes))
         doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
         self.docs = docs.select(_block(doc, self.n).alias("block"), doc.alias("doc"), "text")
         first = (docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"))

@@ -6,7 +6,9 @@ their windows: those can't match. The rest is cut into segments, runs of windows
 the bucket of an anchor gets the distinct segments with their smallest documents, builds the run-length
 index over them and streams the segments through it, which tells each window's earliest document.
 Segments of an anchor in very many texts are dealt on by window, so that no bucket grows with one
-passage. A window that starts in a smaller document is removed byte by byte.
+passage. A bucket's content comes in parts by anchor, and an index covers neighbouring parts of about
+INDEX_BYTES, so its memory does not grow with the bucket. A window that starts in a smaller document is
+removed byte by byte.
 
 Defined cases: null text is empty; a text shorter than `least` loses nothing; of equal texts all but
 the one with the smallest id lose everything (if long enough); rows with one doc_id are one document
@@ -30,6 +32,10 @@ INNER = 24
 _SYMBOL = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
 STRETCH = 32
 HOT = 255
+BLOCK_BYTES = 1 << 24
+PIECE = 1 << 19
+PARTS = 256
+INDEX_BYTES = 1 << 18
 
 
 def _anchored(data, at, least: int):
@@ -42,7 +48,7 @@ def _anchored(data, at, least: int):
 
 def _seeds(data, at, doc, least: int, n: int):
     values, rows = [], []
-    for lo, _, data_, at_ in pieces(data, at):
+    for lo, _, data_, at_ in pieces(data, at, PIECE):
         low, inside, row = _anchored(data_, at_, least)
         if not len(low):
             continue
@@ -54,7 +60,7 @@ def _seeds(data, at, doc, least: int, n: int):
 
 
 def _segments(data, at, alive, flag, least: int, n: int):
-    """Runs of windows with one shared anchor: starts, ends (bytes), rows, two hashes, bucket."""
+    """Runs of windows with one shared anchor: starts, ends (bytes), rows, two hashes, bucket and part in one number."""
     low, inside, row = _anchored(data, at, least)
     if not len(low):
         return None
@@ -75,7 +81,7 @@ def _segments(data, at, alive, flag, least: int, n: int):
     end = stop + least - 1
     a, b = span_hash(data, first, end, 0), span_hash(data, first, end, 1)
     key = np.where(flag[where[first]] > 0, low[first] ^ a, low[first])
-    return first, end, row[first], a, b, blocks.bucket_of(key, index_buckets(n))
+    return first, end, row[first], a, b, blocks.bucket_of(key, index_buckets(n)).astype(np.int64) * PARTS + (mix(key) >> np.uint64(56)).astype(np.int64)
 
 
 def index_buckets(n: int) -> int:
@@ -95,29 +101,61 @@ def _send(data, at, doc, replies, least: int, n: int):
     if not len(alive):
         return
     found = []
-    for lo, hi, data_, at_ in pieces(data, at):
+    for lo, hi, data_, at_ in pieces(data, at, PIECE):
         got = _segments(data_, at_, alive, flag, least, n)
         if got:
-            start, end, row, a, b, bucket = got
-            found.append((start + at[lo], end + at[lo], doc[row + lo], a, b, bucket))
+            start, end, row, a, b, place = got
+            found.append((start + at[lo], end + at[lo], doc[row + lo], a, b, place))
     if not found:
         return
-    start, end, d, a, b, bucket = (np.concatenate(x) for x in zip(*found))
-    order = np.lexsort((d, b, a, bucket))
+    start, end, d, a, b, place = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((d, b, a, place))
     new = np.ones(len(order), bool)
-    same = [x[order] for x in (bucket, a, b)]
+    same = [x[order] for x in (place, a, b)]
     new[1:] = np.any([x[1:] != x[:-1] for x in same], axis=0)
     keep, edge = order[new], np.flatnonzero(new)
     several = d[order[np.append(edge[1:], len(order)) - 1]] > d[keep]
-    for bucket_, at_ in blocks.by_bucket(bucket[keep]):
+    for bucket, at_ in blocks.by_bucket(place[keep] // PARTS):
         k = keep[at_]
         text, _ = _texts(data, start[k], end[k])
-        yield bucket_, zstandard.compress(blocks.packed(d[k], several[at_].astype(np.uint8), (end[k] - start[k]).astype(np.uint8), text), 3)
+        part = (place[k] % PARTS).astype(np.uint8)
+        yield bucket, zstandard.compress(blocks.packed(d[k], several[at_].astype(np.uint8), (end[k] - start[k]).astype(np.uint8), part, text), 3)
 
 
 def _match(payloads, least: int):
-    fields = [blocks.unpacked(zstandard.decompress(p), np.int64, np.uint8, np.uint8, np.uint8) for p in payloads]
-    d, several, size, data = (np.concatenate(x) for x in zip(*fields))
+    fields = [blocks.unpacked(zstandard.decompress(p), np.int64, np.uint8, np.uint8, np.uint8, np.uint8) for p in payloads]
+    # a message's segments come in order of their part
+    row = np.array([np.searchsorted(f[3], np.arange(PARTS + 1)) for f in fields])
+    byte = np.array([np.concatenate([[0], np.cumsum(f[2], dtype=np.int64)])[r] for f, r in zip(fields, row)])
+    replies: list[list] = [[] for _ in fields]
+    for lo, hi in _batches(np.diff(byte.sum(axis=0))):
+        cut = [(f, *r) for f, r in zip(fields, np.stack([row[:, lo], row[:, hi], byte[:, lo], byte[:, hi]], axis=1).tolist())]
+        found = _matched(*(np.concatenate([f[i][x:y] for f, x, y, _, _ in cut]) for i in range(3)), np.concatenate([f[4][x:y] for f, _, _, x, y in cut]), least)
+        a, b, n, run_from, run_doc, useful = found
+        # the useful rows, then their runs, up to each message
+        to = np.concatenate([[0], np.cumsum(useful)])[np.concatenate([[0], np.cumsum(row[:, hi] - row[:, lo])])]
+        run_to = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[to]
+        for i in np.flatnonzero(np.diff(to)).tolist():
+            x, y, u, v = to[i], to[i + 1], run_to[i], run_to[i + 1]
+            replies[i].append((a[x:y], b[x:y], n[x:y], run_from[u:v], run_doc[u:v]))
+    for got in replies:
+        yield blocks.packed(*(np.concatenate(x) for x in zip(*got))) if got else None
+
+
+def _batches(volume):
+    """(first part, end part) of runs of parts of about INDEX_BYTES."""
+    lo, total = 0, 0
+    for part, more in enumerate(volume.tolist()):
+        if total and total + more > INDEX_BYTES:
+            yield lo, part
+            lo, total = part, 0
+        total += more
+    if total:
+        yield lo, len(volume)
+
+
+def _matched(d, several, size, data, least: int):
+    """Hashes and runs (number, window, earliest document) of the segments that someone has to be told of, and which those are."""
     size = size.astype(np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
     a, b = span_hash(data, at[:-1], at[1:], 0), span_hash(data, at[:-1], at[1:], 1)
@@ -142,15 +180,11 @@ def _match(payloads, least: int):
     of = np.searchsorted(ends, run, "right")
     run_doc, run_from = first[run], (run - (ends - windows)[of]).astype(np.uint8)
     run_at = np.searchsorted(of, np.arange(len(owner) + 1))
-    row = 0
-    for f in fields:
-        mine = slice(row, row + len(f[0]))
-        lo, n = run_at[place[group[mine]]], np.diff(run_at)[place[group[mine]]]
-        take = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-        useful = (np.minimum.reduceat(run_doc[take], np.cumsum(n) - n) < d[mine]) | (several[mine] > 0)
-        take = take[np.repeat(useful, n)]
-        yield blocks.packed(a[mine][useful], b[mine][useful], n[useful].astype(np.uint8), run_from[take], run_doc[take]) if useful.any() else None
-        row += len(f[0])
+    lo, n = run_at[place[group]], np.diff(run_at)[place[group]]
+    take = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+    useful = (np.minimum.reduceat(run_doc[take], np.cumsum(n) - n) < d) | (several > 0)
+    take = take[np.repeat(useful, n)]
+    return a[useful], b[useful], n[useful].astype(np.uint8), run_from[take], run_doc[take], useful
 
 
 def _removed(data, at, doc, first, replies, least: int, n: int):
@@ -161,7 +195,7 @@ def _removed(data, at, doc, first, replies, least: int, n: int):
     run_at = np.cumsum(runs) - runs
     order = np.lexsort((b, a))
     key_a, key_b = a[order], b[order]
-    for lo, hi, data_, at_ in pieces(data, at):
+    for lo, hi, data_, at_ in pieces(data, at, PIECE):
         gone = np.zeros(len(data_), bool)
         got = _segments(data_, at_, alive, flag, least, n) if len(a) else None
         if got:
@@ -204,7 +238,7 @@ def digests(docs: DataFrame, least: int = 50) -> DataFrame:
     """Per document: bytes, bytes removed, maximal removed runs, digest of the remaining bytes."""
     if not INNER < least <= 200:
         raise ValueError(f"least must lie above {INNER} and not above 200")
-    ex = blocks.Exchange(docs)
+    ex = blocks.Exchange(docs, BLOCK_BYTES)
     n = ex.n
     seeds = ex.send([], lambda data, at, doc, _: _seeds(data, at, doc, least, n))
     alive = ex.answer(seeds, blocks.repeated_anchors(HOT), 1)

@@ -56,7 +56,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base modulo 2**64 and of its inverse, kept per worker."""
     if which not in _POWERS or len(_POWERS[which][0]) < n:
-        size = max(n, PIECE_BYTES + 1)
+        size = max(n, 2 * len(_POWERS[which][0]) if which in _POWERS else 1 << 16)
         up = np.full(size, _BASES[which], np.uint64)
         down = np.full(size, pow(int(_BASES[which]), -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
